@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 # query name -> module that holds it; a module may hold ORACLE_SQL for its query
 MODULES = {
+    "op1_topk_search": "topk_search",
+    "op2_secret_scan": "secret_scan",
+    "op3_quality_rules": "quality_rules",
+    "op4_simhash_dedup": "simhash_dedup",
     "op7_bpe_round_trip": "bpe_codec",
     "op9_token_counts": "token_counts",
 }
