@@ -13,6 +13,7 @@ MODULES = {
     "op2_secret_scan": "secret_scan",
     "op3_quality_rules": "quality_rules",
     "op4_simhash_dedup": "simhash_dedup",
+    "op5_toxicity": "toxicity",
     "op7_bpe_round_trip": "bpe_codec",
     "op9_token_counts": "token_counts",
 }
