@@ -15,6 +15,7 @@ MODULES = {
     "op4_simhash_dedup": "simhash_dedup",
     "op5_toxicity": "toxicity",
     "op7_bpe_round_trip": "bpe_codec",
+    "op8_source_mixing": "source_mixing",
     "op9_token_counts": "token_counts",
 }
 

@@ -20,14 +20,15 @@ from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from porelake.llm._shared import id_and_text, table
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-ENCODE_SCHEMA = "doc_id long, ids array<int>"
 DECODE_SCHEMA = "doc_id long, text string"
 
 # Fixed value: the split pattern that byte-level pre-tokenizers of this family use.
@@ -162,16 +163,25 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """(doc_id, ids): one pass over the documents, no shuffle."""
+def encode_columns(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` and ids: one pass over the documents, no shuffle."""
+    chosen = docs.select(*keep, F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(tokenizer_path)
-        for b in batches:
-            ids = [bpe.encode(t or "") for t in b.column("text").to_pylist()]
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "ids": pa.array(ids, pa.list_(pa.int32()))})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                ids = [np.array(bpe.encode(t.as_py() or ""), np.int32) for t in b.column("text")]
+                yield pa.record_batch([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+
+    fields = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
+    return chosen.mapInArrow(run, f"{fields}, ids array<int>")
 
-    return id_and_text(docs).mapInArrow(run, ENCODE_SCHEMA)
+
+def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """(doc_id, ids) of each document."""
+    return encode_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer_path, ("doc_id",))
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
