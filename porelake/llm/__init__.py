@@ -17,6 +17,7 @@ MODULES = {
     "op7_bpe_round_trip": "bpe_codec",
     "op8_source_mixing": "source_mixing",
     "op9_token_counts": "token_counts",
+    "op10_window_dedup": "window_dedup",
 }
 
 
