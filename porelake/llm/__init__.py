@@ -14,6 +14,7 @@ MODULES = {
     "op3_quality_rules": "quality_rules",
     "op4_simhash_dedup": "simhash_dedup",
     "op5_toxicity": "toxicity",
+    "op6_suffix_dedup": "suffix_dedup",
     "op7_bpe_round_trip": "bpe_codec",
     "op8_source_mixing": "source_mixing",
     "op9_token_counts": "token_counts",
