@@ -41,7 +41,7 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The eleven fixed fields of each record, and the rest as tags."""
     f = F.split("value", "\t")
     fixed = ("qname", "flag:int", "rname", "pos:int", "mapq:int", "cigar", "rnext", "pnext:int", "tlen:int", "seq", "qual")
-    cols = [f[k].cast(c.partition(":")[2] or "string").alias(c.partition(":")[0]) for k, c in enumerate(fixed)]
+    cols = [F.get(f, F.lit(k)).cast(c.partition(":")[2] or "string").alias(c.partition(":")[0]) for k, c in enumerate(fixed)]
     return spark.read.text(path).where(~F.col("value").startswith("@")).where(F.size(f) >= 11).select(*cols, F.array_join(F.slice(f, 12, 1000), "\t").alias("tags"))
 
 
