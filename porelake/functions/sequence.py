@@ -52,11 +52,14 @@ def iupac_regex(motif: str) -> str:
 
 
 def motif_offsets(seq: Column, motif: str, skip_last: bool = False) -> Column:
-    """Offsets at which the motif matches, overlaps included."""
-    n = len(motif)
-    last = F.length(seq) - n - (1 if skip_last else 0)
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: F.substring(seq, i + 1, F.lit(n)).rlike(f"^{iupac_regex(motif)}$"))
+    """Offsets at which the motif matches, overlaps included. One pass of the regex engine marks
+    where matches begin; the lengths between the marks add up to the offsets."""
+    pieces = F.split(F.regexp_replace(seq, f"(?={iupac_regex(motif)})", "!"), "!")
+    lengths = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("at"))
+    step = lambda a, n: F.struct((a["sum"] + n).alias("sum"), F.array_append(a["at"], a["sum"] + n).alias("at"))
+    found = F.aggregate(lengths, start, step, lambda a: a["at"])
+    return F.filter(found, lambda i: i < F.length(seq) - len(motif)) if skip_last else found
 
 
 def cigar_total(cigar: Column, op: str) -> Column:

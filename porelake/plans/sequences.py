@@ -29,10 +29,9 @@ def collapse_mods(spark, sf_dir):
 
 
 @query("encode_int", WQ + """ SELECT read_id, CAST(len(seq) AS INTEGER) AS n,
-  CAST(coalesce(list_sum(list_transform(string_split(substr(seq, 1, 200), ''), lambda c: instr('ACGT', c) - 1)), 0) AS BIGINT) AS total FROM q WHERE seq <> ''""")
+  CAST(coalesce(list_sum(list_transform(string_split(seq, ''), lambda c: instr('ACGT', c) - 1)), 0) AS BIGINT) AS total FROM q WHERE seq <> ''""")
 def encode_int(spark, sf_dir):
-    """Codes of the first 200 bases, summed: the feature is the coding; lengths are of the whole."""
-    codes = sequence.encode(F.substring("seq", 1, 200), "ACGT")
+    codes = sequence.encode(F.col("seq"), "ACGT")
     return sequences(spark, sf_dir).where("seq != ''").select("read_id", F.length("seq").alias("n"), F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
@@ -67,10 +66,9 @@ def iupac_motif_count(spark, sf_dir):
     return sequences(spark, sf_dir).select("read_id", found.alias("n")).where("n > 0")
 
 
-@query("motif_offsets", WQ + ", o AS (SELECT read_id, seq, unnest(range(length(seq) - 3)) AS i FROM (SELECT read_id, substr(seq, 1, 300) AS seq FROM q) WHERE length(seq) >= 4) SELECT read_id, CAST(i AS INTEGER) AS at FROM o WHERE regexp_matches(substr(seq, i + 1, 4), '^C[AT][AT]G$')")
+@query("motif_offsets", WQ + ", o AS (SELECT read_id, seq, unnest(range(length(seq) - 3)) AS i FROM q WHERE length(seq) >= 4) SELECT read_id, CAST(i AS INTEGER) AS at FROM o WHERE regexp_matches(substr(seq, i + 1, 4), '^C[AT][AT]G$')")
 def motif_offsets(spark, sf_dir):
-    """Offsets of the motif CWWG in the first 300 bases of a read, as a QC report lists them."""
-    return sequences(spark, sf_dir).select("read_id", F.explode(sequence.motif_offsets(F.substring("seq", 1, 300), "CWWG")).alias("at"))
+    return sequences(spark, sf_dir).select("read_id", F.explode(sequence.motif_offsets(F.col("seq"), "CWWG")).alias("at"))
 
 
 @query("motif_logodds", S + """, x AS (SELECT read_id, t, code, lag(code) OVER w AS up, lead(code) OVER w AS down FROM s WINDOW w AS (PARTITION BY read_id ORDER BY t)),

@@ -33,20 +33,21 @@ def strand_list_pairs(spark, sf_dir):
     return joins.select_reads(_reads(spark, sf_dir), pairs).select("read_id", "filename", "n_chars")
 
 
-@query("ref_left_join", REFS + " SELECT user_id AS read_id, count(*) AS n, CAST(coalesce(any_value(length(seq)), -1) AS INTEGER) AS reflen FROM events LEFT JOIN q ON user_id = read_id AND read_id % 3 <> 0 GROUP BY user_id")
+@query("ref_left_join", REFS + " SELECT user_id AS read_id, count(*) AS n, CAST(coalesce(any_value(length(seq)), -1) AS INTEGER) AS reflen FROM events LEFT JOIN (SELECT * FROM q WHERE seq LIKE '%CAT%') q ON user_id = read_id GROUP BY user_id")
 def ref_left_join(spark, sf_dir):
     reads = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("read_id")).agg(F.count("*").alias("n"))
-    refs = sequences(spark, sf_dir).where("read_id % 3 != 0").select("read_id", F.length("seq").alias("reflen"))
+    refs = sequences(spark, sf_dir).where("seq LIKE '%CAT%'").select("read_id", F.length("seq").alias("reflen"))
     return reads.join(refs, "read_id", "left").withColumn("reflen", F.coalesce("reflen", F.lit(-1)))
 
 
-@query("remap_guard_counts", REFS + """, r AS (SELECT d.doc_id, length(q.seq) AS n, d.doc_id % 5 <> 0 AS has_ref, l.doc_id IS NOT NULL AS has_params, d.doc_id % 7 <> 0 AS readable
+@query("remap_guard_counts", REFS + """, r AS (SELECT d.doc_id, length(q.seq) AS n, q.seq LIKE '%A%' AS has_ref, l.doc_id IS NOT NULL AS has_params, d.source <> 'src3' AS readable
   FROM documents d JOIN q ON q.read_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)
   SELECT CASE WHEN NOT has_ref THEN 'No reference found' WHEN n > 800 THEN 'Reference too long' WHEN NOT has_params THEN 'No read parameters' WHEN NOT readable THEN 'Read error' ELSE 'Success' END AS result, count(*) AS n FROM r GROUP BY 1""")
 def remap_guard_counts(spark, sf_dir):
     params = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("read_id"), F.lit(True).alias("p"))
-    rows = sequences(spark, sf_dir).join(params, "read_id", "left")
-    result = joins.remap_guard(F.col("read_id") % 5 != 0, F.length("seq"), 800, F.col("p").isNotNull(), F.col("read_id") % 7 != 0)
+    sources = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), "source")
+    rows = sequences(spark, sf_dir).join(sources, "read_id").join(params, "read_id", "left")
+    result = joins.remap_guard(F.col("seq").contains("A"), F.length("seq"), 800, F.col("p").isNotNull(), F.col("source") != "src3")
     return rows.groupBy(result.alias("result")).agg(F.count("*").alias("n"))
 
 
