@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from porelake.functions import qscore, sequence
 
 
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, i, value): lines with their place in the file. Lines are counted per block of a file,
+    and the counts of the blocks before are added, so no task sees more than a block."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")  # one row a block
+    at = lines.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    return at.select("file", (F.col("before") + F.col("id") - F.col("first")).alias("i"), "value")
+
+
 def read_fasta(spark: SparkSession, path: str, filter_ambiguous: bool = False, flatten_ambiguous: bool = False, alphabet: str = "ACGT") -> DataFrame:
     """(read_id, seq). Records are split at '>', empty ones drop out; of a repeated id the last
     record of the file wins (by its place among the records of the file)."""
@@ -27,9 +38,8 @@ def read_fasta(spark: SparkSession, path: str, filter_ambiguous: bool = False, f
 
 def read_fastq(spark: SparkSession, path: str | list[str], max_reads: int | None = None) -> DataFrame:
     """(read_id, seq, qual, length, mean_q): four lines a record, counted within each file."""
-    lines = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    at = F.row_number().over(Window.partitionBy("file").orderBy("n")) - 1
-    rows = lines.withColumn("i", at).groupBy("file", F.floor(F.col("i") / 4).alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
+    lines = numbered_lines(spark, path)
+    rows = lines.groupBy("file", F.floor(F.col("i") / 4).alias("record")).agg(*[F.max(F.when(F.col("i") % 4 == k, F.col("value"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
     rows = rows.where(F.col("head").startswith("@") & F.col("qual").isNotNull())
     phred = qscore.phred(F.col("qual"))
     mean = -10 * F.log10(F.aggregate(phred, F.lit(0.0), lambda a, q: a + qscore.to_error(q)) / F.size(phred))
@@ -77,7 +87,5 @@ def read_alignment_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def line_blocks(spark: SparkSession, path: str, size: int, header: bool = True, most: int | None = None) -> DataFrame:
     """(block, n, value): a file's lines in blocks of ``size``."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), "value")
-    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")) - (2 if header else 1)
-    rows = lines.withColumn("n", at).where("n >= 0").withColumn("block", F.floor(F.col("n") / size)).select("block", "n", "value")
+    rows = numbered_lines(spark, path).withColumn("n", F.col("i") - (1 if header else 0)).where("n >= 0").withColumn("block", F.floor(F.col("n") / size)).select("block", "n", "value")
     return rows.where(F.col("block") < most) if most is not None else rows

@@ -45,6 +45,14 @@ def test_tsv_and_lists(spark, tmp_path):
     with pytest.raises(ValueError):
         text.read_strand_list(spark, str(p))
     assert text.line_blocks(spark, str(p), 1).count() == 1
+    q = tmp_path / "many.txt"
+    q.write_text("head\n" + "".join(f"{k}\n" for k in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = text.line_blocks(spark, str(q), 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(int(r.value) == r.n and r.block == r.n // 100 for r in rows) and len(rows) == 20000
 
 
 def test_alignment_summaries(spark, tmp_path):
