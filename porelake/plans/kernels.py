@@ -15,7 +15,38 @@ def _codes(T: int, n: int) -> np.ndarray:
     return K.flipflop_codes((np.arange(max(2, T // 2)) ** 2) % n, n)
 
 
-@query("viterbi_decode")
+# The recursions in SQL: a row holds the weights of the 8 states of a read after t steps.
+def _lse(x: str) -> str:
+    return f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda u: exp(u - list_max({x}))))))"
+
+
+INTO_FLIP = "list_transform(range(8), lambda k: v[k + 1] + x[8 * s + k + 1])"
+INTO_FLOP = "[v[s - 3] + x[29 + s], v[s + 1] + x[33 + s]]"
+STEPS = "WITH RECURSIVE e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding[1:40], lambda z: z::DOUBLE) AS x FROM embeddings)"
+
+
+def _forward(start: str) -> str:
+    step = f"list_transform(range(8), lambda s: CASE WHEN s < 4 THEN {_lse(INTO_FLIP)} ELSE {_lse(INTO_FLOP)} END)"
+    return STEPS + f""", f AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {start}::DOUBLE[] AS v FROM e
+  UNION ALL SELECT f.read_id, f.t + 1, {step} FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t),
+  z AS (SELECT read_id, max(t) AS n, {_lse('arg_max(v, t)')} AS log_z FROM f GROUP BY read_id)"""
+
+
+VITERBI = (
+    STEPS
+    + f""", f AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, [0,0,0,0,-1e30,-1e30,-1e30,-1e30]::DOUBLE[] AS v,
+    list_transform(range(8), lambda s: [s]) AS p FROM e
+  UNION ALL SELECT f.read_id, f.t + 1,
+    list_transform(range(8), lambda s: CASE WHEN s < 4 THEN list_max({INTO_FLIP}) ELSE list_max({INTO_FLOP}) END),
+    list_transform(range(8), lambda s: list_append(CASE WHEN s < 4 THEN p[list_position({INTO_FLIP}, list_max({INTO_FLIP}))]
+      WHEN v[s - 3] + x[29 + s] >= v[s + 1] + x[33 + s] THEN p[s - 3] ELSE p[s + 1] END, s))
+  FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t),
+  b AS (SELECT read_id, arg_max(p, t) AS p, arg_max(v, t) AS v FROM f GROUP BY read_id)
+  SELECT read_id, CAST(i AS BIGINT) AS t, CAST(p[list_position(v, list_max(v))][i + 1] AS BIGINT) AS state FROM (SELECT *, unnest(range(len(p[1]))) AS i FROM b)"""
+)
+
+
+@query("viterbi_decode", VITERBI)
 def viterbi_decode(spark, sf_dir):
     def kernel(x):
         path = K.viterbi(x)
@@ -24,12 +55,12 @@ def viterbi_decode(spark, sf_dir):
     return K.per_read(score_rows(spark, sf_dir), kernel, "t long, state long")
 
 
-@query("log_partition")
+@query("log_partition", _forward("[0,0,0,0,-50000,-50000,-50000,-50000]") + " SELECT read_id, round(log_z, 6) AS log_z, round(log_z / n, 6) AS per_step FROM z")
 def log_partition(spark, sf_dir):
     return K.per_read(score_rows(spark, sf_dir), lambda x: {"log_z": [round(K.log_partition(x), 6)], "per_step": [round(K.log_partition(x) / len(x), 6)]}, "log_z double, per_step double")
 
 
-@query("forward_backward")
+@query("forward_backward", _forward("[0,0,0,0,0,0,0,0]") + " SELECT read_id, unnest(range(n + 1)) AS t, round(log_z, 6) AS total FROM z")
 def forward_backward(spark, sf_dir):
     def kernel(x):
         a = K.dense(x)
