@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 class WordHashes(dict):
     """Word -> 64-bit hash; two generations of ``limit`` words are kept."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit, self.old = limit, {}
 
@@ -119,7 +119,7 @@ def _smallest(sent: list[tuple]) -> list[np.ndarray | None]:
 def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept words joined by single spaces;
     kept_text is null unless asked for."""
-    blocks, size = B.pack_blocks(docs, "windows")
+    blocks, size = B.pack_blocks(docs, "windows", 4 << 20)
     n = B.bucket_count(blocks, size)
     *short, full = lengths(window)
     answers, last = None, None
