@@ -215,7 +215,7 @@ def send_values(values: np.ndarray, doc: np.ndarray, buckets: int) -> Iterator[t
     """Each value once, and again if two documents of the block have it; 32 bits of a value are
     enough, as what two values may wrongly share is only looked at more closely later."""
     keys = filter_key(values, buckets)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, doc = keys[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
     if not len(first):
@@ -250,7 +250,13 @@ def told_keys(got: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def is_told(values: np.ndarray, buckets: int, told: np.ndarray) -> np.ndarray:
+    """Which values are among the told keys; a table of some of the bits sorts out most others."""
+    out = np.zeros(len(values), bool)
     if not len(told) or not len(values):
-        return np.zeros(len(values), bool)
-    keys = filter_key(values, buckets)
-    return told[np.minimum(np.searchsorted(told, keys), len(told) - 1)] == keys
+        return out
+    table = np.zeros(1 << 20, bool)
+    table[(told & np.uint64(0xFFFFF)).astype(np.int64)] = True
+    maybe = np.flatnonzero(table[(values >> np.uint64(32) & np.uint64(0xFFFFF)).astype(np.int64)])
+    keys = filter_key(values[maybe], buckets)
+    out[maybe] = told[np.minimum(np.searchsorted(told, keys), len(told) - 1)] == keys
+    return out
