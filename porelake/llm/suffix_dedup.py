@@ -4,8 +4,8 @@ Sorting every suffix of a corpus is out of reach, and most suffixes start nothin
 
 1. every window of ``window`` bytes is stood for by its anchor, the part of ``part`` bytes with the
    smallest hash, which equal windows share. Anchors that occur in one document only are dropped;
-2. the anchors left are compared with their contexts, the bytes that windows around an anchor can
-   reach. Where a smaller document has the same anchor in the same context, all its windows repeat;
+2. the anchors left are compared with their contexts, the bytes under the windows they stand for.
+   Where a smaller document has the same anchor in the same context, all its windows repeat;
 3. what is left are anchors whose contexts differ between documents, at the ends of repeats. Their
    distinct contexts meet by anchor, in shards: each shard gets its Burrows-Wheeler transform, the
    transforms are merged by iterative interleave refinement, and the intervals of rows whose common
@@ -32,16 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from porelake.llm import _blocks as B
-from porelake.llm._bwt import repeated_intervals
+from porelake.llm._bwt import repeated_intervals, stable_order
 from porelake.llm._shared import table
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 SYMBOLS = B.scramble(np.arange(1, 257, dtype=np.uint64))
-PARTS = 1 << 20  # bytes that are hashed at a time
+PARTS = 1 << 18  # bytes that are hashed at a time
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, B.Windows, np.ndarray]]:
-    """(number of the first document, windows, bytes) of runs of documents, about a megabyte each."""
+    """(number of the first document, windows, bytes) of runs of documents, about PARTS bytes each."""
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -53,17 +53,70 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, B.Windows, np.ndarray]]:
         at = end
 
 
-def _anchors(w: B.Windows, window: int, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the parts that are the smallest of some window; ties all count."""
+def _least(w: B.Windows, window: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all parts, smallest hash of each window by its start; 0 where none fits)."""
     if w.n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    k = window - part + 1
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = w.hashes(part)
-    least = np.where(w.fit(window)[: w.n - window + 1], B.sliding(np.minimum, h, k), np.uint64(0))
-    pad = np.zeros(k - 1, np.uint64)
-    best = B.sliding(np.maximum, np.concatenate([pad, least, pad]), k)
-    at = np.flatnonzero((best == h) & (best > 0))
-    return at, h[at]
+    return h, np.where(w.fit(window)[: w.n - window + 1], B.sliding(np.minimum, h, window - part + 1), np.uint64(0))
+
+
+def _runs(w: B.Windows, window: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, hash) of neighbouring windows with the same smallest hash."""
+    _, least = _least(w, window, part)
+    if not len(least):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    new |= _marks(len(least), w.starts)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(least)) - 1
+    real = least[first] > 0
+    return first[real], last[real], least[first][real]
+
+
+def _anchors(w: B.Windows, part: int, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs with the place of their anchor, the first part of that hash in each window. Runs that
+    have several such places (in texts that repeat themselves) are cut between them."""
+    h = w.hashes(part)
+
+    def place(start: np.ndarray, value: np.ndarray) -> np.ndarray:
+        at = start.copy()
+        open_ = np.flatnonzero(h[at] != value)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[h[at[open_]] != value[open_]]
+        return at
+
+    at = place(first, value)
+    long = np.flatnonzero(last > at)
+    if len(long):
+        n = last[long] - first[long] + 1
+        each = np.repeat(first[long] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        owner = np.repeat(long, n)
+        spot = place(each, value[owner])
+        new = np.flatnonzero(np.concatenate([[True], (spot[1:] != spot[:-1]) | (owner[1:] != owner[:-1])]))
+        end = np.append(new[1:], len(each)) - 1
+        keep = np.ones(len(first), bool)
+        keep[long] = False
+        first, last, value, at = (np.concatenate([x[keep], y]) for x, y in ((first, each[new]), (last, each[end]), (value, value[owner[new]]), (at, spot[new])))
+    return first, last, value, at
+
+
+def _grouped(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """An order that puts equal (h, c) together, smallest id first: by some bits of a mix of both,
+    which is checked, or else by all three."""
+    bits = len(h).bit_length()
+    key = ((h ^ c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1 + bits)).astype(np.int64)
+    order = stable_order(key, bits)
+    key, h2, c2, ids2 = key[order], h[order], c[order], ids[order]
+    bad = (key[1:] == key[:-1]) & ((h2[1:] != h2[:-1]) | (c2[1:] != c2[:-1]) | (ids2[1:] < ids2[:-1]))
+    return np.lexsort((ids, c, h)) if bad.any() else order
+
+
+def _marks(n: int, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[at[at < n]] = True
+    return out
 
 
 class Contexts:
@@ -73,17 +126,16 @@ class Contexts:
         self.window, self.part, self.buckets, self.ids, self.texts = window, part, buckets, ids, texts
         cols: list[list[np.ndarray]] = [[] for _ in range(6)]
         for number, w, _ in _chunks(texts):
-            at, h = _anchors(w, window, part)
-            keep = B.is_told(h, buckets, told)
-            at, h = at[keep], h[keep]
-            d = w.owner(at)
-            lo, hi = np.maximum(w.starts[d], at - (window - part)), np.minimum(w.starts[d] + w.lens[d], at + window)
+            runs = _runs(w, window, part)
+            keep = B.is_told(runs[2], buckets, told)
+            lo, last, h, at = _anchors(w, part, *(x[keep] for x in runs))
+            d, hi = w.owner(lo), last + window
             sums, inverse = w._sums(1), B._powers(w.BASES[1], w.n + 1)[1]
             c = B.scramble((sums[hi] - sums[lo]) * inverse[lo]) ^ B.scramble((hi - lo).astype(np.uint64) << np.uint64(20) | (at - lo).astype(np.uint64))
             for col, x in zip(cols, (h, c, d + number, at - w.starts[d], lo - w.starts[d], hi - w.starts[d])):
                 col.append(x)
         h, c, d, at, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
-        order = np.lexsort((ids[d] if len(d) else d, c, h))
+        order = _grouped(h, c, ids[d] if len(d) else d)
         self.h, self.c, self.d, self.at, self.lo, self.hi = (x[order] for x in (h, c, d, at, lo, hi))
         self.first = np.flatnonzero(np.concatenate([[True], (self.h[1:] != self.h[:-1]) | (self.c[1:] != self.c[:-1])])) if len(h) else np.zeros(0, np.int64)
         self.least = ids[self.d[self.first]] if len(h) else np.zeros(0, np.int64)
@@ -114,7 +166,7 @@ class Contexts:
             most = min(reach, max(0, 2 * left - 1))
             d, a = self.d[at], self.at[at]
             lo, hi = np.maximum(self.lo[at], a - most), np.minimum(self.hi[at], a + self.window - left)
-            fits = (a - left >= self.lo[at]) & (a + self.window - most <= self.hi[at]) & (hi - lo >= self.window)
+            fits = hi - lo >= self.window
             seen: dict[bytes, int] = {}
             for i in np.flatnonzero(fits):
                 text = self.texts[d[i]]
@@ -197,7 +249,7 @@ def _cut(blob: bytes, lens: np.ndarray) -> Iterator[bytes]:
         at += n
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, part: int = 20, crowded: int = 4096, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, part: int = 26, crowded: int = 4096, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept); kept is null unless asked for."""
     blocks, size = B.pack_blocks(docs, "suffixes")
     n = B.bucket_count(blocks, size, 4 << 20)
@@ -205,9 +257,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, part: int = 20, crowded: i
     def anchors(ids, texts, got) -> Iterator[tuple[int, tuple]]:
         found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for number, w, _ in _chunks(texts):
-            at, h = _anchors(w, window, part)
+            first, _, h = _runs(w, window, part)
             found.append(h)
-            owners.append(w.owner(at) + number)
+            owners.append(w.owner(first) + number)
         yield from B.send_values(np.concatenate(found), np.concatenate(owners), n)
 
     shared = B.answer(B.send(blocks, None, anchors, "suffixes-anchors"), B.shared_values, "anchors")
