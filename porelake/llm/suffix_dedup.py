@@ -156,10 +156,12 @@ class Contexts:
     def pieces(self, compare: np.ndarray, crowded: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """What is to be compared: bucket, number of the document, from, to; and the pieces of crowded
         anchors (number of the document, from, to) that a smaller document of the block holds too."""
-        plain = self.first[compare & ~crowded]
+        group = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.h))))
+        own = self.ids[self.d] == self.least[group]  # every place at which the smallest document holds a context
+        plain = np.flatnonzero((compare & ~crowded)[group] & own)
         rows = [[self.h[plain] % np.uint64(self.buckets), self.d[plain], self.lo[plain], self.hi[plain]]]
         known: list[np.ndarray] = []
-        at = self.first[crowded]
+        at = np.flatnonzero(crowded[group] & own)
         at = at[np.argsort(self.ids[self.d[at]], kind="stable")]  # the first holder of a piece is the smallest
         reach, left = self.window - self.part, 0
         while len(at) and left <= reach:
