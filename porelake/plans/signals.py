@@ -161,14 +161,16 @@ def qc_median_of_medians(spark, sf_dir):
 
 @query("stream_rolling_mean")
 def stream_rolling_mean(spark, sf_dir):
-    """The online form over a stream of the events' file, one micro-batch at a time."""
+    """The online form over a stream of the events' file, one micro-batch at a time; rows and state
+    go to the shared folder."""
     import uuid
 
+    from porelake.streaming.rolling import OUTPUT, scratch_dir
     from porelake.streaming.rolling import rolling as online
 
     source = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").selectExpr("user_id AS key", "value", "event_id AS order")
-    name = f"rolling_{uuid.uuid4().hex}"
-    q = online(stream, "mean", window=10).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    folder = f"{scratch_dir(spark)}/porelake/stream-rolling-{uuid.uuid4().hex}"
+    sink = online(stream, "mean", window=10).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/rows")
