@@ -35,14 +35,25 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a folder of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session whose tasks
+    all run in the driver's own process gets a temporary folder; a cluster gets an error, as each
+    executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="porelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def discard_scratch(spark: SparkSession) -> None:
+    """Delete what operators wrote to the shared folder. Their results read it lazily, so call this
+    once these are written; results of other running jobs of the same folder would be lost too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/porelake")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut, lost executors
     cost nothing that was written, and later readers prune columns."""

@@ -1,11 +1,13 @@
 """Operator 8: mixing sources to target weights, with DataFrame operations only.
 
-Temperature mixing: a source with token share p gets weight p ** t, normalised. The exponent t in
-[0, 1] is found by bisection (``SECTIONS`` points a round), either as the largest one whose weights
-have the target entropy, or as the smallest one that repeats no source more often than a limit. The
-weights are then realised within a token budget: each source is dealt in blocks, every block a
-permutation of all its documents, and the last one is cut where the source's quota is used up. By
-default the budget is the smallest one at which every document is used.
+Temperature mixing: a source with token share p gets weight p ** t, normalised. The exponent t >= 0
+is found by bisection (``SECTIONS`` points a round). For a target entropy it is the largest exponent
+whose weights still have it: the entropy falls as t grows, from that of equal weights at 0 through the
+natural one at 1, so the search first doubles t until the entropy is below the target. For a limit
+on repeats it is the smallest exponent in [0, 1] that repeats no source more often. The weights are
+then realised within a token budget: each source is dealt in blocks, every block a permutation of all
+its documents, and the last one is cut where the source's quota is used up. By default the budget is
+the smallest one at which every document is used.
 
 Permutations order documents by md5(doc_id:block:seed), so they can be computed anywhere. Where the
 last block is cut is found from sums per (source, leading digits of the key) and one narrow range of
@@ -14,18 +16,27 @@ joined to the documents is one row per source, a written table that Spark broadc
 
 Tokens are counted as spaces + 1; null and empty texts have none. Defined results: a null source is
 the source ''. Sources without tokens get one block and no weight. Repeated rows count one by one
-and share their place in the order. An empty table gives no rows. Further columns are ignored by the
-plan and kept by ``mixed``.
+and share their place in the order. Documents with equal keys are cut together. Very long texts are
+counted in the JVM and never leave their row. An empty table gives no rows. Further columns, whatever
+their names, are ignored by the plan and kept by ``mixed``.
+
+A target that no exponent meets is an error: an entropy share outside [0, 1], an entropy at or below
+that of equal weights of the largest sources (the limit for large t), a limit on repeats under 1.
+Where all sources with tokens have equal shares, or there is one, every exponent gives the same
+weights, and these are used.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from porelake.llm._shared import materialize, table
 
 SECTIONS, ROUNDS, EPS = 32, 6, 1e-9
+DOUBLINGS = 41  # exponents up to 2 ** 40
 DIGITS = 3  # of the order key: 4096 ranges of a block
 
 
@@ -42,38 +53,63 @@ def token_count() -> Column:
     return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+def _at_exponents(shares: DataFrame, exponents: Column) -> DataFrame:
+    """One row per exponent t of the array: k (its place), entropy of the weights, sources, and how
+    much more often the most repeated source is used than the least repeated one. Powers are taken
+    of p / max(p), so none of the sums vanishes at large t."""
+    at = shares.select("r", F.posexplode(exponents).alias("k", "t")).withColumn("u", F.col("t") * F.ln("r")).withColumn("w", F.exp("u"))
+    sums = at.groupBy("k", "t").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.col("u")).alias("wu"), F.max(F.col("w") / F.col("r")).alias("most"), F.min(F.col("w") / F.col("r")).alias("fewest"), F.count("*").alias("n"))
+    return sums.select("k", "t", (F.ln("z") - F.col("wu") / F.col("z")).alias("entropy"), (F.col("most") / F.col("fewest")).alias("repeats"), "n")
+
+
+def _spread(lo: float, hi: float) -> Column:
+    return F.array(*[F.lit(lo + (hi - lo) * k / SECTIONS) for k in range(SECTIONS + 1)])
+
+
 def _exponent(shares: DataFrame, entropy_share: float | None, max_repeats: float | None) -> float:
-    """shares: (p, tokens) of the sources that have tokens. Both measures fall as t grows."""
-    lo, hi = 0.0, 1.0
-    for _ in range(ROUNDS):
-        t = F.lit(lo) + F.lit(hi - lo) * F.col("k") / F.lit(float(SECTIONS))
-        at = shares.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SECTIONS)))).withColumn("w", F.pow("p", t))
-        sums = at.groupBy("k").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.ln("w")).alias("wl"), F.max(F.col("w") / F.col("p")).alias("most"), F.min(F.col("w") / F.col("p")).alias("fewest"), F.count("*").alias("n"))
-        if entropy_share is not None:
-            good = F.ln("z") - F.col("wl") / F.col("z") >= F.lit(entropy_share) * F.ln(F.col("n").cast("double")) - EPS
-            k = sums.where(good).agg(F.max("k")).first()[0]  # the last point that still has the entropy
-            k = 0 if k is None else k
-            lo, hi = lo + (hi - lo) * k / SECTIONS, lo + (hi - lo) * min(k + 1, SECTIONS) / SECTIONS
-        else:
-            k = sums.where(F.col("most") / F.col("fewest") <= max_repeats + EPS).agg(F.min("k")).first()[0]
+    """shares: (r) p / max(p) of the sources that have tokens."""
+    found = shares.agg(F.count("*").alias("n"), F.min("r").alias("least"), F.count_if(F.col("r") == 1).alias("largest")).first()
+    if entropy_share is None:
+        if max_repeats is None or max_repeats < 1:
+            raise ValueError(f"no weights repeat every source at most {max_repeats} times as often as another")
+        lo, hi = 0.0, 1.0
+        for _ in range(ROUNDS):
+            k = _at_exponents(shares, _spread(lo, hi)).where(F.col("repeats") <= max_repeats + EPS).agg(F.min("k")).first()[0]
             k = SECTIONS if k is None else k  # the first point within the limit
             lo, hi = lo + (hi - lo) * max(k - 1, 0) / SECTIONS, lo + (hi - lo) * k / SECTIONS
-    return lo if entropy_share is not None else hi
+        return hi
+    if not 0 <= entropy_share <= 1:
+        raise ValueError(f"an entropy share of {entropy_share} is outside [0, 1]")
+    if found.least == 1:
+        return 1.0
+    target = entropy_share * math.log(found.n)
+    if target <= math.log(found.largest) + EPS:
+        raise ValueError(f"the {found.largest} largest of {found.n} sources alone have an entropy share of {math.log(found.largest) / math.log(found.n):.6f}; {entropy_share} is out of reach")
+    doubled = F.array(*[F.lit(float(2**k)) for k in range(DOUBLINGS)])
+    hi = _at_exponents(shares, doubled).where(F.col("entropy") < target - EPS).agg(F.min("t")).first()[0]
+    if hi is None:
+        raise ValueError(f"no exponent up to {2.0 ** (DOUBLINGS - 1):.0f} has an entropy share of {entropy_share}: the largest sources are too alike")
+    lo = 0.0 if hi == 1 else hi / 2
+    for _ in range(ROUNDS):
+        k = _at_exponents(shares, _spread(lo, hi)).where(F.col("entropy") >= target - EPS).agg(F.max("k")).first()[0]
+        k = 0 if k is None else k  # the last point that still has the entropy
+        lo, hi = lo + (hi - lo) * k / SECTIONS, lo + (hi - lo) * min(k + 1, SECTIONS) / SECTIONS
+    return lo
 
 
 def mixing_plan(base: DataFrame, entropy_share: float | None = 0.9, max_repeats: float | None = None, budget: float | None = None) -> DataFrame:
     """(src, tokens, weight, blocks, rest): full blocks of each source and the tokens of its last one.
 
     ``entropy_share`` is the target entropy as a share of that of equal weights; give None and
-    ``max_repeats`` to bound how often the most repeated source is used for each use of the least
-    repeated one. ``budget`` is in tokens."""
+    ``max_repeats`` (1 or more) to bound how often the most repeated source is used for each use of
+    the least repeated one. ``budget`` is in tokens."""
     sources = materialize(base.groupBy("src").agg(F.sum("tokens").alias("tokens")), "mixing-sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
         return materialize(sources.select("src", "tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("blocks"), F.lit(0.0).alias("rest")), "mixing-plan")
-    shares = sources.where("tokens > 0").withColumn("p", F.col("tokens") / F.lit(float(total)))
-    t = _exponent(shares, entropy_share, max_repeats)
-    power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(float(total)), F.lit(t))).otherwise(0.0)
+    largest = float(sources.agg(F.max("tokens")).first()[0])
+    t = _exponent(sources.where("tokens > 0").select((F.col("tokens") / F.lit(largest)).alias("r")), entropy_share, max_repeats)
+    power = F.when(F.col("tokens") > 0, F.exp(F.lit(t) * F.ln(F.col("tokens") / F.lit(largest)))).otherwise(0.0)
     z = sources.agg(F.sum(power)).first()[0]
     weighted = sources.withColumn("weight", power / F.lit(z))
     if budget is None:
@@ -98,11 +134,22 @@ def with_cuts(base: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
     return materialize(plan.join(cuts, "src", "left"), "mixing-cuts")
 
 
-def _blocks_of(docs: DataFrame, cuts: DataFrame, seed: int) -> DataFrame:
-    """docs (with src) joined to their source's row, one row per block that holds the document."""
-    partial = F.col("cut").isNotNull() & (order_key(F.col("blocks"), seed) <= F.col("cut"))
-    uses = F.col("blocks") + F.when(partial, 1).otherwise(0)
-    return docs.join(cuts, "src").withColumn("block", F.explode(F.when(uses > 0, F.sequence(F.lit(0).cast("long"), uses - 1)).otherwise(F.array().cast("array<bigint>"))))
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names that no column of docs has, whatever the case."""
+    mark = "_mix"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [f"{mark}_{n}" for n in names]
+
+
+def _blocks_of(docs: DataFrame, cuts: DataFrame, seed: int, src: str, block: str) -> DataFrame:
+    """docs (with their source in ``src``) joined to the source's row; ``block``: one row per block
+    that holds the document."""
+    blocks, cut = _fresh(docs, "blocks", "cut")
+    of_source = cuts.select(F.col("src").alias(src), F.col("blocks").alias(blocks), F.col("cut").alias(cut))
+    partial = F.col(cut).isNotNull() & (order_key(F.col(blocks), seed) <= F.col(cut))
+    uses = F.col(blocks) + F.when(partial, 1).otherwise(0)
+    return docs.join(of_source, src).withColumn(block, F.explode(F.when(uses > 0, F.sequence(F.lit(0).cast("long"), uses - 1)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def _base(docs: DataFrame) -> DataFrame:
@@ -114,7 +161,7 @@ def mixture(docs: DataFrame, seed: int = 7, **target) -> DataFrame:
     in the permutation that is its source's block; dealing blocks in order keeps the weights."""
     base = _base(docs)
     cuts = with_cuts(base, mixing_plan(base, **target), seed)
-    rows = materialize(_blocks_of(base.withColumnRenamed("tokens", "n_tokens"), cuts, seed).withColumn("key", order_key(F.col("block"), seed)).select("doc_id", "src", "block", "n_tokens", "key", F.substring("key", 1, DIGITS).alias("range")), "mixing-rows")
+    rows = materialize(_blocks_of(base.withColumnRenamed("tokens", "n_tokens"), cuts, seed, "src", "block").withColumn("key", order_key(F.col("block"), seed)).select("doc_id", "src", "block", "n_tokens", "key", F.substring("key", 1, DIGITS).alias("range")), "mixing-rows")
     sizes = rows.groupBy("src", "block", "range").agg(F.count("*").alias("n"))
     first = materialize(sizes.withColumn("first", F.sum("n").over(Window.partitionBy("src", "block").orderBy("range")) - F.col("n")).drop("n"), "mixing-first")
     rank = F.rank().over(Window.partitionBy("src", "block", "range").orderBy("key"))
@@ -125,16 +172,18 @@ def mixed(docs: DataFrame, seed: int = 7, **target) -> DataFrame:
     """The documents, all columns, as often as the mixture uses them; only one row per source is
     joined, texts are not shuffled."""
     base = _base(docs)
-    cuts = with_cuts(base, mixing_plan(base, **target), seed).select("src", "blocks", "cut")
-    names = docs.columns
-    return _blocks_of(docs.withColumn("src", source_key()), cuts, seed).select(*names)
+    cuts = with_cuts(base, mixing_plan(base, **target), seed)
+    src, block = _fresh(docs, "src", "block")
+    return _blocks_of(docs.withColumn(src, source_key()), cuts, seed, src, block).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
-ORACLE_SQL = """
+def mixing_sql(entropy_share: float) -> str:
+    """The mixture in SQL, for a target entropy that some exponent meets."""
+    return f"""
 WITH RECURSIVE base AS (
   SELECT doc_id, coalesce(source, '') AS src,
          CASE WHEN coalesce(text, '') = '' THEN 0 ELSE length(text) - length(replace(text, ' ', '')) + 1 END AS tokens
@@ -142,22 +191,29 @@ WITH RECURSIVE base AS (
 ), sources AS (
   SELECT src, CAST(sum(tokens) AS BIGINT) AS tokens FROM base GROUP BY src
 ), shares AS (
-  SELECT src, tokens, tokens / (SELECT sum(tokens) FROM sources)::DOUBLE AS p FROM sources WHERE tokens > 0
+  SELECT src, tokens, tokens / (SELECT max(tokens) FROM sources)::DOUBLE AS r FROM sources WHERE tokens > 0
+), target AS (
+  SELECT {entropy_share}::DOUBLE * ln(count(*)::DOUBLE) AS h, min(r) = 1 AS alike FROM shares
+), doubled AS (
+  SELECT t, ln(sum(exp(t * ln(r)))) - sum(exp(t * ln(r)) * t * ln(r)) / sum(exp(t * ln(r))) AS entropy
+  FROM shares, (SELECT pow(2.0::DOUBLE, k) AS t FROM range({DOUBLINGS}) AS r(k)) GROUP BY t
+), bracket AS (
+  SELECT CASE WHEN min(t) = 1 THEN 0 ELSE min(t) / 2 END AS lo, min(t) AS hi FROM doubled WHERE entropy < (SELECT h FROM target) - 1e-9
 ), bisect AS (
-  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  SELECT 0 AS i, lo::DOUBLE AS lo, hi::DOUBLE AS hi FROM bracket
   UNION ALL
-  SELECT i + 1, lo + (hi - lo) * k / 32, lo + (hi - lo) * least(k + 1, 32) / 32
+  SELECT i + 1, lo + (hi - lo) * k / {SECTIONS}, lo + (hi - lo) * least(k + 1, {SECTIONS}) / {SECTIONS}
   FROM (
-    SELECT i, lo, hi, coalesce(max(k) FILTER (ln(z) - wl / z >= 0.9::DOUBLE * ln(n::DOUBLE) - 1e-9), 0) AS k
+    SELECT i, lo, hi, coalesce(max(k) FILTER (ln(z) - wu / z >= (SELECT h FROM target) - 1e-9), 0) AS k
     FROM (
-      SELECT i, lo, hi, k, sum(w) AS z, sum(w * ln(w)) AS wl, count(*) AS n
-      FROM (SELECT i, lo, hi, k, pow(p, lo + (hi - lo) * k / 32.0::DOUBLE) AS w
-            FROM bisect, range(33) AS r(k), shares WHERE i < 6)
+      SELECT i, lo, hi, k, sum(exp(u)) AS z, sum(exp(u) * u) AS wu
+      FROM (SELECT i, lo, hi, k, (lo + (hi - lo) * k / {SECTIONS}.0::DOUBLE) * ln(r) AS u
+            FROM bisect, range({SECTIONS + 1}) AS s(k), shares WHERE i < {ROUNDS})
       GROUP BY i, lo, hi, k)
     GROUP BY i, lo, hi)
 ), weights AS (
-  SELECT src, tokens, pow(p, t) / sum(pow(p, t)) OVER () AS weight
-  FROM shares, (SELECT max(lo) AS t FROM bisect WHERE i = 6)
+  SELECT src, tokens, exp(t * ln(r)) / sum(exp(t * ln(r))) OVER () AS weight
+  FROM shares, (SELECT CASE WHEN (SELECT alike FROM target) THEN 1 ELSE max(lo) END AS t FROM bisect WHERE i = {ROUNDS})
 ), plan AS (
   SELECT src, tokens, weight * b AS quota, CAST(floor(weight * b / tokens + 1e-9) AS BIGINT) AS blocks
   FROM weights, (SELECT max(tokens / weight) AS b FROM weights)
@@ -175,3 +231,6 @@ SELECT doc_id, src AS source, block,
        CAST(n AS BIGINT) AS n_tokens
 FROM uses JOIN (SELECT doc_id, src, tokens AS n FROM base) USING (doc_id, src)
 """
+
+
+ORACLE_SQL = mixing_sql(0.9)

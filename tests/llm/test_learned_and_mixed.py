@@ -83,27 +83,71 @@ def test_toxicity_without_classes(toxic_corpus):
     assert toxicity.score(docs.where("doc_id < 0"), model).count() == 0
 
 
-def test_mixing_uneven_sources(make_docs, duck, words):
+@pytest.fixture(scope="module")
+def uneven(make_docs, words):
     rnd = random.Random(9)
     rows = []
     for i in range(900):
         source = "hot" if i % 2 else rnd.choice(["a", "b", "c", "d", None])
         rows.append((i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 60))), source))
     rows += [(2000, None, "void"), (2001, "", "void")]
-    docs = make_docs(rows)
-    found = source_mixing.mixture(docs)
+    return rows, make_docs(rows)
+
+
+@pytest.mark.parametrize("share", [0.9, 0.3, 0.97, 0.05])
+def test_mixing_uneven_sources(uneven, duck, share):
+    rows, docs = uneven
+    found = source_mixing.mixture(docs, entropy_share=share)
     duck.register("documents_mix", docs.toPandas())
-    sql = source_mixing.ORACLE_SQL.replace("FROM documents", "FROM documents_mix")
-    want = duck.execute(sql)
+    want = duck.execute(source_mixing.mixing_sql(share).replace("FROM documents", "FROM documents_mix"))
     names = [d[0] for d in want.description]
     assert rows_of(found.columns, found.collect()) == rows_of(names, want.fetchall())
     uses = collections.Counter(r.doc_id for r in found.collect())
     assert set(uses) == {r[0] for r in rows}  # the default budget uses every document
-    again = collections.Counter(r.doc_id for r in source_mixing.mixed(docs).collect())
+    again = collections.Counter(r.doc_id for r in source_mixing.mixed(docs, entropy_share=share).collect())
     assert again == uses and source_mixing.mixed(docs).columns == docs.columns
     assert source_mixing.mixture(docs.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.999, 0.9, 0.5, 0.3, 0.01])
+def test_mixing_meets_the_entropy(make_docs, share):
+    """Also below the natural entropy of 60:40, 0.971 of the largest."""
+    docs = make_docs([(i, "a b c d", "big" if i < 60 else "small") for i in range(100)])
+    w = [r.weight for r in source_mixing.mixing_plan(source_mixing._base(docs), entropy_share=share).collect()]
+    assert sum(w) == pytest.approx(1)
+    assert -sum(x * np.log(x) for x in w) / np.log(2) == pytest.approx(share, abs=1e-6)
+
+
+def test_mixing_targets_out_of_reach(make_docs):
+    three = source_mixing._base(make_docs([(i, "a b c d", "xyy"[i % 3] if i < 90 else "z") for i in range(92)]))
+    alike = source_mixing._base(make_docs([(i, "a b c d", "xy"[i % 2]) for i in range(10)]))
+    two_large = source_mixing._base(make_docs([(i, "a b", "xyxyz"[i % 5]) for i in range(50)]))
+    for base, target in ((three, {"entropy_share": 1.2}), (three, {"entropy_share": -0.1}), (three, {"entropy_share": None, "max_repeats": 0.5}), (two_large, {"entropy_share": 0.5}), (three, {"entropy_share": None})):
+        with pytest.raises(ValueError):
+            source_mixing.mixing_plan(base, **target)
+    assert [r.weight for r in source_mixing.mixing_plan(alike, entropy_share=0.3).collect()] == [0.5, 0.5]
+
+
+def test_mixing_keeps_clashing_columns(uneven):
+    rows, docs = uneven
+    names = ["src", "cut", "blocks", "block", "rest", "_mix_src", "KEY", "tokens", "a.b"]
+    more = docs
+    for n in names:
+        more = more.withColumn(n, F.concat(F.lit(f"{n}:"), F.col("doc_id").cast("string")))
+    found = source_mixing.mixed(more)
+    assert found.columns == more.columns
+    got = found.collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(r.doc_id for r in source_mixing.mixed(docs).collect())
+    assert all(r[n] == f"{n}:{r.doc_id}" for r in got for n in names)
+    assert sorted(map(tuple, source_mixing.mixture(more).collect())) == sorted(map(tuple, source_mixing.mixture(docs).collect()))
+
+
+def test_mixing_repeated_rows_count_one_by_one(make_docs):
+    docs = make_docs([(1, "a b c", "x"), (1, "a b c", "x"), (2, "a b c", "x"), (None, "a b", "x"), (3, "a", "y")])
+    found = source_mixing.mixture(docs, entropy_share=None, max_repeats=1.0)
+    assert collections.Counter(r.doc_id for r in found.collect()) == {1: 2, 2: 1, None: 1, 3: 1}
+
+
 def test_mixing_repeat_limit_and_budget(make_docs):
     docs = make_docs([(i, "a b c d", "big" if i < 80 else "small") for i in range(100)])
     base = source_mixing._base(docs)
