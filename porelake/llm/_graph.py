@@ -27,8 +27,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         edges = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        heads = edges.select(b.alias("h")).distinct()
+        if edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and edges.join(heads, a == F.col("h"), "left_semi").isEmpty():
+            return _named(edges)  # stars already: each node hangs on one root, and no root on another
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum((F.xxhash64("b", "a") % 1000003).cast("long"))).first()
         if now == mark:
-            return edges.select(a.alias("node"), b.alias("root")).union(edges.select(b.alias("node"), b.alias("root")).distinct())
+            return _named(edges)
         mark = now
     raise RuntimeError("components did not converge")
+
+
+def _named(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -15,7 +15,9 @@ Equal fingerprints are one row before anything is compared, so exact copies cost
 
 Defined results: texts without words, nulls among them, have fingerprint zero and are linked like
 any other. Repeated rows stay rows and share a class. A null doc_id is kept but never names a class
-unless all ids of the class are null. Further columns are ignored, and kept by ``one_per_class``.
+unless all ids of the class are null. Very long texts: the hashes of their shingles are held, 8 bytes
+each, and bits are counted in chunks. An empty table gives no rows. Further columns are ignored, and
+kept by ``one_per_class``.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from porelake.llm._graph import components
 from porelake.llm._shared import id_and_text, materialize, table
 
 BITS = 64
+ROWS_A_TASK = 1 << 20  # filed fingerprints; more of them make more tasks
 
 
 def shingle_hashes(text: str, words_in: int = 3, seed: int = 42) -> list[int]:
@@ -211,7 +214,8 @@ def links(fps: DataFrame, radius: int = 2, most: int = 2048) -> DataFrame:
                 yield from compare(rows.slice(*at))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = _buckets(fps, radius, most)
+    buckets = materialize(_buckets(fps, radius, most), "simhash-buckets")
+    n = max(n, -(-buckets.count() // ROWS_A_TASK))
     return buckets.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
@@ -236,12 +240,13 @@ def classes(docs: DataFrame, radius: int = 2, words_in: int = 3, seed: int = 42)
     return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_class(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The documents, all columns, that have the smallest doc_id of their class. Rows that repeat
-    such a document's doc_id are all kept: they cannot be told apart by id."""
-    found = classes(docs, radius)
-    gone = materialize(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["gone_id"], "left_anti")
+def one_per_class(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, with one row of each class of near-duplicates, for a similarity of
+    shingle sets instead of a radius. See ``shingle_dedup``, which completes the comparison of
+    fingerprints: a radius that holds all pairs at 0.8 is too wide for pigeonhole blocks."""
+    from porelake.llm import shingle_dedup
+
+    return shingle_dedup.one_per_class(docs, words_in, similarity)
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from porelake.llm import shingle_dedup
+from porelake.llm import shingle_dedup, simhash_dedup
 from tests.llm.test_exact import WORD
 
 
@@ -71,7 +73,8 @@ def test_open_buckets_are_settled(spark, edited, rounds):
     texts = [t for t in edited if t][:150]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     keyed = spark.createDataFrame([(i, len(shingle_dedup.shingle_set(t, 5)), 1) for i, t in enumerate(texts)], "id long, n int, bucket long")
-    root = {r.id: r.root for r in shingle_dedup.roots_of(keyed, df, 5, 0.8, rounds).collect()}
+    fps = spark.createDataFrame([(i, shingle_dedup.fingerprint(shingle_dedup.shingle_set(t, 5)).tolist()) for i, t in enumerate(texts)], "id long, fp array<long>")
+    root = {r.id: r.root for r in shingle_dedup.roots_of(keyed, fps, df, 5, 0.8, rounds).collect()}
     assert [root.get(i, i) for i in range(len(texts))] == brute_classes(texts)[0]
 
 
@@ -79,3 +82,23 @@ def test_bands_reach_the_recall(edited):
     keys = [set(shingle_dedup.band_keys(s, 24, 5).tolist()) if len(s := shingle_dedup.shingle_set(t, 5)) else {0} for t in edited]
     _, pairs = brute_classes(edited)
     assert sum(bool(keys[i] & keys[j]) for i, j in pairs) >= 0.999 * len(pairs)
+
+
+def test_radius_holds_all_pairs(edited):
+    """Pairs at the similarity are well inside the radius, texts of few words too."""
+    short = [" ".join(f"w{k}" for k in range(n)) for n in range(8, 30)]
+    texts = [*edited, *short]
+    fps = [shingle_dedup.fingerprint(shingle_dedup.shingle_set(t, 5)).view(np.uint64) for t in texts]
+    _, pairs = brute_classes(texts)
+    assert max(int(np.bitwise_count(fps[i] ^ fps[j]).sum()) for i, j in pairs) <= shingle_dedup.RADIUS - 20
+
+
+def test_rows_not_ids_are_kept(spark, make_docs, words):
+    """A repeated doc_id with different texts: the clean one of its rows stays; extra columns too."""
+    rnd = random.Random(3)
+    a, b = (" ".join(rnd.choice(words) for _ in range(60)) for _ in range(2))
+    docs = make_docs([(1, a), (2, a), (2, b), (2, b), (None, b + " x"), (None, "alone and without an id")])
+    docs = docs.withColumn("gone", F.lit("g")).withColumn("id", F.lit("i"))
+    found = simhash_dedup.one_per_class(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(repr, ((r.doc_id, r.text, r.gone, r.id) for r in found.collect()))) == sorted(map(repr, [(1, a, "g", "i"), (2, b, "g", "i"), (None, "alone and without an id", "g", "i")]))
