@@ -6,8 +6,12 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,37 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows and bytes of text; a longer text is a part by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most_bytes, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+class Recent(dict):
+    """Computes what is missing. At ``limit`` entries they become the old generation, from which
+    those still in use come back one by one; the generation before is forgotten. Strings over
+    ``longest`` are computed anew each time, so that the entries are bounded in bytes too."""
+
+    def __init__(self, make, limit: int, longest: int = 64):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+
+    def __missing__(self, key):
+        if isinstance(key, (str, bytes)) and len(key) > self.longest:
+            return self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key, self)
+        value = self[key] = self.make(key) if found is self else found
+        return value
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

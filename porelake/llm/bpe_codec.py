@@ -7,8 +7,10 @@ token of the prefix before it. Following the stored last tokens back from the en
 
 Defined results: a null text counts as empty; an empty text has no ids, and decodes to ''. The
 string of a special token inside a text becomes its id, as the tokenizers library does by default.
-Repeated rows are encoded one by one and stay as they are; further columns are ignored. Very long
-pre-tokens cost time in proportion to their length. Memory per worker is bounded by ``cache_size``.
+Repeated rows are encoded one by one and stay as they are; an empty table gives no rows; further
+columns are ignored. Very long texts and pre-tokens cost time and memory in proportion to their
+length. What a worker keeps between texts is bounded: two generations of ``cache_size`` entries a
+cache, none of them longer than 64 characters.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import id_and_text, table
+from porelake.llm._shared import Recent, id_and_text, table
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 DECODE_SCHEMA = "doc_id long, text string"
@@ -43,27 +45,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + n): b for n, b in enumerate(hidden)}
 
 
-class PieceCache(dict):
-    """Computes what is missing. At ``limit`` entries they become the old generation, from which
-    those still in use come back one by one; the generation before is forgotten."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(key, self)
-        value = self[key] = self.make(key) if found is self else found
-        return value
-
-
 class ByteBpe:
     """Exact BPE encoder and decoder for one vocabulary file (tokenizers JSON, byte level)."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 100_000):
         spec = json.loads(open(path, encoding="utf-8").read())
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
@@ -94,9 +79,9 @@ class ByteBpe:
             if s not in self.specials and (len(s) == 1 or self.rank[i] >= 0):
                 self.automaton.add_word(self.bytes_of[i].decode("latin-1"), (i, len(self.bytes_of[i])))
         self.automaton.make_automaton()
-        self.fits = PieceCache(self._fits, cache_size)
-        self.pretokens = PieceCache(self._encode_pretoken, cache_size // 2)
-        self.chunks = PieceCache(self._encode_chunk, cache_size)
+        self.fits = Recent(self._fits, cache_size)
+        self.pretokens = Recent(self._encode_pretoken, cache_size // 2)
+        self.chunks = Recent(self._encode_chunk, cache_size)
         self.split = regex.compile(SPLIT)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
 

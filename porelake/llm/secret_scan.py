@@ -7,8 +7,11 @@ the regex verifies the candidates only. A rule whose regex has no mandatory trig
 digits) scans every document. Segments never leave their task, so nothing is shuffled.
 
 Defined results: a null text counts as empty; offsets are code points, ends exclusive; a span is
-the whole match. Repeated rows are scanned one by one; further columns are ignored. Base rules
-(assign, access, hex) come first among kinds; the rules after them only add spans.
+the whole match; spans that start together stand in the order of their rules. Repeated rows are
+scanned one by one; an empty table gives no rows; further columns are ignored. Base rules (assign,
+access, hex) come first among kinds; the rules after them only add spans. A segment ends at 4 MB of
+text, so a very long text is one by itself; no rule scans a run of characters more than a few times,
+so its time is in proportion to its length.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 from re import _constants as sre
 from re import _parser as sre_parser
 from typing import NamedTuple
@@ -24,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from porelake.llm._shared import id_and_text, table
+from porelake.llm._shared import id_and_text, slices, table
 
 SPAN_SCHEMA = "doc_id long, kinds array<string>, starts array<int>, ends array<int>"
 DIGEST_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -48,7 +52,7 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_(?:live|test)_[0-9A-Za-z]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
@@ -158,17 +162,19 @@ class Scanner:
         for n, t in enumerate(self.trigrams):
             self.slot_of[int.from_bytes(t.encode(), "big")] = n + 1
 
-    def postings(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """The segment's inverted index: trigram -> ascending numbers of the documents that hold it."""
+    def postings(self, texts: list[str], step: int = 1 << 20) -> dict[str, np.ndarray]:
+        """The segment's inverted index: trigram -> ascending numbers of the documents that hold it.
+        Trigrams are looked up ``step`` bytes at a time."""
         raw = [t.encode("utf-8", "replace").lower() for t in texts]
-        data = np.frombuffer(b"\n".join(raw), np.uint8).astype(np.uint32)
-        if len(data) < 3:
-            return {}
-        slots = self.slot_of[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
-        at = np.flatnonzero(slots)
         ends = np.cumsum([len(r) + 1 for r in raw])
-        keys = np.unique(slots[at].astype(np.int64) * len(texts) + np.searchsorted(ends, at, "right"))
-        slot, doc = np.divmod(keys, len(texts))
+        whole = np.frombuffer(b"\n".join(raw), np.uint8)
+        found = [np.zeros(0, np.int64)]
+        for start in range(0, len(whole) - 2, step):
+            data = whole[start : start + step + 2].astype(np.uint32)
+            slots = self.slot_of[(data[:-2] << 16) | (data[1:-1] << 8) | data[2:]]
+            at = np.flatnonzero(slots)
+            found.append(np.unique(slots[at].astype(np.int64) * len(texts) + np.searchsorted(ends, start + at, "right")))
+        slot, doc = np.divmod(np.unique(np.concatenate(found)), max(1, len(texts)))
         cuts = np.searchsorted(slot, np.arange(1, len(self.trigrams) + 2))
         return {t: doc[cuts[n] : cuts[n + 1]] for n, t in enumerate(self.trigrams)}
 
@@ -194,18 +200,12 @@ class Scanner:
         return found
 
 
-def _segments(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, size):
-            yield b.slice(at, size)
-
-
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: int = 1000) -> DataFrame:
     """(doc_id, kinds, starts, ends): the spans of every document, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for b in _segments(batches, segment):
+        for b in chain.from_iterable(slices(x, segment) for x in batches):
             spans = scanner.scan([t or "" for t in b.column("text").to_pylist()])
             yield pa.record_batch({
                 "doc_id": b.column("doc_id"),
@@ -223,7 +223,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for b in _segments(batches, segment):
+        for b in chain.from_iterable(slices(x, segment) for x in batches):
             texts, names = b.column("text").to_pylist(), b.schema.names
             sizes = b.column("n_chars").to_pylist() if "n_chars" in names else None
             for d, spans in enumerate(scanner.scan([t or "" for t in texts])):
@@ -248,7 +248,7 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kinds = [r.kind for r in rules]
-        for b in _segments(batches, segment):
+        for b in chain.from_iterable(slices(x, segment) for x in batches):
             spans = scanner.scan([t or "" for t in b.column("text").to_pylist()])
             said = lambda s, least: ",".join(f"{kinds[k]}:{a}:{e}" for a, k, e in s if k < least)
             yield pa.record_batch({

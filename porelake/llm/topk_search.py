@@ -7,8 +7,8 @@ of a query then merge in a tree: lists of ``fan`` neighbouring shards at a time
 
 Defined results: components become floor(1024 * x), x as double. Null vectors, and those holding
 null or non-finite components, take no part. Candidates are all rows whose vec_id differs from the
-query's and whose vector has the same length. Repeated rows are candidates one by one; a repeated
-query row gets a list of its own. Ties go to the smaller vec_id. Products are exact: in doubles as
+query's and whose vector has the same length. Rows without vec_id take no part. Repeated rows are
+candidates one by one; a repeated query row gets a list of its own. An empty table gives no rows. Ties go to the smaller vec_id. Products are exact: in doubles as
 long as no sum can reach 2**53, else in 64-bit integers (a score must fit a long). Empty vectors
 score 0. Further columns are ignored.
 """
@@ -97,9 +97,12 @@ def _search_tile(shard: pa.Table, queries: pa.Table, k: int, block: int = 256, t
     return pa.table({"query_row": pa.array(parts[0], pa.int64()), "query_id": pa.array(parts[1], pa.int64()), "shard": pa.array(np.full(n, number, np.int64)), "vec_id": pa.array(parts[2], pa.int64()), "score": pa.array(parts[3], pa.int64())})
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: int = 16384, query_group: int = 65536, fan: int = 8) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best candidates of each query row."""
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, tile_rows: int = 16384, query_group: int = 65536, fan: int = 8, most_cells: int = 1 << 22) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best candidates of each query row. Wide vectors make
+    smaller shards and groups of queries: neither holds more than ``most_cells`` components."""
     rows = integer_vectors(vectors)
+    width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    tile_rows, query_group = (max(1, min(n, most_cells // width)) for n in (tile_rows, query_group))
     queries = materialize(rows.where(is_query).withColumn("query_row", F.monotonically_increasing_id()), "topk-queries")
     counts = rows.agg(F.count("*").alias("n")).first().n, queries.count()
     shards, groups = (max(1, -(-n // size)) for n, size in zip(counts, (tile_rows, query_group)))

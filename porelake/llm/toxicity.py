@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import id_and_text, materialize, table
+from porelake.llm._shared import Recent, id_and_text, materialize, table
 
 SCORE_SCHEMA = "doc_id long, score double, n_toxic long, starts array<int>, ends array<int>"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,23 +51,9 @@ def features(token: str) -> list[str]:
     return out
 
 
-class Emissions(dict):
-    """Token -> weight of the toxic state; two generations of ``limit`` tokens are kept."""
-
-    def __init__(self, weights: dict[str, float], bias: float, limit: int = 300_000):
-        super().__init__()
-        self.weights, self.bias, self.limit, self.old = weights, bias, limit, {}
-
-    def __missing__(self, token: str) -> float:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(token)
-        if found is None:
-            get = self.weights.get
-            found = self.bias + sum(get(f, 0.0) for f in set(features(token)))
-        self[token] = found
-        return found
+def emissions(weights: dict[str, float], bias: float, limit: int = 200_000) -> Recent:
+    """Token -> weight of the toxic state."""
+    return Recent(lambda token: bias + sum(weights.get(f, 0.0) for f in set(features(token))), limit)
 
 
 def marginals(emit: np.ndarray, lens: np.ndarray, chain: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +244,7 @@ def score(docs: DataFrame, model: Model, group: int = 2000) -> DataFrame:
     that are rather toxic than not. One pass, no shuffle; the model is bounded by most_features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit_of = Emissions(model.weights, model.bias)
+        emit_of = emissions(model.weights, model.bias)
         for whole in batches:
             for at in range(0, whole.num_rows, group):
                 b = whole.slice(at, group)

@@ -25,30 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from porelake.llm import _blocks as B
-from porelake.llm._shared import table
+from porelake.llm._shared import Recent, table
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash; two generations of ``limit`` words are kept."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit, self.old = limit, {}
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        found = self.old.get(word)
-        if found is None:
-            found = xxhash.xxh3_64_intdigest(word)
-        self[word] = found
-        return found
-
-
-_hashes = WordHashes()
+_hashes = Recent(xxhash.xxh3_64_intdigest, 200_000)  # of words
 
 
 def _windows(texts: list[bytes]) -> tuple[list[list[bytes]], B.Windows]:

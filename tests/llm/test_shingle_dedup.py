@@ -73,7 +73,7 @@ def test_open_buckets_are_settled(spark, edited, rounds):
     texts = [t for t in edited if t][:150]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     keyed = spark.createDataFrame([(i, len(shingle_dedup.shingle_set(t, 5)), 1) for i, t in enumerate(texts)], "id long, n int, bucket long")
-    fps = spark.createDataFrame([(i, shingle_dedup.fingerprint(shingle_dedup.shingle_set(t, 5)).tolist()) for i, t in enumerate(texts)], "id long, fp array<long>")
+    fps = spark.createDataFrame([(i, len(shingle_dedup.shingle_set(t, 5)), shingle_dedup.fingerprint(shingle_dedup.shingle_set(t, 5)).tolist()) for i, t in enumerate(texts)], "id long, n int, fp array<long>")
     root = {r.id: r.root for r in shingle_dedup.roots_of(keyed, fps, df, 5, 0.8, rounds).collect()}
     assert [root.get(i, i) for i in range(len(texts))] == brute_classes(texts)[0]
 
@@ -88,9 +88,13 @@ def test_radius_holds_all_pairs(edited):
     """Pairs at the similarity are well inside the radius, texts of few words too."""
     short = [" ".join(f"w{k}" for k in range(n)) for n in range(8, 30)]
     texts = [*edited, *short]
-    fps = [shingle_dedup.fingerprint(shingle_dedup.shingle_set(t, 5)).view(np.uint64) for t in texts]
+    sets = [shingle_dedup.shingle_set(t, 5) for t in texts]
+    fps = [shingle_dedup.fingerprint(s).view(np.uint64) for s in sets]
     _, pairs = brute_classes(texts)
-    assert max(int(np.bitwise_count(fps[i] ^ fps[j]).sum()) for i, j in pairs) <= shingle_dedup.RADIUS - 20
+    off = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())
+    many = {(i, j) for i, j in pairs if min(len(sets[i]), len(sets[j])) >= shingle_dedup.MANY}
+    assert max(off(i, j) for i, j in many) <= shingle_dedup.NARROW - 15
+    assert max(off(i, j) for i, j in pairs - many) <= shingle_dedup.RADIUS - 20
 
 
 def test_rows_not_ids_are_kept(spark, make_docs, words):
