@@ -2,10 +2,16 @@
 
 The labels mark whole documents. Token labels come from them by weak supervision: in a toxic
 document of the fitting sample those tokens count as toxic that carry strong evidence, a word or word
-beginning far more frequent in toxic documents than in others. A two-state chain (clean, toxic) is
-then fitted to the labelled tokens; its gradient is summed over Spark tasks. Scoring runs forward
-and backward over every whole document; the marginals give the offending offsets, and their sum and
-maximum, calibrated by a logistic regression on the sample, give the document's score.
+beginning far more frequent in toxic documents than in others, and so does a token between two such
+ones. A two-state chain (clean, toxic) is then fitted to the labelled tokens; its gradient is summed
+over Spark tasks. The chain weighs each token with its neighbours, so it also tags the plain words
+inside a span, which a list of words can't. Scoring runs forward and backward over every whole
+document; the marginals give the offending offsets, and their sum and maximum, calibrated by a
+logistic regression on the sample, give the document's score.
+
+Features of a token are its words and their beginnings of 3 to 6 letters, which stand for inflected
+forms. A feature is kept if at least ``least`` documents of the sample have it (1 in 100 toxic ones,
+3 at least) and its log odds are beyond 1 either way; nothing else bounds their number.
 
 The fitting sample is bounded: ``fit_toxic`` toxic and ``fit_clean`` other labelled documents, those
 with the smallest hashes of doc_id. Everything else covers all documents. Only words are read:
@@ -13,8 +19,10 @@ labels, lang, source and doc_id never enter a score.
 
 Defined results: a null or empty text has no tokens and the score of a text without evidence. If the
 training rows lack one of the two classes, every score is the share of toxic ones among them (0
-without any). A label repeated for a doc_id counts once, as toxic if any says so; null labels are
-ignored. Repeated rows are scored one by one; further columns are ignored.
+without any), empty tables included. A label repeated for a doc_id counts once, as toxic if any says
+so; null labels are ignored; of equal texts in the sample one counts. Rows with a null doc_id are
+scored, never fitted. Repeated rows are scored one by one; further columns are ignored. A very long
+text is scored with the texts that fit beside it in 4 MB, and costs some 100 bytes a token.
 """
 
 from __future__ import annotations
@@ -28,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import Recent, id_and_text, materialize, table
+from porelake.llm._shared import Recent, id_and_text, materialize, slices, table
 
 SCORE_SCHEMA = "doc_id long, score double, n_toxic long, starts array<int>, ends array<int>"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -56,44 +64,86 @@ def emissions(weights: dict[str, float], bias: float, limit: int = 200_000) -> R
     return Recent(lambda token: bias + sum(weights.get(f, 0.0) for f in set(features(token))), limit)
 
 
-def marginals(emit: np.ndarray, lens: np.ndarray, chain: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """P(toxic) of every token given all tokens, and given those up to it.
-
-    ``emit`` holds the sequences one after another. All sequences advance together, the longest
-    first, so the arrays shrink as sequences end. With two states the forward and backward messages
-    are odds, and each step is one fraction."""
-    out = np.zeros(len(emit))
-    if not len(emit):
-        return out, out
-    ct, tc, tt = np.exp(chain)
+def _time_major(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Layout in which all sequences advance together, the longest first: their order, how many are
+    left at each step, where each step begins, and the place of every token."""
     order = np.argsort(-lens, kind="stable")
-    sorted_lens = lens[order]
-    longest = int(sorted_lens[0])
-    active = np.searchsorted(-sorted_lens, -np.arange(longest), "left")  # sequences longer than t
+    active = np.searchsorted(-lens[order], -np.arange(int(lens[order[0]])), "left")
     first = np.concatenate([[0], np.cumsum(active)])
     rank = np.empty(len(lens), np.int64)
     rank[order] = np.arange(len(lens))
-    starts = np.cumsum(lens) - lens
-    step = np.arange(len(emit)) - np.repeat(starts, lens)
-    place = first[step] + np.repeat(rank, lens)  # time-major position of each token
+    step = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    return order, active, first, first[step] + np.repeat(rank, lens)
+
+
+def _transfer(e: np.ndarray, n: int, size: int, a: float, b: float, t: float) -> np.ndarray:
+    """Of n sequences of ``size`` tokens: the matrix of the fraction that takes the message before
+    the first token to the one after the last, one step being g -> (a + t e g) / (1 + b e g)."""
+    m = np.broadcast_to(np.eye(2), (n, 2, 2)).copy()
+    for x in e.reshape(n, size).T:
+        up, low = x[:, None] * m[:, 0], m[:, 1]
+        m = np.stack([t * up + a * low, b * up + low], axis=1)
+        m /= m.max(axis=(1, 2), keepdims=True)
+    return m
+
+
+def _borders(e: np.ndarray, lens: np.ndarray, size: int, chain: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Messages at the borders of the pieces of ``size`` tokens that sequences are cut into: into the
+    first token of each piece from the left, and into its last one from the right; 1 at the ends."""
+    ct, tc, tt = chain
+    pieces = -(-lens // size)
+    lead, tail = np.ones(pieces.sum()), np.ones(pieces.sum())
+    ends = np.cumsum(pieces)
+    for i in np.flatnonzero(pieces > 1):
+        at, n = int(lens[:i].sum()), int(pieces[i]) - 1
+        whole, p0 = e[at : at + n * size], ends[i] - pieces[i]
+        for k, m in enumerate(_transfer(whole, n, size, ct, tc, tt)):
+            g = lead[p0 + k]
+            lead[p0 + k + 1] = (m[0, 0] * g + m[0, 1]) / (m[1, 0] * g + m[1, 1])
+        rest = e[at + n * size : at + lens[i]]
+        last = _transfer(rest[::-1], 1, len(rest), tc, ct, tt)
+        later = _transfer(e[at + size : at + n * size].reshape(n - 1, size)[:, ::-1], n - 1, size, tc, ct, tt) if n > 1 else last[:0]
+        for k, m in reversed(list(enumerate(np.concatenate([later, last])))):
+            g = tail[p0 + k + 1]
+            tail[p0 + k] = (m[0, 0] * g + m[0, 1]) / (m[1, 0] * g + m[1, 1])
+    return lead, tail
+
+
+def marginals(emit: np.ndarray, lens: np.ndarray, chain: tuple[float, float, float], size: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of every token given all tokens, and given those up to it.
+
+    ``emit`` holds the sequences one after another. With two states the forward and backward messages
+    are odds, and each step is one fraction. Long sequences are cut into pieces of ``size`` tokens:
+    the messages at their borders come from products of the steps' matrices, all pieces of a sequence
+    at once, and then all pieces advance together. So a very long text costs no step of its own for
+    each of its tokens."""
+    if not len(emit):
+        return np.zeros(0), np.zeros(0)
+    ct, tc, tt = np.exp(chain)
+    raw = np.exp(np.clip(emit, -30, 30))
+    pieces = -(-lens // size)
+    lead, tail = _borders(raw, lens, size, (ct, tc, tt))
+    cut = np.full(pieces.sum(), size)
+    cut[(np.cumsum(pieces) - 1)[pieces > 0]] = (lens - (pieces - 1) * size)[pieces > 0]
+    order, active, first, place = _time_major(cut)
     e = np.empty(len(emit))
-    e[place] = np.exp(np.clip(emit, -30, 30))
+    e[place] = raw
     ahead = np.empty_like(e)
-    ahead[: active[0]] = e[: active[0]]
-    for t in range(1, longest):
+    ahead[: active[0]] = e[: active[0]] * lead[order]
+    for t in range(1, len(active)):
         o = ahead[first[t - 1] : first[t - 1] + active[t]]
         ahead[first[t] : first[t + 1]] = e[first[t] : first[t + 1]] * (ct + tt * o) / (1 + tc * o)
-    back = np.ones_like(e)
-    for t in range(longest - 2, -1, -1):
+    back = np.empty_like(e)
+    back[first[cut[order] - 1] + np.arange(len(cut))] = tail[order]
+    for t in range(len(active) - 2, -1, -1):
         x = e[first[t + 1] : first[t + 2]] * back[first[t + 1] : first[t + 2]]
         back[first[t] : first[t] + active[t + 1]] = (tc + tt * x) / (1 + ct * x)
     odds = ahead * back
-    out = (odds / (1 + odds))[place]
-    return out, (ahead / (1 + ahead))[place]
+    return (odds / (1 + odds))[place], (ahead / (1 + ahead))[place]
 
 
-def _evidence(sample: DataFrame, n_toxic: int, n_clean: int, most: int, least: int) -> list[tuple[str, float, int]]:
-    """(feature, log odds, toxic documents) of the features in at least ``least`` documents; at most ``most``."""
+def _evidence(sample: DataFrame, n_toxic: int, n_clean: int, least: int) -> list[tuple[str, float, int]]:
+    """(feature, log odds, toxic documents) of the features in at least ``least`` documents of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,7 +155,7 @@ def _evidence(sample: DataFrame, n_toxic: int, n_clean: int, most: int, least: i
 
     counts = sample.select("toxic", "text").mapInArrow(run, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    found = counts.where(F.col("toxic") + F.col("clean") >= least).select("f", odds.alias("odds"), "toxic").where("abs(odds) > 1").orderBy(F.abs("odds").desc(), "f").limit(most)
+    found = counts.where(F.col("toxic") + F.col("clean") >= least).select("f", odds.alias("odds"), "toxic").where("abs(odds) > 1").orderBy("f")
     return [(r.f, r.odds, r.toxic) for r in found.collect()]
 
 
@@ -135,7 +185,7 @@ def _sequences(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return lens, per_token.flatten().to_numpy(), b.column("feature").flatten().to_numpy(), b.column("label").flatten().to_numpy(), b.column("toxic").to_numpy()
 
 
-def fit(docs: DataFrame, labels: DataFrame, is_training: Column, fit_toxic: int = 2000, fit_clean: int = 4000, most_features: int = 20_000, rounds: int = 15) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, is_training: Column, fit_toxic: int = 2000, fit_clean: int = 4000, rounds: int = 15) -> Model:
     """A model from the labelled training documents."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(is_training)
     totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -149,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, fit_toxic: int
     if not (n_toxic and n_clean):
         return Model({}, 0.0, (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), totals[1] / sum(totals.values()))
     least = max(3, round(0.01 * n_toxic))  # documents: rarer words say nothing about toxicity itself
-    found = _evidence(sample, n_toxic, n_clean, most_features, least)
+    found = _evidence(sample, n_toxic, n_clean, least)
     number = {f: n for n, (f, _, _) in enumerate(found)}
     strong = _varied(sample, {f: toxic for f, odds, toxic in found if odds > 3 and toxic >= least})
     n = len(found)
@@ -165,6 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, fit_toxic: int
                     counts.append(len(fs))
                     flat += [number[f] for f in fs]
                     marks.append(int(toxic and any(f in strong for f in fs)))
+                marks = [int(m or (0 < i < len(marks) - 1 and marks[i - 1] and marks[i + 1])) for i, m in enumerate(marks)]
                 for k, v in zip(out, (toxic, counts, flat, marks)):
                     out[k].append(v)
             kind = pa.list_(pa.int32())
@@ -241,13 +292,12 @@ def document_sums(p: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def score(docs: DataFrame, model: Model, group: int = 2000) -> DataFrame:
     """(doc_id, score, n_toxic, starts, ends): offsets (code points, ends exclusive) of the tokens
-    that are rather toxic than not. One pass, no shuffle; the model is bounded by most_features."""
+    that are rather toxic than not. One pass, no shuffle; the model is as large as the sample's vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit_of = emissions(model.weights, model.bias)
         for whole in batches:
-            for at in range(0, whole.num_rows, group):
-                b = whole.slice(at, group)
+            for b in slices(whole, group):
                 texts = [t or "" for t in b.column("text").to_pylist()]
                 values, lens = [], np.zeros(len(texts), np.int64)
                 for i, t in enumerate(texts):
@@ -280,4 +330,5 @@ def held_out() -> Column:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic")
+    spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string"))), ",")
+    return score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic", spans.alias("spans"))

@@ -34,7 +34,12 @@ def test_marginals_match_enumeration():
     rng = np.random.default_rng(1)
     lens, chain = np.array([3, 0, 1, 4]), (-0.7, 0.3, 0.5)
     emit = rng.normal(size=lens.sum())
-    p, _ = toxicity.marginals(emit, lens, chain)
+    p, ahead = toxicity.marginals(emit, lens, chain)
+    for size in (1, 2, 3):  # cut into pieces
+        assert all(np.allclose(x, y) for x, y in zip((p, ahead), toxicity.marginals(emit, lens, chain, size)))
+    many = rng.normal(size=3000)
+    for some in (np.array([3000]), np.array([700, 0, 1300, 1000])):
+        assert all(np.allclose(x, y) for x, y in zip(toxicity.marginals(many, some, chain, 4000), toxicity.marginals(many, some, chain, 64)))
     at = 0
     for n in lens:
         total, each = 0.0, np.zeros(n)
@@ -75,12 +80,60 @@ def test_toxicity_held_out(toxic_corpus):
     assert (found[1002].starts, found[1002].ends) == ([0, 8], [7, 16])
 
 
+def test_score_of_a_document_by_enumeration(spark, make_docs):
+    """From the weights to the document's score, over all paths of a small text."""
+    model = toxicity.Model({"vile$": 2.0, "vil": 0.5, "rot$": 1.0}, -1.0, (-1.0, 0.2, 0.8), (-2.0, 1.5, 0.7))
+    words = ["a", "Vile", "b-rot", "vile!", "vilest"]
+    emit = [-1.0, 1.5, 0.0, 1.5, -0.5]
+    total, each = 0.0, np.zeros(5)
+    for code in range(32):
+        y = [code >> k & 1 for k in range(5)]
+        w = np.exp(sum(e for e, s in zip(emit, y) if s) + sum({(0, 0): 0.0, (0, 1): -1.0, (1, 0): 0.2, (1, 1): 0.8}[p] for p in zip(y, y[1:])))
+        total += w
+        each += w * np.array(y)
+    p = each / total
+    want = 1 / (1 + np.exp(2.0 - 1.5 * np.log1p(p.sum()) - 0.7 * p.max()))
+    found = toxicity.score(make_docs([(1, " ".join(words)), (1, " ".join(words)), (2, "")]), model).collect()
+    assert [r.score for r in found[:2]] == pytest.approx([want, want]) and found[2].score == pytest.approx(1 / (1 + np.exp(2.0)))
+    starts = np.cumsum([0] + [len(w) + 1 for w in words])[:-1]
+    assert found[0].starts == [s for s, x in zip(starts, p) if x > 0.5]
+
+
+def test_chain_beats_the_lexicon(spark, make_docs, words):
+    """Spans of three words whose middle one is plain: a list of words finds two of three."""
+    rnd = random.Random(12)
+    rows, labels, gold = [], [], {}
+    for i in range(500):
+        w = [rnd.choice(words) for _ in range(rnd.randrange(20, 80))]
+        if i % 3 == 0:
+            at = rnd.randrange(1, len(w) - 3)
+            w[at : at + 3] = [rnd.choice(["vilebug", "grimslur"]), w[at + 1], rnd.choice(["nastyrot", "foulmuck"])]
+            gold[i] = at
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i in gold)))
+    docs = make_docs(rows)
+    held = toxicity.held_out()
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ~held)
+    tagged = {r.doc_id: set(r.starts) for r in toxicity.score(docs.where(held), model).collect()}
+    right = found = wanted = lexicon = 0
+    for i, t in rows:
+        if i in tagged:
+            starts = np.cumsum([0] + [len(x) + 1 for x in t.split()])[:-1].tolist()
+            span = set(starts[gold[i] : gold[i] + 3]) if i in gold else set()
+            right, found, wanted, lexicon = right + len(span & tagged[i]), found + len(tagged[i]), wanted + len(span), lexicon + 2 * bool(span)
+    f1 = lambda hit, said: 2 * hit / (said + wanted)
+    assert wanted > 60 and f1(right, found) > f1(lexicon, lexicon) + 0.1
+
+
 def test_toxicity_without_classes(toxic_corpus):
     docs, labels = toxic_corpus
     for some, want in ((labels.where("toxic = 1"), 1.0), (labels.where("toxic = 0"), 0.0), (labels.where("toxic = 7"), 0.0)):
         model = toxicity.fit(docs, some, F.lit(True))
         assert {r.score for r in toxicity.score(docs, model).collect()} == {want}
     assert toxicity.score(docs.where("doc_id < 0"), model).count() == 0
+    for d, x in ((docs.where("doc_id < 0"), labels), (docs, labels.where("doc_id < 0"))):
+        model = toxicity.fit(d, x, F.lit(True))  # an empty table
+        assert 0 <= toxicity.score(docs, model).first().score <= 1
 
 
 @pytest.fixture(scope="module")
