@@ -4,53 +4,64 @@ Sorting every suffix of a corpus is out of reach, and most suffixes start nothin
 
 1. every window of ``window`` bytes is stood for by its anchor, the part of ``part`` bytes with the
    smallest hash, which equal windows share. Anchors that occur in one document only are dropped;
-2. the anchors left are compared with their contexts, the bytes under the windows they stand for.
-   Where a smaller document has the same anchor in the same context, all its windows repeat;
-3. what is left are anchors whose contexts differ between documents, at the ends of repeats. Their
-   distinct contexts meet by anchor, in shards: each shard gets its Burrows-Wheeler transform, the
-   transforms are merged by iterative interleave refinement, and the intervals of rows whose common
-   prefix is a whole window give the smallest document of each repeated window.
+2. the contexts of the anchors left, the bytes under the windows they stand for, meet by anchor.
+   Contexts of equal bytes repeat whole in all documents but the smallest that holds one;
+3. contexts of an anchor that differ, at the ends of repeats, are cut into shards: each shard gets its
+   Burrows-Wheeler transform, the transforms are merged by iterative interleave refinement, and the
+   intervals of rows whose common prefix is a whole window give the smallest document of each
+   repeated window.
 
-An anchor with very many different contexts is dealt finer: its windows by how many bytes stand left
-of the anchor (none, 1, 2-3, 4-7, ...), each class by the bytes that all its windows hold, equal
-pieces once a block. So a passage in a third of all documents is not compared in one task.
+The transforms see what step 2 leaves: about a third of the different contexts and under a tenth of
+the bytes that go. Transforms of all contexts would cost more than the check's limit (README).
 
-Hashes and contexts travel packed between blocks (see _blocks); texts are never shuffled.
+An anchor that has very many different contexts in some block (the end of a passage that a third of
+all documents hold) is not compared by contexts anywhere: its windows are sent one by one, each to
+the bucket of its own hash, so only equal windows meet, once a block.
+
+Anchors and contexts travel packed between blocks (see _blocks); texts are shuffled once, compressed.
 
 Defined results: a null text is empty; matches never cross documents; rows that repeat a doc_id never
 remove bytes from each other; a null doc_id counts as larger than any other. Documents under
-``window`` bytes stay whole. Further columns are ignored.
+``window`` bytes stay whole. A very long text is a block by itself, hashed in parts. An empty table
+gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from porelake.llm import _blocks as B
-from porelake.llm._bwt import repeated_intervals, stable_order
+from porelake.llm._bwt import repeated_intervals
 from porelake.llm._shared import table
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 SYMBOLS = B.scramble(np.arange(1, 257, dtype=np.uint64))
 PARTS = 1 << 18  # bytes that are hashed at a time
-
-
-def _chunks(texts: list[bytes]) -> Iterator[tuple[int, B.Windows, np.ndarray]]:
-    """(number of the first document, windows, bytes) of runs of documents, about PARTS bytes each."""
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= PARTS):
-            size += len(texts[end])
-            end += 1
-        raw = np.frombuffer(b"".join(texts[at:end]), np.uint8)
-        yield at, B.Windows(SYMBOLS[raw], np.fromiter(map(len, texts[at:end]), np.int64, end - at)), raw
-        at = end
+CONTEXT = np.dtype([("anchor", np.uint64), ("id", np.int64), ("size", np.int32)])
+RANGE = np.dtype([("place", np.int32), ("lo", np.int32), ("hi", np.int32)])
+
+
+def _chunks(raw: np.ndarray, lens: np.ndarray, overlap: int) -> Iterator[tuple[int, B.Windows]]:
+    """(offset, windows) of parts of a block's bytes, about PARTS each: runs of documents, or pieces
+    of a long one that overlap so far that no window is lost."""
+    ends = np.cumsum(lens)
+    d = 0
+    while d < len(lens):
+        start = ends[d] - lens[d]
+        stop = max(d + 1, int(np.searchsorted(ends, start + PARTS, "right")))
+        if lens[d] > PARTS:
+            for at in range(int(start), int(ends[d]) - overlap, PARTS):
+                piece = raw[at : min(at + PARTS + overlap, int(ends[d]))]
+                yield at, B.Windows(SYMBOLS[piece], np.array([len(piece)]))
+        else:
+            yield int(start), B.Windows(SYMBOLS[raw[start : ends[stop - 1]]], lens[d:stop])
+        d = stop
 
 
 def _least(w: B.Windows, window: int, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,221 +113,171 @@ def _anchors(w: B.Windows, part: int, first: np.ndarray, last: np.ndarray, value
     return first, last, value, at
 
 
-def _grouped(h: np.ndarray, c: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """An order that puts equal (h, c) together, smallest id first: by some bits of a mix of both,
-    which is checked, or else by all three."""
-    bits = len(h).bit_length()
-    key = ((h ^ c * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1 + bits)).astype(np.int64)
-    order = stable_order(key, bits)
-    key, h2, c2, ids2 = key[order], h[order], c[order], ids[order]
-    bad = (key[1:] == key[:-1]) & ((h2[1:] != h2[:-1]) | (c2[1:] != c2[:-1]) | (ids2[1:] < ids2[:-1]))
-    return np.lexsort((ids, c, h)) if bad.any() else order
-
-
 def _marks(n: int, at: np.ndarray) -> np.ndarray:
     out = np.zeros(n, bool)
     out[at[at < n]] = True
     return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+class Block:
+    """The bytes of a block's documents, laid end to end."""
+
+    def __init__(self, ids: np.ndarray, texts: list[bytes]):
+        self.ids, self.lens = ids, np.fromiter(map(len, texts), np.int64, len(texts))
+        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.ends = np.cumsum(self.lens)
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
+
+
+def _anchor_values(block: int, ids: np.ndarray, texts: list[bytes], told: B.Told, buckets: int, window: int, part: int, hot: int) -> pa.Table:
+    b = Block(ids, texts)
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]]
+    for at, w in _chunks(b.raw, b.lens, window - 1):
+        first, last, h = _runs(w, window, part)
+        for col, x in zip(found, (h, b.owner(first + at), w.ranges(first, last + window))):
+            col.append(x)
+    h, owner, around = map(np.concatenate, found)
+    return B.send_values(block, h, owner, buckets, around, hot)
+
+
 class Contexts:
-    """The anchors of a block that other documents share, with their contexts."""
+    """The anchors of a block that other documents share, with their contexts; equal contexts of an
+    anchor are one group, and its smallest document stands for it."""
 
-    def __init__(self, ids: np.ndarray, texts: list[bytes], told: np.ndarray, buckets: int, window: int, part: int):
-        self.window, self.part, self.buckets, self.ids, self.texts = window, part, buckets, ids, texts
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for number, w, _ in _chunks(texts):
+    def __init__(self, ids: np.ndarray, texts: list[bytes], shared: B.Filter, buckets: int, window: int, part: int):
+        b = self.block = Block(ids, texts)
+        cols: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64)]
+        for at, w in _chunks(b.raw, b.lens, window - 1):
             runs = _runs(w, window, part)
-            keep = B.is_told(runs[2], buckets, told)
-            lo, last, h, at = _anchors(w, part, *(x[keep] for x in runs))
-            d, hi = w.owner(lo), last + window
-            sums, inverse = w._sums(1), B._powers(w.BASES[1], w.n + 1)[1]
-            c = B.scramble((sums[hi] - sums[lo]) * inverse[lo]) ^ B.scramble((hi - lo).astype(np.uint64) << np.uint64(20) | (at - lo).astype(np.uint64))
-            for col, x in zip(cols, (h, c, d + number, at - w.starts[d], lo - w.starts[d], hi - w.starts[d])):
+            keep, flags = shared.find(runs[2])
+            lo, last, h, _ = _anchors(w, part, *(x[keep & (flags & B.HOT == 0)] for x in runs))
+            crowded = keep & (flags & B.HOT > 0)
+            one = _ranges(runs[0][crowded], (runs[1] - runs[0] + 1)[crowded])  # every window for itself
+            for col, x in zip(cols, (np.concatenate([h, w.hashes(window, one)]), np.concatenate([w.ranges(lo, last + window), w.hashes(window, one, 1)]), np.concatenate([lo, one]) + at, np.concatenate([last, one]) + window + at)):
                 col.append(x)
-        h, c, d, at, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in cols)
-        order = _grouped(h, c, ids[d] if len(d) else d)
-        self.h, self.c, self.d, self.at, self.lo, self.hi = (x[order] for x in (h, c, d, at, lo, hi))
-        self.first = np.flatnonzero(np.concatenate([[True], (self.h[1:] != self.h[:-1]) | (self.c[1:] != self.c[:-1])])) if len(h) else np.zeros(0, np.int64)
-        self.least = ids[self.d[self.first]] if len(h) else np.zeros(0, np.int64)
-        self.bucket = (self.h[self.first] % np.uint64(buckets)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-
-    def sent(self) -> Iterator[tuple[int, tuple]]:
-        for b, at in B.split_by_bucket(self.bucket, self.buckets):
-            yield b, (self.h[self.first[at]], self.c[self.first[at]], self.least[at])
-
-    def told(self, got: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Marks of the contexts that are covered, to be compared, and among these the crowded ones."""
-        marks = [np.zeros(len(self.first), bool) for _ in range(3)]
-        for b, at in B.split_by_bucket(self.bucket, self.buckets):
-            for mark, places in zip(marks, got.get(b, ())):
-                mark[at[places]] = True
-        return tuple(marks)
-
-    def pieces(self, compare: np.ndarray, crowded: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """What is to be compared: bucket, number of the document, from, to; and the pieces of crowded
-        anchors (number of the document, from, to) that a smaller document of the block holds too."""
-        group = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(self.h))))
-        own = self.ids[self.d] == self.least[group]  # every place at which the smallest document holds a context
-        plain = np.flatnonzero((compare & ~crowded)[group] & own)
-        rows = [[self.h[plain] % np.uint64(self.buckets), self.d[plain], self.lo[plain], self.hi[plain]]]
-        known: list[np.ndarray] = []
-        at = np.flatnonzero(crowded[group] & own)
-        at = at[np.argsort(self.ids[self.d[at]], kind="stable")]  # the first holder of a piece is the smallest
-        reach, left = self.window - self.part, 0
-        while len(at) and left <= reach:
-            most = min(reach, max(0, 2 * left - 1))
-            d, a = self.d[at], self.at[at]
-            lo, hi = np.maximum(self.lo[at], a - most), np.minimum(self.hi[at], a + self.window - left)
-            fits = hi - lo >= self.window
-            seen: dict[bytes, int] = {}
-            for i in np.flatnonzero(fits):
-                text = self.texts[d[i]]
-                owner = seen.setdefault(text[lo[i] : hi[i]], d[i])
-                if self.ids[owner] < self.ids[d[i]]:
-                    known.append(np.array([d[i], lo[i], hi[i]]))
-                else:  # by the bytes that all windows of the class hold
-                    key = hashlib.blake2b(text[a[i] - left : a[i] + self.window - most], digest_size=8).digest()
-                    rows.append([np.array([int.from_bytes(key, "big") % self.buckets], np.uint64), d[i : i + 1], lo[i : i + 1], hi[i : i + 1]])
-            left = max(1, 2 * left)
-        return [np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(4)], np.array(known, np.int64).reshape(-1, 3)
-
-
-def _judge(most: int):
-    """What the blocks are told about their contexts; ``most``: contexts of an anchor before it is crowded."""
-
-    def work(sent: list[tuple]) -> list[tuple | None]:
-        h, c, doc = (np.concatenate([s[k] for s in sent]) for k in range(3))
-        order = np.lexsort((c, h))
-        hs, cs = h[order], c[order]
-        new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])
-        first = np.flatnonzero(new)
-        of = np.empty(len(doc), np.int64)
-        of[order] = np.cumsum(new) - 1
-        least = np.minimum.reduceat(doc[order], first)
-        heads = np.flatnonzero(np.concatenate([[True], hs[first[1:]] != hs[first[:-1]]]))
-        contexts = np.repeat(np.diff(np.append(heads, len(first))), np.diff(np.append(heads, len(first))))
-        covered = least[of] < doc
-        compare = ~covered & (contexts[of] > 1)
-        crowded = compare & (contexts[of] > most)
-        out, at = [], 0
-        for s in sent:
-            part = slice(at, at + len(s[2]))
-            told = tuple(np.flatnonzero(x[part]).astype(np.int32) for x in (covered, compare, crowded))
-            out.append(told if len(told[0]) or len(told[1]) else None)
-            at = part.stop
-        return out
-
-    return work
-
-
-def _compare(window: int):
-    """Ranges of each block's contexts that a smaller document holds, by merging the shards' transforms."""
-
-    def work(sent: list[tuple]) -> list[tuple | None]:
-        ids = np.concatenate([s[0] for s in sent])
-        pieces = [p for s in sent for p in _cut(s[3], s[2])]
-        number: dict[bytes, int] = {}
-        which = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
-        least = np.full(len(number), B.LAST)
-        np.minimum.at(least, which, ids)
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        lo, hi = np.full(len(pieces), 1 << 30), np.zeros(len(pieces), np.int64)
-        whole = ids > least[which]
-        lo[whole], hi[whole] = 0, lens[whole]
-        string, offset, interval = repeated_intervals(list(number), window)
+        h, c, lo, hi = map(np.concatenate, cols)
+        d = b.owner(lo)
+        order = np.lexsort((ids[d], c, h))
+        self.d, self.lo, self.hi = d[order], lo[order], hi[order]
+        first = self._equal_bytes(h[order], c[order]) if len(h) else np.zeros(0, np.int64)
+        self.group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+        self.first, self.least = first, ids[self.d[first]]
+        self.records = np.empty(len(first), CONTEXT)
+        self.records["anchor"], self.records["id"], self.records["size"] = h[order][first], self.least, (self.hi - self.lo)[first]
+        self.dealt = B.Dealt((self.records["anchor"] % np.uint64(buckets)).astype(np.int64), buckets)
+
+    def _equal_bytes(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where groups begin: neighbours with equal hashes whose bytes are equal too."""
+        new = np.ones(len(h), bool)
+        size = self.hi - self.lo
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (size[1:] != size[:-1])
+        step = 1 << 16
+        for at in range(1, len(h), step):
+            pair = at + np.flatnonzero(~new[at : at + step])
+            n = size[pair]
+            differ = self.block.raw[_ranges(self.lo[pair], n)] != self.block.raw[_ranges(self.lo[pair - 1], n)]
+            if differ.any():
+                new[pair[np.unique(np.repeat(np.arange(len(pair)), n)[differ])]] = True
+        return np.flatnonzero(new)
+
+    def sent(self, block: int) -> pa.Table:
+        size = (self.hi - self.lo)[self.first]
+        return self.dealt.sent(block, self.records, lambda order: self.block.raw[_ranges(self.lo[self.first][order], size[order])], size)
+
+    def gone(self, told: B.Told) -> np.ndarray:
+        """Marks the bytes that a smaller document holds too."""
+        size = self.hi - self.lo
+        from_, to = np.zeros(len(self.first), np.int64), np.zeros(len(self.first), np.int64)
+        bucket, found = told.get_records("ranges", RANGE)
+        at = self.dealt.find(bucket, found["place"])
+        from_[at], to[at] = found["lo"], found["hi"]
+        later = self.block.ids[self.d] > self.least[self.group]  # a smaller document of this block holds all of it
+        lo = self.lo + np.where(later, 0, from_[self.group])
+        hi = self.lo + np.where(later, size, to[self.group])
+        depth = np.zeros(len(self.block.raw) + 1, np.int32)
+        np.add.at(depth, lo, 1)
+        np.subtract.at(depth, hi, 1)
+        return np.cumsum(depth[:-1]) > 0
+
+
+def _compare(records: np.ndarray, rows: np.ndarray, data: pa.ChunkedArray, window: int, most: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of the contexts that smaller documents hold: whole contexts of equal bytes, and parts
+    of different ones by merging their shards' transforms, ``most`` bytes of anchors at a time."""
+    whole, ends = B._joined(data), np.cumsum(records["size"].astype(np.int64))
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(bytes(whole[a:b]), len(number)) for a, b in zip((ends - records["size"]).tolist(), ends.tolist())), np.int64, len(records))
+    strings, n = list(number), len(number)
+    least, anchor = np.full(n, B.LAST), np.zeros(n, np.uint64)
+    np.minimum.at(least, which, records["id"])
+    anchor[which] = records["anchor"]
+    from_, to = np.full(n, 1 << 30), np.zeros(n, np.int64)
+    order = np.argsort(anchor, kind="stable")
+    heads = B.changes(anchor[order]) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(heads, n))
+    several = order[np.repeat(sizes > 1, sizes)]  # contexts of anchors that have more than one
+    ends_of = np.cumsum([len(strings[k]) for k in several])
+    borders = np.append(B.changes(anchor[several])[1:], len(several)) if len(several) else []
+    at = 0
+    while at < len(several):
+        before = ends_of[at - 1] if at else 0
+        later = borders[borders > at]
+        end = int(later[max(0, np.searchsorted(ends_of[later - 1], before + most, "right") - 1)])  # whole anchors, one at least
+        some = several[at:end]
+        string, offset, interval = repeated_intervals([strings[k] for k in some], window)
         if len(string):
+            string = some[string]
             smallest = np.full(int(interval.max()) + 1, B.LAST)
             np.minimum.at(smallest, interval, least[string])
             hit = smallest[interval] < least[string]
-            from_, to = np.full(len(number), 1 << 30), np.zeros(len(number), np.int64)
             np.minimum.at(from_, string[hit], offset[hit])
             np.maximum.at(to, string[hit], offset[hit] + window)
-            lo, hi = np.minimum(lo, from_[which]), np.maximum(hi, to[which])
-        out, at = [], 0
-        for s in sent:
-            part = slice(at, at + len(s[0]))
-            found = np.flatnonzero(hi[part] > 0)
-            out.append((s[1][found], s[4][found] + lo[part][found].astype(np.int32), s[4][found] + hi[part][found].astype(np.int32)) if len(found) else None)
-            at = part.stop
-        return out
-
-    return work
-
-
-def _cut(blob: bytes, lens: np.ndarray) -> Iterator[bytes]:
-    at = 0
-    for n in lens.tolist():
-        yield blob[at : at + n]
-        at += n
+        at = end
+    lo, hi = from_[which], to[which]
+    covered = records["id"] > least[which]
+    lo, hi = np.where(covered, 0, lo), np.where(covered, records["size"], hi)
+    found = np.flatnonzero(hi > 0)
+    told = np.empty(len(found), RANGE)
+    told["place"], told["lo"], told["hi"] = B.places(rows)[found], lo[found], hi[found]
+    return found, told
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, part: int = 26, crowded: int = 4096, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, part: int = 26, hot: int = 64, keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept); kept is null unless asked for."""
-    blocks, size = B.pack_blocks(docs, "suffixes")
-    n = B.bucket_count(blocks, size, 4 << 20)
-
-    def anchors(ids, texts, got) -> Iterator[tuple[int, tuple]]:
-        found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for number, w, _ in _chunks(texts):
-            first, _, h = _runs(w, window, part)
-            found.append(h)
-            owners.append(w.owner(first) + number)
-        yield from B.send_values(np.concatenate(found), np.concatenate(owners), n)
-
-    shared = B.answer(B.send(blocks, None, anchors, "suffixes-anchors"), B.shared_values, "anchors")
-
-    def contexts(ids, texts, got) -> Contexts:
-        return Contexts(ids, texts, B.told_keys(got.get("anchors", {})), n, window, part)
-
-    judged = B.answer(B.send(blocks, shared, lambda ids, texts, got: contexts(ids, texts, got).sent(), "suffixes-contexts"), _judge(crowded), "contexts")
-    both = shared.unionByName(judged)
+    blocks, sizes = B.pack_blocks(docs, "suffixes")
+    few, many = sizes.buckets(0.4), sizes.buckets()
+    anchors = partial(_anchor_values, buckets=few, window=window, part=part, hot=hot)
+    shared = B.answer(B.send(blocks, None, anchors, "suffixes-anchors"), few, B.VALUE, B.shared_values, "anchors")
 
-    def to_compare(ids, texts, got) -> Iterator[tuple[int, tuple]]:
-        if "contexts" not in got:
-            return
-        c = contexts(ids, texts, got)
-        _, compare, hot = c.told(got["contexts"])
-        (bucket, d, lo, hi), _ = c.pieces(compare, hot)
-        for b, at in B.split_by_bucket(bucket, n):
-            yield b, (ids[d[at]], d[at].astype(np.int32), (hi - lo)[at].astype(np.int32), b"".join(texts[x][y:z] for x, y, z in zip(d[at].tolist(), lo[at].tolist(), hi[at].tolist())), lo[at].astype(np.int32))
+    def contexts(ids, texts, told) -> Contexts:
+        return Contexts(ids, texts, B.Filter(told, "anchors", few), many, window, part)
 
-    compared = B.answer(B.send(blocks, both, to_compare, "suffixes-pieces"), _compare(window), "ranges")
+    sent = B.send(blocks, shared, lambda block, ids, texts, told: contexts(ids, texts, told).sent(block), "suffixes-contexts")
+    ranges = B.answer(sent, many, CONTEXT, partial(_compare, window=window), "ranges")
 
-    def output(block: int, payload: bytes, got: dict) -> pa.Table:
+    def output(block: int, payload: bytes, told: B.Told) -> pa.Table:
         ids, texts = B.unpack(payload)
-        ranges = [np.zeros((0, 3), np.int64)]
-        if "contexts" in got or "anchors" in got:
-            c = contexts(ids, texts, got)
-            covered, compare, hot = c.told(got.get("contexts", {}))
-            if len(c.first):
-                group = np.repeat(np.arange(len(c.first)), np.diff(np.append(c.first, len(c.h))))
-                repeat = (covered[group] | (ids[c.d] > c.least[group])) & (c.hi - c.lo >= window)
-                ranges += [np.column_stack([c.d, c.lo, c.hi])[repeat], c.pieces(compare & hot, hot)[1]]
-        ranges += [np.column_stack(x).astype(np.int64) for x in got.get("ranges", {}).values()]
-        ranges = np.concatenate(ranges)
-        ranges = ranges[np.lexsort((ranges[:, 1], ranges[:, 0]))]
-        cuts = np.searchsorted(ranges[:, 0], np.arange(len(texts) + 1))
-        rows, kept_bytes = [], []
-        for d, text in enumerate(texts):
-            kept, at, removed, spans = [], 0, 0, 0
-            for _, lo, hi in ranges[cuts[d] : cuts[d + 1]].tolist():
-                if lo > at or (lo == at == 0 and not spans):
-                    kept.append(text[at:lo])
-                    spans += 1
-                    removed += hi - lo
-                    at = hi
-                elif hi > at:
-                    removed += hi - at
-                    at = hi
-            out = b"".join([*kept, text[at:]])
+        gone = contexts(ids, texts, told).gone(told) if told else np.zeros(sum(map(len, texts)), bool)
+        rows, kept_bytes, at = [], [], 0
+        for text in texts:
+            cut = gone[at : at + len(text)]
+            at += len(text)
+            removed = int(cut.sum())
+            spans = int((np.diff(cut.astype(np.int8), prepend=0) == 1).sum()) if removed else 0
+            out = np.frombuffer(text, np.uint8)[~cut].tobytes() if removed else text
             rows.append((len(text), removed, spans, hashlib.sha256(out).hexdigest()))
             kept_bytes.append(out if keep_text else None)
-        sizes, removed, spans, digests = zip(*rows) if rows else ((),) * 4
+        totals, removed, spans, digests = zip(*rows) if rows else ((),) * 4
         long = pa.int64()
-        return pa.table({"doc_id": pa.array(ids, long, mask=ids == B.LAST), "n_bytes": pa.array(sizes, long), "n_removed": pa.array(removed, long), "n_spans": pa.array(spans, long), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_bytes, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids, long, mask=ids == B.LAST), "n_bytes": pa.array(totals, long), "n_removed": pa.array(removed, long), "n_spans": pa.array(spans, long), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_bytes, pa.binary())})
 
-    return B.with_answers(blocks, both.unionByName(compared), output, SCHEMA)
+    return B.with_answers(blocks, shared.unionByName(ranges), output, SCHEMA)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,47 +1,61 @@
 """Operator 10: substring dedup of word windows by level-wise doubling.
 
 A window of ``window`` words can only repeat if the shorter windows inside it repeat. Lengths double
-up to the window's own (13, 25, 50). At each length a window is stood for by the one of its parts of
-that length with the smallest hash, which equal windows share; only windows whose part occurs in two
-documents are extended to the next length, until none survive or the full length is reached. There
-the survivors' hashes (128 bits) find the smallest doc_id that holds each window, and words under a
-window that a smaller document also holds go.
+from ``shortest`` up to the window's own (13, 25, 50). At each length a window is stood for by the one of
+its parts of that length with the smallest hash, which equal windows share; only windows whose part
+occurs in two documents are extended to the next length, until none survive or the full length is
+reached. There the survivors' hashes (128 bits) find the smallest doc_id that holds each window, and
+words under a window that a smaller document also holds go. Another first length gives the same
+result; each length is one more pass over the texts.
 
-Hashes travel packed between blocks of documents (see _blocks); texts are never shuffled.
+Hashes travel packed between blocks of documents (see _blocks); texts are shuffled once, compressed.
 
 Defined results: words are runs of anything but the six ASCII white-space characters; a null text
 has none. Rows that repeat a doc_id never remove words from each other. A null doc_id counts as
-larger than any other. Documents under ``window`` words stay whole. Further columns are ignored.
+larger than any other. Documents under ``window`` words stay whole. A very long text is a block by
+itself and costs some 100 bytes a word. An empty table gives no rows. Further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from porelake.llm import _blocks as B
-from porelake.llm._shared import Recent, table
+from porelake.llm._shared import table
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-_hashes = Recent(xxhash.xxh3_64_intdigest, 200_000)  # of words
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\v\f\r")] = True
+SYMBOLS = B.scramble(np.arange(257, 513, dtype=np.uint64))
 
 
-def _windows(texts: list[bytes]) -> tuple[list[list[bytes]], B.Windows]:
-    words = [t.split() for t in texts]
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    flat = np.empty(lens.sum(), np.uint64)
-    at = 0
-    for w in words:
-        flat[at : at + len(w)] = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-        at += len(w)
-    return words, B.Windows(flat, lens)
+def word_hashes(texts: list[bytes], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words of each text), hashed in parts of about ``step`` bytes that
+    end at white space."""
+    raw = np.frombuffer(b" ".join(texts), np.uint8)
+    space = SPACE[raw]
+    edge = np.diff(space.astype(np.int8), prepend=1, append=1)
+    lo, hi = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    out, at = np.empty(len(lo), np.uint64), 0
+    while at < len(lo):
+        end = max(at + 1, int(np.searchsorted(hi, lo[at] + step, "right")))
+        start = lo[at]
+        w = B.Windows(SYMBOLS[raw[start : hi[end - 1]]], np.zeros(0, np.int64))
+        out[at:end] = w.ranges(lo[at:end] - start, hi[at:end] - start)
+        at = end
+    text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return out, np.diff(np.searchsorted(lo, text_ends), prepend=0)
+
+
+def _windows(texts: list[bytes]) -> B.Windows:
+    return B.Windows(*word_hashes(texts))
 
 
 def lengths(window: int, shortest: int = 13) -> list[int]:
@@ -52,100 +66,92 @@ def lengths(window: int, shortest: int = 13) -> list[int]:
     return out
 
 
-def _changes(*arrays: np.ndarray) -> np.ndarray:
-    """Where neighbours differ in some array; the first place always."""
-    new = np.ones(len(arrays[0]), bool)
-    new[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in arrays])
-    return np.flatnonzero(new)
+FULL = np.dtype([("h1", np.uint64), ("h2", np.uint64), ("id", np.int64)])
+PLACE = np.dtype(np.int32)
 
 
-def _survivors(w: B.Windows, window: int, length: int | None, got: dict, buckets: int) -> np.ndarray:
+def _survivors(w: B.Windows, window: int, length: int | None, told: B.Told, buckets: int) -> np.ndarray:
     """Starts of the windows whose part of ``length`` is among the repeated ones."""
     if length is None:
         return np.flatnonzero(w.fit(window))
     starts, least = w.minimizers(length, window)
     if not len(starts):
         return starts
-    runs = _changes(least)
-    ok = B.is_told(least[runs], buckets, B.told_keys(got.get(str(length), {})))
+    runs = B.changes(least)
+    ok, _ = B.Filter(told, str(length), buckets).find(least[runs])
     return starts[np.repeat(ok, np.diff(np.append(runs, len(least))))]
 
 
-def _full(w: B.Windows, ids: np.ndarray, starts: np.ndarray, window: int, buckets: int):
-    """The survivors' distinct windows: order, group of each in it, hashes, smallest id, buckets."""
-    h1, h2 = w.hashes(window, starts), w.hashes(window, starts, 1)
-    doc = ids[w.owner(starts)]
-    order = np.lexsort((h2, h1))
-    h1, h2, doc = h1[order], h2[order], doc[order]
-    first = _changes(h1, h2)
-    least = np.minimum.reduceat(doc, first)
-    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h1))))
-    return order, group, h1[first], h2[first], least, (h1[first] % np.uint64(buckets)).astype(np.int64), doc
-
-
-def _smallest(sent: list[tuple]) -> list[np.ndarray | None]:
-    """Per block the places of its windows that a smaller document of another block holds."""
-    h1, h2, doc = (np.concatenate([s[k] for s in sent]) for k in range(3))
-    order = np.lexsort((h2, h1))
-    first = _changes(h1[order], h2[order])
-    least = np.empty(len(doc), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(doc))))
-    out, at = [], 0
-    for s in sent:
-        covered = np.flatnonzero(least[at : at + len(s[2])] < s[2]).astype(np.int32)
-        out.append(covered if len(covered) else None)
-        at += len(s[2])
-    return out
+class Full:
+    """The survivors' distinct windows in a block."""
+
+    def __init__(self, w: B.Windows, ids: np.ndarray, starts: np.ndarray, window: int, buckets: int):
+        h1, h2 = w.hashes(window, starts), w.hashes(window, starts, 1)
+        self.order = np.lexsort((h2, h1))
+        h1, h2, self.doc = h1[self.order], h2[self.order], ids[w.owner(starts)][self.order]
+        first = B.changes(h1, h2)
+        self.group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h1))))
+        self.records = np.empty(len(first), FULL)
+        self.records["h1"], self.records["h2"], self.records["id"] = h1[first], h2[first], np.minimum.reduceat(self.doc, first)
+        self.dealt = B.Dealt((h1[first] % np.uint64(buckets)).astype(np.int64), buckets)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) -> DataFrame:
+def _smallest(records: np.ndarray, rows: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that a smaller document of another block holds, by their places."""
+    if not len(records):
+        return np.zeros(0, np.int64), np.zeros(0, PLACE)
+    order = np.lexsort((records["h2"], records["h1"]))
+    first = B.changes(records["h1"][order], records["h2"][order])
+    least = np.empty(len(records), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(records["id"][order], first), np.diff(np.append(first, len(records))))
+    which = np.flatnonzero(least < records["id"])
+    return which, B.places(rows)[which].astype(PLACE)
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, shortest: int = 13) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept words joined by single spaces;
     kept_text is null unless asked for."""
-    blocks, size = B.pack_blocks(docs, "windows", 4 << 20)
-    n = B.bucket_count(blocks, size)
-    *short, full = lengths(window)
+    blocks, sizes = B.pack_blocks(docs, "windows")
+    few, many = sizes.buckets(0.25), sizes.buckets()
+    *short, full = lengths(window, shortest)
     answers, last = None, None
     for length in short:
 
-        def candidates(ids, texts, got, length=length, last=last) -> Iterator[tuple[int, tuple]]:
-            _, w = _windows(texts)
+        def candidates(block, ids, texts, told, length=length, last=last) -> pa.Table:
+            w = _windows(texts)
             starts, least = w.minimizers(length, full)
             if last is not None and len(starts):
-                alive = np.isin(starts, _survivors(w, full, last, got, n), assume_unique=True)
+                alive = np.isin(starts, _survivors(w, full, last, told, few), assume_unique=True)
                 starts, least = starts[alive], least[alive]
-            if len(starts):
-                doc = w.owner(starts)
-                runs = _changes(least, doc)
-                yield from B.send_values(least[runs], doc[runs], n)
+            if not len(starts):
+                return B.nothing_sent()
+            doc = w.owner(starts)
+            runs = B.changes(least, doc)
+            return B.send_values(block, least[runs], doc[runs], few)
 
-        answers = B.answer(B.send(blocks, answers, candidates, f"windows-{length}"), B.shared_values, str(length))
+        answers = B.answer(B.send(blocks, answers, candidates, f"windows-{length}"), few, B.VALUE, B.shared_values, str(length))
         last = length
 
-    def survivors(ids, texts, got) -> Iterator[tuple[int, tuple]]:
-        _, w = _windows(texts)
-        starts = _survivors(w, full, last, got, n)
-        if len(starts):
-            _, _, h1, h2, least, bucket, _ = _full(w, ids, starts, full, n)
-            for b, at in B.split_by_bucket(bucket, n):
-                yield b, (h1[at], h2[at], least[at])
+    def survivors(block, ids, texts, told) -> pa.Table:
+        w = _windows(texts)
+        starts = _survivors(w, full, last, told, few)
+        if not len(starts):
+            return B.nothing_sent()
+        found = Full(w, ids, starts, full, many)
+        return found.dealt.sent(block, found.records)
 
-    if answers is None:
-        answers = B.answer(B.send(blocks, None, lambda ids, texts, got: iter(()), "windows-none"), B.shared_values, "none")
-    found = B.answer(B.send(blocks, answers if last else None, survivors, "windows-full"), _smallest, "full")
+    found = B.answer(B.send(blocks, answers, survivors, "windows-full"), many, FULL, _smallest, "full")
 
-    def output(block: int, payload: bytes, got: dict) -> pa.Table:
+    def output(block: int, payload: bytes, told: B.Told) -> pa.Table:
         ids, texts = B.unpack(payload)
-        words, w = _windows(texts)
+        w = _windows(texts)
         gone = np.zeros(w.n + 1, np.int64)
-        starts = _survivors(w, full, last, got, n) if got or last is None else np.zeros(0, np.int64)
+        starts = _survivors(w, full, last, told, few) if told or last is None else np.zeros(0, np.int64)
         if len(starts):
-            order, group, _, _, least, bucket, doc = _full(w, ids, starts, full, n)
-            elsewhere = np.zeros(len(least), bool)
-            told = got.get("full", {})
-            for b, at in B.split_by_bucket(bucket, n):
-                if b in told:
-                    elsewhere[at[told[b]]] = True
-            hit = starts[order[elsewhere[group] | (doc > least[group])]]
+            f = Full(w, ids, starts, full, many)
+            elsewhere = np.zeros(len(f.records), bool)
+            elsewhere[f.dealt.find(*told.get_records("full", PLACE))] = True
+            hit = starts[f.order[elsewhere[f.group] | (f.doc > f.records["id"][f.group])]]
             np.add.at(gone, hit, 1)
             np.subtract.at(gone, hit + full, 1)
         gone = np.cumsum(gone[:-1]) > 0
@@ -153,14 +159,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) ->
         for d, (at, size) in enumerate(zip(w.starts.tolist(), w.lens.tolist())):
             cut = gone[at : at + size]
             removed = int(cut.sum())
-            kept = b" ".join(x for x, c in zip(words[d], cut.tolist()) if not c) if removed else b" ".join(words[d])
+            words = texts[d].split()
+            kept = b" ".join(compress(words, (~cut).tolist()) if removed else words)
             rows.append((size, removed, hashlib.sha256(kept).hexdigest()))
             kept_words.append(kept.decode("utf-8", "replace") if keep_text else None)
         real = pa.array(ids, pa.int64(), mask=ids == B.LAST)
-        sizes, removed, digests = zip(*rows) if rows else ((), (), ())
-        return pa.table({"doc_id": real, "n_words": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(kept_words, pa.string())})
+        totals, removed, digests = zip(*rows) if rows else ((), (), ())
+        return pa.table({"doc_id": real, "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(kept_words, pa.string())})
 
-    return B.with_answers(blocks, answers.unionByName(found), output, SCHEMA)
+    return B.with_answers(blocks, found if answers is None else answers.unionByName(found), output, SCHEMA)
 
 
 def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
