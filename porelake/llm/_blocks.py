@@ -164,9 +164,10 @@ class Told(dict):
         return np.repeat(self[tag]["bucket"].to_numpy().astype(np.int64), n), records
 
 
-def send(blocks: DataFrame, answers: DataFrame | None, work: Callable, tag: str) -> DataFrame:
+def send(blocks: DataFrame, answers: DataFrame | None, work: Callable) -> DataFrame:
     """The rows that ``work(block, doc_ids, texts, told)`` gives for each block; where there are
-    answers, for the blocks that got some."""
+    answers, for the blocks that got some. They go straight into the shuffle of their one reader,
+    whose result is written; rows that are lost with an executor are made again from their blocks."""
     if answers is None:
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +175,8 @@ def send(blocks: DataFrame, answers: DataFrame | None, work: Callable, tag: str)
                 for block, payload in zip(b.column("block").to_pylist(), b.column("payload")):
                     yield from work(block, *unpack(payload.as_py()), Told()).to_batches()
 
-        return materialize(blocks.select("block", "payload").mapInArrow(scan, SENT), tag)
-    return materialize(with_answers(blocks, answers, lambda block, payload, told: work(block, *unpack(payload), told) if told else None, SENT), tag)
+        return blocks.select("block", "payload").mapInArrow(scan, SENT)
+    return with_answers(blocks, answers, lambda block, payload, told: work(block, *unpack(payload), told) if told else None, SENT)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable, schema: str) -> DataFrame:

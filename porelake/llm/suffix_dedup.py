@@ -253,12 +253,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, part: int = 26, hot: int =
     blocks, sizes = B.pack_blocks(docs, "suffixes")
     few, many = sizes.buckets(0.4), sizes.buckets()
     anchors = partial(_anchor_values, buckets=few, window=window, part=part, hot=hot)
-    shared = B.answer(B.send(blocks, None, anchors, "suffixes-anchors"), few, B.VALUE, B.shared_values, "anchors")
+    shared = B.answer(B.send(blocks, None, anchors), few, B.VALUE, B.shared_values, "anchors")
 
     def contexts(ids, texts, told) -> Contexts:
         return Contexts(ids, texts, B.Filter(told, "anchors", few), many, window, part)
 
-    sent = B.send(blocks, shared, lambda block, ids, texts, told: contexts(ids, texts, told).sent(block), "suffixes-contexts")
+    sent = B.send(blocks, shared, lambda block, ids, texts, told: contexts(ids, texts, told).sent(block))
     ranges = B.answer(sent, many, CONTEXT, partial(_compare, window=window), "ranges")
 
     def output(block: int, payload: bytes, told: B.Told) -> pa.Table:

@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, sh
             runs = B.changes(least, doc)
             return B.send_values(block, least[runs], doc[runs], few)
 
-        answers = B.answer(B.send(blocks, answers, candidates, f"windows-{length}"), few, B.VALUE, B.shared_values, str(length))
+        answers = B.answer(B.send(blocks, answers, candidates), few, B.VALUE, B.shared_values, str(length))
         last = length
 
     def survivors(block, ids, texts, told) -> pa.Table:
@@ -140,7 +140,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, sh
         found = Full(w, ids, starts, full, many)
         return found.dealt.sent(block, found.records)
 
-    found = B.answer(B.send(blocks, answers, survivors, "windows-full"), many, FULL, _smallest, "full")
+    found = B.answer(B.send(blocks, answers, survivors), many, FULL, _smallest, "full")
 
     def output(block: int, payload: bytes, told: B.Told) -> pa.Table:
         ids, texts = B.unpack(payload)
