@@ -17,8 +17,11 @@ def metrics(m: Column, i: Column, d: Column, nm: Column) -> dict[str, Column]:
     return {"aligned": aligned, "correct": aligned - nm, "accuracy": (aligned - nm) / aligned, "identity": (aligned - nm) / m, "information": m * info}
 
 
-def of_sam(sam: DataFrame, min_coverage: float = 0.6) -> DataFrame:
-    """Measures of the mapped primary records of a SAM table; their coverage is at least min_coverage."""
+def of_sam(sam: DataFrame, min_coverage: float = 0.6, read_ids: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
+    """Measures of the mapped primary records of a SAM table; their coverage is at least min_coverage.
+    Where given, only records of ``read_ids`` (qname), and of ``references`` (rname)."""
+    for known, key in ((read_ids, "qname"), (references, "rname")):
+        sam = sam if known is None else sam.join(known.select(key), key, "left_semi")
     m, i, d, clip = (cigar_total(F.col("cigar"), op) for op in "MIDS")
     rows = sam.where(F.col("flag").isin(0, 16) & (F.col("cigar") != "*")).select("qname", "rname", "flag", "pos", m.alias("m"), i.alias("i"), d.alias("d"), clip.alias("clip"), F.regexp_extract("tags", r"NM:i:(\d+)", 1).cast("long").alias("nm"))
     coverage = (F.col("m") + F.col("i")) / (F.col("m") + F.col("i") + F.col("clip"))
@@ -26,8 +29,9 @@ def of_sam(sam: DataFrame, min_coverage: float = 0.6) -> DataFrame:
     return rows.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage).withColumns(found)
 
 
-def summary(df: DataFrame, accuracy: str = "accuracy", by: list[str] | None = None) -> DataFrame:
-    """Mean, percentiles and counts of accuracies."""
+def summary(df: DataFrame, accuracy: str = "accuracy", by: list[str] | None = None, read: str | None = None) -> DataFrame:
+    """Mean, percentiles and counts of accuracies; with the column of the read also how many reads are
+    mapped, and their information in millions of bits."""
     a = F.col(accuracy)
     return df.groupBy(*(by or [])).agg(
         F.count("*").alias("n"),
@@ -35,6 +39,7 @@ def summary(df: DataFrame, accuracy: str = "accuracy", by: list[str] | None = No
         *[F.percentile(a, F.lit(p / 100)).alias(f"q{p}") for p in (5, 25, 50, 75, 95)],
         F.avg(F.when(a > 0.9, 1.0).otherwise(0.0)).alias("frac_over_90"),
         F.count_if(a > 0.9).alias("n_over_90"),
+        *([F.countDistinct(read).alias("n_mapped"), (F.sum("information") / 1e6).alias("ci_score")] if read else []),
     )
 
 

@@ -24,8 +24,15 @@ def stitch_bounds(chunks: DataFrame, stride: int, by: str = "read_id", path: boo
     lo = F.when(last_end.isNull(), F.floor(F.col("start") / stride)).otherwise(F.floor((last_end - F.col("start")) / (2 * stride)))
     hi = F.when(next_start.isNull(), F.floor((F.col("end") - F.col("start")) / stride)).otherwise(F.floor((F.col("end") + next_start - 2 * F.col("start")) / (2 * stride)))
     one = F.lit(1 if path else 0)
-    first, final = last_end.isNull(), next_start.isNull()
-    return chunks.withColumn("lo", (lo + F.when(first, 0).otherwise(one)).cast("long")).withColumn("hi", (hi + F.when(final & ~first, one).when(first & final, one).otherwise(one)).cast("long"))
+    return chunks.withColumn("lo", (lo + F.when(last_end.isNull(), 0).otherwise(one)).cast("long")).withColumn("hi", (hi + one).cast("long"))
+
+
+def stitch(outputs: DataFrame, stride: int, by: str = "read_id", path: bool = False, out: str = "out") -> DataFrame:
+    """(by, t, value): the outputs of a read's overlapping chunks as one. outputs: (by, start, end,
+    out array), one row a chunk. Chunks are cut where they lie; only their steps are numbered by read."""
+    kept = stitch_bounds(outputs, stride, by, path)
+    steps = kept.select(by, "start", "end", F.posexplode(F.slice(out, (F.col("lo") + 1).cast("int"), F.greatest(F.col("hi") - F.col("lo"), F.lit(0)).cast("int"))).alias("k", "value"))
+    return steps.select(by, (F.row_number().over(Window.partitionBy(by).orderBy("start", "end", "k")) - 1).cast("long").alias("t"), "value")
 
 
 def _settled(rows: DataFrame, **cols: Column) -> DataFrame:
@@ -86,5 +93,23 @@ def sample_attempts(n_reads: int, wanted: int, min_pass: float, seed: int, spark
     return spark.range(tries).select(F.col("id").alias("attempt"), F.pmod(F.floor(mixed / 65536), F.lit(n_reads)).alias("pick"))
 
 
+def random_batches(spark, batches: int, n_reads: int, shortest: int, longest: int, stride: int, least: int, seed: int) -> DataFrame:
+    """(batch, chunk_len, slot, pick): every batch draws a chunk length between the shortest and the
+    longest, cut to a multiple of the stride, and as many chunks as make it as large as ``least`` chunks
+    of the longest one. Draws are congruences of their numbers, so that any engine draws the same."""
+
+    def drawn(x: Column, salt: int) -> Column:
+        mixed = F.pmod(F.pmod(x * 1103515245 + 12345 + salt, F.lit(2147483648)) * 1103515245 + 12345, F.lit(2147483648))
+        return F.floor(mixed / 65536)
+
+    length = F.floor((F.pmod(drawn(F.col("id"), seed), F.lit(longest - shortest + 1)) + shortest) / stride) * stride
+    rows = spark.range(batches).select(F.col("id").alias("batch"), length.alias("chunk_len"))
+    size = F.floor(F.lit(float(least)) * longest / F.col("chunk_len") + 0.5)
+    slots = rows.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
+    return slots.withColumn("pick", F.pmod(drawn(F.col("batch") * 64 + F.col("slot"), seed + 1), F.lit(n_reads)))
+
+
 def reject_tally(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy(F.coalesce("reject_reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
+    """(reason, n, place), the most common first."""
+    n = chunks.groupBy(F.coalesce("reject_reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "reason")))  # a few reasons

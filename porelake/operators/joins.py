@@ -23,25 +23,29 @@ def hold_out(reads: DataFrame, held: DataFrame, key: str = "read_id") -> DataFra
     return reads.join(held.select(key), key, "left_anti")
 
 
-def first_file_wins(files: list[DataFrame], key: str = "read_id", limit: int | None = None) -> DataFrame:
-    """Union of files in which an id of an earlier file hides it in later ones."""
-    parts = []
+def first_file_wins(files: list[DataFrame], key: str = "read_id", limit: int | None = None, seed: int = 0) -> DataFrame:
+    """Union of files in which an id of an earlier file hides it in later ones. With a limit, so many
+    of each file's ids that no earlier file gave, in the order of a hash."""
+    every = None
     for n, f in enumerate(files):
         part = f.withColumn("file_no", F.lit(n))
-        parts.append(part.orderBy(key).limit(limit) if limit is not None else part)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+        if limit is not None:
+            fresh = part if every is None else part.join(every.select(key), key, "left_anti")
+            part = fresh.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(limit)
+        every = part if every is None else every.unionByName(part)
+    if limit is not None:
+        return every
     return every.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("file_no"))).where("_n = 1").drop("_n")
 
 
-def remap_guard(has_ref: Column, ref_len: Column, max_len: int, has_params: Column, readable: Column) -> Column:
+def remap_guard(has_ref: Column, ref_len: Column, max_len: int, has_params: Column, readable: Column, called: Column) -> Column:
     """Outcome of a remapping job, checked cheapest first."""
     return (
         F.when(~has_ref, "No reference found")
         .when(ref_len > max_len, "Reference too long")
         .when(~has_params, "No read parameters")
         .when(~readable, "Read error")
+        .when(~called, "Network error")
         .otherwise("Success")
     )
 
@@ -70,12 +74,19 @@ def convert_codes(codes: Column, table: list[int]) -> Column:
     return F.transform(codes, lambda c: F.element_at(lookup, (c + 1).cast("int")))
 
 
-def alphabet_conflicts(mods: DataFrame) -> DataFrame:
-    """(mod, n_canonical, n_names, conflict) over the alphabets of several files: a modified base
-    may have one canonical base and one long name only."""
-    return mods.groupBy("mod").agg(F.countDistinct("canonical").alias("n_canonical"), F.countDistinct("long_name").alias("n_names")).withColumn("conflict", (F.col("n_canonical") > 1) | (F.col("n_names") > 1))
+def coordinate_windows(coordinates: DataFrame, references: DataFrame, down: int, up: int, key: str = "read_id", pos: str = "pos", seq: str = "seq") -> DataFrame:
+    """Coordinates with ``fragment``: ``down`` bases before the position and ``up`` from it on. Those
+    without a reference, or whose window leaves it, drop out."""
+    at = coordinates.join(references.select(key, seq), key).where((F.col(pos) >= down) & (F.col(pos) + up <= F.length(seq)))
+    return at.withColumn("fragment", F.substring(F.col(seq), (F.col(pos) - down + 1).cast("int"), F.lit(down + up))).drop(seq)
 
 
-def sort_alphabet(mods: DataFrame) -> DataFrame:
-    """Rows of an alphabet by canonical base, then code."""
-    return mods.withColumn("position", F.row_number().over(Window.orderBy("canonical", "code")) - 1)  # an alphabet is a few rows
+def position_logodds(fragments: DataFrame, references: DataFrame, down: int, alphabet: str = "ACGT", seq: str = "seq") -> DataFrame:
+    """(pos, base, n, logodds): share of each base at each place of the fragments over its share in
+    the references."""
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    counts = references.agg(*[F.sum(F.length(seq) - F.length(F.replace(F.col(seq), F.lit(b), F.lit("")))).alias(b) for b in alphabet])
+    background = counts.select(F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n")) for b in alphabet])).alias("x"), sum((F.col(b) for b in alphabet), F.lit(0)).alias("total")).select("x.base", (F.col("x.n") / F.col("total")).alias("share"))
+    at = fragments.select(F.posexplode(letters(F.col("fragment"))).alias("k", "base")).groupBy((F.col("k") - down).alias("pos"), "base").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("pos"))  # one row a base
+    return at.withColumn("found", share).join(F.broadcast(background), "base").select("pos", "base", "n", F.ln(F.col("found") / F.col("share")).alias("logodds"))  # one row a base

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from porelake.operators.paths import let, logsumexp
+
 
 def _array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
@@ -27,9 +29,7 @@ def feed_forward(x: Column, weights: np.ndarray, bias: np.ndarray, f: Callable[[
 
 
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    norm = top + F.ln(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
-    return F.transform(x, lambda v: v - norm)
+    return let(x, lambda c: let(logsumexp(c), lambda z: F.transform(c, lambda v: v - z)))
 
 
 def residual(x: Column, fx: Column) -> Column:
@@ -89,6 +89,26 @@ def up_sample(df: DataFrame, n: int, by: str = "read_id", t: str = "t", x: str =
     return df.select(by, F.col(t).alias("_t"), F.col(x).alias("_x"), size.alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k")).select(by, (F.col("_t") * n + F.col("_k")).alias(t), F.slice("_x", F.col("_k") * F.col("_s") + 1, F.col("_s")).alias(x))
 
 
+def down_up_sample(df: DataFrame, layer: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """A layer over every n steps as one, its output spread over n steps again."""
+    return up_sample(layer(down_sample(df, n)), n)
+
+
+def bidirectional(df: DataFrame, forward: Callable[[DataFrame], DataFrame], backward: Callable[[DataFrame], DataFrame], by: str = "read_id", t: str = "t", x: str = "x") -> DataFrame:
+    """The features of a layer over the steps, and of one over the steps from the last to the first."""
+    later = reverse_time(backward(reverse_time(df, by, t)), by, t).withColumnRenamed(x, "_back")
+    return forward(df).join(later, [by, t]).select(by, t, parallel(F.col(x), F.col("_back")).alias(x))
+
+
+def squiggle_rows(df: DataFrame, alphabet: str, by: str = "read_id", t: str = "t", x: str = "x") -> DataFrame:
+    """(by, t, i, base, current, sd, dwell): three features a base are its level, the log of its
+    spread and the log of the rate at which it is left."""
+    at = lambda k: F.element_at(x, (3 * F.col("i") + k + 1).cast("int"))
+    rows = df.select(by, t, x, F.explode(F.sequence(F.lit(0), F.floor(F.size(x) / 3).cast("int") - 1)).alias("i"))
+    base = F.substring(F.lit(alphabet), (F.col("i") % len(alphabet)).cast("int") + 1, F.lit(1))
+    return rows.select(by, t, "i", base.alias("base"), at(0).alias("current"), F.exp(at(1)).alias("sd"), F.exp(-at(2)).alias("dwell"))
+
+
 def convolution(df: DataFrame, kernel: np.ndarray, bias: np.ndarray, f: Callable[[Column], Column], stride: int = 1, by: str = "read_id", t: str = "t", x: str = "x") -> DataFrame:
     """kernel (out, in, width), zero padded by width // 2 before and (width - 1) // 2 after."""
     w = Window.partitionBy(by).orderBy(t)

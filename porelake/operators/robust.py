@@ -12,14 +12,57 @@ MAD_FACTOR = 1.4826
 def med_mad(df: DataFrame, value: str, by: list[str], factor: float = MAD_FACTOR) -> DataFrame:
     """(by, med, mad) in two aggregations; only medians are joined back. Without ``by`` one row."""
     if not by:
-        med = df.agg(F.median(value).alias("med"))
-        off = df.crossJoin(F.broadcast(med))  # one row
-        return off.agg(F.first("med").alias("med"), (factor * F.median(F.abs(F.col(value) - F.col("med")))).alias("mad"))
+        (med,) = exact_quantiles(df, F.col(value), [0.5])
+        (off,) = exact_quantiles(df, F.abs(F.col(value) - F.lit(med)), [0.5])
+        return df.sparkSession.range(1).select(F.lit(med).cast("double").alias("med"), F.lit(None if off is None else factor * off).cast("double").alias("mad"))
     med = F.median(value).over(Window.partitionBy(*by))
     off = df.select(*by, F.col(value), med.alias("med"))
     return off.groupBy(*by).agg(F.first("med").alias("med"), (factor * F.median(F.abs(F.col(value) - F.col("med")))).alias("mad"))
 
 
+def exact_quantiles(df: DataFrame, value: Column, qs: list[float], bins: int = 4096, most: int = 65_536) -> list[float | None]:
+    """Exact quantiles of a whole table (linear between neighbours; None of no values). Values are
+    counted in equal ranges; the range that holds a rank is counted again in finer ones until few
+    different values are left. So no task and not the driver ever holds all values."""
+    rows = df.select(value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    lo, hi, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return [None] * len(qs)
+    found: dict[int, float] = {}
+
+    def look(part: DataFrame, lo: float, hi: float, size: int, ranks: list[int], before: int) -> None:
+        width = (hi - lo) / bins
+        if lo == hi or width == 0 or lo + width == lo:
+            counts = [(r.v, r.n) for r in part.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()]  # values side by side
+        elif size <= most:
+            counts = [(r.v, r.n) for r in part.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()]  # at most ``most``
+        else:
+            at = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+            for r in part.groupBy(at.alias("k")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k").collect():  # at most ``bins`` rows
+                inside = [x for x in ranks if before <= x < before + r.n]
+                if inside:
+                    look(part.where((F.col("v") >= r.lo) & (F.col("v") <= r.hi)), r.lo, r.hi, r.n, inside, before)
+                before += r.n
+            return
+        for v, m in counts:
+            found.update({x: v for x in ranks if before <= x < before + m})
+            before += m
+
+    places = [q * (n - 1) for q in qs]
+    look(rows, lo, hi, n, sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))}), 0)
+    return [found[int(p)] + (p - int(p)) * (found[min(int(p) + 1, n - 1)] - found[int(p)]) for p in places]
+
+
+def ranks(df: DataFrame, key: str, size: int = 4096) -> tuple[DataFrame, int]:
+    """The rows with ``rank``, their place by an integer key that no two share, and how many there
+    are. Ranges of keys are numbered apart, after the rows of the ranges before."""
+    ranged = df.withColumn("_range", F.floor(F.col(key) / size))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_m"))
+    before = before.select("_range", (F.sum("_m").over(Window.orderBy("_range")) - F.col("_m")).alias("_before"))  # one row a range
+    at = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return ranged.join(before, "_range").withColumn("rank", at).drop("_range", "_before"), df.count()
+
+
 def logsumexp(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, lse), the maximum taken out first."""
     top = F.max(value).over(Window.partitionBy(*by))

@@ -64,6 +64,7 @@ M = (
 )
 
 
-def score_rows(spark: SparkSession, sf_dir: str, n: int = 40, steps: int = 10) -> DataFrame:
-    """(read_id, t, scores): ten vectors in a row are the steps of a read."""
+def score_rows(spark: SparkSession, sf_dir: str, n: int = 60, steps: int = 10) -> DataFrame:
+    """(read_id, t, scores): ten vectors in a row are the steps of a read; 60 of their 64 components
+    are the transition scores of five bases."""
     return read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / steps).cast("long").alias("read_id"), (F.col("vec_id") % steps).cast("long").alias("t"), F.transform(F.slice("embedding", 1, n), lambda v: v.cast("double")).alias("scores"))

@@ -48,12 +48,12 @@ def alignment_metrics(spark, sf_dir):
     return alignments(spark, sf_dir).select("l_orderkey", "l_linenumber", "aligned", "correct", F.round("accuracy", 9).alias("accuracy"), F.round("identity", 9).alias("identity"), F.round("information", 6).alias("information"))
 
 
-SUMMARY = "count(*) AS n, round(avg(accuracy), 6) AS mean, " + ", ".join(f"round(quantile_cont(accuracy, {p / 100}), 6) AS q{p}" for p in (5, 25, 50, 75, 95)) + ", round(avg(CASE WHEN accuracy > 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS frac_over_90, count(*) FILTER (accuracy > 0.9::DOUBLE) AS n_over_90"
+SUMMARY = "count(*) AS n, round(avg(accuracy), 6) AS mean, " + ", ".join(f"round(quantile_cont(accuracy, {p / 100}), 6) AS q{p}" for p in (5, 25, 50, 75, 95)) + ", round(avg(CASE WHEN accuracy > 0.9::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) AS frac_over_90, count(*) FILTER (accuracy > 0.9::DOUBLE) AS n_over_90, count(DISTINCT l_orderkey) AS n_mapped, round(sum(m * (2 + (1 - perr) * log2(1 - perr) + CASE WHEN nm > 0 THEN perr * log2(perr / 3) ELSE 0 END)) / 1e6, 6) AS ci_score"
 
 
 @query("accuracy_summary", A + f" SELECT l_linenumber, {SUMMARY} FROM v GROUP BY l_linenumber")
 def accuracy_summary(spark, sf_dir):
-    s = alignment.summary(alignments(spark, sf_dir), by=["l_linenumber"])
+    s = alignment.summary(alignments(spark, sf_dir), by=["l_linenumber"], read="l_orderkey")
     return s.select("l_linenumber", *[F.round(c, 6).alias(c) if s.schema[c].dataType.typeName() == "double" else F.col(c) for c in s.columns[1:]])
 
 

@@ -56,7 +56,9 @@ def label_composition(spark, sf_dir):
 
 @query("read_metrics", M + " SELECT median(len(reference)) AS reflen, median(siglen) AS siglen, count(*) AS n FROM m")
 def read_metrics(spark, sf_dir):
-    return mapped_reads(spark, sf_dir).agg(F.median(F.size("reference")).alias("reflen"), F.median(F.size("dacs")).alias("siglen"), F.count("*").alias("n"))
+    reads = mapped_reads(spark, sf_dir).select(F.size("reference").alias("r"), F.size("dacs").alias("s"))
+    (r,), (s,) = (robust.exact_quantiles(reads, F.col(c), [0.5]) for c in "rs")
+    return reads.agg(F.lit(r).alias("reflen"), F.lit(s).alias("siglen"), F.count("*").alias("n"))
 
 
 @query("path_to_signal_map", S + """, k AS (SELECT read_id, code, t * 2 - 1 + 3 AS loc, t, count(*) OVER (PARTITION BY read_id) * 2 AS siglen FROM s WHERE code <> 4)
@@ -102,6 +104,28 @@ def stitch_bounds(spark, sf_dir):
     return chunks.stitch_bounds(chunk_windows(spark, sf_dir), 5)
 
 
+STITCHED = WINDOWS + """, b AS (SELECT read_id, start, "end", lag("end") OVER w AS pe, lead(start) OVER w AS ns FROM c WINDOW w AS (PARTITION BY read_id ORDER BY start, "end")),
+  k AS (SELECT read_id, start, "end", unnest(range(CASE WHEN pe IS NULL THEN start // 5 ELSE (pe - start) // 10 + {0} END, CASE WHEN ns IS NULL THEN ("end" - start) // 5 ELSE ("end" + ns - 2 * start) // 10 END + {0})) AS k FROM b)
+  SELECT read_id, row_number() OVER (PARTITION BY read_id ORDER BY start, "end", k) - 1 AS t, CAST(start + 5 * k AS INTEGER) AS value FROM k WHERE k < ("end" - start) // 5 + {0}"""
+
+
+def _stitched(spark, sf_dir, path):
+    """Every step of a chunk's output says at which sample it stands."""
+    steps = F.floor((F.col("end") - F.col("start")) / 5).cast("int") - (0 if path else 1)
+    out = F.when(steps >= 0, F.transform(F.sequence(F.lit(0), steps), lambda k: F.col("start") + 5 * k)).otherwise(F.array().cast("array<int>"))
+    return chunks.stitch(chunk_windows(spark, sf_dir).withColumn("out", out), 5, path=path)
+
+
+@query("stitch_outputs", STITCHED.format(0))
+def stitch_outputs(spark, sf_dir):
+    return _stitched(spark, sf_dir, False)
+
+
+@query("stitch_paths", STITCHED.format(1))
+def stitch_paths(spark, sf_dir):
+    return _stitched(spark, sf_dir, True)
+
+
 FIXED = M + """, g AS (SELECT read_id, dacs, r2s, siglen, list_filter(r2s, lambda v: v >= 0 AND v <= siglen)[1] AS d0, list_filter(r2s, lambda v: v >= 0 AND v <= siglen)[-1] AS d1, CAST(read_id % 30 AS INTEGER) AS s FROM m),
   x AS (SELECT *, s + d0 AS start_sample, CASE WHEN d1 = 0 THEN 'nullmapping' WHEN d1 - d0 - 40 <= 0 OR s >= d1 - d0 - 40 THEN 'tooshort' END AS reason FROM g),
   y AS (SELECT *, CASE WHEN reason IS NULL THEN len(list_filter(r2s, lambda v: v <= start_sample)) - 1 END AS r0, CASE WHEN reason IS NULL THEN len(list_filter(r2s, lambda v: v < start_sample + 40)) END AS r1 FROM x),
@@ -146,7 +170,7 @@ def chunk_filter_reasons(spark, sf_dir):
     return _filtered(spark, sf_dir)[0].select("read_id", F.coalesce("reject_reason", F.lit("pass")).alias("reason"))
 
 
-@query("reject_tally", FIXED + PARAMS + f" SELECT {REASON} AS reason, count(*) AS n FROM z, pr GROUP BY 1")
+@query("reject_tally", FIXED + PARAMS + f" SELECT {REASON} AS reason, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, {REASON}) AS INTEGER) AS place FROM z, pr GROUP BY 1")
 def reject_tally(spark, sf_dir):
     return chunks.reject_tally(_filtered(spark, sf_dir)[0])
 
@@ -157,3 +181,11 @@ def squiggle_boxes(spark, sf_dir):
     b = mapping.align_bases(mapped_reads(spark, sf_dir))
     w = Window.partitionBy("read_id").orderBy("i")
     return b.select("read_id", "i", F.round(F.sum("dwell").over(w) - F.col("dwell") / 2, 6).alias("centre"))
+
+
+@query("chunk_dwell_percentiles", FIXED + ", p AS (SELECT 40 / (seq_len + 1e-8::DOUBLE) AS mean_dwell, max_dwell FROM z WHERE reason IS NULL) SELECT q, round(quantile_cont(mean_dwell, q / 100.0::DOUBLE), 6) AS mean_dwell, quantile_cont(max_dwell, q / 100.0::DOUBLE) AS max_dwell FROM p, (SELECT unnest([5, 25, 50, 75, 95]) AS q) GROUP BY q".replace("quantile_cont(mean_dwell, q / 100.0::DOUBLE)", "CASE q WHEN 5 THEN quantile_cont(mean_dwell, 0.05) WHEN 25 THEN quantile_cont(mean_dwell, 0.25) WHEN 50 THEN quantile_cont(mean_dwell, 0.5) WHEN 75 THEN quantile_cont(mean_dwell, 0.75) ELSE quantile_cont(mean_dwell, 0.95) END").replace("quantile_cont(max_dwell, q / 100.0::DOUBLE)", "round(CASE q WHEN 5 THEN quantile_cont(max_dwell, 0.05) WHEN 25 THEN quantile_cont(max_dwell, 0.25) WHEN 50 THEN quantile_cont(max_dwell, 0.5) WHEN 75 THEN quantile_cont(max_dwell, 0.75) ELSE quantile_cont(max_dwell, 0.95) END, 6)"))
+def chunk_dwell_percentiles(spark, sf_dir):
+    c = _chunks(spark, sf_dir).where("reject_reason IS NULL").select(chunks.mean_dwell(F.col("sig_len"), F.col("seq_len")).alias("mean_dwell"), "max_dwell")
+    qs = (5, 25, 50, 75, 95)
+    found = zip(qs, *(robust.exact_quantiles(c, F.col(x), [q / 100 for q in qs]) for x in ("mean_dwell", "max_dwell")))
+    return spark.createDataFrame([(q, round(a, 6), round(b, 6)) for q, a, b in found], "q int, mean_dwell double, max_dwell double")

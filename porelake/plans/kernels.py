@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from porelake.catalog import query
 from porelake.operators import kernels as K
+from porelake.operators import paths as P
 from porelake.plans._bind import read, score_rows
 
 
@@ -20,13 +21,18 @@ def _lse(x: str) -> str:
     return f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda u: exp(u - list_max({x}))))))"
 
 
-INTO_FLIP = "list_transform(range(8), lambda k: v[k + 1] + x[8 * s + k + 1])"
-INTO_FLOP = "[v[s - 3] + x[29 + s], v[s + 1] + x[33 + s]]"
-STEPS = "WITH RECURSIVE e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding[1:40], lambda z: z::DOUBLE) AS x FROM embeddings)"
+NB = 5  # bases of the transition scores
+INTO_FLIP = f"list_transform(range({2 * NB}), lambda k: v[k + 1] + x[{2 * NB} * s + k + 1])"
+INTO_FLOP = f"[v[s - {NB - 1}] + x[{2 * NB * NB - NB + 1} + s], v[s + 1] + x[{2 * NB * NB + 1} + s]]"
+STEPS = "WITH RECURSIVE e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding[1:60], lambda z: z::DOUBLE) AS x FROM embeddings)"
+
+
+def _begin(flop: str) -> str:
+    return f"[{', '.join(['0'] * NB + [flop] * NB)}]"
 
 
 def _forward(start: str) -> str:
-    step = f"list_transform(range(8), lambda s: CASE WHEN s < 4 THEN {_lse(INTO_FLIP)} ELSE {_lse(INTO_FLOP)} END)"
+    step = f"list_transform(range({2 * NB}), lambda s: CASE WHEN s < {NB} THEN {_lse(INTO_FLIP)} ELSE {_lse(INTO_FLOP)} END)"
     return STEPS + f""", f AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {start}::DOUBLE[] AS v FROM e
   UNION ALL SELECT f.read_id, f.t + 1, {step} FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t),
   z AS (SELECT read_id, max(t) AS n, {_lse('arg_max(v, t)')} AS log_z FROM f GROUP BY read_id)"""
@@ -34,86 +40,116 @@ def _forward(start: str) -> str:
 
 VITERBI = (
     STEPS
-    + f""", f AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, [0,0,0,0,-1e30,-1e30,-1e30,-1e30]::DOUBLE[] AS v,
-    list_transform(range(8), lambda s: [s]) AS p FROM e
+    + f""", f AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {_begin('-1e30')}::DOUBLE[] AS v,
+    list_transform(range({2 * NB}), lambda s: [s]) AS p FROM e
   UNION ALL SELECT f.read_id, f.t + 1,
-    list_transform(range(8), lambda s: CASE WHEN s < 4 THEN list_max({INTO_FLIP}) ELSE list_max({INTO_FLOP}) END),
-    list_transform(range(8), lambda s: list_append(CASE WHEN s < 4 THEN p[list_position({INTO_FLIP}, list_max({INTO_FLIP}))]
-      WHEN v[s - 3] + x[29 + s] >= v[s + 1] + x[33 + s] THEN p[s - 3] ELSE p[s + 1] END, s))
+    list_transform(range({2 * NB}), lambda s: CASE WHEN s < {NB} THEN list_max({INTO_FLIP}) ELSE list_max({INTO_FLOP}) END),
+    list_transform(range({2 * NB}), lambda s: list_append(CASE WHEN s < {NB} THEN p[list_position({INTO_FLIP}, list_max({INTO_FLIP}))]
+      WHEN v[s - {NB - 1}] + x[{2 * NB * NB - NB + 1} + s] >= v[s + 1] + x[{2 * NB * NB + 1} + s] THEN p[s - {NB - 1}] ELSE p[s + 1] END, s))
   FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t),
   b AS (SELECT read_id, arg_max(p, t) AS p, arg_max(v, t) AS v FROM f GROUP BY read_id)
   SELECT read_id, CAST(i AS BIGINT) AS t, CAST(p[list_position(v, list_max(v))][i + 1] AS BIGINT) AS state FROM (SELECT *, unnest(range(len(p[1]))) AS i FROM b)"""
 )
 
 
+def _steps(spark, sf_dir):
+    return P.steps_of(score_rows(spark, sf_dir))
+
+
+def _once(df, **cols):
+    """Columns that later ones refer to, computed once: a generator is not folded into them."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("_x")).select(*df.columns, "_x.*")
+
+
 @query("viterbi_decode", VITERBI)
 def viterbi_decode(spark, sf_dir):
-    def kernel(x):
-        path = K.viterbi(x)
-        return {"t": np.arange(len(path)), "state": path.astype(np.int64)}
-
-    return K.per_read(score_rows(spark, sf_dir), kernel, "t long, state long")
+    path = P.viterbi(F.col("steps"), NB)
+    return _steps(spark, sf_dir).select("read_id", F.posexplode(path).alias("t", "state")).select("read_id", F.col("t").cast("long").alias("t"), F.col("state").cast("long").alias("state"))
 
 
-@query("log_partition", _forward("[0,0,0,0,-50000,-50000,-50000,-50000]") + " SELECT read_id, round(log_z, 6) AS log_z, round(log_z / n, 6) AS per_step FROM z")
+@query("log_partition", _forward(_begin("-50000")) + " SELECT read_id, round(log_z, 6) AS log_z, round(log_z / n, 6) AS per_step FROM z")
 def log_partition(spark, sf_dir):
-    return K.per_read(score_rows(spark, sf_dir), lambda x: {"log_z": [round(K.log_partition(x), 6)], "per_step": [round(K.log_partition(x) / len(x), 6)]}, "log_z double, per_step double")
+    z = _once(_steps(spark, sf_dir), z=P.log_partition(F.col("steps"), NB, P.start(NB)))
+    return z.select("read_id", F.round("z", 6).alias("log_z"), F.round(F.col("z") / F.size("steps"), 6).alias("per_step"))
 
 
-@query("forward_backward", _forward("[0,0,0,0,0,0,0,0]") + " SELECT read_id, unnest(range(n + 1)) AS t, round(log_z, 6) AS total FROM z")
-def forward_backward(spark, sf_dir):
-    def kernel(x):
-        a = K.dense(x)
-        f, b = K.forward(a, np.zeros(a.shape[1])), K.backward(a)
-        return {"t": np.arange(len(f)), "total": np.round(K.lse(f + b, 1), 6)}
+@query("global_normalise", _forward(_begin("-50000")) + ", g AS (SELECT e.read_id, e.t, list_transform(x, lambda s: s - log_z / n) AS y FROM e JOIN z USING (read_id)) SELECT read_id, t, round(list_sum(y), 6) AS total, round(y[1], 6) AS first, round(y[60], 6) AS last FROM g")
+def global_normalise(spark, sf_dir):
+    """Transition scores less the log partition a step: the weights of all paths then sum to 1."""
+    z = _once(_steps(spark, sf_dir), z=P.log_partition(F.col("steps"), NB, P.start(NB)))
+    y = z.select("read_id", F.posexplode(P.normalised(F.col("steps"), F.col("z"))).alias("t", "y"))
+    return y.select("read_id", F.col("t").cast("long").alias("t"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.col("y")[0], 6).alias("first"), F.round(F.element_at("y", -1), 6).alias("last"))
 
-    return K.per_read(score_rows(spark, sf_dir), kernel, "t long, total double")
+
+@query("forward_backward", _forward(_begin("0")) + " SELECT read_id, unnest(range(n + 1)) AS t, round(log_z, 6) AS total FROM z")
+def forward_backward(spark, sf_dir):
+    """Forward and backward weights meet in the same total at every step."""
+    both = _once(_steps(spark, sf_dir), f=P.forward(F.col("steps"), NB, P.start(NB, 0.0)), b=P.backward(F.col("steps"), NB))
+    total = F.zip_with("f", "b", lambda f, b: P.logsumexp(F.zip_with(f, b, lambda x, y: x + y)))
+    return both.select("read_id", F.posexplode(total).alias("t", "total")).select("read_id", F.col("t").cast("long").alias("t"), F.round("total", 6).alias("total"))
+
+
+def _posteriors(spark, sf_dir):
+    """(read_id, steps, post)"""
+    rows = _once(_steps(spark, sf_dir), f=P.forward(F.col("steps"), NB, P.start(NB)), b=P.backward(F.col("steps"), NB))
+    return _once(rows, post=P.posterior(F.col("steps"), NB, F.col("f"), F.col("b"), P.logsumexp(F.element_at("f", -1)))).drop("f", "b")
+
+
+# forward and backward vectors of the same recursion, and the probabilities they give
+POSTERIOR = (
+    _forward(_begin("-50000"))
+    + f""", g AS (SELECT read_id, max(t) AS t, list_transform(range({2 * NB}), lambda s: 0.0::DOUBLE) AS v FROM f GROUP BY read_id
+  UNION ALL SELECT g.read_id, g.t - 1, list_transform(range({2 * NB}), lambda s: {_lse(f"list_append(list_transform(range({NB}), lambda b: x[{2 * NB} * b + s + 1] + v[b + 1]), x[{2 * NB * NB} + s + 1] + v[{NB} + s % {NB} + 1])")})
+  FROM g JOIN e ON e.read_id = g.read_id AND e.t = g.t - 1),
+  p AS (SELECT e.read_id, e.t, list_transform(range({2 * NB * (NB + 1)}), lambda i: exp(f.v[i % {2 * NB} + 1] + x[i + 1] + g.v[CASE WHEN i < {2 * NB * NB} THEN i // {2 * NB} ELSE {NB} + i % {NB} END + 1] - log_z)) AS p
+    FROM e JOIN f ON f.read_id = e.read_id AND f.t = e.t JOIN g ON g.read_id = e.read_id AND g.t = e.t + 1 JOIN z ON z.read_id = e.read_id)"""
+)
 
 
-@query("posterior_trans")
+@query("posterior_trans", POSTERIOR + " SELECT read_id, t, list_position(p, list_max(p)) - 1 AS best, round(list_max(p), 6) AS p, round(list_sum(p), 6) AS total FROM p")
 def posterior_trans(spark, sf_dir):
     """Most probable transition of each step, its probability and the sum over all (1)."""
-
-    def kernel(x):
-        p = K.posterior(x)
-        return {"t": np.arange(len(p)), "best": p.argmax(1), "p": np.round(p.max(1), 6), "total": np.round(p.sum(1), 6)}
-
-    return K.per_read(score_rows(spark, sf_dir), kernel, "t long, best long, p double, total double")
+    p = _posteriors(spark, sf_dir).select("read_id", F.posexplode("post").alias("t", "p"))
+    return p.select("read_id", F.col("t").cast("long").alias("t"), (F.array_position("p", F.array_max("p")) - 1).cast("long").alias("best"), F.round(F.array_max("p"), 6).alias("p"), F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@query("errprobs_from_trans")
+@query("errprobs_from_trans", POSTERIOR.replace("WITH RECURSIVE", "WITH RECURSIVE vit AS (" + VITERBI.replace("WITH RECURSIVE e", "WITH RECURSIVE e") + "),", 1) + f""", c AS (SELECT p.read_id, p.t + 1 AS t, p, state % {NB} AS b FROM p JOIN vit ON vit.read_id = p.read_id AND vit.t = p.t + 1)
+  SELECT read_id, t, round(1 - (list_sum(p[{2 * NB} * b + 1 : {2 * NB} * b + {2 * NB}]) + p[{2 * NB * NB} + b + 1] + p[{2 * NB * NB + NB} + b + 1]) / (list_sum(p) + 1e-10), 6) AS perr FROM c""")
 def errprobs_from_trans(spark, sf_dir):
-    def kernel(x):
-        e = K.error_probs(K.posterior(x), K.viterbi(x))[1:]
-        return {"t": np.arange(1, len(e) + 1), "perr": np.round(e, 6)}
-
-    return K.per_read(score_rows(spark, sf_dir), kernel, "t long, perr double")
+    rows = _once(_posteriors(spark, sf_dir), path=P.viterbi(F.col("steps"), NB))
+    e = rows.select("read_id", F.posexplode(P.error_probs(F.col("post"), NB, F.col("path"))).alias("t", "perr"))
+    return e.select("read_id", (F.col("t") + 1).cast("long").alias("t"), F.round("perr", 6).alias("perr"))
 
 
 @query("flipflop_remap")
 def flipflop_remap(spark, sf_dir):
     def kernel(x):
-        score, path = K.remap(x, _codes(len(x), 4), 1.0)
+        score, path = K.remap(x, _codes(len(x), NB), 1.0)
         return {"t": np.arange(len(path)), "position": path.astype(np.int64), "score": np.full(len(path), round(score, 6))}
 
     return K.per_read(score_rows(spark, sf_dir), kernel, "t long, position long, score double")
 
 
-@query("crf_cost")
-def crf_cost(spark, sf_dir):
-    """Training loss of a read: cost of its sequence and log partition, both a step."""
+CODES = _codes(10, NB).tolist()
+STAY = [c + min(c, NB) * 2 * NB + 1 for c in CODES]
+MOVE = [0] + [c + min(d, NB) * 2 * NB + 1 for c, d in zip(CODES, CODES[1:])]
+SPELLED = f""", q AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {[0.0] + [-1e30] * (len(CODES) - 1)}::DOUBLE[] AS v FROM e
+  UNION ALL SELECT q.read_id, q.t + 1, list_transform(range({len(CODES)}), lambda i: {_lse(f"[v[i + 1] + x[({STAY})[i + 1]], CASE WHEN i = 0 THEN -1e30 ELSE v[i] + x[({MOVE})[i + 1]] END]")})
+  FROM q JOIN e ON e.read_id = q.read_id AND e.t = q.t), k AS (SELECT read_id, max(t) AS n, -arg_max(v, t)[{len(CODES)}] / max(t) AS cost FROM q GROUP BY read_id)"""
 
-    def kernel(x):
-        cost = K.sequence_cost(x, _codes(len(x), 4))
-        return {"cost": [round(cost, 6)], "loss": [round(cost + K.log_partition(x) / len(x), 6)]}
 
-    return K.per_read(score_rows(spark, sf_dir), kernel, "cost double, loss double")
+@query("crf_cost", _forward(_begin("-50000")) + SPELLED + " SELECT k.read_id, round(cost, 6) AS cost, round(cost + log_z / z.n, 6) AS loss FROM k JOIN z USING (read_id) WHERE k.n = 10")
+def crf_cost(spark, sf_dir):
+    """Training loss of a whole read: cost of its sequence and log partition, both a step."""
+    rows = _steps(spark, sf_dir).where(F.size("steps") == 10)
+    found = _once(rows, cost=P.sequence_cost(F.col("steps"), NB, F.array(*map(F.lit, CODES))), z=P.log_partition(F.col("steps"), NB, P.start(NB)))
+    return found.select("read_id", F.round("cost", 6).alias("cost"), F.round(F.col("cost") + F.col("z") / F.size("steps"), 6).alias("loss"))
 
 
 @query("crf_gradient")
 def crf_gradient(spark, sf_dir):
     def kernel(x):
-        g = K.sequence_gradient(x, _codes(len(x), 4))
+        g = K.sequence_gradient(x, _codes(len(x), NB))
         return {"t": np.arange(len(g)), "total": np.round(g.sum(1), 6), "steepest": g.argmin(1)}
 
     return K.per_read(score_rows(spark, sf_dir), kernel, "t long, total double, steepest long")
@@ -121,30 +157,30 @@ def crf_gradient(spark, sf_dir):
 
 @query("catmod_cost")
 def catmod_cost(spark, sf_dir):
-    """Two more score columns stand for the modified and canonical forms of bases 0 and 1."""
+    """The last four components stand for modifications of the bases; the fifth shares the first."""
 
     def kernel(x):
-        codes = _codes(len(x), 4)
-        cost = K.modified_cost(x[:, :40], x[:, 40:48], codes, (codes % 4) * 2, np.full(len(codes), 0.5))
+        codes = _codes(len(x), NB)
+        cost = K.modified_cost(x[:, :60], x[:, 60:], codes, codes % NB % 4, np.full(len(codes), 0.5))
         return {"cost": [round(cost, 6)]}
 
-    return K.per_read(score_rows(spark, sf_dir, 48), kernel, "cost double")
+    return K.per_read(score_rows(spark, sf_dir, 64), kernel, "cost double")
 
 
 @query("ctc_cost")
 def ctc_cost(spark, sf_dir):
     def kernel(x):
         lp = x - K.lse(x, 1)[:, None]
-        return {"cost": [round(K.ctc_cost(lp, np.arange(max(1, len(x) // 3)) % 4, 4), 6)]}
+        return {"cost": [round(K.ctc_cost(lp, np.arange(max(1, len(x) // 3)) % 63, 63), 6)]}
 
-    return K.per_read(score_rows(spark, sf_dir, 5), kernel, "cost double")
+    return K.per_read(score_rows(spark, sf_dir, 64), kernel, "cost double")
 
 
 @query("beam_search")
 def beam_search(spark, sf_dir):
     def kernel(x):
         score, states = K.beam_search(x, 5)
-        return {"score": [round(score, 6)], "seq": ["".join("ACGT"[s % 4] for s in states[1:])]}
+        return {"score": [round(score, 6)], "seq": ["".join("ACGTZ"[s % NB] for s in states[1:])]}
 
     return K.per_read(score_rows(spark, sf_dir), kernel, "score double, seq string")
 
@@ -194,6 +230,6 @@ def basecall_chain(spark, sf_dir):
         e = K.error_probs(post, path)
         moves = np.flatnonzero(path[1:] != path[:-1]) + 1
         q = -10 * np.log10(np.maximum(e[moves], 1e-5))
-        return {"seq": ["".join("ACGT"[s % 4] for s in path[moves])], "qual": ["".join(chr(int(v + 33.5)) for v in q)], "n_moves": [len(moves)]}
+        return {"seq": ["".join("ACGTZ"[s % NB] for s in path[moves])], "qual": ["".join(chr(int(v + 33.5)) for v in q)], "n_moves": [len(moves)]}
 
     return K.per_read(score_rows(spark, sf_dir), kernel, "seq string, qual string, n_moves long")

@@ -51,7 +51,7 @@ def state_counts(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", s.alias("n_states"), activation.base_count(s).alias("n_bases"))
 
 
-def _x(spark, sf_dir, n: int = 8):
+def _x(spark, sf_dir, n: int = 64):
     return score_rows(spark, sf_dir, n).select("read_id", "t", F.col("scores").alias("x"))
 
 
@@ -59,86 +59,111 @@ def _rounded(df):
     return df.select("read_id", F.col("t").cast("long").alias("t"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), F.round(F.element_at("x", 1), 6).alias("first"))
 
 
-E8 = "WITH e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings)"
-W48 = str(weights(4, 8).tolist())
+WHOLE = "WITH e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
+W = str(weights(4, 64).tolist())
 
 
 def _sql_rows(x: str, tail: str) -> str:
     return f" SELECT read_id, t, round(list_sum(y), 6) AS total, round(y[1], 6) AS first FROM (SELECT read_id, t, {x} AS y {tail})"
 
 
-LIN = f"list_transform({W48}::DOUBLE[][], lambda w: list_inner_product(w, x) + 0.1::DOUBLE)"
+LIN = f"list_transform({W}::DOUBLE[][], lambda w: list_inner_product(w, x) + 0.1::DOUBLE)"
 
 
-@query("layer_feed_forward", E8 + _sql_rows(f"list_transform({LIN}, lambda v: greatest(v, 0))", "FROM e"))
+@query("layer_feed_forward", WHOLE + _sql_rows(f"list_transform({LIN}, lambda v: greatest(v, 0))", "FROM e"))
 def layer_feed_forward(spark, sf_dir):
-    return _rounded(_x(spark, sf_dir).withColumn("x", L.feed_forward(F.col("x"), weights(4, 8), np.full(4, 0.1), activation.relu)))
+    return _rounded(_x(spark, sf_dir).withColumn("x", L.feed_forward(F.col("x"), weights(4, 64), np.full(4, 0.1), activation.relu)))
 
 
-@query("layer_softmax", E8 + f", l AS (SELECT read_id, t, {LIN} AS z FROM e)" + _sql_rows("list_transform(z, lambda v: v - (list_max(z) + ln(list_sum(list_transform(z, lambda u: exp(u - list_max(z)))))))", "FROM l"))
+@query("layer_softmax", WHOLE + f", l AS (SELECT read_id, t, {LIN} AS z FROM e)" + _sql_rows("list_transform(z, lambda v: v - (list_max(z) + ln(list_sum(list_transform(z, lambda u: exp(u - list_max(z)))))))", "FROM l"))
 def layer_softmax(spark, sf_dir):
-    z = L.feed_forward(F.col("x"), weights(4, 8), np.full(4, 0.1), lambda v: v)
+    z = L.feed_forward(F.col("x"), weights(4, 64), np.full(4, 0.1), lambda v: v)
     return _rounded(_x(spark, sf_dir).withColumn("x", z).withColumn("x", L.log_softmax(F.col("x"))))
 
 
-@query("layer_global_norm", E8 + f", l AS (SELECT read_id, t, {LIN} AS z FROM e)" + _sql_rows("list_transform(z, lambda v: 5 * (exp(2 * v) - 1) / (exp(2 * v) + 1))", "FROM l"))
+@query("layer_global_norm", WHOLE + f", l AS (SELECT read_id, t, {LIN} AS z FROM e)" + _sql_rows("list_transform(z, lambda v: 5 * (exp(2 * v) - 1) / (exp(2 * v) + 1))", "FROM l"))
 def layer_global_norm(spark, sf_dir):
-    return _rounded(_x(spark, sf_dir).withColumn("x", L.global_norm_flipflop(F.col("x"), weights(4, 8), np.full(4, 0.1))))
+    return _rounded(_x(spark, sf_dir).withColumn("x", L.global_norm_flipflop(F.col("x"), weights(4, 64), np.full(4, 0.1))))
 
 
-@query("layer_compositions", E8 + ", l AS (SELECT read_id, t, x, list_transform(x, lambda v: sin(v)) AS f FROM e) SELECT read_id, t, round(list_sum(x) + list_sum(f), 6) AS residual, round(0.6224593312018546::DOUBLE * list_sum(f) + 0.3775406687981454::DOUBLE * list_sum(x), 6) AS gated, CAST(len(x) + len(f) AS INTEGER) AS parallel, round(list_inner_product(x, f), 6) AS product, round((list_sum(x) + exp(1) * list_sum(f)) / (1 + exp(1)), 6) AS choice FROM l")
+@query("layer_compositions", WHOLE + ", l AS (SELECT read_id, t, x, list_transform(x, lambda v: sin(v)) AS f FROM e) SELECT read_id, t, round(list_sum(x) + list_sum(f), 6) AS residual, round(0.6224593312018546::DOUBLE * list_sum(f) + 0.3775406687981454::DOUBLE * list_sum(x), 6) AS gated, CAST(len(x) + len(f) AS INTEGER) AS parallel, round(list_inner_product(x, f), 6) AS product, round((list_sum(x) + exp(1) * list_sum(f)) / (1 + exp(1)), 6) AS choice FROM l")
 def layer_compositions(spark, sf_dir):
     x, f = F.col("x"), F.transform("x", lambda v: F.sin(v))
     total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, v: s + v), 6)
     return _x(spark, sf_dir).select("read_id", "t", total(L.residual(x, f)).alias("residual"), total(L.gated_residual(x, f, 0.5)).alias("gated"), F.size(L.parallel(x, f)).alias("parallel"), total(L.product(x, f)).alias("product"), total(L.soft_choice([x, f], [0.0, 1.0])).alias("choice"))
 
 
-@query("layer_categorical_mods", E8 + ", g AS (SELECT read_id, t, x[1:2] AS a, x[3:5] AS b FROM e) SELECT read_id, t, round(a[1] - ln(exp(a[1]) + exp(a[2])), 6) AS can_a, round(b[3] - ln(exp(b[1]) + exp(b[2]) + exp(b[3])), 6) AS mod_b FROM g")
+@query("layer_categorical_mods", WHOLE + ", g AS (SELECT read_id, t, x[1:2] AS a, x[3:5] AS b, x[6:64] AS c FROM e) SELECT read_id, t, round(a[1] - ln(exp(a[1]) + exp(a[2])), 6) AS can_a, round(b[3] - ln(exp(b[1]) + exp(b[2]) + exp(b[3])), 6) AS mod_b, round(c[59] - ln(list_sum(list_transform(c, lambda v: exp(v)))), 6) AS last_c FROM g")
 def layer_categorical_mods(spark, sf_dir):
-    y = L.categorical_mods(F.col("x"), [[0, 1], [2, 3, 4]])
-    return _x(spark, sf_dir).withColumn("y", y).select("read_id", "t", F.round(F.col("y")[0], 6).alias("can_a"), F.round(F.col("y")[4], 6).alias("mod_b"))
+    y = L.categorical_mods(F.col("x"), [[0, 1], [2, 3, 4], list(range(5, 64))])
+    return _x(spark, sf_dir).withColumn("y", y).select("read_id", "t", F.round(F.col("y")[0], 6).alias("can_a"), F.round(F.col("y")[4], 6).alias("mod_b"), F.round(F.col("y")[63], 6).alias("last_c"))
 
 
-@query("layer_reverse", E8 + " SELECT read_id, max(t) OVER (PARTITION BY read_id) - t AS t, round(list_sum(x), 6) AS total, round(x[1], 6) AS first FROM e")
+@query("layer_reverse", WHOLE + " SELECT read_id, max(t) OVER (PARTITION BY read_id) - t AS t, round(list_sum(x), 6) AS total, round(x[1], 6) AS first FROM e")
 def layer_reverse(spark, sf_dir):
     return _rounded(L.reverse_time(_x(spark, sf_dir)))
 
 
-@query("layer_down_sample", E8 + ", d AS (SELECT read_id, t // 2 AS t, flatten(list(x ORDER BY t)) AS y, count(*) AS n FROM e GROUP BY 1, 2) SELECT read_id, t, round(list_sum(y), 6) AS total, round(y[1], 6) AS first FROM d WHERE n = 2")
+@query("layer_down_sample", WHOLE + ", d AS (SELECT read_id, t // 2 AS t, flatten(list(x ORDER BY t)) AS y, count(*) AS n FROM e GROUP BY 1, 2) SELECT read_id, t, round(list_sum(y), 6) AS total, round(y[1], 6) AS first FROM d WHERE n = 2")
 def layer_down_sample(spark, sf_dir):
     return _rounded(L.down_sample(_x(spark, sf_dir), 2))
 
 
-@query("layer_up_sample", E8 + " SELECT read_id, t * 2 + k AS t, round(list_sum(x[4 * k + 1 : 4 * k + 4]), 6) AS total, round(x[4 * k + 1], 6) AS first FROM e, range(2) r(k)")
+@query("layer_up_sample", WHOLE + " SELECT read_id, t * 2 + k AS t, round(list_sum(x[32 * k + 1 : 32 * k + 32]), 6) AS total, round(x[32 * k + 1], 6) AS first FROM e, range(2) r(k)")
 def layer_up_sample(spark, sf_dir):
     return _rounded(L.up_sample(_x(spark, sf_dir), 2))
 
 
-K3 = weights(2, 8, 3)
+K3 = weights(2, 64, 3)
 
 
 def _conv_sql(o: int) -> str:
     return " + ".join(f"coalesce(list_inner_product({K3[o, :, k].tolist()}::DOUBLE[], {n}), 0)" for k, n in enumerate(("p", "x", "q")))
 
 
-@query("layer_convolution", E8 + f", c AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q FROM e WINDOW w AS (PARTITION BY read_id ORDER BY t)), d AS (SELECT read_id, t // 2 AS t, [{_conv_sql(0)} + 0.05::DOUBLE, {_conv_sql(1)} + 0.05::DOUBLE] AS z FROM c WHERE t % 2 = 0)" + _sql_rows("list_transform(z, lambda v: greatest(v, 0))", "FROM d"))
+@query("layer_convolution", WHOLE + f", c AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q FROM e WINDOW w AS (PARTITION BY read_id ORDER BY t)), d AS (SELECT read_id, t // 2 AS t, [{_conv_sql(0)} + 0.05::DOUBLE, {_conv_sql(1)} + 0.05::DOUBLE] AS z FROM c WHERE t % 2 = 0)" + _sql_rows("list_transform(z, lambda v: greatest(v, 0))", "FROM d"))
 def layer_convolution(spark, sf_dir):
     return _rounded(L.convolution(_x(spark, sf_dir), K3, np.full(2, 0.05), activation.relu, stride=2))
 
 
-@query("layer_time_linear", E8 + f", f AS (SELECT read_id, t AS s, unnest(range(8)) AS f, unnest(x) AS v FROM e), m AS (SELECT read_id, o AS t, f, sum(v * (CAST({weights(3, 10).tolist()} AS DOUBLE[][]))[o + 1][s + 1]) AS y FROM f, range(3) r(o) GROUP BY 1, 2, 3) SELECT read_id, t, round(sum(y), 6) AS total, round(arg_min(y, f), 6) AS first FROM m GROUP BY 1, 2")
+def _both_sql() -> str:
+    """The kernel over the steps as they are, beside the kernel over the reversed ones."""
+    back = " + ".join(f"coalesce(list_inner_product({K3[0, :, k].tolist()}::DOUBLE[], {n}), 0)" for k, n in enumerate(("q", "x", "p")))
+    return f"[greatest({_conv_sql(0)} + 0.05::DOUBLE, 0), greatest({_conv_sql(1)} + 0.05::DOUBLE, 0), greatest({back} + 0.05::DOUBLE, 0)]"
+
+
+@query("layer_bidirectional", WHOLE + ", c AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q FROM e WINDOW w AS (PARTITION BY read_id ORDER BY t))" + _sql_rows(_both_sql(), "FROM c"))
+def layer_bidirectional(spark, sf_dir):
+    forward = lambda df: L.convolution(df, K3, np.full(2, 0.05), activation.relu)
+    backward = lambda df: L.convolution(df, K3[:1], np.full(1, 0.05), activation.relu)
+    return _rounded(L.bidirectional(_x(spark, sf_dir), forward, backward))
+
+
+@query("layer_down_up_sample", WHOLE + f", d AS (SELECT read_id, t // 2 AS t, flatten(list(x ORDER BY t)) AS y FROM e GROUP BY 1, 2 HAVING count(*) = 2), l AS (SELECT read_id, t, list_transform({weights(4, 128).tolist()}::DOUBLE[][], lambda w: greatest(list_inner_product(w, y) + 0.1::DOUBLE, 0)) AS z FROM d) SELECT read_id, t * 2 + k AS t, round(list_sum(z[2 * k + 1 : 2 * k + 2]), 6) AS total, round(z[2 * k + 1], 6) AS first FROM l, range(2) r(k)")
+def layer_down_up_sample(spark, sf_dir):
+    layer = lambda df: df.withColumn("x", L.feed_forward(F.col("x"), weights(4, 128), np.full(4, 0.1), activation.relu))
+    return _rounded(L.down_up_sample(_x(spark, sf_dir), layer, 2))
+
+
+@query("predicted_squiggle", WHOLE + ", s AS (SELECT read_id, t, unnest(range(21)) AS i, x FROM e) SELECT read_id, t, i, substr('ACGT', CAST(i % 4 AS INTEGER) + 1, 1) AS base, round(x[3 * i + 1], 6) AS current, round(exp(x[3 * i + 2]), 6) AS sd, round(exp(-x[3 * i + 3]), 6) AS dwell FROM s")
+def predicted_squiggle(spark, sf_dir):
+    """Rows of a predicted squiggle: level, spread and rate of every base, from triples of features."""
+    return L.squiggle_rows(_x(spark, sf_dir), "ACGT").select("read_id", "t", "i", "base", *[F.round(c, 6).alias(c) for c in ("current", "sd", "dwell")])
+
+
+@query("layer_time_linear", WHOLE + f", f AS (SELECT read_id, t AS s, unnest(range(64)) AS f, unnest(x) AS v FROM e), m AS (SELECT read_id, o AS t, f, sum(v * (CAST({weights(3, 10).tolist()} AS DOUBLE[][]))[o + 1][s + 1]) AS y FROM f, range(3) r(o) GROUP BY 1, 2, 3) SELECT read_id, t, round(sum(y), 6) AS total, round(arg_min(y, f), 6) AS first FROM m GROUP BY 1, 2")
 def layer_time_linear(spark, sf_dir):
     return _rounded(L.time_linear(_x(spark, sf_dir), weights(3, 10)))
 
 
 @query("layer_gru")
 def layer_gru(spark, sf_dir):
-    return _rounded(L.recurrent(_x(spark, sf_dir), "gru", 4, weights(12, 8), weights(12, 4), np.full(12, 0.1)))
+    return _rounded(L.recurrent(_x(spark, sf_dir), "gru", 4, weights(12, 64), weights(12, 4), np.full(12, 0.1)))
 
 
 @query("layer_lstm_reverse")
 def layer_lstm_reverse(spark, sf_dir):
-    return _rounded(L.recurrent(_x(spark, sf_dir), "lstm", 4, weights(16, 8), weights(16, 4), np.full(16, 0.1), reverse=True))
+    return _rounded(L.recurrent(_x(spark, sf_dir), "lstm", 4, weights(16, 64), weights(16, 4), np.full(16, 0.1), reverse=True))
 
 
 @query("network_forward")

@@ -156,10 +156,11 @@ def training_log(spark, sf_dir):
 @query("qc_median_of_medians", PARAMS + " SELECT median(shift) AS med, round(median(scale), 9) AS mad, count(*) AS reads FROM p")
 def qc_median_of_medians(spark, sf_dir):
     p = robust.med_mad(signal(spark, sf_dir), "current", ["read_id"])
-    return p.agg(F.median("med").alias("med"), F.round(F.median("mad"), 9).alias("mad"), F.count("*").alias("reads"))
+    (med,), (mad,) = (robust.exact_quantiles(p, F.col(c), [0.5]) for c in ("med", "mad"))
+    return p.agg(F.lit(med).alias("med"), F.round(F.lit(mad), 9).alias("mad"), F.count("*").alias("reads"))
 
 
-@query("stream_rolling_mean")
+@query("stream_rolling_mean", "SELECT user_id AS key, row_number() OVER w AS n, value, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING), 9) AS statistic FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def stream_rolling_mean(spark, sf_dir):
     """The online form over a stream of the events' file, one micro-batch at a time; rows and state
     go to the shared folder."""
@@ -173,4 +174,4 @@ def stream_rolling_mean(spark, sf_dir):
     folder = f"{scratch_dir(spark)}/porelake/stream-rolling-{uuid.uuid4().hex}"
     sink = online(stream, "mean", window=10).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/rows")
+    return spark.read.schema(OUTPUT).parquet(f"{folder}/rows").withColumn("statistic", F.round("statistic", 9))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from porelake.catalog import query
 from porelake.operators import chunks, joins
+from porelake.operators.robust import ranks
 from porelake.plans._bind import Q, read, sequences
 
 REFS = f"WITH q AS ({Q})"
@@ -40,14 +41,14 @@ def ref_left_join(spark, sf_dir):
     return reads.join(refs, "read_id", "left").withColumn("reflen", F.coalesce("reflen", F.lit(-1)))
 
 
-@query("remap_guard_counts", REFS + """, r AS (SELECT d.doc_id, length(q.seq) AS n, q.seq LIKE '%A%' AS has_ref, l.doc_id IS NOT NULL AS has_params, d.source <> 'src3' AS readable
+@query("remap_guard_counts", REFS + """, r AS (SELECT d.doc_id, length(q.seq) AS n, q.seq LIKE '%A%' AS has_ref, l.doc_id IS NOT NULL AS has_params, d.source <> 'src3' AS readable, d.source <> 'src5' AS called
   FROM documents d JOIN q ON q.read_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id)
-  SELECT CASE WHEN NOT has_ref THEN 'No reference found' WHEN n > 800 THEN 'Reference too long' WHEN NOT has_params THEN 'No read parameters' WHEN NOT readable THEN 'Read error' ELSE 'Success' END AS result, count(*) AS n FROM r GROUP BY 1""")
+  SELECT CASE WHEN NOT has_ref THEN 'No reference found' WHEN n > 800 THEN 'Reference too long' WHEN NOT has_params THEN 'No read parameters' WHEN NOT readable THEN 'Read error' WHEN NOT called THEN 'Network error' ELSE 'Success' END AS result, count(*) AS n FROM r GROUP BY 1""")
 def remap_guard_counts(spark, sf_dir):
     params = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("read_id"), F.lit(True).alias("p"))
     sources = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), "source")
     rows = sequences(spark, sf_dir).join(sources, "read_id").join(params, "read_id", "left")
-    result = joins.remap_guard(F.col("seq").contains("A"), F.length("seq"), 800, F.col("p").isNotNull(), F.col("source") != "src3")
+    result = joins.remap_guard(F.col("seq").contains("A"), F.length("seq"), 800, F.col("p").isNotNull(), F.col("source") != "src3", F.col("source") != "src5")
     return rows.groupBy(result.alias("result")).agg(F.count("*").alias("n"))
 
 
@@ -59,13 +60,17 @@ def params_left_join(spark, sf_dir):
     return read(spark, sf_dir, "events").join(params, "user_id", "left").groupBy(F.col("user_id").alias("read_id")).agg(F.round(F.avg(z), 6).alias("z"))
 
 
-@query("ref_slice_pad", """WITH g AS (SELECT page_id, html FROM pages), a AS (SELECT doc_id, doc_id % 200 AS page_id, doc_id % 900 AS s, doc_id % 900 + 40 AS e FROM documents)
-  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN part ELSE reverse(part) END AS part FROM (SELECT doc_id, substr(html, greatest(0, s - 10) + 1, greatest(least(length(html), e + 10) - greatest(0, s - 10), 0)) AS part FROM a JOIN g USING (page_id))""")
+@query("ref_slice_pad", """WITH g AS (SELECT html, row_number() OVER (ORDER BY page_id) - 1 AS k, count(*) OVER () AS n FROM pages),
+  a AS (SELECT doc_id, doc_id % (SELECT max(n) FROM g) AS k FROM documents), c AS (SELECT doc_id, html, (doc_id * 2654435761) % length(html) AS s FROM a JOIN g USING (k))
+  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN part ELSE reverse(part) END AS part FROM (SELECT doc_id, substr(html, greatest(0, s - 10) + 1, greatest(least(length(html), s + 50) - greatest(0, s - 10), 0)) AS part FROM c)""")
 def ref_slice_pad(spark, sf_dir):
-    id_ = F.col("doc_id")
-    at = read(spark, sf_dir, "documents").select("doc_id", (id_ % 200).alias("page_id"), (id_ % 900).alias("s"), (id_ % 900 + 40).alias("e"))
-    part = joins.reference_slice(F.col("html"), F.col("s"), F.col("e"), 10)
-    return at.join(read(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("doc_id", F.when(id_ % 2 == 0, part).otherwise(F.reverse(part)).alias("part"))
+    """Alignments of 40 bases anywhere in any page, by rank of the page and a hash of the id."""
+    id_, pages = F.col("doc_id"), read(spark, sf_dir, "pages").select("page_id", "html")
+    ranked, n = ranks(pages, "page_id")
+    at = read(spark, sf_dir, "documents").select("doc_id", (id_ % n).alias("k")).join(ranked.withColumnRenamed("rank", "k"), "k")
+    s = id_ * 2654435761 % F.length("html")
+    part = joins.reference_slice(F.col("html"), s, s + 40, 10)
+    return at.select("doc_id", F.when(id_ % 2 == 0, part).otherwise(F.reverse(part)).alias("part"))
 
 
 @query("best_alignment_per_read", "SELECT l_orderkey, l_linenumber, l_discount FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_discount DESC, l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1")
@@ -129,17 +134,9 @@ def first_n_reads(spark, sf_dir):
   a AS (SELECT id AS attempt, (((((id * 1103515245 + 12345 + 11) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536) % (SELECT max(n) FROM d) AS pick FROM range((SELECT count(*) FROM documents)) t(id))
   SELECT attempt, doc_id FROM a JOIN d ON d.k = a.pick WHERE n_chars >= 100""")
 def sample_with_replacement(spark, sf_dir):
-    """As many draws as there are reads at a pass rate of one half; those long enough are accepted."""
-    from pyspark.sql import Window
-
-    docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    n = docs.count()
-    # the k-th smallest id: the number within its range of ids, after the rows of the ranges before
-    ranged = docs.withColumn("part", F.floor(F.col("doc_id") / 4096))
-    before = ranged.groupBy("part").agg(F.count("*").alias("m"))
-    before = before.withColumn("before", F.sum("m").over(Window.orderBy("part")) - F.col("m")).drop("m")  # one row per 4096 ids
-    numbered = ranged.join(before, "part").withColumn("pick", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("doc_id")) - 1)
-    return chunks.sample_attempts(n, n // 2, 0.5, 11, spark).join(numbered, "pick").where("n_chars >= 100").select("attempt", "doc_id") if n % 2 == 0 else chunks.sample_attempts(n, n, 1.0, 11, spark).join(numbered, "pick").where("n_chars >= 100").select("attempt", "doc_id")
+    """As many draws as there are reads; those of reads long enough are accepted."""
+    numbered, n = ranks(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return chunks.sample_attempts(n, n, 1.0, 11, spark).join(numbered.withColumnRenamed("rank", "pick"), "pick").where("n_chars >= 100").select("attempt", "doc_id")
 
 
 @query("sample_without_replacement", "SELECT doc_id FROM documents ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT 64")
@@ -152,3 +149,41 @@ def sample_without_replacement(spark, sf_dir):
 def chunk_idx_join(spark, sf_dir):
     c = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_idx"), F.size("embedding").cast("long").alias("n_samples"))
     return c.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), F.length("text").cast("long").alias("reflen")), "chunk_idx")
+
+
+LIMITED = """WITH f AS (SELECT o_orderstatus AS status, o_custkey AS read_id, min(o_orderkey) AS first_order, md5(o_custkey || ':3') AS h FROM orders GROUP BY 1, 2),
+  a AS (SELECT * FROM f WHERE status = 'F' ORDER BY h LIMIT 40), b AS (SELECT * FROM f WHERE status = 'O' AND read_id NOT IN (SELECT read_id FROM a) ORDER BY h LIMIT 40),
+  c AS (SELECT * FROM f WHERE status = 'P' AND read_id NOT IN (SELECT read_id FROM a UNION SELECT read_id FROM b) ORDER BY h LIMIT 40)
+  SELECT read_id, first_order, 0 AS file_no FROM a UNION ALL SELECT read_id, first_order, 1 FROM b UNION ALL SELECT read_id, first_order, 2 FROM c"""
+
+
+@query("merge_limit_shuffled", LIMITED)
+def merge_limit_shuffled(spark, sf_dir):
+    """The limit is the operator: so many new reads of each file, in a hash's order."""
+    o = read(spark, sf_dir, "orders")
+    files = [o.where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("read_id")).agg(F.min("o_orderkey").alias("first_order")) for s in "FOP"]
+    return joins.first_file_wins(files, limit=40, seed=3)
+
+
+MIX = "(((({0}) * 1103515245 + 12345 + {1}) % 2147483648) * 1103515245 + 12345) % 2147483648 // 65536"
+
+
+@query("random_batches", f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS n FROM documents), n AS (SELECT max(n) AS n FROM d),
+  b AS (SELECT id AS batch, ({MIX.format('id', 5)} % 2001 + 1000) // 5 * 5 AS chunk_len FROM range((SELECT n // 20 FROM n)) t(id)),
+  z AS (SELECT *, CAST(floor(4.0::DOUBLE * 3000 / chunk_len + 0.5::DOUBLE) AS BIGINT) AS size FROM b),
+  s AS (SELECT batch, chunk_len, unnest(range(size)) AS slot FROM z)
+  SELECT batch, chunk_len, slot, doc_id FROM (SELECT *, {MIX.format('batch * 64 + slot', 6)} % (SELECT n FROM n) AS k FROM s) JOIN d USING (k)""")
+def random_batches(spark, sf_dir):
+    """Batches of chunks of a random length, a multiple of the stride; shorter chunks make more."""
+    numbered, n = ranks(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    drawn = chunks.random_batches(spark, n // 20, n, shortest=1000, longest=3000, stride=5, least=4, seed=5)
+    return drawn.join(numbered.withColumnRenamed("rank", "pick"), "pick").select("batch", "chunk_len", "slot", "doc_id")
+
+
+@query("read_metadata", "SELECT user_id AS read_id, arg_max(value, 'Read_' || event_id) AS value, arg_max(event_type, 'Read_' || event_id) AS event_type, max('Read_' || event_id) AS read_group FROM events GROUP BY 1")
+def read_metadata(spark, sf_dir):
+    """Attributes of a read from the last of its groups, in the order of their names."""
+    from porelake.sources.reads import last_group
+
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("read_id"), F.concat(F.lit("Read_"), F.col("event_id").cast("string")).alias("read_group"), "value", "event_type")
+    return last_group(e, ["value", "event_type"])

@@ -20,19 +20,29 @@ def write_mapped(reads: DataFrame, alphabet: DataFrame, path: str, batch: int =
     alphabet.withColumn("version", F.lit(VERSION)).coalesce(1).write.parquet(f"{path}/alphabet")
 
 
-def read_mapped(spark: SparkSession, path: str, read_ids: DataFrame | None = None) -> DataFrame:
-    """The reads, or those of them that are asked for and there; another version is an error."""
+def read_mapped(spark: SparkSession, path: str, read_ids: DataFrame | None = None, skip_bad: bool = False) -> DataFrame:
+    """The reads, or those of them that are asked for and there; another version is an error, and so
+    are missing or damaged files unless they are to be skipped."""
     versions = [r.version for r in spark.read.parquet(f"{path}/alphabet").select("version").distinct().collect()]
     if versions != [VERSION]:
         raise ValueError(f"mapped reads of version {versions} where {VERSION} is needed")
-    reads = spark.read.parquet(f"{path}/reads")
+    bad = str(skip_bad).lower()
+    reads = spark.read.option("ignoreMissingFiles", bad).option("ignoreCorruptFiles", bad).parquet(f"{path}/reads")
     return reads if read_ids is None else reads.join(read_ids.select("read_id"), "read_id", "left_semi")
 
 
 def check_mapped(reads: DataFrame, most: int = 1000) -> DataFrame:
-    """(read_id, message) of reads that do not pass."""
+    """(read_id, message) of reads that do not pass; one row without an id if there are no reads."""
     said = mapping.check(F.col("reference"), F.col("ref_to_signal"), F.size("dacs"))
-    return reads.select("read_id", said.alias("message")).where("message != 'pass'").orderBy("read_id").limit(most)
+    bad = reads.select("read_id", said.alias("message")).where("message != 'pass'").orderBy("read_id").limit(most)
+    empty = reads.limit(1).agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("read_id"), F.lit("No reads in file").alias("message"))
+    return bad.withColumn("read_id", F.col("read_id").cast("string")).unionByName(empty)
+
+
+def last_group(groups: DataFrame, attributes: list[str], by: str = "read_id", group: str = "read_group") -> DataFrame:
+    """The attributes of each read from the last of its groups, in the order of their names (as
+    strings: a read has one group, or numbered ones of which the last counts)."""
+    return groups.groupBy(by).agg(*[F.max_by(a, group).alias(a) for a in attributes], F.max(group).alias(group))
 
 
 def upgrade(reads: DataFrame) -> tuple[DataFrame, DataFrame]:

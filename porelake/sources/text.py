@@ -23,11 +23,11 @@ def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str, filter_ambiguous: bool = False, flatten_ambiguous: bool = False, alphabet: str = "ACGT") -> DataFrame:
-    """(read_id, seq). Records are split at '>', empty ones drop out; of a repeated id the last
-    record of the file wins (by its place among the records of the file)."""
-    raw = spark.read.text(path, lineSep=">").where("value != ''").withColumn("_n", F.monotonically_increasing_id())
-    lines = F.split("value", r"\r?\n")
-    rows = raw.select("_n", F.split(F.element_at(lines, 1), r"\s+")[0].alias("read_id"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x)), "").alias("seq"))
+    """(read_id, seq). A record begins at a '>' that begins a line; empty ones drop out; of a repeated
+    id the last record of the file wins (by its place among the records of the file)."""
+    raw = spark.read.text(path, lineSep="\n>").withColumn("_n", F.monotonically_increasing_id())
+    lines = F.split(F.regexp_replace("value", r"^>", ""), r"\r?\n")  # the first record keeps its mark
+    rows = raw.select("_n", F.split(F.element_at(lines, 1), r"\s+")[0].alias("read_id"), F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "").alias("seq"))
     rows = rows.where((F.col("read_id") != "") & (F.col("seq") != ""))
     if filter_ambiguous:
         rows = rows.where(~sequence.has_ambiguity(F.col("seq"), alphabet))
@@ -43,7 +43,7 @@ def read_fastq(spark: SparkSession, path: str | list[str], max_reads: int | None
     rows = rows.where(F.col("head").startswith("@") & F.col("qual").isNotNull())
     phred = qscore.phred(F.col("qual"))
     mean = -10 * F.log10(F.aggregate(phred, F.lit(0.0), lambda a, q: a + qscore.to_error(q)) / F.size(phred))
-    rows = rows.select(F.split(F.substring("head", 2, 1_000_000), r"\s+")[0].alias("read_id"), "seq", "qual", F.length("seq").alias("length"), mean.alias("mean_q"))
+    rows = rows.select(F.split(F.substring(F.col("head"), F.lit(2), F.length("head")), r"\s+")[0].alias("read_id"), "seq", "qual", F.length("seq").alias("length"), mean.alias("mean_q"))
     return rows.limit(max_reads) if max_reads is not None else rows
 
 
@@ -52,7 +52,7 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     f = F.split("value", "\t")
     fixed = ("qname", "flag:int", "rname", "pos:int", "mapq:int", "cigar", "rnext", "pnext:int", "tlen:int", "seq", "qual")
     cols = [F.get(f, F.lit(k)).cast(c.partition(":")[2] or "string").alias(c.partition(":")[0]) for k, c in enumerate(fixed)]
-    return spark.read.text(path).where(~F.col("value").startswith("@")).where(F.size(f) >= 11).select(*cols, F.array_join(F.slice(f, 12, 1000), "\t").alias("tags"))
+    return spark.read.text(path).where(~F.col("value").startswith("@")).where(F.size(f) >= 11).select(*cols, F.array_join(F.slice(f, F.lit(12), F.size(f)), "\t").alias("tags"))
 
 
 def read_tsv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from porelake.functions import activation, qscore, sequence
-from porelake.operators import chunks, joins, kernels as K, layers, mapping, robust, rolling, runs
+from porelake.operators import alphabets, chunks, joins, kernels as K, layers, mapping, paths, robust, rolling, runs
 
 
 def rows(df, *cols):
@@ -106,11 +106,7 @@ def test_ref_to_signal_goldens(spark):
         mapped = mapping.path_to_signal(df, stride, ["read_id"])
         reads = spark.createDataFrame([(0, reflen, siglen)], "read_id long, reflen int, siglen int")
         got = [r.loc for r in mapping.invert(mapped, reads).orderBy("r").collect()]
-        if stride == 1:
-            # the first entry of a path at stride 1 falls before the signal
-            assert got == want, (stride, got)
-        else:
-            assert got == want, (stride, got)
+        assert got == want, (stride, got)
 
 
 def test_mapping_check_and_chunk(spark):
@@ -177,3 +173,45 @@ def test_recurrent_reverse_equals_reversed(spark):
     a = layers.recurrent(df, "gru", 3, w(9, 2), w(9, 3), w(9), reverse=True).orderBy("t").collect()
     b = layers.reverse_time(layers.recurrent(layers.reverse_time(df), "gru", 3, w(9, 2), w(9, 3), w(9))).orderBy("t").collect()
     assert np.allclose([r.x for r in a], [r.x for r in b])
+
+
+@pytest.mark.parametrize("n,length", [(4, 1), (4, 13), (2, 30)])
+def test_paths_equal_the_kernels(spark, n, length):
+    """Array functions of the engine against the recursions in numpy."""
+    rng = np.random.default_rng(n * 100 + length)
+    x = rng.normal(size=(length, 2 * n * (n + 1)))
+    codes = K.flipflop_codes(rng.integers(0, n, max(1, length // 2)), n)
+    df = paths.steps_of(spark.createDataFrame([(0, t, v.tolist()) for t, v in enumerate(x)], "read_id long, t long, scores array<double>").repartition(3))
+    steps = F.col("steps")
+    df = df.select("steps", paths.forward(steps, n, paths.start(n)).alias("f"), paths.backward(steps, n).alias("b"), paths.log_partition(steps, n, paths.start(n)).alias("z"), paths.viterbi(steps, n).alias("path"), paths.sequence_cost(steps, n, F.array(*map(F.lit, codes.tolist())), 0.7).alias("cost"))
+    df = df.withColumn("post", paths.posterior(steps, n, F.col("f"), F.col("b"), F.col("z"))).withColumn("err", paths.error_probs(F.col("post"), n, F.col("path")))
+    r = df.first()
+    a = K.dense(x)
+    start = np.where(np.arange(2 * n) < n, 0.0, K.FLOP_START)
+    assert np.allclose(r.f, K.forward(a, start)) and np.allclose(r.b, K.backward(a)) and np.isclose(r.z, K.log_partition(x))
+    assert r.path == K.viterbi(x).tolist() and np.isclose(r.cost, K.sequence_cost(x, codes, 0.7))
+    assert np.allclose(r.post, K.posterior(x)) and np.allclose(r.err, K.error_probs(K.posterior(x), K.viterbi(x))[1:])
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    qs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    for v in (rng.normal(size=5000), np.repeat([1.0, 2.0, 1e9], [4000, 10, 1]), np.concatenate([rng.normal(size=2000) * 1e-12 + 1, [1e12]]), np.array([3.0])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,), (float("nan"),)], "v double")
+        for bins, most in ((7, 5), (4096, 65536)):
+            assert np.allclose(robust.exact_quantiles(df, F.col("v"), qs, bins, most), np.quantile(v, qs), rtol=1e-12)
+    assert robust.exact_quantiles(df.where("v > 9"), F.col("v"), [0.5]) == [None]
+
+
+def test_unsound_alphabets(spark):
+    rows_ = [("a", 0, "A", "A", None), ("a", 1, "Z", "A", "z"), ("b", 0, "A", "A", None), ("b", 1, "A", "A", None), ("c", 0, "Z", "A", "z"), ("d", 0, "A", "A", None), ("d", 1, "Y", "A", None)]
+    df = spark.createDataFrame(rows_, "file string, position int, base string, canonical string, long_name string")
+    assert {r.file: r.message for r in alphabets.faults(df).collect()} == {"b": "a base occurs twice", "c": "a canonical base is not in the alphabet", "d": "a modified base has no long name"}
+    assert alphabets.all_equal(df.where("file = 'a'")).first().equal and not alphabets.all_equal(df).first().equal
+
+
+def test_limited_merge_takes_new_reads(spark):
+    """Files that overlap wholly still give the limit's number of reads, as far as there are new ones."""
+    files = [spark.createDataFrame([(i, n) for i in range(top)], "read_id int, f string") for top, n in ((10, "a"), (10, "b"), (12, "c"))]
+    got = joins.first_file_wins(files, limit=4).collect()
+    assert len(got) == len({r.read_id for r in got}) == 12

@@ -19,6 +19,39 @@ def test_fasta(spark, tmp_path):
     assert text.read_fasta(spark, str(tmp_path / "out")).count() == 2
 
 
+def test_fasta_marks_inside_lines(spark, tmp_path):
+    p = tmp_path / "x.fasta"
+    p.write_text(">r1 a->b\nAC\nGT\r\n>r2 >>\nTT\n")
+    assert {r.read_id: r.seq for r in text.read_fasta(spark, str(p)).collect()} == {"r1": "ACGT", "r2": "TT"}
+
+
+def test_long_headers_and_tags(spark, tmp_path):
+    p, q = tmp_path / "x.fastq", tmp_path / "x.sam"
+    p.write_text("@" + "r" * 1_200_000 + " k\nA\n+\n5\n")
+    assert len(text.read_fastq(spark, str(p)).first().read_id) == 1_200_000
+    q.write_text("\t".join(["q", "0", "g", "1", "60", "1M", "*", "0", "0", "A", "!", *(f"X{k}:i:{k}" for k in range(1500)), "NM:i:7"]) + "\n")
+    assert text.read_sam(spark, str(q)).first().tags.endswith("X1499:i:1499\tNM:i:7")
+
+
+def test_sam_filters_by_id_and_reference(spark):
+    sam = spark.createDataFrame([(q, 0, r, 1, "10M", "NM:i:1") for q, r in (("a", "g"), ("b", "g"), ("a", "h"))], "qname string, flag int, rname string, pos int, cigar string, tags string")
+    ids, refs = spark.createDataFrame([("a",)], "qname string"), spark.createDataFrame([("g",)], "rname string")
+    assert [(r.qname, r.rname) for r in alignment.of_sam(sam, read_ids=ids, references=refs).collect()] == [("a", "g")]
+    assert alignment.of_sam(sam).count() == 3
+
+
+def test_empty_and_damaged_tables_of_reads(spark, tmp_path):
+    good = spark.createDataFrame([("a", [1, 2], [0, 1], [0])], "read_id string, dacs array<smallint>, ref_to_signal array<int>, reference array<smallint>")
+    assert [tuple(r) for r in reads.check_mapped(good.where("read_id = 'z'")).collect()] == [(None, "No reads in file")]
+    assert reads.check_mapped(good).count() == 0
+    path = str(tmp_path / "mapped")
+    reads.write_mapped(good, spark.createDataFrame([("ACGT",)], "alphabet string"), path)
+    (tmp_path / "mapped" / "reads" / "part-bad.parquet").write_bytes(b"PAR1 not a table")
+    assert [r.read_id for r in reads.read_mapped(spark, path, skip_bad=True).collect()] == ["a"]
+    with pytest.raises(Exception):
+        reads.read_mapped(spark, path).collect()
+
+
 def test_fastq_gz(spark, tmp_path):
     p = tmp_path / "x.fastq.gz"
     with gzip.open(p, "wt") as f:
