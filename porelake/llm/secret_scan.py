@@ -263,3 +263,28 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: in
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(table(spark, sf_dir, "documents"))
+
+
+def _scan_sql() -> str:
+    """The scan in SQL: matches of a rule and the text between them give the offsets. Letters of
+    either case are spelled out, runs that are too short are left to the pattern where that is the
+    same, and the character before a jwt is part of the match, as there is no look-behind."""
+    either_case = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    names = "|".join(either_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    written = {"assign": rf"""({names})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "jwt": next(r.pattern for r in RULES if r.kind == "jwt").replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])")}
+    found = []
+    for place, r in enumerate(RULES):
+        p = written.get(r.kind, r.pattern)
+        skip = f"length(regexp_extract(m, '{p}', 1))" if r.kind == "jwt" else "0"
+        least = f"WHERE length(regexp_extract(m, '{p}', {r.group})) >= {r.least}" if r.kind == "assign" else ""
+        found.append(f"""SELECT doc_id, {place} AS place, '{r.kind}' AS kind, pos + {skip} AS start, pos + length(m) AS stop FROM (
+    SELECT doc_id, m, sum(length(m) + length(gap)) OVER (PARTITION BY doc_id ORDER BY i) - length(m) AS pos FROM (
+      SELECT doc_id, unnest(ms) AS m, unnest(gaps[1 : len(ms)]) AS gap, generate_subscripts(ms, 1) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gaps FROM d))) {least}""")
+    said = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) {where}, '')"
+    counts = ", ".join(f"count(*) FILTER (place = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), s AS ({' UNION ALL '.join(found)})
+SELECT doc_id, {counts}, sha256({said("FILTER (place < 3)")}) AS base_sha256, {said("FILTER (place >= 0)")} AS spans FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id"""
+
+
+ORACLE_SQL = _scan_sql()

@@ -282,3 +282,30 @@ def remove_repeats(docs: DataFrame, window: int = 50, part: int = 26, hot: int =
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
+# Bytes as pairs of hex digits, in pieces of 1,000 bytes and the 49 after them; windows that start at
+# most 50 bytes apart are one span.
+ORACLE_SQL = """
+WITH h AS (
+  SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents
+), pieces AS (
+  SELECT doc_id, s, substr(h, 2000 * s + 1, 2098) AS part FROM (SELECT doc_id, h, unnest(range(0, (length(h) + 1999) // 2000)) AS s FROM h)
+), windows AS (
+  SELECT doc_id, 1000 * s + k AS i, md5(substr(part, 2 * k + 1, 100)) AS w FROM pieces, range(1000) r(k) WHERE length(part) >= 2 * k + 100
+), least AS (
+  SELECT w, min(doc_id) AS m FROM windows GROUP BY w
+), hits AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS opens FROM windows JOIN least USING (w) WHERE m < doc_id
+), spans AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT *, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM hits) GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans
+), cut AS (
+  SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS head, max(hi) AS last, sum(hi - lo) AS removed, count(*) AS n
+  FROM gaps JOIN h USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+"""

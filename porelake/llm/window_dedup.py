@@ -172,3 +172,22 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, sh
 
 def op10_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
+
+
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), least AS (
+  SELECT h, min(doc_id) AS m FROM windows GROUP BY h
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN least USING (h), range(50) r(k) WHERE m < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS words, count(*) AS n
+  FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w) ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -311,3 +312,54 @@ def test_token_counts(make_docs, corpus):
     counter, rnd = token_counts.PieceCounter(path, cache_size=20), random.Random(4)
     texts = ["".join(rnd.choice("ab \n\té'sL1½🙂漢▁.,theing") for _ in range(rnd.randrange(80))) for _ in range(500)]
     assert [n for k in range(0, 500, 50) for n in counter.count(texts[k : k + 50])] == [len(x) for x in sp.encode(texts)]
+
+
+# long texts -------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """A run of a megabyte without a space, and a text of over a megabyte that others share parts of."""
+    rnd = random.Random(21)
+    run = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=10**6))
+    text = " ".join("".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(1, 9))) for _ in range(220_000))
+    return run, text
+
+
+def test_long_texts_dedup(make_docs, long_texts):
+    run, text = long_texts
+    assert len(text) > 10**6
+    rows = [(1, text), (2, run), (3, "x" * 30 + text[300_000:700_123] + "y" * 60), (4, run[:262_200] + " " + text[262_100:262_300]), (5, text[5:])]
+    docs = make_docs(rows)
+    first: dict = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            first.setdefault(t[k : k + 50], i)
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t) + 1, int)
+        hits = np.array([k for k in range(len(t) - 49) if first[t[k : k + 50]] < i], int)
+        np.add.at(gone, hits, 1)
+        np.subtract.at(gone, hits + 50, 1)
+        gone = np.cumsum(gone[:-1]) > 0
+        kept = np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()
+        want.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), sha(kept)))
+    assert got(suffix_dedup.remove_repeats(docs, keep_text=False), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    found = {r.doc_id: r for r in window_dedup.remove_repeats(docs, keep_text=False).collect()}
+    assert found[1].n_removed == found[2].n_removed == 0 and found[3].n_removed == found[3].n_words - 2 and found[5].n_removed >= found[5].n_words - 1
+
+
+def test_long_runs_tokens_and_scans(long_texts):
+    run, text = long_texts
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, counter = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.PieceCounter(path)
+    for t in (run, text, "a" * 10**5, run[:100] + "漢" * 200 + "▁" * 90):
+        assert counter.count([t]) == [len(sp.encode(t))]
+    bpe, tok = bpe_codec.ByteBpe(public_tokenizers.path("byte_bpe_50k.json")), tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert bpe.encode(run) == tok.encode(run, add_special_tokens=False).ids and all(len(k) <= 64 for k in bpe.pretokens)
+    scanner = secret_scan.Scanner(secret_scan.RULES)
+    worst = ["eyJ" * 1_500_000 + " .ey", "password" + " " * 10**6, "-----BEGIN " + "PRIVATE KEY " * 10**5, run]
+    start = time.process_time()
+    assert [scanner.scan([t])[0] for t in worst] == [[], [], [], brute_secrets(run, secret_scan.RULES)]
+    assert time.process_time() - start < 60  # a rule that scans a run anew from each place would take hours
+    assert quality_rules.measure(text)[0] == 220_000 and quality_rules.measure("a b c d e " * 10**5) == (500_000, 500_000, 0, 0, 500_000)

@@ -5,15 +5,18 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
+import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from porelake import llm
 from porelake.llm import secret_scan, source_mixing, toxicity
-from tests.llm.test_exact import brute_quality, brute_secrets, brute_simhash, classes
+from tests.llm.test_exact import brute_quality, brute_secrets, brute_simhash, classes, sha
+from tests.llm.test_shingle_dedup import brute_classes
 
 
 def rows_of(names, rows):
@@ -211,10 +214,11 @@ def test_mixing_repeat_limit_and_budget(make_docs):
     assert sum(r.blocks * r.tokens + r.rest for r in plan) == pytest.approx(200.0, rel=1e-6)
 
 
-def brute_pipeline(rows, sf_rows=None):
+def brute_pipeline(rows):
+    """(doc_id, text, source) after the first three stages, in plain Python."""
     keep = [(i, t, s) for i, t, s in rows if (m := brute_quality(t or ""))[0] >= 10 and 100 * m[4] <= 20 * m[0]]
-    fps = [brute_simhash(t) for _, t, _ in keep]
-    keep = [r for r, c in zip(keep, classes([i for i, _, _ in keep], fps, 2)) if r[0] == c]
+    root, _ = brute_classes([t for _, t, _ in keep])  # rows in order of doc_id: the first of a class is its smallest
+    keep = [r for k, r in enumerate(keep) if root[k] == k]
     out = []
     for i, t, s in keep:
         at, parts = 0, []
@@ -227,16 +231,34 @@ def brute_pipeline(rows, sf_rows=None):
 
 
 def test_pipeline(spark, sf_dir, duck, tmp_path):
+    """Near-duplicates go at a similarity of 0.8 of 5-word shingles; each use of a document counts."""
     assert [len(corpus_pipeline.STAGES), corpus_pipeline.ORACLE_SQL] == [5, None]
     rows = duck.execute("SELECT doc_id, text, source FROM documents ORDER BY doc_id").fetchall()
     want = brute_pipeline(rows)
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {i: t.encode(x, add_special_tokens=False).ids for i, x, _ in want}
+    duck.register("documents_left", pd.DataFrame(want, columns=["doc_id", "text", "source"]))
+    uses = collections.Counter(r[0] for r in duck.execute("SELECT doc_id FROM (" + source_mixing.mixing_sql(0.9).replace("FROM documents", "FROM documents_left") + ")").fetchall())
     found = corpus_pipeline.run(spark, sf_dir).collect()
-    assert {r.doc_id for r in found} == set(ids)  # mixing uses each document at least once
+    assert collections.Counter(r.doc_id for r in found) == uses and set(uses) == set(ids)
     assert all(list(r.ids) == ids[r.doc_id] and r.n_tokens == len(r.ids) for r in found)
 
 
+def test_registered_queries_equal_brute_force(spark, sf_dir, duck):
+    """Operators 4, 7 and 9 as registered, over the whole table; those with SQL are tested with it."""
+    rows = [(i, t or "") for i, t in duck.execute("SELECT doc_id, text FROM documents").fetchall()]
+    got = lambda n, *c: sorted(map(tuple, llm.queries()[n](spark, sf_dir).select(*c).collect()))
+    fps = [brute_simhash(t) for _, t in rows]
+    assert got("op4_simhash_dedup", "doc_id", "fingerprint", "component_id") == sorted((i, f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, classes([i for i, _ in rows], fps, 2)))
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {i: tok.encode(t, add_special_tokens=False).ids for i, t in rows}
+    want = sorted((i, len(x), sha(",".join(map(str, x)).encode()), sha(tok.decode(x, skip_special_tokens=False).encode())) for i, x in ids.items())
+    assert got("op7_bpe_round_trip", "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    n = {i: len(sp.encode(t)) for i, t in rows}
+    assert got("op9_token_counts", "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted((i, len(t.encode()), n[i], n[i] > 4096) for i, t in rows)
+
+
 def test_stages_keep_columns(spark, make_docs, tmp_path):
     docs = make_docs([(1, "one two three four five six seven eight nine ten eleven", None), (2, None), (3, "")]).withColumn("extra", F.lit(1))
     for name, stage in corpus_pipeline.STAGES[:-1]:
