@@ -109,7 +109,7 @@ def _borders(e: np.ndarray, lens: np.ndarray, size: int, chain: tuple[float, flo
     return lead, tail
 
 
-def marginals(emit: np.ndarray, lens: np.ndarray, chain: tuple[float, float, float], size: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def marginals(emit: np.ndarray, lens: np.ndarray, chain: tuple[float, float, float], size: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """P(toxic) of every token given all tokens, and given those up to it.
 
     ``emit`` holds the sequences one after another. With two states the forward and backward messages
@@ -156,7 +156,8 @@ def _evidence(sample: DataFrame, n_toxic: int, n_clean: int, least: int) -> list
     counts = sample.select("toxic", "text").mapInArrow(run, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     found = counts.where(F.col("toxic") + F.col("clean") >= least).select("f", odds.alias("odds"), "toxic").where("abs(odds) > 1").orderBy("f")
-    return [(r.f, r.odds, r.toxic) for r in found.collect()]
+    rows = found.toArrow()
+    return list(zip(*(rows[c].to_pylist() for c in ("f", "odds", "toxic"))))
 
 
 def _varied(sample: DataFrame, toxic_in: dict[str, int]) -> set[str]:
@@ -248,9 +249,9 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, fit_toxic: int
                 g[n + 1] += (y[at + 1] * (1 - y[at])).sum() - (q * (1 - from_toxic_if_1)).sum()
                 g[n + 2] += ((1 - y[at + 1]) * y[at]).sum() - ((1 - q) * from_toxic_if_0).sum()
                 g[n + 3] += (y[at + 1] * y[at]).sum() - (q * from_toxic_if_1).sum()
-            yield pa.record_batch({"g": pa.array([g.tolist()], pa.list_(pa.float64()))})
+            yield pa.record_batch({"g": pa.array([g.tobytes()], pa.binary())})
 
-        return np.sum([r.g for r in coded.mapInArrow(run, "g array<double>").collect()], axis=0)
+        return np.sum([np.frombuffer(r.g) for r in coded.mapInArrow(run, "g binary").collect()], axis=0)
 
     w = np.array([0.5 * odds for _, odds, _ in found] + [-6.0, -3.0, 0.0, 0.0])
     m, v = np.zeros(n + 4), np.zeros(n + 4)
