@@ -67,9 +67,11 @@ def test_stage_finds_all_at_similarity(spark, make_docs, edited, tmp_path):
     assert sorted(r.doc_id for r in found.collect()) == sorted(set(want))
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_open_buckets_are_settled(spark, edited, rounds):
-    """All texts in one bucket: every pair has to be compared, whatever the number of rounds."""
+@pytest.mark.parametrize("rounds,tile", [(1, 1 << 19), (1, 2000), (3, 100)])
+def test_open_buckets_are_settled(spark, edited, monkeypatch, rounds, tile):
+    """All texts in one bucket: every pair has to be compared, whatever the number of rounds and
+    tiles; of 100 shingles, most tiles hold one text or none."""
+    monkeypatch.setattr(shingle_dedup, "TILE", tile)
     texts = [t for t in edited if t][:150]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     keyed = spark.createDataFrame([(i, len(shingle_dedup.shingle_set(t, 5)), 1) for i, t in enumerate(texts)], "id long, n int, bucket long")
