@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -78,6 +79,25 @@ def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = 4 << 20) -> Itera
         at = end
 
 
+def give_back() -> None:
+    """Return memory that is free to the system. Python workers are used again by later tasks, and
+    idle ones would keep what their largest task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim:
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose tasks give their free memory back when they end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 class Recent(dict):
     """Computes what is missing. At ``limit`` entries they become the old generation, from which
     those still in use come back one by one; the generation before is forgotten. Strings over

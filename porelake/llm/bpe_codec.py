@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import Recent, id_and_text, table
+from porelake.llm._shared import Recent, id_and_text, map_batches, table
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 DECODE_SCHEMA = "doc_id long, text string"
@@ -161,7 +161,7 @@ def encode_columns(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...])
                 yield pa.record_batch([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
     fields = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
-    return chosen.mapInArrow(run, f"{fields}, ids array<int>")
+    return map_batches(chosen, run, f"{fields}, ids array<int>")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -177,7 +177,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
         for b in batches:
             yield pa.record_batch({"doc_id": b.column("doc_id"), "text": pa.array([bpe.decode(i or []) for i in b.column("ids").to_pylist()], pa.string())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, DECODE_SCHEMA)
+    return map_batches(encoded.select("doc_id", "ids"), run, DECODE_SCHEMA)
 
 
 def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -195,7 +195,7 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 back.append(sha(bpe.decode(ids).encode("utf-8")).hexdigest())
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(left, pa.string()), "decoded_sha256": pa.array(back, pa.string())})
 
-    return id_and_text(docs).mapInArrow(run, DIGEST_SCHEMA)
+    return map_batches(id_and_text(docs), run, DIGEST_SCHEMA)
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from porelake.llm._shared import materialize, table
+from porelake.llm._shared import map_batches, materialize, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -71,7 +71,7 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
             rows = [measure(t.as_py() or "") for t in b.column("text")]
             yield pa.record_batch({"doc_id": b.column("doc_id"), "host": b.column("host"), **{c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(COUNTS)}})
 
-    return chosen.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return map_batches(chosen, run, "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def with_failures(rows: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = 0.5) -> Data
             whole = [pc.if_else(bad, pa.scalar(None, c.type), c) if k == text else c for k, c in enumerate(b.columns[:-1])]
             yield pa.record_batch([*whole, b.column("host"), *(pa.array(counts[:, k]) for k in range(len(COUNTS)))], names=carried.names)
 
-    rows = with_failures(materialize(rows.mapInArrow(run, carried), "quality-rows"))
+    rows = with_failures(materialize(map_batches(rows, run, carried), "quality-rows"))
     bad = materialize(host_verdicts(rows, limit).where("rejected").select(F.col("host").alias("bad_host")).distinct(), "quality-hosts")
     good = rows.where(~F.col("base_failed"))
     return good.join(bad, F.col("host").eqNullSafe(F.col("bad_host")), "left_anti").select(*[F.col(f"{own}_{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from porelake.llm._shared import id_and_text, slices, table
+from porelake.llm._shared import id_and_text, map_batches, slices, table
 
 SPAN_SCHEMA = "doc_id long, kinds array<string>, starts array<int>, ends array<int>"
 DIGEST_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -214,7 +214,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: int
                 "ends": pa.array([[e for _, _, e in s] for s in spans], pa.list_(pa.int32())),
             })
 
-    return id_and_text(docs).mapInArrow(run, SPAN_SCHEMA)
+    return map_batches(id_and_text(docs), run, SPAN_SCHEMA)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]", segment: int = 1000) -> DataFrame:
@@ -239,7 +239,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
             b = b.set_column(names.index("text"), b.schema.field("text"), pa.array(texts, b.schema.field("text").type))
             yield b.set_column(names.index("n_chars"), b.schema.field("n_chars"), pa.array(sizes, b.schema.field("n_chars").type)) if sizes else b
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: int = 1000) -> DataFrame:
@@ -258,7 +258,7 @@ def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: in
                 "spans": pa.array([said(s, len(rules)) for s in spans], pa.string()),
             })
 
-    return id_and_text(docs).mapInArrow(run, DIGEST_SCHEMA)
+    return map_batches(id_and_text(docs), run, DIGEST_SCHEMA)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
