@@ -1,7 +1,7 @@
 """Forward passes of network layers over (read_id, t, x array<double>) rows.
 
-Layers without memory are column expressions or windows. Recurrent ones run per read in Arrow
-batches, with their weights (small, fixed by the model's shape) in the task.
+Layers without memory are column expressions or windows. Recurrent ones fold over the array of a
+read's steps, also as expressions; weights are literals (small, fixed by the model's shape).
 """
 
 from __future__ import annotations
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,35 +126,41 @@ def time_linear(df: DataFrame, weights: np.ndarray, by: str = "read_id", t: str
     return tall.groupBy(by, t).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_v"))), lambda s: s["_v"]).alias(x))
 
 
-def gru_step(h, x, wi, wh, b):
-    n = len(h)
-    gi, gh = wi @ x + b, wh @ h
-    r, z = (1 / (1 + np.exp(-(gi[k * n : k * n + n] + gh[k * n : k * n + n]))) for k in (0, 1))
-    return (1 - z) * np.tanh(gi[2 * n :] + r * gh[2 * n :]) + z * h
+def _sigmoid(v: Column) -> Column:
+    return 1 / (1 + F.exp(-v))
 
 
-def lstm_step(h, c, x, wi, wh, b):
-    n = len(h)
-    g = wi @ x + wh @ h + b
-    i, f, o = (1 / (1 + np.exp(-g[k * n : k * n + n])) for k in (0, 1, 3))
-    c = f * c + i * np.tanh(g[2 * n : 3 * n])
-    return o * np.tanh(c), c
+def gru_step(state: Column, g: Column, wh: np.ndarray) -> Column:
+    """The state after a step; g: its input through the weights of the reset, update and new gates."""
+    n = wh.shape[1]
+
+    def of(u: Column) -> Column:
+        reset, update = ([_sigmoid(g[at + k] + u[at + k]) for k in range(n)] for at in (0, n))
+        new = [F.tanh(g[2 * n + k] + reset[k] * u[2 * n + k]) for k in range(n)]
+        return F.struct(F.array(*[(1 - update[k]) * new[k] + update[k] * state["h"][k] for k in range(n)]).alias("h"), state["c"].alias("c"))
+
+    return let(F.array(*[dot(state["h"], w) for w in wh]), of)
+
+
+def lstm_step(state: Column, g: Column, wh: np.ndarray) -> Column:
+    """The state after a step; g: its input through the weights of the input, forget, cell and output gates."""
+    n = wh.shape[1]
+
+    def of(a: Column) -> Column:
+        cell = F.array(*[_sigmoid(a[n + k]) * state["c"][k] + _sigmoid(a[k]) * F.tanh(a[2 * n + k]) for k in range(n)])
+        return let(cell, lambda c: F.struct(F.array(*[_sigmoid(a[3 * n + k]) * F.tanh(c[k]) for k in range(n)]).alias("h"), c.alias("c")))
+
+    return let(F.zip_with(g, F.array(*[dot(state["h"], w) for w in wh]), lambda x, y: x + y), of)
 
 
 def recurrent(df: DataFrame, kind: str, size: int, wi: np.ndarray, wh: np.ndarray, b: np.ndarray, reverse: bool = False) -> DataFrame:
-    """(read_id, t, x): hidden states of a 'gru' or 'lstm' over each read."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("t")
-        xs = group["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1).astype(float)
-        h, c, out = np.zeros(size), np.zeros(size), []
-        for x in xs[::-1] if reverse else xs:
-            if kind == "gru":
-                h = gru_step(h, x, wi, wh, b)
-            else:
-                h, c = lstm_step(h, c, x, wi, wh, b)
-            out.append(h)
-        out = out[::-1] if reverse else out
-        return pa.table({"read_id": pa.array([key[0].as_py()] * len(out), pa.int64()), "t": group["t"].cast(pa.int64()), "x": pa.array([o.tolist() for o in out], pa.list_(pa.float64()))})
-
-    return df.select("read_id", "t", "x").groupBy("read_id").applyInArrow(run, "read_id long, t long, x array<double>")
+    """(read_id, t, x): hidden states of a 'gru' or 'lstm' over each read. Inputs go through their
+    weights row by row; only what depends on the state before is done in the order of the steps."""
+    through = df.select("read_id", F.struct(F.col("t").cast("long").alias("t"), feed_forward(F.col("x"), wi, b, lambda v: v).alias("g")).alias("s"))
+    rows = through.groupBy("read_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    steps = F.reverse("s") if reverse else F.col("s")
+    step = {"gru": gru_step, "lstm": lstm_step}[kind]
+    begin = F.struct(*[F.array(*[F.lit(0.0)] * size).alias(c) for c in "hc"])
+    states = F.aggregate(steps, F.array(begin), lambda a, s: F.array_append(a, step(F.element_at(a, -1), s["g"], wh)))
+    pairs = F.zip_with(steps, F.slice(states, F.lit(2), F.size("s")), lambda s, v: F.struct(s["t"].alias("t"), v["h"].alias("x")))
+    return rows.select("read_id", F.explode(pairs).alias("r")).select("read_id", "r.t", "r.x")

@@ -113,6 +113,25 @@ def sequence_cost(steps: Column, n: int, codes: Column, sharp: float = 1.0) -> C
     return -F.element_at(F.aggregate(steps, begin, step), -1) / (F.size(steps) * sharp)
 
 
+def ctc_states(labels: Column, blank: int) -> Column:
+    """The labels with a blank before, between and after them."""
+    return F.concat(F.flatten(F.transform(labels, lambda c: F.array(F.lit(blank), c.cast("int")))), F.array(F.lit(blank)))
+
+
+def ctc_cost(log_probs: Column, states: Column, blank: int) -> Column:
+    """-log probability, a step, of the labels that ``ctc_states`` made states of; at least one label.
+    A path may pass over a blank between two labels that differ."""
+    begin = F.transform(states, lambda c, i: F.when(i == 0, F.lit(0.0)).otherwise(F.lit(NEVER)))
+
+    def step(v: Column, x: Column) -> Column:
+        before = lambda i, k: F.coalesce(F.get(v, i - k), F.lit(NEVER))
+        over = lambda c, i: (i > 1) & (c != blank) & (c != F.get(states, i - 2))
+        return F.transform(states, lambda c, i: logsumexp(F.array(F.get(v, i), before(i, 1), F.when(over(c, i), before(i, 2)).otherwise(F.lit(NEVER)))) + F.element_at(x, c + 1))
+
+    end = F.aggregate(log_probs, begin, step)
+    return -logsumexp(F.slice(end, F.size(states) - 1, F.lit(2))) / F.size(log_probs)
+
+
 def error_probs(posteriors: Column, n: int, path: Column) -> Column:
     """1 - share of the transitions into the base called at each step."""
     def into(p: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from porelake.catalog import query
 from porelake.operators import kernels as K
 from porelake.operators import paths as P
+from porelake.operators.layers import log_softmax
 from porelake.plans._bind import read, score_rows
 
 
@@ -167,13 +168,23 @@ def catmod_cost(spark, sf_dir):
     return K.per_read(score_rows(spark, sf_dir, 64), kernel, "cost double")
 
 
-@query("ctc_cost")
-def ctc_cost(spark, sf_dir):
-    def kernel(x):
-        lp = x - K.lse(x, 1)[:, None]
-        return {"cost": [round(K.ctc_cost(lp, np.arange(max(1, len(x) // 3)) % 63, 63), 6)]}
+BLANK = 63
+CTC = f"""WITH RECURSIVE e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings),
+  l AS (SELECT read_id, t, list_transform(x, lambda z: z - {_lse('x')}) AS x FROM e),
+  b AS (SELECT read_id, count(*) AS n, list_append(flatten(list_transform(range(greatest(1, count(*) // 3)), lambda k: [{BLANK}, k % {BLANK}])), {BLANK}) AS states FROM e GROUP BY read_id),
+  f AS (SELECT read_id, CAST(0 AS BIGINT) AS t, n, states, list_transform(range(len(states)), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS v FROM b
+  UNION ALL SELECT f.read_id, f.t + 1, n, states, list_transform(range(len(states)), lambda i: x[states[i + 1] + 1] + {_lse(f"[v[i + 1], CASE WHEN i > 0 THEN v[i] ELSE -1e30::DOUBLE END, CASE WHEN i > 1 AND states[i + 1] <> {BLANK} AND states[i + 1] <> states[i - 1] THEN v[i - 1] ELSE -1e30::DOUBLE END]")})
+  FROM f JOIN l ON l.read_id = f.read_id AND l.t = f.t)
+  SELECT read_id, round(-{_lse('v[len(states) - 1 : len(states)]')} / n, 6) AS cost FROM f WHERE t = n"""
 
-    return K.per_read(score_rows(spark, sf_dir, 64), kernel, "cost double")
+
+@query("ctc_cost", CTC)
+def ctc_cost(spark, sf_dir):
+    """A label for every three steps, spelled by the softmax of all components."""
+    rows = P.steps_of(score_rows(spark, sf_dir, 64)).withColumn("steps", F.transform("steps", log_softmax))
+    labels = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.size("steps") / 3).cast("int")) - 1), lambda k: k % BLANK)
+    rows = _once(rows, states=P.ctc_states(labels, BLANK))
+    return rows.select("read_id", F.round(P.ctc_cost(F.col("steps"), F.col("states"), BLANK), 6).alias("cost"))
 
 
 @query("beam_search")

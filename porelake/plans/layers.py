@@ -156,17 +156,50 @@ def layer_time_linear(spark, sf_dir):
     return _rounded(L.time_linear(_x(spark, sf_dir), weights(3, 10)))
 
 
-@query("layer_gru")
+def _states_sql(name: str, kind: str, source: str, wi: np.ndarray, wh: np.ndarray, reverse: bool = False) -> str:
+    """CTEs of a recurrent layer over ``source``: ``name`` has its hidden states (read_id, t, x)."""
+    n = wh.shape[1]
+    sig = lambda v: f"(1 / (1 + exp(-({v}))))"
+    tanh = lambda v: f"(1 - 2 / (exp(2 * ({v})) + 1))"
+    gate = lambda k: f"g[{k * n} + j] + u[{k * n} + j]"
+    each = lambda v: f"list_transform(range(1, {n + 1}), lambda j: {v})"
+    if kind == "gru":
+        new = tanh(f"g[{2 * n} + j] + {sig(gate(0))} * u[{2 * n} + j]")
+        c, h = "c", each(f"(1 - {sig(gate(1))}) * {new} + {sig(gate(1))} * h[j]")
+    else:
+        c, h = each(f"{sig(gate(1))} * c[j] + {sig(gate(0))} * {tanh(gate(2))}"), each(f"{sig(gate(3))} * {tanh('c[j]')}")
+    zeros, begin, on = [0.0] * n, "max(t) + 1" if reverse else "CAST(-1 AS BIGINT)", -1 if reverse else 1
+    return f""", {name}_g AS (SELECT read_id, t, list_transform({wi.tolist()}::DOUBLE[][], lambda w: list_inner_product(w, x) + 0.1::DOUBLE) AS g FROM {source}),
+  {name}_s AS (SELECT read_id, {begin} AS t, CAST(0 AS BIGINT) AS k, {zeros}::DOUBLE[] AS h, {zeros}::DOUBLE[] AS c FROM {source} GROUP BY read_id
+  UNION ALL SELECT read_id, t, k + 1, {h}, c FROM (SELECT read_id, t, k, g, u, h, {c} AS c FROM (
+    SELECT s.read_id, r.t, k, g, h, c, list_transform({wh.tolist()}::DOUBLE[][], lambda w: list_inner_product(w, h)) AS u FROM {name}_s s JOIN {name}_g r ON r.read_id = s.read_id AND r.t = s.t + {on}))),
+  {name} AS (SELECT read_id, t, h AS x FROM {name}_s WHERE k > 0)"""
+
+
+RECURSIVE = WHOLE.replace("WITH e", "WITH RECURSIVE e", 1)
+ROUNDED = " SELECT read_id, t, round(list_sum(x), 6) AS total, round(x[1], 6) AS first FROM "
+
+
+@query("layer_gru", RECURSIVE + _states_sql("y", "gru", "e", weights(12, 64), weights(12, 4)) + ROUNDED + "y")
 def layer_gru(spark, sf_dir):
     return _rounded(L.recurrent(_x(spark, sf_dir), "gru", 4, weights(12, 64), weights(12, 4), np.full(12, 0.1)))
 
 
-@query("layer_lstm_reverse")
+@query("layer_lstm_reverse", RECURSIVE + _states_sql("y", "lstm", "e", weights(16, 64), weights(16, 4), reverse=True) + ROUNDED + "y")
 def layer_lstm_reverse(spark, sf_dir):
     return _rounded(L.recurrent(_x(spark, sf_dir), "lstm", 4, weights(16, 64), weights(16, 4), np.full(16, 0.1), reverse=True))
 
 
-@query("network_forward")
+NETWORK = (
+    RECURSIVE
+    + f", around AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS q FROM e WINDOW w AS (PARTITION BY read_id ORDER BY t)), d AS (SELECT read_id, t, list_transform([{_conv_sql(0)} + 0.05::DOUBLE, {_conv_sql(1)} + 0.05::DOUBLE], lambda v: v / (1 + exp(-v))) AS x FROM around)"
+    + _states_sql("y", "lstm", "d", weights(16, 2), weights(16, 4), reverse=True)
+    + _states_sql("z", "lstm", "y", weights(16, 4), weights(16, 4))
+    + f", o AS (SELECT read_id, t, list_transform({weights(40, 4).tolist()}::DOUBLE[][], lambda w: 5 * (1 - 2 / (exp(2 * list_inner_product(w, x)) + 1))) AS x FROM z)"
+)
+
+
+@query("network_forward", NETWORK + ROUNDED + "o")
 def network_forward(spark, sf_dir):
     """Convolution, two recurrent layers in opposite directions, then transition scores."""
     h = L.convolution(_x(spark, sf_dir), K3, np.full(2, 0.05), activation.ACTIVATIONS["swish"])
