@@ -128,17 +128,6 @@ def sequence_gradient(scores: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return -g / T
 
 
-def modified_cost(scores: np.ndarray, mod_scores: np.ndarray, codes: np.ndarray, entered: np.ndarray, weights: np.ndarray, sharp: float = 1.0) -> float:
-    """sequence_cost where entering base i adds its modification's score times its weight."""
-    step, stay = sequence_indices(codes, bases_of(scores.shape[1]))
-    v = np.full(len(codes), NEVER)
-    v[0] = 0.0
-    for s, m in zip(scores * sharp, mod_scores * sharp):
-        move = s[step] + m[entered[1:]] * weights[1:]
-        v = np.logaddexp(v + s[stay], np.concatenate([[NEVER], v[:-1] + move]))
-    return float(-v[-1] / (len(scores) * sharp))
-
-
 def remap(scores: np.ndarray, codes: np.ndarray, localpen: float) -> tuple[float, np.ndarray]:
     """Best alignment of the steps to a sequence: score, and T + 1 positions (-1 where clipped).
 

@@ -99,18 +99,73 @@ def posterior(steps: Column, n: int, ahead: Column, back: Column, log_z: Column)
     return F.transform(at, lambda r: F.array(*[F.exp(r["f"][s] + r["x"][i] + r["b"][to] - log_z) for i, (s, to) in enumerate(ways)]))
 
 
-def sequence_cost(steps: Column, n: int, codes: Column, sharp: float = 1.0) -> Column:
-    """-log weight of the paths that spell a sequence of flip-flop codes, a step and sharpness."""
+def _but_last(a: Column) -> Column:
+    return F.slice(a, F.lit(1), F.size(a) - 1)
+
+
+def _but_first(a: Column) -> Column:
+    return F.slice(a, F.lit(2), F.size(a) - 1)
+
+
+def _places(codes: Column, n: int) -> tuple[Column, Column]:
+    """Where in a step's scores, from 1: staying at each code, and moving on to each code but the first."""
     stay = F.transform(codes, lambda c: (c + F.least(c, F.lit(n)) * 2 * n + 1).cast("int"))
-    move = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda c, d: (c + F.least(d, F.lit(n)) * 2 * n + 1).cast("int"))
-    begin = F.transform(codes, lambda c, i: F.when(i == 0, F.lit(0.0)).otherwise(F.lit(NEVER)))
+    return stay, F.zip_with(_but_last(codes), _but_first(codes), lambda c, d: (c + F.least(d, F.lit(n)) * 2 * n + 1).cast("int"))
+
+
+def _either(a: Column, b: Column) -> Column:
+    """Log weights of two sets of paths to each place, together."""
+    return F.zip_with(a, b, lambda x, y: F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y))))
+
+
+def _plus(v: Column, x: Column, places: Column, sharp: float = 1.0) -> Column:
+    return F.zip_with(v, places, lambda w, i: w + sharp * F.element_at(x, i))
+
+
+def _only(codes: Column, place: Column) -> Column:
+    return F.transform(codes, lambda c, i: F.when(i == place, F.lit(0.0)).otherwise(F.lit(NEVER)))
+
+
+def sequence_cost(steps: Column, n: int, codes: Column, sharp: float = 1.0, entered: Column | None = None, weights: Column | None = None) -> Column:
+    """-log weight of the paths that spell a sequence of flip-flop codes, a step and sharpness. With
+    ``entered``, moving on to a code adds the score at its place there, times its weight."""
+    stay, move = _places(codes, n)
+    never = F.array(F.lit(NEVER))
 
     def step(v: Column, x: Column) -> Column:
-        stayed = F.zip_with(v, stay, lambda w, i: w + sharp * F.element_at(x, i))
-        moved = F.concat(F.array(F.lit(NEVER)), F.zip_with(F.slice(v, F.lit(1), F.size(v) - 1), move, lambda w, i: w + sharp * F.element_at(x, i)))
-        return F.zip_with(stayed, moved, lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
+        moved = _plus(_but_last(v), x, move, sharp)
+        if entered is not None:
+            extra = F.zip_with(_but_first(entered), _but_first(weights), lambda i, w: sharp * w * F.element_at(x, i))
+            moved = F.zip_with(moved, extra, lambda a, b: a + b)
+        return _either(_plus(v, x, stay, sharp), F.concat(never, moved))
+
+    return -F.element_at(F.aggregate(steps, _only(codes, F.lit(0)), step), -1) / (F.size(steps) * sharp)
+
+
+def spelled(steps: Column, n: int, codes: Column) -> tuple[Column, Column]:
+    """Log weights, before each step and after the last, of the paths that spell the codes up to each
+    of them, and of those that spell the rest."""
+    stay, move = _places(codes, n)
+    never = F.array(F.lit(NEVER))
+    ahead = _all(steps, _only(codes, F.lit(0)), lambda v, x: _either(_plus(v, x, stay), F.concat(never, _plus(_but_last(v), x, move))))
+    back = _all(F.reverse(steps), _only(codes, F.size(codes) - 1), lambda v, x: _either(_plus(v, x, stay), F.concat(_plus(_but_first(v), x, move), never)))
+    return ahead, F.reverse(back)
+
+
+def sequence_gradient(steps: Column, n: int, codes: Column, ahead: Column, back: Column) -> Column:
+    """Gradient of sequence_cost at sharpness 1 by each score of each step; ahead, back: of ``spelled``."""
+    stay, move = _places(codes, n)
+    log_z = F.element_at(F.element_at(ahead, -1), -1)
+    at = F.arrays_zip(steps.alias("x"), F.slice(ahead, F.lit(1), F.size(steps)).alias("f"), F.slice(back, F.lit(2), F.size(steps)).alias("b"))
+
+    def of(r: Column) -> Column:
+        share = lambda s, i: F.struct(i.alias("i"), F.exp(s + F.element_at(r["x"], i) - log_z).alias("p"))
+        both = lambda f, b, places: F.zip_with(F.zip_with(f, b, lambda x, y: x + y), places, share)
+        ways = F.concat(both(r["f"], r["b"], stay), both(_but_last(r["f"]), _but_first(r["b"]), move))
+        total = lambda ws, k: F.aggregate(F.filter(ws, lambda w: w["i"] == k), F.lit(0.0), lambda a, w: a + w["p"])
+        return let(ways, lambda ws: F.transform(F.sequence(F.lit(1), F.lit(2 * n * (n + 1))), lambda k: -total(ws, k) / F.size(steps)))
 
-    return -F.element_at(F.aggregate(steps, begin, step), -1) / (F.size(steps) * sharp)
+    return F.transform(at, of)
 
 
 def ctc_states(labels: Column, blank: int) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from porelake.catalog import query
+from porelake.functions import qscore
 from porelake.operators import kernels as K
 from porelake.operators import paths as P
 from porelake.operators.layers import log_softmax
@@ -39,18 +40,20 @@ def _forward(start: str) -> str:
   z AS (SELECT read_id, max(t) AS n, {_lse('arg_max(v, t)')} AS log_z FROM f GROUP BY read_id)"""
 
 
-VITERBI = (
-    STEPS
-    + f""", f AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {_begin('-1e30')}::DOUBLE[] AS v,
-    list_transform(range({2 * NB}), lambda s: [s]) AS p FROM e
-  UNION ALL SELECT f.read_id, f.t + 1,
+def _best_path(source: str) -> str:
+    """CTEs whose last one, vit, has the states of the best path over the scores x of ``source``."""
+    return f""", vf AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {_begin('-1e30')}::DOUBLE[] AS v,
+    list_transform(range({2 * NB}), lambda s: [s]) AS p FROM {source}
+  UNION ALL SELECT vf.read_id, vf.t + 1,
     list_transform(range({2 * NB}), lambda s: CASE WHEN s < {NB} THEN list_max({INTO_FLIP}) ELSE list_max({INTO_FLOP}) END),
     list_transform(range({2 * NB}), lambda s: list_append(CASE WHEN s < {NB} THEN p[list_position({INTO_FLIP}, list_max({INTO_FLIP}))]
       WHEN v[s - {NB - 1}] + x[{2 * NB * NB - NB + 1} + s] >= v[s + 1] + x[{2 * NB * NB + 1} + s] THEN p[s - {NB - 1}] ELSE p[s + 1] END, s))
-  FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t),
-  b AS (SELECT read_id, arg_max(p, t) AS p, arg_max(v, t) AS v FROM f GROUP BY read_id)
-  SELECT read_id, CAST(i AS BIGINT) AS t, CAST(p[list_position(v, list_max(v))][i + 1] AS BIGINT) AS state FROM (SELECT *, unnest(range(len(p[1]))) AS i FROM b)"""
-)
+  FROM vf JOIN {source} AS o ON o.read_id = vf.read_id AND o.t = vf.t),
+  vb AS (SELECT read_id, arg_max(p, t) AS p, arg_max(v, t) AS v FROM vf GROUP BY read_id),
+  vit AS (SELECT read_id, CAST(i AS BIGINT) AS t, CAST(p[list_position(v, list_max(v))][i + 1] AS BIGINT) AS state FROM (SELECT *, unnest(range(len(p[1]))) AS i FROM vb))"""
+
+
+VITERBI = STEPS + _best_path("e") + " SELECT read_id, t, state FROM vit"
 
 
 def _steps(spark, sf_dir):
@@ -134,38 +137,61 @@ def flipflop_remap(spark, sf_dir):
 CODES = _codes(10, NB).tolist()
 STAY = [c + min(c, NB) * 2 * NB + 1 for c in CODES]
 MOVE = [0] + [c + min(d, NB) * 2 * NB + 1 for c, d in zip(CODES, CODES[1:])]
-SPELLED = f""", q AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {[0.0] + [-1e30] * (len(CODES) - 1)}::DOUBLE[] AS v FROM e
-  UNION ALL SELECT q.read_id, q.t + 1, list_transform(range({len(CODES)}), lambda i: {_lse(f"[v[i + 1] + x[({STAY})[i + 1]], CASE WHEN i = 0 THEN -1e30 ELSE v[i] + x[({MOVE})[i + 1]] END]")})
-  FROM q JOIN e ON e.read_id = q.read_id AND e.t = q.t), k AS (SELECT read_id, max(t) AS n, -arg_max(v, t)[{len(CODES)}] / max(t) AS cost FROM q GROUP BY read_id)"""
+MODIFIED = [c % NB % 4 + 61 for c in CODES]  # the last four of 64 components; the fifth base shares the first
+
+
+def _spelled(extra: str = "") -> str:
+    """Weights of the paths that spell the codes up to each one; a read of n steps has the first n // 2 codes."""
+    return f""", q AS (SELECT DISTINCT read_id, CAST(0 AS BIGINT) AS t, {[0.0] + [-1e30] * (len(CODES) - 1)}::DOUBLE[] AS v FROM e
+  UNION ALL SELECT q.read_id, q.t + 1, list_transform(range({len(CODES)}), lambda i: {_lse(f"[v[i + 1] + x[({STAY})[i + 1]], CASE WHEN i = 0 THEN -1e30 ELSE v[i] + x[({MOVE})[i + 1]]{extra} END]")})
+  FROM q JOIN e ON e.read_id = q.read_id AND e.t = q.t),
+  k AS (SELECT read_id, max(t) AS n, greatest(2, max(t) // 2) AS codes, -arg_max(v, t)[greatest(2, max(t) // 2)] / max(t) AS cost FROM q GROUP BY read_id)"""
 
 
-@query("crf_cost", _forward(_begin("-50000")) + SPELLED + " SELECT k.read_id, round(cost, 6) AS cost, round(cost + log_z / z.n, 6) AS loss FROM k JOIN z USING (read_id) WHERE k.n = 10")
+def _spelling(spark, sf_dir, n: int = 60):
+    """(read_id, steps, codes)"""
+    rows = P.steps_of(score_rows(spark, sf_dir, n))
+    return _once(rows, codes=F.slice(F.array(*map(F.lit, CODES)), F.lit(1), F.greatest(F.lit(2), F.floor(F.size("steps") / 2).cast("int"))))
+
+
+@query("crf_cost", _forward(_begin("-50000")) + _spelled() + " SELECT k.read_id, round(cost, 6) AS cost, round(cost + log_z / z.n, 6) AS loss FROM k JOIN z USING (read_id)")
 def crf_cost(spark, sf_dir):
-    """Training loss of a whole read: cost of its sequence and log partition, both a step."""
-    rows = _steps(spark, sf_dir).where(F.size("steps") == 10)
-    found = _once(rows, cost=P.sequence_cost(F.col("steps"), NB, F.array(*map(F.lit, CODES))), z=P.log_partition(F.col("steps"), NB, P.start(NB)))
+    """Training loss of a read: cost of its sequence and log partition, both a step."""
+    found = _once(_spelling(spark, sf_dir), cost=P.sequence_cost(F.col("steps"), NB, F.col("codes")), z=P.log_partition(F.col("steps"), NB, P.start(NB)))
     return found.select("read_id", F.round("cost", 6).alias("cost"), F.round(F.col("cost") + F.col("z") / F.size("steps"), 6).alias("loss"))
 
 
-@query("crf_gradient")
-def crf_gradient(spark, sf_dir):
-    def kernel(x):
-        g = K.sequence_gradient(x, _codes(len(x), NB))
-        return {"t": np.arange(len(g)), "total": np.round(g.sum(1), 6), "steepest": g.argmin(1)}
+LAST = len(CODES) - 1
+GRADIENT = (
+    STEPS
+    + _spelled()
+    + f""", r AS (SELECT read_id, n AS t, list_transform(range({LAST + 1}), lambda i: CASE WHEN i = codes - 1 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS v FROM k
+  UNION ALL SELECT r.read_id, r.t - 1, list_transform(range({LAST + 1}), lambda i: {_lse(f"[v[i + 1] + x[({STAY})[i + 1]], CASE WHEN i = {LAST} THEN -1e30 ELSE v[i + 2] + x[({MOVE})[i + 2]] END]")})
+  FROM r JOIN e ON e.read_id = r.read_id AND e.t = r.t - 1),
+  w AS (SELECT q.read_id, q.t, k.n, unnest(range({LAST + 1})) AS i, q.v AS f, r.v AS b, x, -cost * k.n AS log_z
+    FROM q JOIN r ON r.read_id = q.read_id AND r.t = q.t + 1 JOIN e ON e.read_id = q.read_id AND e.t = q.t JOIN k ON k.read_id = q.read_id),
+  o AS (SELECT read_id, t, n, ({STAY})[i + 1] AS place, exp(f[i + 1] + x[({STAY})[i + 1]] + b[i + 1] - log_z) AS p FROM w
+    UNION ALL SELECT read_id, t, n, ({MOVE})[i + 2], exp(f[i + 1] + x[({MOVE})[i + 2]] + b[i + 2] - log_z) FROM w WHERE i < {LAST}),
+  g AS (SELECT read_id, t, n, place, sum(p) AS p FROM o GROUP BY read_id, t, n, place)
+  SELECT read_id, t, round(-sum(p) / n, 6) AS total, CAST(arg_max(place, p) - 1 AS BIGINT) AS steepest FROM g GROUP BY read_id, t, n"""
+)
+
 
-    return K.per_read(score_rows(spark, sf_dir), kernel, "t long, total double, steepest long")
+@query("crf_gradient", GRADIENT)
+def crf_gradient(spark, sf_dir):
+    """Of each step the sum of the gradient, and the score along which the cost falls most."""
+    ahead, back = P.spelled(F.col("steps"), NB, F.col("codes"))
+    rows = _once(_spelling(spark, sf_dir), f=ahead, b=back)
+    g = rows.select("read_id", F.posexplode(P.sequence_gradient(F.col("steps"), NB, F.col("codes"), F.col("f"), F.col("b"))).alias("t", "g"))
+    return g.select("read_id", F.col("t").cast("long").alias("t"), F.round(F.aggregate("g", F.lit(0.0), lambda a, v: a + v), 6).alias("total"), (F.array_position("g", F.array_min("g")) - 1).cast("long").alias("steepest"))
 
 
-@query("catmod_cost")
+@query("catmod_cost", STEPS.replace("embedding[1:60]", "embedding") + _spelled(f" + 0.5::DOUBLE * x[({MODIFIED})[i + 1]]") + " SELECT read_id, round(cost, 6) AS cost FROM k")
 def catmod_cost(spark, sf_dir):
     """The last four components stand for modifications of the bases; the fifth shares the first."""
-
-    def kernel(x):
-        codes = _codes(len(x), NB)
-        cost = K.modified_cost(x[:, :60], x[:, 60:], codes, codes % NB % 4, np.full(len(codes), 0.5))
-        return {"cost": [round(cost, 6)]}
-
-    return K.per_read(score_rows(spark, sf_dir, 64), kernel, "cost double")
+    entered, half = F.transform("codes", lambda c: (c % NB % 4 + 61).cast("int")), F.transform("codes", lambda c: F.lit(0.5))
+    cost = P.sequence_cost(F.col("steps"), NB, F.col("codes"), entered=entered, weights=half)
+    return _spelling(spark, sf_dir, 64).select("read_id", F.round(cost, 6).alias("cost"))
 
 
 BLANK = 63
@@ -231,16 +257,28 @@ def tetrahedral_embedding(spark, sf_dir):
     return e.groupBy(F.col("user_id").alias("read_id")).agg(*[F.round(F.sum(F.col("p")[k]) / F.sqrt(F.lit(3.0)), 6).alias(n) for k, n in enumerate("xy")])
 
 
-@query("basecall_chain")
+CHAIN = (
+    POSTERIOR
+    + ", lp AS (SELECT read_id, t, list_transform(p, lambda s: ln(s + 1e-8::DOUBLE)) AS x FROM p)"
+    + _best_path("lp")
+    + f""", w AS (SELECT read_id, t, state, lag(state) OVER (PARTITION BY read_id ORDER BY t) AS before FROM vit),
+  c AS (SELECT w.read_id, w.t, state % {NB} AS b, post.p AS pp FROM w JOIN p AS post ON post.read_id = w.read_id AND w.t = post.t + 1 WHERE state <> before),
+  q AS (SELECT read_id, t, b, 1 - (list_sum(pp[{2 * NB} * b + 1 : {2 * NB} * b + {2 * NB}]) + pp[{2 * NB * NB} + b + 1] + pp[{2 * NB * NB + NB} + b + 1]) / (list_sum(pp) + 1e-10::DOUBLE) AS perr FROM c)
+  SELECT i.read_id, coalesce(string_agg(substr('ACGTZ', CAST(b AS INTEGER) + 1, 1), '' ORDER BY t), '') AS seq,
+    coalesce(string_agg(chr(CAST(floor(-10 * log10(greatest(perr, 1e-5::DOUBLE)) + 33.5::DOUBLE) AS INTEGER)), '' ORDER BY t), '') AS qual, count(perr) AS n_moves
+  FROM (SELECT DISTINCT read_id FROM e) i LEFT JOIN q ON q.read_id = i.read_id GROUP BY i.read_id"""
+)
+
+
+@query("basecall_chain", CHAIN)
 def basecall_chain(spark, sf_dir):
     """Posteriors, best path, error probabilities and quality of each read's call."""
-
-    def kernel(x):
-        post = K.posterior(x)
-        path = K.viterbi(np.log(post + 1e-8))
-        e = K.error_probs(post, path)
-        moves = np.flatnonzero(path[1:] != path[:-1]) + 1
-        q = -10 * np.log10(np.maximum(e[moves], 1e-5))
-        return {"seq": ["".join("ACGTZ"[s % NB] for s in path[moves])], "qual": ["".join(chr(int(v + 33.5)) for v in q)], "n_moves": [len(moves)]}
-
-    return K.per_read(score_rows(spark, sf_dir), kernel, "seq string, qual string, n_moves long")
+    logs = F.transform("post", lambda p: F.transform(p, lambda s: F.ln(s + 1e-8)))
+    rows = _once(_posteriors(spark, sf_dir), path=P.viterbi(logs, NB))
+    rows = _once(rows, err=P.error_probs(F.col("post"), NB, F.col("path")))
+    after, before = F.slice("path", F.lit(2), F.size("steps")), F.slice("path", F.lit(1), F.size("steps"))
+    calls = F.filter(F.arrays_zip(after.alias("s"), before.alias("b"), F.col("err").alias("e")), lambda c: c["s"] != c["b"])
+    rows = _once(rows, calls=calls)
+    letters = F.transform("calls", lambda c: F.element_at(F.array(*map(F.lit, "ACGTZ")), (c["s"] % NB + 1).cast("int")))
+    marks = F.transform("calls", lambda c: qscore.to_char(-10 * F.log10(F.greatest(c["e"], F.lit(1e-5)))))
+    return rows.select("read_id", F.array_join(letters, "").alias("seq"), F.array_join(marks, "").alias("qual"), F.size("calls").cast("long").alias("n_moves"))
