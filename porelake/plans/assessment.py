@@ -71,7 +71,9 @@ def accuracy_histogram(spark, sf_dir):
     return a.where((F.col("accuracy") >= 0.65) & (F.col("accuracy") <= 1.0)).groupBy(F.least(at, F.lit(34)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-@query("accuracy_mode")
+@query("accuracy_mode", A + """, i AS (SELECT accuracy AS a FROM v WHERE accuracy BETWEEN 0 AND 1), s AS (SELECT stddev_samp(a) * pow(count(*), -0.2::DOUBLE) AS h FROM i),
+  c AS (SELECT floor(a * 512) AS cell, count(*) AS w FROM i GROUP BY 1), d AS (SELECT x, sum(w * exp(-0.5::DOUBLE * pow((x - cell - 0.5::DOUBLE) / 512 / h, 2))) AS d FROM c, s, range(513) r(x) GROUP BY x)
+  SELECT round(arg_max(x, d) / 512.0::DOUBLE, 6) AS mode FROM d""")
 def accuracy_mode(spark, sf_dir):
     return alignment.density_mode(alignments(spark, sf_dir), F.col("accuracy")).select(F.round("mode", 6).alias("mode"))
 
