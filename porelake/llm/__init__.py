@@ -1,4 +1,4 @@
-"""Operators for training-data pipelines: ten operators, one query each, and the corpus pipeline."""
+"""Operators for training-data pipelines: thirteen operators, one query each, and the corpus pipeline."""
 
 from __future__ import annotations
 
@@ -19,6 +19,9 @@ MODULES = {
     "op8_source_mixing": "source_mixing",
     "op9_token_counts": "token_counts",
     "op10_window_dedup": "window_dedup",
+    "op11_collocations": "collocations",
+    "op12_hard_negatives": "hard_negatives",
+    "op13_url_filter": "url_filter",
 }
 
 
