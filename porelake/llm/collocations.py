@@ -317,7 +317,9 @@ def _ranked(found: DataFrame, totals: DataFrame, top: int, salts: int) -> DataFr
     dealt = dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("order"))).where(F.col("place") <= top)
     dealt = materialize(dealt, "phrases-tops")
     worst = dealt.where(F.col("place") == -(-top // salts)).groupBy("lang").agg(F.max("order").alias("worst"), F.count("*").alias("m"))
-    near = dealt.join(worst.where(F.col("m") == salts).select("lang", "worst"), "lang", "left").where(F.col("worst").isNull() | (F.col("order") <= F.col("worst")))
+    # every salt is told: a lang's rows meet only once few are left
+    told = worst.where(F.col("m") == salts).select("lang", "worst", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    near = dealt.join(told, ["lang", "salt"], "left").where(F.col("worst").isNull() | (F.col("order") <= F.col("worst")))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
