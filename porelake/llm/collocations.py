@@ -274,7 +274,8 @@ def counted(docs: DataFrame, size: int, pairs: bytes | None = None, entries: int
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     sent = None if pairs is None else docs.sparkSession.sparkContext.broadcast(pairs)
     runs = map_batches(texts, lambda b: _count(b, size, None if sent is None else sent.value, entries, most_words, most_bytes), "lang string, phrase string, f long")
-    return runs.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # the tries have added up what a task has, so rows go to their partitions before Spark adds
+    return runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
