@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from porelake.functions.sequence import cigar_total
+from porelake.operators import robust
+from porelake.storage import materialize
 
 
 def metrics(m: Column, i: Column, d: Column, nm: Column) -> dict[str, Column]:
@@ -29,18 +31,25 @@ def of_sam(sam: DataFrame, min_coverage: float = 0.6, read_ids: DataFrame | None
     return rows.withColumn("coverage", coverage).where(F.col("coverage") >= min_coverage).withColumns(found)
 
 
-def summary(df: DataFrame, accuracy: str = "accuracy", by: list[str] | None = None, read: str | None = None) -> DataFrame:
+def summary(df: DataFrame, accuracy: str = "accuracy", by: list[str] | None = None, read: str | None = None, percents: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
     """Mean, percentiles and counts of accuracies; with the column of the read also how many reads are
-    mapped, and their information in millions of bits."""
+    mapped, and their information in millions of bits. Percentiles are selected by radix, reads are
+    counted once for each group before they are added up: nothing but counts and sums is shuffled."""
+    by = by or ["_all"]
+    rows = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
     a = F.col(accuracy)
-    return df.groupBy(*(by or [])).agg(
-        F.count("*").alias("n"),
-        F.avg(a).alias("mean"),
-        *[F.percentile(a, F.lit(p / 100)).alias(f"q{p}") for p in (5, 25, 50, 75, 95)],
-        F.avg(F.when(a > 0.9, 1.0).otherwise(0.0)).alias("frac_over_90"),
-        F.count_if(a > 0.9).alias("n_over_90"),
-        *([F.countDistinct(read).alias("n_mapped"), (F.sum("information") / 1e6).alias("ci_score")] if read else []),
-    )
+    sums = [F.count("*").alias("n"), F.avg(a).alias("mean"), F.avg(F.when(a > 0.9, 1.0).otherwise(0.0)).alias("frac_over_90"), F.count_if(a > 0.9).alias("n_over_90")]
+    found = rows.groupBy(*by).agg(*sums, *([(F.sum("information") / 1e6).alias("ci_score")] if read else []))
+    q = robust.quantiles(rows, a, [p / 100 for p in percents], by)
+    same = lambda other: [found[c].eqNullSafe(other[c]) for c in by]
+    out = found.join(q, same(q), "left").select(*[found[c] for c in found.columns], q["quantiles"])
+    reads = []
+    if read:
+        m = rows.groupBy(*by, read).agg(F.lit(1)).groupBy(*by).agg(F.count(read).alias("n_mapped"))
+        out = out.join(m, [out[c].eqNullSafe(m[c]) for c in by], "left").select(*[out[c] for c in out.columns], m["n_mapped"])
+        reads = ["n_mapped", "ci_score"]
+    named = [F.col("quantiles")[k].alias(f"q{p}") for k, p in enumerate(percents)]
+    return out.select(*[c for c in by if c != "_all"], "n", "mean", *named, "frac_over_90", "n_over_90", *reads)
 
 
 def histogram(df: DataFrame, value: Column, lo: float, hi: float, bins: int) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from porelake.operators import scans
+
 
 def _inside(r2s: Column, siglen: Column) -> Column:
     """Indices of the entries that point into the signal."""
@@ -32,6 +34,25 @@ def reference_interval(r2s: Column, start: Column, end: Column) -> Column:
     return F.struct((F.size(F.filter(r2s, lambda v: v <= start)) - 1).alias("first"), F.size(F.filter(r2s, lambda v: v < end)).alias("last"))
 
 
+def reference_intervals(intervals: DataFrame, bases: DataFrame, reads: DataFrame, by: str = "read_id", start: str = "start", end: str = "end", width: int = 4096) -> DataFrame:
+    """The intervals [start, end) of signals with (first, last, error), from maps held as rows.
+
+    ``bases`` has (by, i, loc), a row for each entry of a map, ``reads`` (by, siglen). first is the base
+    whose samples start lies in, last one past the base before end. Where start or end lies outside
+    the mapped region, from the first to the last entry that points into the signal, first and last are
+    null and error says so; a read without such entries has the region [0, 0]. Bins of positions are
+    joined, so a long read is spread over tasks."""
+    ends = bases.join(reads.select(by, "siglen"), by).where((F.col("loc") >= 0) & (F.col("loc") <= F.col("siglen"))).groupBy(by).agg(F.min("loc").alias("_lo"), F.max("loc").alias("_hi"))
+    asked = intervals.withColumn("_last", F.col(end) - 1)
+    asked = scans.as_of(asked, bases, [by], start, "loc", "i", "first", width)
+    asked = scans.as_of(asked, bases, [by], "_last", "loc", "i", "last", width).join(ends, by, "left")
+    lo, hi = (F.coalesce(c, F.lit(0)) for c in ("_lo", "_hi"))
+    error = F.when((F.col(start) < lo) | (F.col(end) < lo), F.lit("before the mapped region")).when((F.col(start) > hi) | (F.col(end) > hi), F.lit("after the mapped region"))
+    found = asked.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return found.select(*intervals.columns, F.when(ok, F.coalesce("first", F.lit(-1))).alias("first"), F.when(ok, F.coalesce(F.col("last") + 1, F.lit(0))).alias("last"), "error")
+
+
 def region(a: Column, lo: Column, hi: Column) -> Column:
     """Half-open slice."""
     return F.slice(a, lo + 1, F.greatest(hi - lo, F.lit(0)))

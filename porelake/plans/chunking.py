@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from porelake.catalog import query
-from porelake.operators import chunks, mapping, robust
-from porelake.plans._bind import M, S, mapped_reads, signal
+from porelake.operators import chunks, mapping, robust, scans
+from porelake.plans._bind import M, S, mapped_reads, read, signal
+from porelake.storage import materialize
 
 R2S, SIGLEN = F.col, None
 
@@ -39,6 +40,21 @@ def reference_interval(spark, sf_dir):
     return mapped_reads(spark, sf_dir).select("read_id", x["first"].alias("r0"), x["last"].alias("r1"))
 
 
+@query("reference_interval_rows", """WITH b AS (SELECT user_id AS read_id, event_id AS loc, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE event_type IN ('purchase', 'view')),
+  k AS (SELECT user_id AS read_id, event_id AS start, event_id + 500 AS "end" FROM events WHERE event_type = 'click'),
+  r AS (SELECT k.read_id, k.start, k."end", coalesce(min(b.loc), 0) AS lo, coalesce(max(b.loc), 0) AS hi, count(*) FILTER (b.loc <= k.start) - 1 AS first, count(*) FILTER (b.loc < k."end") AS last FROM k LEFT JOIN b USING (read_id) GROUP BY ALL)
+  SELECT read_id, start, "end", CASE WHEN error IS NULL THEN first END AS first, CASE WHEN error IS NULL THEN last END AS last, error
+  FROM (SELECT *, CASE WHEN start < lo THEN 'before the mapped region' WHEN start > hi OR "end" > hi THEN 'after the mapped region' END AS error FROM r)""")
+def reference_interval_rows(spark, sf_dir):
+    """A user's purchases and views are the bases of a read, at the samples that event ids number; every
+    click asks for the 500 samples from it on."""
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("read_id"), F.col("event_id").alias("loc"), "event_type")
+    bases = scans.numbered(e.where(F.col("event_type").isin("purchase", "view")), ["read_id"], "loc", 65_536, "i")
+    asked = e.where("event_type = 'click'").select("read_id", F.col("loc").alias("start"), (F.col("loc") + 500).alias("end"))
+    reads = bases.groupBy("read_id").agg(F.max("loc").alias("siglen"))
+    return mapping.reference_intervals(asked, bases, reads, width=65_536)
+
+
 DWELL = ", dw AS (SELECT read_id, unnest(list_transform(range(1, len(r2s)), lambda i: r2s[i + 1] - r2s[i])) AS d FROM m)"
 
 
@@ -57,8 +73,9 @@ def label_composition(spark, sf_dir):
 @query("read_metrics", M + " SELECT median(len(reference)) AS reflen, median(siglen) AS siglen, count(*) AS n FROM m")
 def read_metrics(spark, sf_dir):
     reads = mapped_reads(spark, sf_dir).select(F.size("reference").alias("r"), F.size("dacs").alias("s"))
-    (r,), (s,) = (robust.exact_quantiles(reads, F.col(c), [0.5]) for c in "rs")
-    return reads.agg(F.lit(r).alias("reflen"), F.lit(s).alias("siglen"), F.count("*").alias("n"))
+    found = robust.quantiles(robust.melted(reads, ["r", "s"]), F.col("value"), [0.5], ["name"])
+    of = lambda c: F.max(F.when(F.col("name") == c, F.col("quantiles")[0]))
+    return found.agg(of("r").alias("reflen"), of("s").alias("siglen"), F.max("n").alias("n"))
 
 
 @query("path_to_signal_map", S + """, k AS (SELECT read_id, code, t * 2 - 1 + 3 AS loc, t, count(*) OVER (PARTITION BY read_id) * 2 AS siglen FROM s WHERE code <> 4)
@@ -153,7 +170,7 @@ REASON = "CASE WHEN reason IS NOT NULL THEN reason WHEN 40 / seq_len::DOUBLE <=
 
 
 def _filtered(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
+    c = materialize(_chunks(spark, sf_dir).select("read_id", "sig_len", "seq_len", "max_dwell", "reject_reason"), "chunks")
     dwell = c.where("reject_reason IS NULL").select(chunks.mean_dwell(F.col("sig_len"), F.col("seq_len")).alias("dwell"))
     p = robust.med_mad(dwell, "dwell", []).first()
     return chunks.apply_filters(c, F.lit(p.med), F.lit(p.mad), 1, f_mean=1.0, f_max=4.0), p
@@ -187,5 +204,8 @@ def squiggle_boxes(spark, sf_dir):
 def chunk_dwell_percentiles(spark, sf_dir):
     c = _chunks(spark, sf_dir).where("reject_reason IS NULL").select(chunks.mean_dwell(F.col("sig_len"), F.col("seq_len")).alias("mean_dwell"), "max_dwell")
     qs = (5, 25, 50, 75, 95)
-    found = zip(qs, *(robust.exact_quantiles(c, F.col(x), [q / 100 for q in qs]) for x in ("mean_dwell", "max_dwell")))
-    return spark.createDataFrame([(q, round(a, 6), round(b, 6)) for q, a, b in found], "q int, mean_dwell double, max_dwell double")
+    found = robust.quantiles(robust.melted(c, ["mean_dwell", "max_dwell"]), F.col("value"), [q / 100 for q in qs], ["name"])
+    of = lambda x: F.max(F.when(F.col("name") == x, F.col("quantiles")))
+    both = found.agg(of("mean_dwell").alias("a"), of("max_dwell").alias("b"))
+    rows = both.select(F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("a"), F.col("b"))).alias("x"))
+    return rows.select("x.q", F.round("x.a", 6).alias("mean_dwell"), F.round("x.b", 6).alias("max_dwell"))

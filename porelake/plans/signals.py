@@ -156,8 +156,9 @@ def training_log(spark, sf_dir):
 @query("qc_median_of_medians", PARAMS + " SELECT median(shift) AS med, round(median(scale), 9) AS mad, count(*) AS reads FROM p")
 def qc_median_of_medians(spark, sf_dir):
     p = robust.med_mad(signal(spark, sf_dir), "current", ["read_id"])
-    (med,), (mad,) = (robust.exact_quantiles(p, F.col(c), [0.5]) for c in ("med", "mad"))
-    return p.agg(F.lit(med).alias("med"), F.round(F.lit(mad), 9).alias("mad"), F.count("*").alias("reads"))
+    found = robust.quantiles(robust.melted(p, ["med", "mad"]), F.col("value"), [0.5], ["name"])
+    of = lambda c: F.max(F.when(F.col("name") == c, F.col("quantiles")[0]))
+    return found.agg(of("med").alias("med"), F.round(of("mad"), 9).alias("mad"), F.max("n").alias("reads"))
 
 
 @query("stream_rolling_mean", "SELECT user_id AS key, row_number() OVER w AS n, value, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS 9 PRECEDING), 9) AS statistic FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")

@@ -1,11 +1,13 @@
 """Hand-computed values, and invariants of the dynamic programs."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from porelake.functions import activation, qscore, sequence
-from porelake.operators import alphabets, chunks, joins, kernels as K, layers, mapping, paths, robust, rolling, runs
+from porelake.operators import alphabets, chunks, joins, kernels as K, layers, mapping, paths, robust, rolling, runs, scans
 
 
 def rows(df, *cols):
@@ -215,3 +217,60 @@ def test_limited_merge_takes_new_reads(spark):
     files = [spark.createDataFrame([(i, n) for i in range(top)], "read_id int, f string") for top, n in ((10, "a"), (10, "b"), (12, "c"))]
     got = joins.first_file_wins(files, limit=4).collect()
     assert len(got) == len({r.read_id for r in got}) == 12
+
+
+def test_quantiles_of_groups(spark):
+    """Infinities, zeros of both signs, NaN, nulls, ties, null groups, and more rows than are counted by value."""
+    rng = np.random.default_rng(5)
+    inf = float("inf")
+    qs = [0.0, 0.05, 0.3, 0.5, 0.95, 1.0]
+    groups = {"a": rng.normal(size=900), "b": np.array([-inf, 1.0, 2.0, inf, inf]), None: rng.integers(-3, 3, 400).astype(float), "d": np.repeat([1.0, -inf], [70, 30]), "e": np.array([7.0]), "f": rng.normal(size=300) * 1e-300, "g": np.array([-0.0, 0.0, 5e-324, -5e-324])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("a", float("nan")), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for most in (4, 65_536):
+        found = {r.k: r for r in robust.quantiles(df, F.col("v"), qs, ["k"], most).collect()}
+        assert set(found) == set(groups)
+        for k, v in groups.items():
+            v, r = np.sort(v), found[k]
+            at = [q * (len(v) - 1) for q in qs]
+            want = [v[int(p)] if v[int(p)] == v[min(int(p) + 1, len(v) - 1)] or p == int(p) else v[int(p)] + (p - int(p)) * (v[int(p) + 1] - v[int(p)]) for p in at]
+            assert r.n == len(v) and np.allclose(r.quantiles, want, rtol=1e-12, equal_nan=True), (k, r, want)
+    assert robust.exact_quantiles(df.where("k = 'b'"), F.col("v"), [0.5, 0.99], most=2) == [2.0, inf]
+    assert robust.exact_quantiles(spark.createDataFrame([(float(i % 50),) for i in range(100)] + [(inf,)], "v double"), F.col("v"), [0.5, 1.0], 4, 8) == [25.0, inf]
+
+
+def test_scans_are_windows(spark):
+    """Places, running totals and as-of lookups in small bins equal plain ones."""
+    rnd = random.Random(6)
+    rows = [(g, rnd.randrange(-500, 5000), k) for k in range(600) for g in ("a", "b")] + [("c", 7, 0)]
+    df = spark.createDataFrame(rows, "g string, at long, tie int")
+    got = {(r.g, r.at, r.tie): r.place for r in scans.numbered(df, ["g"], "at", 10, ties=["tie"]).collect()}
+    for g in "abc":
+        assert [got[x] for x in sorted(x for x in got if x[0] == g)] == list(range(sum(r[0] == g for r in rows)))
+    bins = [(g, b, rnd.randrange(100)) for g in "ab" for b in rnd.sample(range(-300, 90_000), 200)]
+    frame = spark.createDataFrame(bins, "g string, bin long, v long")
+    for how, of in ((F.sum, sum), (F.max, max)):
+        for r in scans.carried(frame, ["g"], "bin", "v", how, fan=7).collect():
+            before = [v for g, b, v in bins if g == r.g and b < r.bin]
+            assert r.carry == (of(before) if before else None)
+    bases = [(g, loc, i) for g in "ab" for i, loc in enumerate(sorted(rnd.randrange(10_000) for _ in range(50)))]
+    points = [(g, rnd.randrange(-10, 11_000)) for g in "abz" for _ in range(100)]
+    met = scans.as_of(spark.createDataFrame(points, "g string, p long"), spark.createDataFrame(bases, "g string, loc long, i long"), ["g"], "p", "loc", "i", "found", width=16)
+    want = sorted((g, p, max((i for h, loc, i in bases if h == g and loc <= p), default=None)) for g, p in points)
+    assert sorted(map(tuple, met.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])
+
+
+def test_intervals_outside_the_map(spark):
+    """Row form against the array form; an entry of -1 or beyond the signal is not mapped."""
+    r2s, siglen = [-1, -1, 10, 10, 14, 20, 31, 31], 30
+    bases = spark.createDataFrame([("r", i, v) for i, v in enumerate(r2s)] + [("none", 0, -1), ("none", 1, 31)], "read_id string, i long, loc long")
+    reads = spark.createDataFrame([("r", siglen), ("none", siglen)], "read_id string, siglen long")
+    asked = [("r", a, b) for a in range(8, 23) for b in range(a, 23)] + [("none", 0, 0), ("none", 0, 5)]
+    found = mapping.reference_intervals(spark.createDataFrame(asked, "read_id string, start long, end long"), bases, reads, width=4)
+    for r in found.collect():
+        if r.read_id == "none":
+            assert (r.error is None) == (r.end == 0)
+        elif r.start < 10 or r.end > 20:
+            assert r.first is None and r.last is None and r.error == ("before the mapped region" if r.start < 10 else "after the mapped region")
+        else:
+            assert (r.first, r.last, r.error) == (np.searchsorted(r2s, r.start, "right") - 1, np.searchsorted(r2s, r.end, "left"), None)
