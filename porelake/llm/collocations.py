@@ -285,7 +285,7 @@ def score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", top, wide(left) * wide(right))
 
 
-def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: int = 50, salts: int = 32) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, top: int = 2000, absorbed: int = 50, salts: int = 256) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of each language's best phrases of two or three words
     that occur ``least`` times; one goes if a longer candidate around it has ``absorbed`` percent of its count."""
     short = materialize(counted(docs, 2).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases-short")
