@@ -73,18 +73,61 @@ def density_mode(df: DataFrame, value: Column, lo: float = 0.0, hi: float = 1.0,
     return dens.agg((F.lit(lo) + F.max_by("x", "d") * width).alias("mode"))
 
 
+def kernel_mode(df: DataFrame, value: Column, lo: float = 0.0, hi: float = 1.0, grid: int = 512, probes: int = 33, within: float = 1e-7) -> DataFrame:
+    """(mode): where the Gaussian kernel density of the values is highest, to ``within``. The grid's
+    best cell is refined: each round sums the kernels of all values at ``probes`` places of the span
+    around the best one, in one aggregation. Null without values; all values alike are the mode."""
+    v = value.cast("double")
+    inside = materialize(df.where((v >= lo) & (v <= hi)).select(v.alias("v")), "kernel-mode")
+    sd, n = inside.agg(F.stddev_samp("v"), F.count("*")).first()
+    if not n or not sd:
+        return inside.agg(F.min("v").alias("mode"))
+    h, width = sd * n**-0.2, (hi - lo) / grid
+    best = density_mode(inside, F.col("v"), lo, hi, grid).first()[0]
+    while 2 * width > within:
+        at = [min(hi, max(lo, best - width + k * (2 * width / (probes - 1)))) for k in range(probes)]
+        sums = inside.agg(*[F.sum(F.exp(-0.5 * F.pow((F.col("v") - F.lit(x)) / F.lit(h), 2))).alias(f"d{k}") for k, x in enumerate(at)]).first()
+        best, width = at[max(range(probes), key=lambda k: (sums[k], -k))], 2 * width / (probes - 1)
+    return df.sparkSession.range(1).select(F.lit(best).alias("mode"))
+
+
 def huber_fit(df: DataFrame, x: str, y: str, t: float = 1.345, rounds: int = 10) -> tuple[float, float]:
     """Slope and intercept of y ~ x by iteratively reweighted least squares with Huber weights and a
-    MAD scale. Each round is two aggregations; only their few sums reach the driver."""
+    MAD scale, about zero. A round is one aggregation and a radix selection over a written table; only
+    sums and counts reach the driver. Rows where either is null, NaN or infinite take no part."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = materialize(rows.where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))), "huber")  # NaN is larger than any number
     slope, level, scale = 0.0, 0.0, None
-    for _ in range(rounds):
-        r = F.abs(F.col("y") - slope * F.col("x") - level)
-        w = F.lit(1.0) if scale is None else F.when(r <= t * scale, 1.0).otherwise(t * scale / r)
+    for k in range(rounds):
+        left = F.abs(F.col("y") - slope * F.col("x") - level)
+        if k:
+            scale = max(1e-12, robust.exact_quantiles(rows, left, [0.5])[0] / 0.6745)
+        w = F.lit(1.0) if scale is None else F.when(left <= t * scale, 1.0).otherwise(t * scale / left)
         s = rows.select("x", "y", w.alias("w")).agg(*[F.sum(c).alias(n) for n, c in (("n", F.col("w")), ("sx", F.expr("w*x")), ("sy", F.expr("w*y")), ("xx", F.expr("w*x*x")), ("xy", F.expr("w*x*y")))]).first()
+        if not s.n:
+            return float("nan"), float("nan")
         det = s.n * s.xx - s.sx * s.sx
         slope = (s.n * s.xy - s.sx * s.sy) / det if det else 0.0
         level = (s.sy - slope * s.sx) / s.n
-        left = F.abs(F.col("y") - slope * F.col("x") - level)
-        scale = max(1e-12, rows.agg(F.median(left)).first()[0] / 0.6745)
     return slope, level
+
+
+def summary_text(found: DataFrame, mode: float | None, name: str, percents: tuple[int, ...] = (5, 25, 50, 75, 95)) -> DataFrame:
+    """(line, value): the report of one ``summary`` row without groups, as lines of a .summary file."""
+    blank, n = F.lit(""), F.col("n_mapped")
+    quantiles = F.concat_ws("    ", *[F.format_string("%.5f", f"q{p}") for p in percents])
+    lines = [
+        F.lit(f"*** Summary report for {name} ***"),
+        F.concat(F.lit("Number of mapped reads: "), n.cast("string")),
+        F.concat(F.lit("Mean accuracy: "), F.format_string("%.5f", "mean")),
+        F.lit(f"Mode accuracy: {mode:.5f}") if mode is not None else F.lit("Mode accuracy: none"),
+        F.lit("Accuracy quantiles:"),
+        F.lit("  " + "".join(f"Q{p:<11}" for p in percents).strip()),
+        F.concat(F.lit("  "), quantiles),
+        F.concat(F.lit("Proportion with accuracy >90%: "), F.format_string("%.5f", "frac_over_90")),
+        F.concat(F.lit("Number with accuracy >90%: "), F.col("n_over_90").cast("string")),
+        F.concat(F.lit("CIscore (Mbits): "), F.format_string("%.5f", "ci_score")),
+        blank,
+    ]
+    empty = F.array(F.lit(f"*** Summary report for {name} ***"), F.lit("No sequences mapped"), blank)
+    return found.select(F.posexplode(F.when(F.col("n") > 0, F.array(*lines)).otherwise(empty)).alias("line", "value"))

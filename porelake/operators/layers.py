@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from porelake.operators import blocks
 from porelake.operators.paths import let, logsumexp
 
 
@@ -153,14 +154,18 @@ def lstm_step(state: Column, g: Column, wh: np.ndarray) -> Column:
     return let(F.zip_with(g, F.array(*[dot(state["h"], w) for w in wh]), lambda x, y: x + y), of)
 
 
-def recurrent(df: DataFrame, kind: str, size: int, wi: np.ndarray, wh: np.ndarray, b: np.ndarray, reverse: bool = False) -> DataFrame:
+def recurrent(df: DataFrame, kind: str, size: int, wi: np.ndarray, wh: np.ndarray, b: np.ndarray, reverse: bool = False, part: int = 128) -> DataFrame:
     """(read_id, t, x): hidden states of a 'gru' or 'lstm' over each read. Inputs go through their
-    weights row by row; only what depends on the state before is done in the order of the steps."""
+    weights row by row; only what depends on the state before is done in the order of the steps. One
+    state is kept every ``part`` steps, and the parts are then expanded as rows of their own."""
     through = df.select("read_id", F.struct(F.col("t").cast("long").alias("t"), feed_forward(F.col("x"), wi, b, lambda v: v).alias("g")).alias("s"))
     rows = through.groupBy("read_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    steps = F.reverse("s") if reverse else F.col("s")
     step = {"gru": gru_step, "lstm": lstm_step}[kind]
+    after = lambda a, s: step(a, s["g"], wh)
     begin = F.struct(*[F.array(*[F.lit(0.0)] * size).alias(c) for c in "hc"])
-    states = F.aggregate(steps, F.array(begin), lambda a, s: F.array_append(a, step(F.element_at(a, -1), s["g"], wh)))
-    pairs = F.zip_with(steps, F.slice(states, F.lit(2), F.size("s")), lambda s, v: F.struct(s["t"].alias("t"), v["h"].alias("x")))
-    return rows.select("read_id", F.explode(pairs).alias("r")).select("read_id", "r.t", "r.x")
+    rows = blocks.once(rows, chunks=blocks.chunks_of(F.reverse("s") if reverse else F.col("s"), part))
+    starts = blocks.checkpointed(F.col("chunks"), begin, after)
+    parts = rows.select("read_id", F.explode(F.arrays_zip(F.col("chunks").alias("s"), F.slice(starts, F.lit(1), F.size("chunks")).alias("begin"))).alias("p")).select("read_id", "p.s", "p.begin")
+    states = blocks.expanded(F.col("s"), F.col("begin"), after)
+    pairs = F.zip_with("s", F.slice(states, F.lit(2), F.size("s")), lambda s, v: F.struct(s["t"].alias("t"), v["h"].alias("x")))
+    return parts.select("read_id", F.explode(pairs).alias("r")).select("read_id", "r.t", "r.x")

@@ -168,6 +168,50 @@ def sequence_gradient(steps: Column, n: int, codes: Column, ahead: Column, back:
     return F.transform(at, of)
 
 
+def spelling_steps(n: int, codes: Column, entered: Column | None = None, weights: Column | None = None) -> tuple[Callable, Callable]:
+    """Steps of the log weights of the paths that spell the codes up to each of them, and, from the last
+    step to the first, of those that spell the rest; with modifications as in ``sequence_cost``."""
+    stay, move = _places(codes, n)
+    never = F.array(F.lit(NEVER))
+
+    def moved(v: Column, x: Column) -> Column:
+        found = _plus(v, x, move)
+        if entered is None:
+            return found
+        extra = F.zip_with(_but_first(entered), _but_first(weights), lambda i, w: w * F.element_at(x, i))
+        return F.zip_with(found, extra, lambda a, b: a + b)
+
+    ahead = lambda v, x: _either(_plus(v, x, stay), F.concat(never, moved(_but_last(v), x)))
+    return ahead, lambda v, x: _either(_plus(v, x, stay), F.concat(moved(_but_first(v), x), never))
+
+
+def spelled_gradient(steps: Column, n: int, codes: Column, ahead: Column, back: Column, log_z: Column, n_steps: Column, entered: Column | None = None, weights: Column | None = None) -> Column:
+    """Of each of some steps of a read the gradient of its sequence's cost by each score. A modified
+    move's probability counts for its transition, and its weight's share for the modification's score."""
+    stay, move = _places(codes, n)
+    at = F.arrays_zip(steps.alias("x"), F.slice(ahead, F.lit(1), F.size(steps)).alias("f"), F.slice(back, F.lit(2), F.size(steps)).alias("b"))
+
+    def of(r: Column) -> Column:
+        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+        share = lambda s, i: F.struct(i.alias("i"), F.exp(s + F.element_at(r["x"], i) - log_z).alias("p"))
+        moving = add(_but_last(r["f"]), _but_first(r["b"]))
+        if entered is not None:
+            moving = add(moving, F.zip_with(_but_first(entered), _but_first(weights), lambda i, w: w * F.element_at(r["x"], i)))
+        moves = F.zip_with(moving, move, share)
+        ways = F.concat(F.zip_with(add(r["f"], r["b"]), stay, share), moves)
+
+        def all_of(ways: Column) -> Column:
+            total = lambda k: F.aggregate(F.filter(ways, lambda w: w["i"] == k), F.lit(0.0), lambda a, w: a + w["p"])
+            return F.transform(F.sequence(F.lit(1), F.size(r["x"])), lambda k: -total(k) / n_steps)
+
+        if entered is None:
+            return let(ways, all_of)
+        more = F.zip_with(F.zip_with(moves, _but_first(weights), lambda m, w: m["p"] * w), _but_first(entered), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
+        return let(F.concat(ways, more), all_of)
+
+    return F.transform(at, of)
+
+
 def ctc_states(labels: Column, blank: int) -> Column:
     """The labels with a blank before, between and after them."""
     return F.concat(F.flatten(F.transform(labels, lambda c: F.array(F.lit(blank), c.cast("int")))), F.array(F.lit(blank)))

@@ -50,18 +50,21 @@ def exact_quantiles(df: DataFrame, value: Column, qs: list[float], bins: int = 6
     rows, which are counted by value. That is at most four passes; the driver gathers at most ``bins``
     counts a rank. An infinity is a value like others."""
     rows = df.select(_numbers(value).alias("v")).where("v IS NOT NULL").select("v", _sortable(F.col("v")).alias("u"))
-    digit, n, found = max(1, bins.bit_length() - 1), rows.count(), {}
-    if not n:
-        return [None] * len(qs)
-    places = [q * (n - 1) for q in qs]
+    digit, found, n = max(1, bins.bit_length() - 1), {}, None
     # (leading bits, rows before, rows, ranks) of the parts that are still open
-    parts, shift = [(0, 0, n, sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))}))], 64
+    parts, shift = [(0, 0, most + 1, [])], 64
     while parts:
         lead = F.lit(0).cast("long") if shift == 64 else F.shiftrightunsigned("u", shift)
         part = rows if shift == 64 else rows.where(lead.isin([p[0] for p in parts]))
         shift = max(0, shift - digit)
         by_value = [F.col("v")] if max(p[2] for p in parts) <= most else []
         counts = part.groupBy(lead.alias("lead"), F.shiftrightunsigned("u", shift).alias("k"), *by_value).agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        if n is None:  # the first pass sees every row
+            n = sum(r.m for r in counts)
+            if not n:
+                return [None] * len(qs)
+            places = [q * (n - 1) for q in qs]
+            parts = [(0, 0, n, sorted({k for p in places for k in (int(p), min(int(p) + 1, n - 1))}))]
         left = []
         for bits, before, _, ranks in parts:
             for r in sorted((c for c in counts if c.lead == bits), key=lambda c: (c.lo, c.hi)):

@@ -8,6 +8,8 @@ from porelake.catalog import query
 from porelake.functions import qscore
 from porelake.operators import alignment, joins
 from porelake.plans._bind import read
+from porelake.sources import bam
+from porelake.storage import scratch_path
 
 # a line item as an alignment: quantity bases matched, line number insertions, discount in percent
 # deletions, tax in percent mismatches; its order is the read
@@ -102,8 +104,71 @@ def qcal_ols(spark, sf_dir):
     return calibration(spark, sf_dir).agg(F.round(F.regr_slope("q_align", "q"), 6).alias("slope"), F.round(F.regr_intercept("q_align", "q"), 6).alias("intercept"))
 
 
-@query("qcal_huber")
+def _huber_sql(rounds: int = 10, t: float = 1.345) -> str:
+    """The rounds of the fit as CTEs in a row: weighted sums, the line, and the scale for the next round."""
+    out = CAL + ", g0 AS (SELECT 0.0::DOUBLE AS slope, 0.0::DOUBLE AS level, CAST(NULL AS DOUBLE) AS scale)"
+    for i in range(1, rounds + 1):
+        weight = f"CASE WHEN scale IS NULL OR abs(r) <= {t}::DOUBLE * scale THEN 1.0::DOUBLE ELSE {t}::DOUBLE * scale / abs(r) END"
+        out += f""", f{i} AS MATERIALIZED (SELECT sum(w) AS n, sum(w * q) AS sx, sum(w * y) AS sy, sum(w * q * q) AS xx, sum(w * q * y) AS xy
+    FROM (SELECT q, y, {weight} AS w FROM (SELECT q, q_align AS y, scale, q_align - slope * q - level AS r FROM k, g{i - 1}))),
+  h{i} AS MATERIALIZED (SELECT slope, (sy - slope * sx) / n AS level FROM (SELECT *, (n * xy - sx * sy) / (n * xx - sx * sx) AS slope FROM f{i})),
+  g{i} AS MATERIALIZED (SELECT slope, level, greatest(1e-12::DOUBLE, median(abs(q_align - slope * q - level)) / 0.6745::DOUBLE) AS scale FROM k, h{i} GROUP BY slope, level)"""
+    return out + f" SELECT (SELECT count(*) FROM k) AS n, round(slope, 6) AS slope, round(level, 6) AS intercept FROM g{rounds}"
+
+
+@query("qcal_huber", _huber_sql())
 def qcal_huber(spark, sf_dir):
     rows = calibration(spark, sf_dir)
     slope, level = alignment.huber_fit(rows, "q", "q_align")
     return rows.agg(F.count("*").alias("n"), F.lit(round(slope, 6)).alias("slope"), F.lit(round(level, 6)).alias("intercept"))
+
+
+def _mode_sql() -> str:
+    """The grid's best cell, then rounds of 33 probes around the best place."""
+    out = A + """, i AS (SELECT accuracy AS a FROM v WHERE accuracy BETWEEN 0 AND 1), s AS (SELECT stddev_samp(a) * pow(count(*), -0.2::DOUBLE) AS h FROM i),
+  c AS (SELECT floor(a * 512) AS cell, count(*) AS w FROM i GROUP BY 1), d AS (SELECT x, sum(w * exp(-0.5::DOUBLE * pow((x - cell - 0.5::DOUBLE) / 512 / h, 2))) AS d FROM c, s, range(513) r(x) GROUP BY x),
+  b0 AS (SELECT arg_max(x, d) / 512.0::DOUBLE AS best FROM d)"""
+    width, k = 1 / 512, 0
+    while 2 * width > 1e-7:
+        k += 1
+        out += f""", p{k} AS MATERIALIZED (SELECT least(1.0::DOUBLE, greatest(0.0::DOUBLE, best - {width!r}::DOUBLE + x * {2 * width / 32!r}::DOUBLE)) AS p FROM b{k - 1}, range(33) r(x)),
+  b{k} AS MATERIALIZED (SELECT arg_max(p, d) AS best FROM (SELECT p, sum(exp(-0.5::DOUBLE * pow((a - p) / h, 2))) AS d FROM i, s, p{k} GROUP BY p))"""
+        width = 2 * width / 32
+    return out + f" SELECT round(best, 5) AS mode FROM b{k}"
+
+
+@query("accuracy_kernel_mode", _mode_sql())
+def accuracy_kernel_mode(spark, sf_dir):
+    return alignment.kernel_mode(alignments(spark, sf_dir), F.col("accuracy")).select(F.round("mode", 5).alias("mode"))
+
+
+BAM_REFERENCES = [(f"chr{k}", 1 << 28) for k in range(5)]
+
+
+@query("bam_alignment_metrics", A + """ SELECT l_orderkey, l_linenumber, 'chr' || (l_orderkey % 5) AS rname, m + i + d - nm AS correct, round(accuracy, 9) AS accuracy, count(*) AS records FROM v GROUP BY ALL""")
+def bam_alignment_metrics(spark, sf_dir):
+    """Line items written as records of BAM files in the shared folder, read back in splits and assessed."""
+    a = alignments(spark, sf_dir)
+    op = lambda c, code: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(code))).otherwise("")
+    as_record = {
+        "qname": F.concat_ws(":", "l_orderkey", "l_linenumber"), "flag": F.when(F.col("l_linenumber") % 2 == 0, 16).otherwise(0), "rname": F.concat(F.lit("chr"), (F.col("l_orderkey") % 5).cast("string")),
+        "pos": (F.col("l_orderkey") + 1).cast("int"), "mapq": F.lit(60), "cigar": F.concat(op("m", "M"), op("i", "I"), op("d", "D")), "rnext": F.lit("*"), "pnext": F.lit(0), "tlen": F.lit(0),
+        "seq": F.lit("*"), "qual": F.lit("*"), "tags": F.concat(F.lit("NM:i:"), F.col("nm").cast("string")),
+    }
+    path = scratch_path(spark, "bam")
+    bam.write_bam(a.select(*[c.alias(n) for n, c in as_record.items()]), path, BAM_REFERENCES)
+    found = alignment.of_sam(bam.read_bam(spark, path, split_bytes=1 << 18))
+    key = F.split("qname", ":")
+    rows = found.select(key[0].cast("long").alias("l_orderkey"), key[1].cast("int").alias("l_linenumber"), "rname", "correct", F.round("accuracy", 9).alias("accuracy"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("records"))
+
+
+@query("scaled_qscores", A + """ SELECT l_orderkey, string_agg(chr(CAST(floor(least(90.0::DOUBLE, greatest(0.0::DOUBLE, 1.1::DOUBLE * q - 0.5::DOUBLE)) + 33.5::DOUBLE) AS INTEGER)), '' ORDER BY l_linenumber, q) AS qual
+  FROM (SELECT l_orderkey, l_linenumber, CASE WHEN perr > 0 THEN -10 * log10(perr) ELSE 50 END AS q FROM v) GROUP BY l_orderkey""")
+def scaled_qscores(spark, sf_dir):
+    """A read's quality string after its scores are scaled and shifted; an alignment stands for a base."""
+    a = alignments(spark, sf_dir)
+    q = qscore.from_error(F.least(F.lit(0.75), F.col("nm") / (F.col("m") + F.col("i"))), 50.0)
+    rows = F.array_sort(F.collect_list(F.struct("l_linenumber", q.alias("q"))))
+    scaled = F.transform(rows, lambda r: qscore.to_char(F.least(F.lit(90.0), F.greatest(F.lit(0.0), qscore.scaled(r["q"], 1.1, -0.5)))))
+    return a.groupBy("l_orderkey").agg(F.array_join(scaled, "").alias("qual"))

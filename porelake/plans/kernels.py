@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from porelake.catalog import query
 from porelake.functions import qscore
+from porelake.operators import blocks, scans
 from porelake.operators import kernels as K
 from porelake.operators import paths as P
 from porelake.operators.layers import log_softmax
@@ -194,6 +195,67 @@ def catmod_cost(spark, sf_dir):
     return _spelling(spark, sf_dir, 64).select("read_id", F.round(cost, 6).alias("cost"))
 
 
+HALF = f" + 0.5::DOUBLE * x[({MODIFIED})[i + 1]]"
+CATMOD_GRADIENT = (
+    STEPS.replace("embedding[1:60]", "embedding")
+    + _spelled(HALF)
+    + f""", r AS (SELECT read_id, n AS t, list_transform(range({LAST + 1}), lambda i: CASE WHEN i = codes - 1 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS v FROM k
+  UNION ALL SELECT r.read_id, r.t - 1, list_transform(range({LAST + 1}), lambda i: {_lse(f"[v[i + 1] + x[({STAY})[i + 1]], CASE WHEN i = {LAST} THEN -1e30 ELSE v[i + 2] + x[({MOVE})[i + 2]] + 0.5::DOUBLE * x[({MODIFIED})[i + 2]] END]")})
+  FROM r JOIN e ON e.read_id = r.read_id AND e.t = r.t - 1),
+  w AS (SELECT q.read_id, q.t, k.n, unnest(range({LAST + 1})) AS i, q.v AS f, r.v AS b, x, -cost * k.n AS log_z
+    FROM q JOIN r ON r.read_id = q.read_id AND r.t = q.t + 1 JOIN e ON e.read_id = q.read_id AND e.t = q.t JOIN k ON k.read_id = q.read_id),
+  mv AS (SELECT *, exp(f[i + 1] + x[({MOVE})[i + 2]] + 0.5::DOUBLE * x[({MODIFIED})[i + 2]] + b[i + 2] - log_z) AS p FROM w WHERE i < {LAST}),
+  o AS (SELECT read_id, t, n, ({STAY})[i + 1] AS place, exp(f[i + 1] + x[({STAY})[i + 1]] + b[i + 1] - log_z) AS p FROM w
+    UNION ALL SELECT read_id, t, n, ({MOVE})[i + 2], p FROM mv UNION ALL SELECT read_id, t, n, ({MODIFIED})[i + 2], 0.5::DOUBLE * p FROM mv),
+  g AS (SELECT read_id, t, n, place, sum(p) AS p FROM o GROUP BY read_id, t, n, place)
+  SELECT read_id, t, round(-coalesce(sum(p) FILTER (place <= 60), 0) / n, 6) + 0 AS transitions, round(-coalesce(sum(p) FILTER (place > 60), 0) / n, 6) + 0 AS modifications FROM g GROUP BY read_id, t, n"""
+)
+
+
+@query("catmod_gradient", CATMOD_GRADIENT)
+def catmod_gradient(spark, sf_dir):
+    """Of each step the sum of the gradient over the transitions, and over the modifications' scores."""
+    entered, half = (lambda codes: F.transform(codes, lambda c: (c % NB % 4 + 61).cast("int"))), (lambda codes: F.transform(codes, lambda c: F.lit(0.5)))
+    g = blocks.gradient_rows(_spelling(spark, sf_dir, 64), NB, entered=entered, weights=half)
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda x, v: x + v), 6) + 0.0
+    return g.select("read_id", "t", total(F.slice("g", 1, 60)).alias("transitions"), total(F.slice("g", 61, 4)).alias("modifications"))
+
+
+# Three long reads hold all vectors in turn; blocks of steps are worked on beside each other.
+LONG = "WITH RECURSIVE e AS (SELECT vec_id % 3 AS read_id, row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) - 1 AS t, list_transform(embedding[1:60], lambda z: z::DOUBLE) AS x FROM embeddings)"
+
+
+def _long(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 3).alias("read_id"), "vec_id", F.transform(F.slice("embedding", 1, 60), lambda v: v.cast("double")).alias("scores"))
+    return scans.numbered(rows, ["read_id"], "vec_id", 4096, "t").select("read_id", "t", "scores")
+
+
+@query("viterbi_long", VITERBI.replace(STEPS, LONG))
+def viterbi_long(spark, sf_dir):
+    return blocks.viterbi(_long(spark, sf_dir), NB).withColumn("state", F.col("state").cast("long"))
+
+
+@query("forward_backward_long", (_forward(_begin("0")) + " SELECT read_id, unnest(range(n + 1)) AS t, round(log_z, 6) AS total FROM z").replace(STEPS, LONG))
+def forward_backward_long(spark, sf_dir):
+    b = blocks.Blocks.of(_long(spark, sf_dir), NB)
+    met = b.forward(P.start(NB, 0.0)).join(b.backward().withColumnRenamed("v", "w"), ["read_id", "t"])
+    return met.select("read_id", "t", F.round(P.logsumexp(F.zip_with("v", "w", lambda x, y: x + y)), 6).alias("total"))
+
+
+@query("posterior_long", (POSTERIOR + " SELECT read_id, t, list_position(p, list_max(p)) - 1 AS best, round(list_max(p), 6) AS p, round(list_sum(p), 6) AS total FROM p").replace(STEPS, LONG))
+def posterior_long(spark, sf_dir):
+    p = blocks.Blocks.of(_long(spark, sf_dir), NB).posteriors(P.start(NB))
+    return p.select("read_id", "t", (F.array_position("p", F.array_max("p")) - 1).cast("long").alias("best"), F.round(F.array_max("p"), 6).alias("p"), F.round(F.aggregate("p", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@query("global_normalise_long", (_forward(_begin("-50000")) + " SELECT e.read_id, t, round(list_sum(x) - 60 * log_z / n, 6) AS total FROM e JOIN z USING (read_id)").replace(STEPS, LONG))
+def global_normalise_long(spark, sf_dir):
+    rows = _long(spark, sf_dir)
+    z = blocks.Blocks.of(rows, NB).log_partition(P.start(NB))
+    total = F.aggregate("scores", F.lit(0.0), lambda a, v: a + v)
+    return rows.join(z, "read_id").select("read_id", "t", F.round(total - 60 * F.col("log_z") / F.col("n"), 6).alias("total"))
+
+
 BLANK = 63
 CTC = f"""WITH RECURSIVE e AS (SELECT vec_id // 10 AS read_id, vec_id % 10 AS t, list_transform(embedding, lambda z: z::DOUBLE) AS x FROM embeddings),
   l AS (SELECT read_id, t, list_transform(x, lambda z: z - {_lse('x')}) AS x FROM e),
