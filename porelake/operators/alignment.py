@@ -39,14 +39,15 @@ def summary(df: DataFrame, accuracy: str = "accuracy", by: list[str] | None = No
     rows = df.withColumn("_all", F.lit(0)) if by == ["_all"] else df
     a = F.col(accuracy)
     sums = [F.count("*").alias("n"), F.avg(a).alias("mean"), F.avg(F.when(a > 0.9, 1.0).otherwise(0.0)).alias("frac_over_90"), F.count_if(a > 0.9).alias("n_over_90")]
-    found = rows.groupBy(*by).agg(*sums, *([(F.sum("information") / 1e6).alias("ci_score")] if read else []))
+    sums += [(F.sum("information") / 1e6).alias("ci_score")] if read else []
+    found = rows.agg(*sums).withColumn("_all", F.lit(0)) if by == ["_all"] else rows.groupBy(*by).agg(*sums)  # a row without groups even of no rows
     q = robust.quantiles(rows, a, [p / 100 for p in percents], by)
     same = lambda other: [found[c].eqNullSafe(other[c]) for c in by]
     out = found.join(q, same(q), "left").select(*[found[c] for c in found.columns], q["quantiles"])
     reads = []
     if read:
         m = rows.groupBy(*by, read).agg(F.lit(1)).groupBy(*by).agg(F.count(read).alias("n_mapped"))
-        out = out.join(m, [out[c].eqNullSafe(m[c]) for c in by], "left").select(*[out[c] for c in out.columns], m["n_mapped"])
+        out = out.join(m, [out[c].eqNullSafe(m[c]) for c in by], "left").select(*[out[c] for c in out.columns], F.coalesce(m["n_mapped"], F.lit(0)).alias("n_mapped"))
         reads = ["n_mapped", "ci_score"]
     named = [F.col("quantiles")[k].alias(f"q{p}") for k, p in enumerate(percents)]
     return out.select(*[c for c in by if c != "_all"], "n", "mean", *named, "frac_over_90", "n_over_90", *reads)

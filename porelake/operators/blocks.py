@@ -133,14 +133,17 @@ class Blocks:
 
     def log_partition(self, first: Column) -> DataFrame:
         """(by, log_z, n): log weight of all paths, and the number of steps."""
-        met = self._with(self.starts(first), "v")
+        return self._partition(self._with(self.starts(first), "v"))
+
+    def _partition(self, met: DataFrame) -> DataFrame:
         after = F.aggregate("steps", F.col("v"), self._step)
         return met.groupBy(*self.by).agg(F.max_by(after, "block").alias("v"), F.sum(F.size("steps")).cast("long").alias("n")).select(*self.by, self.total(F.col("v")).alias("log_z"), "n")
 
     def posteriors(self, first: Column) -> DataFrame:
         """(by, t, p): the probability of every transition of step t, in the order of the scores."""
-        met = self._with(self.starts(first), "v").join(self.ends().withColumnRenamed("v", "w"), [*self.by, "block"])
-        met = met.join(self.log_partition(first).select(*self.by, "log_z"), self.by)
+        starts = self._with(materialize(self.starts(first), "block-starts"), "v")
+        met = starts.join(self.ends().withColumnRenamed("v", "w"), [*self.by, "block"])
+        met = met.join(self._partition(starts).select(*self.by, "log_z"), self.by)
         ahead = F.aggregate("steps", F.array("v"), lambda a, x: F.array_append(a, self._step(F.element_at(a, -1), x)))
         back = F.reverse(F.aggregate(F.reverse("steps"), F.array("w"), lambda a, x: F.array_append(a, self._out(F.element_at(a, -1), x))))
         met = once(met, f=ahead, b=back)

@@ -89,7 +89,7 @@ def quantiles(df: DataFrame, value: Column, qs: list[float], by: list[str], most
     keeps the parts that hold a rank, so nothing but counts is shuffled and no task holds a group."""
     group = F.struct(*[F.col(c) for c in by])
     rows = df.select(group.alias("g"), _numbers(value).alias("v")).where("v IS NOT NULL")
-    rows = materialize(rows.select("g", "v", _sortable(F.col("v")).alias("u")), "quantile-rows")
+    rows = materialize(rows, "quantile-rows").withColumn("u", _sortable(F.col("v")))
     settled, parts, shift, largest = None, None, 64, None
     while True:
         by_value = ["v"] if largest is not None and largest <= most else []

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from porelake.catalog import query
 from porelake.functions import qscore
-from porelake.operators import blocks, scans
+from porelake.operators import blocks, robust, scans, squiggle
 from porelake.operators import kernels as K
 from porelake.operators import paths as P
 from porelake.operators.layers import log_softmax
-from porelake.plans._bind import read, score_rows
+from porelake.plans._bind import S, read, score_rows, sequences, signal
 
 
 def _codes(T: int, n: int) -> np.ndarray:
@@ -310,6 +310,50 @@ def squiggle_viterbi(spark, sf_dir):
     return K.per_read(_signals(spark, sf_dir), kernel, "i long, pos long, score double")
 
 
+KERNEL, SHIFT = np.round(np.sin(np.arange(27) + 1.0), 3).reshape(3, 3, 3), np.array([0.1, -0.5, 0.3])
+
+
+def _level_sql() -> str:
+    """CTEs of each base's three outputs, from the corners that the three bases around it stand for."""
+    def term(o: int, k: int) -> str:
+        whens = " ".join(f"WHEN '{b}' THEN {float(sum(w * c for w, c in zip(KERNEL[o, :, k], corner)))!r}::DOUBLE" for b, corner in squiggle.CORNERS.items())
+        return f"CASE CASE WHEN p + {k - 1} >= 1 THEN substr(seq, CAST(p + {k - 1} AS BIGINT), 1) ELSE '' END {whens} ELSE 0 END"
+
+    outs = ", ".join(f"{float(SHIFT[o])!r}::DOUBLE + " + " + ".join(term(o, k) for k in range(3)) + f" AS {n}" for o, n in enumerate(("current", "logsd", "rate")))
+    return f"""d AS (SELECT doc_id AS read_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents),
+  ids AS (SELECT DISTINCT user_id AS read_id FROM events),
+  j AS (SELECT ids.read_id, seq, CASE WHEN seq IS NULL THEN 'reference not found' WHEN seq = '' THEN 'reference is empty' END AS error FROM ids LEFT JOIN d USING (read_id)),
+  lv AS (SELECT read_id, p - 1 AS pos, substr(seq, CAST(p AS BIGINT), 1) AS base, {outs} FROM (SELECT read_id, seq, unnest(range(1, length(seq) + 1)) AS p FROM j WHERE error IS NULL))"""
+
+
+def _squiggles(spark, sf_dir):
+    """Reads (users of events) with their references (documents of the same number)."""
+    reads = read(spark, sf_dir, "events").select(F.col("user_id").alias("read_id")).distinct()
+    return squiggle.matched(reads, sequences(spark, sf_dir))
+
+
+@query("reference_levels", "WITH " + _level_sql() + """ SELECT j.read_id, count(pos) AS bases, round(coalesce(sum(current), 0), 6) AS current, round(coalesce(sum(logsd), 0), 6) AS logsd, round(coalesce(sum(rate), 0), 6) AS rate, error
+  FROM j LEFT JOIN lv USING (read_id) GROUP BY j.read_id, error""")
+def reference_levels(spark, sf_dir):
+    """What each read's reference predicts, added up; a read without a reference is an error row."""
+    met = _squiggles(spark, sf_dir)
+    found = squiggle.levels(met.where("error IS NULL"), KERNEL, SHIFT).groupBy("read_id").agg(F.count("*").alias("bases"), *[F.sum(c).alias(c) for c in ("current", "logsd", "rate")])
+    return met.select("read_id", "error").join(found, "read_id", "left").select("read_id", F.coalesce("bases", F.lit(0)).alias("bases"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("current", "logsd", "rate")], "error")
+
+
+@query("squiggle_path_table", S + ", " + _level_sql() + """, c AS (SELECT read_id, median(current) AS shift FROM s GROUP BY 1),
+  m AS (SELECT s.read_id, any_value(shift) AS shift, 1.4826::DOUBLE * median(abs(current - shift)) AS scale FROM s JOIN c USING (read_id) GROUP BY 1),
+  g AS (SELECT s.read_id, t AS i, (s.current - shift) / scale AS signal, t // 3 - 1 AS pos FROM s JOIN m USING (read_id) JOIN j USING (read_id) WHERE scale > 0 AND error IS NULL)
+  SELECT g.read_id, i, round(signal, 6) AS signal, g.pos, base, round(lv.current, 6) AS current, round(logsd, 6) AS logsd, round(rate, 6) AS rate FROM g LEFT JOIN lv ON lv.read_id = g.read_id AND lv.pos = g.pos""")
+def squiggle_path_table(spark, sf_dir):
+    """The eight columns of every sample, along a path that moves on after each third one; it begins before the reference and may run past it."""
+    found = squiggle.levels(_squiggles(spark, sf_dir).where("error IS NULL"), KERNEL, SHIFT)
+    s = signal(spark, sf_dir)
+    z = robust.normalise(s, robust.scaling_params(s)).join(_squiggles(spark, sf_dir).where("error IS NULL").select("read_id"), "read_id", "left_semi")
+    path = z.select("read_id", F.col("t").alias("i"), F.col("z").alias("signal"), (F.floor(F.col("t") / 3) - 1).cast("long").alias("pos"))
+    return squiggle.path_table(path, found).select("read_id", "i", F.round("signal", 6).alias("signal"), "pos", "base", *[F.round(c, 6).alias(c) for c in ("current", "logsd", "rate")])
+
+
 @query("tetrahedral_embedding", "SELECT user_id AS read_id, round(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 1 ELSE -1 END) / sqrt(3.0::DOUBLE), 6) AS x, round(sum(CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 1 ELSE -1 END) / sqrt(3.0::DOUBLE), 6) AS y FROM events WHERE event_type <> 'view' GROUP BY 1")
 def tetrahedral_embedding(spark, sf_dir):
     """Bases as corners of a tetrahedron, summed over a read in two of the axes."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from porelake.catalog import query
 from porelake.operators import rolling, robust, runs
 from porelake.plans._bind import DIGITISATION, M, N, OFFSET, RANGE, S, mapped_reads, read, signal
+from porelake.storage import scratch_path
 
 PARAMS = S + """, c AS (SELECT read_id, median(current) AS shift FROM s GROUP BY 1), p AS (
   SELECT s.read_id, any_value(shift) AS shift, 1.4826::DOUBLE * median(abs(current - shift)) AS scale
@@ -165,14 +166,12 @@ def qc_median_of_medians(spark, sf_dir):
 def stream_rolling_mean(spark, sf_dir):
     """The online form over a stream of the events' file, one micro-batch at a time; rows and state
     go to the shared folder."""
-    import uuid
-
-    from porelake.streaming.rolling import OUTPUT, scratch_dir
+    from porelake.streaming.rolling import OUTPUT
     from porelake.streaming.rolling import rolling as online
 
     source = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/events.parquet*").selectExpr("user_id AS key", "value", "event_id AS order")
-    folder = f"{scratch_dir(spark)}/porelake/stream-rolling-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream-rolling")
     sink = online(stream, "mean", window=10).writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
     sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{folder}/rows").withColumn("statistic", F.round("statistic", 9))

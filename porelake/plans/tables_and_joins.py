@@ -8,6 +8,7 @@ from porelake.catalog import query
 from porelake.operators import chunks, joins
 from porelake.operators.robust import ranks
 from porelake.plans._bind import Q, read, sequences
+from porelake.sources import reads
 
 REFS = f"WITH q AS ({Q})"
 
@@ -187,3 +188,20 @@ def read_metadata(spark, sf_dir):
 
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("read_id"), F.concat(F.lit("Read_"), F.col("event_id").cast("string")).alias("read_group"), "value", "event_type")
     return last_group(e, ["value", "event_type"])
+
+
+@query("strand_list_files_exact", "SELECT (row_number() OVER (ORDER BY filename) - 1) // 70 AS file, row_number() OVER (ORDER BY filename) - 1 AS place, filename FROM (SELECT url || '/' || page_id AS filename FROM pages)")
+def strand_list_files_exact(spark, sf_dir):
+    """Which list of 70 names each page's file belongs to; names are ordered over all of them."""
+    names = read(spark, sf_dir, "pages").select(F.concat(F.col("url"), F.lit("/"), F.col("page_id").cast("string")).alias("filename"))
+    return reads.listed(names, 70, buckets=16)
+
+
+@query("differing_keys", """WITH r AS (SELECT doc_id, list_sort(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END, 'text'], lambda k: k IS NOT NULL)) AS keys
+    FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT keys, count(*) AS n, list(CAST(doc_id AS VARCHAR) ORDER BY CAST(doc_id AS VARCHAR))[1:3] AS examples FROM r GROUP BY keys)
+  SELECT array_to_string(keys, ',') AS keys, n, array_to_string(examples, ',') AS examples, CASE WHEN count(*) OVER () > 1 THEN 'reads of one table have different keys' END AS warning FROM n""")
+def differing_keys(spark, sf_dir):
+    """Documents as reads whose labels are optional keys."""
+    labels = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, 1).alias("quality"), F.when(F.col("toxic") == 1, 1).alias("toxic"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("text")).join(labels, "doc_id", "left")
+    return reads.differing_keys(rows, "doc_id", 3).select(F.array_join("keys", ",").alias("keys"), "n", F.array_join("examples", ",").alias("examples"), "warning")

@@ -1,11 +1,13 @@
 """Text formats, mapped-read tables and streams."""
 
 import gzip
+import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porelake.operators import alignment
+from porelake.operators import alignment, squiggle
 from porelake.sources import reads, text
 from porelake.streaming.rolling import rolling
 
@@ -117,3 +119,111 @@ def test_online_mean_equals_batch(spark, tmp_path):
     for kind in ("quantile", "mad", "smooth"):
         assert rolling(stream, kind, window=5).isStreaming
     assert df.select(F.count("*")).first()[0] == 75
+
+
+def test_strand_lists_of_exact_size(spark, tmp_path):
+    """Every list but the last holds the size, over several ranges, and names stay in order over the lists."""
+    names = [f"read_{k:05d}.fast5" for k in range(1003)] + ["read_00007.fast5"] * 30
+    df = spark.createDataFrame([(n,) for n in names[::-1]], "filename string").repartition(7)
+    reads.write_strand_lists(df, str(tmp_path / "lists"), 100)
+    found = {}
+    for f in (tmp_path / "lists").glob("file=*"):
+        (part,) = f.glob("part-*")
+        head, *rest = part.read_text().splitlines()
+        assert head == "filename"
+        found[int(f.name.removeprefix("file="))] = rest
+    assert [len(found[k]) for k in range(11)] == [100] * 10 + [33]
+    assert [n for k in range(11) for n in found[k]] == sorted(names)
+    assert reads.listed(df.where("filename = 'none'"), 100).count() == 0
+
+
+def test_differing_keys_and_required_columns(spark):
+    rows = [(f"r{k}", 1.0, 2.0 if k % 3 else None) for k in range(10)]
+    df = spark.createDataFrame(rows, "read_id string, shift double, `mapping.score` double")
+    found = reads.differing_keys(df, most=2).collect()
+    assert [(r["keys"], r.n, r.examples) for r in found] == [(["mapping.score", "shift"], 6, ["r1", "r2"]), (["shift"], 4, ["r0", "r3"])]
+    assert all("different keys" in r.warning for r in found)
+    (one,) = reads.differing_keys(df.where("read_id IN ('r1', 'r2')")).collect()
+    assert one.n == 2 and one.warning is None
+    assert reads.missing_columns(df, ("read_id", "scale")) == ["scale"]
+    with pytest.raises(KeyError, match="dacs"):
+        reads.require_columns(df)
+
+
+def test_upgrade_of_reads_with_their_alphabet(spark, tmp_path):
+    old = spark.createDataFrame([("b", [1, 2], [0, 2], [0], "ACGT", "ACGT", ""), ("a", [1], [0, 1], [0], "ACGT", "ACGT", "")], "read_id string, dacs array<smallint>, ref_to_signal array<int>, reference array<smallint>, alphabet string, collapse_alphabet string, mod_long_names string")
+    new, alphabet = reads.upgrade(old)
+    assert alphabet.collect() == [("ACGT", "ACGT", "")] and "alphabet" not in new.columns
+    reads.write_mapped(new, alphabet, str(tmp_path / "m"))
+    assert sorted(r.read_id for r in reads.read_mapped(spark, str(tmp_path / "m")).collect()) == ["a", "b"]
+
+
+def test_tables_that_are_written(spark, tmp_path):
+    """Parameters, calls in either direction, measures, reports and JSON lines, read back."""
+    params = spark.createDataFrame([("a", 1, 2.5), ("b", 0, -1.0)], "UUID string, trim_start int, shift double")
+    reads.write_tsv(params, str(tmp_path / "params"))
+    assert sorted(map(tuple, text.read_tsv(spark, str(tmp_path / "params"), ("UUID",)).collect())) == [("a", 1, 2.5), ("b", 0, -1.0)]
+    calls = spark.createDataFrame([("a", "ACGT", "!+5?"), ("b", "", "")], "read_id string, seq string, qual string")
+    for backwards, want in ((False, ("a", "ACGT", "!+5?")), (True, ("a", "TGCA", "?5+!"))):
+        reads.write_fastq(calls, str(tmp_path / f"fq{backwards}"), backwards)
+        assert [(r.read_id, r.seq, r.qual) for r in text.read_fastq(spark, str(tmp_path / f"fq{backwards}")).collect()] == [want]
+    acc = spark.createDataFrame([("x", 0, 30, 2, 4, 0.8, 0.7)], "query string, reference_start int, reference_end int, insertion int, deletion int, coverage double, accuracy double")
+    reads.write_samacc(acc, str(tmp_path / "x.samacc"))
+    assert [(r.read_id, r.aligned_length) for r in text.read_alignment_summary(spark, str(tmp_path / "x.samacc")).collect()] == [("x", 28)]
+    assert [json.loads(r.value) for r in reads.to_json_lines(params.where("UUID = 'a'")).collect()] == [{"UUID": "a", "trim_start": 1, "shift": 2.5}]
+
+
+def test_summary_report(spark, tmp_path):
+    rows = [(f"q{k % 4}", a, 2e5) for k, a in enumerate((0.8, 0.91, 0.95, 0.95, 0.99))]
+    df = spark.createDataFrame(rows, "query string, accuracy double, information double")
+    found = alignment.summary(df, read="query")
+    mode = alignment.kernel_mode(df, F.col("accuracy")).first().mode
+    reads.write_summary(alignment.summary_text(found, mode, "x"), str(tmp_path / "x.summary"))
+    (part,) = (tmp_path / "x.summary").glob("part-*")
+    lines = part.read_text().splitlines()
+    assert lines[1] == "Number of mapped reads: 4" and lines[2] == "Mean accuracy: 0.92000" and lines[3] == f"Mode accuracy: {mode:.5f}"
+    assert lines[6].split() == [f"{v:.5f}" for v in np.percentile([r[1] for r in rows], (5, 25, 50, 75, 95))]
+    assert lines[7:10] == ["Proportion with accuracy >90%: 0.80000", "Number with accuracy >90%: 4", "CIscore (Mbits): 1.00000"]
+    none = alignment.summary_text(alignment.summary(df.where("accuracy > 2"), read="query"), None, "x").orderBy("line").collect()
+    assert [r.value for r in none][1] == "No sequences mapped"
+
+
+def test_kernel_mode_is_the_maximum(spark):
+    rng = np.random.default_rng(8)
+    v = np.clip(np.concatenate([rng.normal(0.9, 0.03, 300), rng.normal(0.6, 0.02, 120)]), 0, 1)
+    h = v.std(ddof=1) * len(v) ** -0.2
+    grid = np.linspace(0.85, 0.95, 100_001)
+    want = grid[np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1).argmax()]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    assert alignment.kernel_mode(df, F.col("v")).first().mode == pytest.approx(want, abs=1.5e-6)
+    assert alignment.kernel_mode(df.limit(1), F.col("v")).first().mode == pytest.approx(v[0])
+    assert alignment.kernel_mode(df.where("v > 3"), F.col("v")).first().mode is None
+
+
+def test_path_tables(spark, tmp_path):
+    """Eight columns a sample, a header a read; samples off the reference keep empty columns."""
+    refs = spark.createDataFrame([("a", "ACN"), ("b", "G"), ("e", "")], "read_id string, seq string")
+    ids = spark.createDataFrame([("a",), ("b",), ("e",), ("z",)], "read_id string")
+    met = squiggle.matched(ids, refs)
+    assert {r.read_id: r.error for r in met.collect()} == {"a": None, "b": None, "e": "reference is empty", "z": "reference not found"}
+    rng = np.random.default_rng(1)
+    kernel, bias = rng.normal(size=(3, 3, 3)), rng.normal(size=3)
+    found = squiggle.levels(met.where("error IS NULL"), kernel, bias)
+    at = {**{b: np.array(c) for b, c in squiggle.CORNERS.items()}, "N": np.zeros(3)}
+    for r in found.collect():
+        seq = {"a": "ACN", "b": "G"}[r.read_id]
+        want = bias + sum(kernel[:, :, k] @ at[seq[r.pos + k - 1]] for k in range(3) if 0 <= r.pos + k - 1 < len(seq))
+        assert np.allclose((r.current, r.logsd, r.rate), want) and r.base == seq[r.pos]
+    path = spark.createDataFrame([("a", 0, 0.5, -1), ("a", 1, 0.25, 0), ("a", 2, 1.5, 2), ("b", 0, -0.5, 0)], "read_id string, i long, signal double, pos long")
+    table = squiggle.path_table(path, found)
+    scores = spark.createDataFrame([("a", -3.5), ("b", 2.0)], "read_id string, score double")
+    reads.write_path_tables(squiggle.table_lines(table, scores), str(tmp_path / "t"))
+    lines = [line.split("\t") for p in sorted((tmp_path / "t").glob("part-*")) for line in p.read_text().splitlines()]
+    assert [x[0] for x in lines] == ["#a -3.5", "a", "a", "a", "#b 2.0", "b"] and {len(x) for x in lines} == {1, 8}
+    assert lines[1][:5] == ["a", "0", "0.5", "-1", ""] and lines[2][4] == "A" and lines[3][4] == "N"
+
+
+def test_rows_of_a_regression_that_do_not_count(spark):
+    rows = [(float(k), 2.0 * k + 1) for k in range(30)] + [(5.0, 400.0), (None, 1.0), (1.0, None), (float("nan"), 1.0), (2.0, float("inf"))]
+    slope, level = alignment.huber_fit(spark.createDataFrame(rows, "x double, y double"), "x", "y")
+    assert slope == pytest.approx(2, abs=0.02) and level == pytest.approx(1, abs=0.3)
