@@ -4,7 +4,7 @@ A window of ``window`` words can only repeat if the shorter windows inside it re
 from ``shortest`` up to the window's own (13, 25, 50). At each length a window is stood for by the one of
 its parts of that length with the smallest hash, which equal windows share; only windows whose part
 occurs in two documents are extended to the next length, until none survive or the full length is
-reached. There the survivors' hashes (128 bits) find the smallest doc_id that holds each window, and
+reached. There the survivors' hashes (128 bits, from two independent hashes of each word) find the smallest doc_id that holds each window, and
 words under a window that a smaller document also holds go. Another first length gives the same
 result; each length is one more pass over the texts.
 
@@ -23,6 +23,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from porelake.llm import _blocks as B
@@ -33,29 +34,42 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_te
 
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
-SYMBOLS = B.scramble(np.arange(257, 513, dtype=np.uint64))
+LONG = 512  # bytes; longer words are hashed one by one
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
-def word_hashes(texts: list[bytes], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash of every word, words of each text), hashed in parts of about ``step`` bytes that
-    end at white space."""
-    raw = np.frombuffer(b" ".join(texts), np.uint8)
+def word_hashes(texts: list[bytes], which: int = 0, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of every word, words of each text). Words are taken in eights of bytes, each mixed
+    into a state that is scrambled before the next; ``which`` gives another hash of the same words,
+    that shares nothing with the first but the scrambling."""
+    data = b" ".join(texts)
+    raw = np.frombuffer(data, np.uint8)
     space = SPACE[raw]
     edge = np.diff(space.astype(np.int8), prepend=1, append=1)
     lo, hi = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    out, at = np.empty(len(lo), np.uint64), 0
-    while at < len(lo):
-        end = max(at + 1, int(np.searchsorted(hi, lo[at] + step, "right")))
-        start = lo[at]
-        w = B.Windows(SYMBOLS[raw[start : hi[end - 1]]], np.zeros(0, np.int64))
-        out[at:end] = w.ranges(lo[at:end] - start, hi[at:end] - start)
-        at = end
+    padded = data + b"\0" * 8
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    sizes = hi - lo
+    out = B.scramble(sizes.astype(np.uint64) ^ np.uint64(SEEDS[which]))
+    many = np.flatnonzero(sizes > LONG)
+    for part in range(0, len(lo), step):
+        at = np.arange(part, min(len(lo), part + step))
+        at = at[sizes[at] <= LONG]
+        done = 0
+        while len(at):
+            left = np.minimum(sizes[at] - done, 8).astype(np.uint64)
+            word = eights[lo[at] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> ((np.uint64(8) - left) * np.uint64(8)))
+            out[at] = B.scramble((out[at] ^ word) * np.uint64(SEEDS[which]))
+            done += 8
+            at = at[sizes[at] > done]
+    for k in many.tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[lo[k] : hi[k]], SEEDS[which])
     text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     return out, np.diff(np.searchsorted(lo, text_ends), prepend=0)
 
 
-def _windows(texts: list[bytes]) -> B.Windows:
-    return B.Windows(*word_hashes(texts))
+def _windows(texts: list[bytes], which: int = 0) -> B.Windows:
+    return B.Windows(*word_hashes(texts, which))
 
 
 def lengths(window: int, shortest: int = 13) -> list[int]:
@@ -83,10 +97,10 @@ def _survivors(w: B.Windows, window: int, length: int | None, told: B.Told, buck
 
 
 class Full:
-    """The survivors' distinct windows in a block."""
+    """The survivors' distinct windows in a block. Their 128 bits come from two hashes of each word."""
 
-    def __init__(self, w: B.Windows, ids: np.ndarray, starts: np.ndarray, window: int, buckets: int):
-        h1, h2 = w.hashes(window, starts), w.hashes(window, starts, 1)
+    def __init__(self, w: B.Windows, texts: list[bytes], ids: np.ndarray, starts: np.ndarray, window: int, buckets: int):
+        h1, h2 = w.hashes(window, starts), _windows(texts, 1).hashes(window, starts, 1)
         self.order = np.lexsort((h2, h1))
         h1, h2, self.doc = h1[self.order], h2[self.order], ids[w.owner(starts)][self.order]
         first = B.changes(h1, h2)
@@ -137,7 +151,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, sh
         starts = _survivors(w, full, last, told, few)
         if not len(starts):
             return B.nothing_sent()
-        found = Full(w, ids, starts, full, many)
+        found = Full(w, texts, ids, starts, full, many)
         return found.dealt.sent(block, found.records)
 
     found = B.answer(B.send(blocks, answers, survivors), many, FULL, _smallest, "full")
@@ -148,7 +162,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True, sh
         gone = np.zeros(w.n + 1, np.int64)
         starts = _survivors(w, full, last, told, few) if told or last is None else np.zeros(0, np.int64)
         if len(starts):
-            f = Full(w, ids, starts, full, many)
+            f = Full(w, texts, ids, starts, full, many)
             elsewhere = np.zeros(len(f.records), bool)
             elsewhere[f.dealt.find(*told.get_records("full", PLACE))] = True
             hit = starts[f.order[elsewhere[f.group] | (f.doc > f.records["id"][f.group])]]
