@@ -15,14 +15,15 @@ they are cut and joined as whole buffers, without a step of Python for each.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +60,16 @@ def pack_blocks(docs: DataFrame, tag: str) -> tuple[DataFrame, Sizes]:
     sizes = Sizes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     most = sizes.block
 
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def packed(held: list[pa.RecordBatch], number: Iterator[int]) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
             for b in held:
                 w.write_batch(b)
-        return pa.record_batch({"block": pa.array([int.from_bytes(os.urandom(8), "big") >> 1], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        return pa.record_batch({"block": pa.array([next(number)], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a task that runs again gives its blocks the same numbers, so none is lost or doubled between its runs
+        number = count(TaskContext.get().partitionId() << 32)
         held, size = [], 0
         for b in batches:
             ends = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -78,10 +81,10 @@ def pack_blocks(docs: DataFrame, tag: str) -> tuple[DataFrame, Sizes]:
                 size += int(ends[end - 1] - before)
                 at = end
                 if size >= most or at < b.num_rows:
-                    yield packed(held)
+                    yield packed(held, number)
                     held, size = [], 0
         if held:
-            yield packed(held)
+            yield packed(held, number)
 
     spark = docs.sparkSession
     name = f"porelake_{tag}_{uuid.uuid4().hex}"
