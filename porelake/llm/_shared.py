@@ -3,12 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = Path(__file__).resolve().parents[2]
-
+from porelake.storage import discard_scratch, materialize, scratch_dir, ship_package  # noqa: F401  operators take them from here
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; columns beyond those an operator asks for are ignored by it."""
@@ -25,47 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package when neither PYTHONPATH nor the working folder does."""
-    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    sc = spark.sparkContext
-    if str(_ROOT) in [*paths, os.getcwd()] or getattr(sc, "_porelake_shipped", False):
-        return
-    out = Path(tempfile.mkdtemp()) / "porelake_pkg.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in (_ROOT / "porelake").rglob("*.py"):
-            z.write(p, p.relative_to(_ROOT))
-    sc.addPyFile(str(out))
-    sc._porelake_shipped = True
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session whose tasks
-    all run in the driver's own process gets a temporary folder; a cluster gets an error, as each
-    executor would write to its own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="porelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def discard_scratch(spark: SparkSession) -> None:
-    """Delete what operators wrote to the shared folder. Their results read it lazily, so call this
-    once these are written; results of other running jobs of the same folder would be lost too."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/porelake")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: lineage is cut, lost executors
-    cost nothing that was written, and later readers prune columns."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/porelake/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def quoted(name: str) -> str:
+    """A column's name as part of an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain_names(docs: DataFrame, known: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The documents with all other columns renamed, so that no name of theirs can clash or needs
+    quoting, and what gives the names back."""
+    new = [c if c in known else f"kept{k}" for k, c in enumerate(docs.columns)]
+    old = docs.columns
+    return docs.toDF(*new), lambda out: out.select(*[F.col(n).alias(c) for n, c in zip(new, old)])
 
 
 def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:

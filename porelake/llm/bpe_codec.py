@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import Recent, id_and_text, map_batches, table
+from porelake.llm._shared import Recent, id_and_text, map_batches, quoted, table
 
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 DECODE_SCHEMA = "doc_id long, text string"
@@ -160,7 +160,7 @@ def encode_columns(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...])
                 ids = [np.array(bpe.encode(t.as_py() or ""), np.int32) for t in b.column("text")]
                 yield pa.record_batch([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
-    fields = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
+    fields = ", ".join(f"{quoted(c)} {chosen.schema[c].dataType.simpleString()}" for c in keep)
     return map_batches(chosen, run, f"{fields}, ids array<int>")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from porelake.llm._shared import map_batches, materialize, table
+from porelake.llm._shared import map_batches, materialize, quoted, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = "#*$%&|<>"
@@ -128,7 +128,7 @@ def keep_good(docs: DataFrame, host: str = "source", limit: float = 0.5) -> Data
     fields = docs.schema.fields
     carried = StructType([*[StructField(f"{own}_{k}", f.dataType) for k, f in enumerate(fields)], StructField("host", StringType()), *[StructField(c, LongType()) for c in COUNTS]])
     text = docs.schema.names.index("text")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"{own}_{k}") for k, c in enumerate(docs.columns)], F.col(f"`{host}`").cast("string").alias("host"))
+    rows = docs.select(*[F.col(quoted(c)).alias(f"{own}_{k}") for k, c in enumerate(docs.columns)], F.col(quoted(host)).cast("string").alias("host"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from porelake.llm._shared import id_and_text, map_batches, slices, table
+from porelake.llm._shared import id_and_text, map_batches, plain_names, slices, table
 
 SPAN_SCHEMA = "doc_id long, kinds array<string>, starts array<int>, ends array<int>"
 DIGEST_SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -239,7 +239,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str =
             b = b.set_column(names.index("text"), b.schema.field("text"), pa.array(texts, b.schema.field("text").type))
             yield b.set_column(names.index("n_chars"), b.schema.field("n_chars"), pa.array(sizes, b.schema.field("n_chars").type)) if sizes else b
 
-    return map_batches(docs, run, docs.schema)
+    named, back = plain_names(docs, ("text", "n_chars"))
+    return back(map_batches(named, run, named.schema))
 
 
 def secret_digests(docs: DataFrame, rules: tuple[Rule, ...] = RULES, segment: int = 1000) -> DataFrame:

@@ -33,7 +33,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import materialize, table
+from porelake.llm._shared import materialize, quoted, table
 
 SECTIONS, ROUNDS, EPS = 32, 6, 1e-9
 DOUBLINGS = 41  # exponents up to 2 ** 40
@@ -174,7 +174,7 @@ def mixed(docs: DataFrame, seed: int = 7, **target) -> DataFrame:
     base = _base(docs)
     cuts = with_cuts(base, mixing_plan(base, **target), seed)
     src, block = _fresh(docs, "src", "block")
-    return _blocks_of(docs.withColumn(src, source_key()), cuts, seed, src, block).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _blocks_of(docs.withColumn(src, source_key()), cuts, seed, src, block).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ Defined results: components become floor(1024 * x), x as double. Null vectors, a
 null or non-finite components, take no part. Candidates are all rows whose vec_id differs from the
 query's and whose vector has the same length. Rows without vec_id take no part. Repeated rows are
 candidates one by one; a repeated query row gets a list of its own. An empty table gives no rows. Ties go to the smaller vec_id. Products are exact: in doubles as
-long as no sum can reach 2**53, else in 64-bit integers (a score must fit a long). Empty vectors
-score 0. Further columns are ignored.
+long as no sum can reach 2**53, else in 64-bit integers; where the largest components of a shard and
+its queries allow a sum of 2**63, an error is raised. Very wide vectors make smaller shards. Empty
+vectors score 0. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,7 +67,10 @@ def _search_tile(shard: pa.Table, queries: pa.Table, k: int, block: int = 256, t
         base, want = _matrix(shard["v"], at, dim) if dim else np.zeros((len(at), 0), np.int64), _matrix(queries["v"], ask, dim) if dim else np.zeros((len(ask), 0), np.int64)
         if dim and len(at) == shard.num_rows:
             base = base[at]
-        top = max(1, int(np.abs(base).max(initial=0))) * max(1, int(np.abs(want).max(initial=0))) * max(1, int(dim))
+        most = [max(1, int(m.max(initial=0)), -int(m.min(initial=0))) for m in (base, want)]  # Python's integers
+        top = most[0] * most[1] * max(1, int(dim))
+        if top >= 2**63:
+            raise OverflowError("a score may need more than 64 bits")
         exact = np.float64 if top < 2**53 else np.int64
         base, want, ids = base.astype(exact), want.astype(exact), s_id[at]
         low = -np.inf if exact is np.float64 else np.iinfo(np.int64).min
