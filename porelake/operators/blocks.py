@@ -181,6 +181,18 @@ def viterbi(scores: DataFrame, n: int, by: list[str] | None = None, t: str = "t"
     return rows.select(*by, (F.col("block") * size + F.col("k")).cast("long").alias("t"), "state")
 
 
+def called(scores: DataFrame, n: int, by: str = "read_id", size: int = 64) -> DataFrame:
+    """(by, t, base, error): the bases that the best path over the posteriors moves into, at the steps
+    where it does, with the share of the step's transitions that lead elsewhere."""
+    post = materialize(Blocks.of(scores, n, by=[by], size=size).posteriors(P.start(n)), "posteriors")
+    logs = post.select(by, "t", F.transform("p", lambda v: F.ln(v + 1e-8)).alias("scores"))
+    path = materialize(viterbi(logs, n, [by], size=size), "best-path")
+    before = path.select(by, (F.col("t") + 1).alias("t"), F.col("state").alias("before"))
+    moves = path.join(before, [by, "t"]).where("state != before")
+    at = post.select(by, (F.col("t") + 1).alias("t"), "p")
+    return moves.join(at, [by, "t"]).select(by, "t", (F.col("state") % n).alias("base"), P.error_prob(F.col("p"), n, F.col("state")).alias("error"))
+
+
 def chunks_of(steps: Column, size: int) -> Column:
     """An array in parts of ``size``."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(steps) / size).cast("int") - 1)), lambda b: F.slice(steps, b * size + 1, F.lit(size)))

@@ -99,6 +99,38 @@ def posterior(steps: Column, n: int, ahead: Column, back: Column, log_z: Column)
     return F.transform(at, lambda r: F.array(*[F.exp(r["f"][s] + r["x"][i] + r["b"][to] - log_z) for i, (s, to) in enumerate(ways)]))
 
 
+def beam_search(steps: Column, n: int, back: Column | None = None, width: int = 5) -> Column:
+    """struct(p, w): the states entered of the most probable sequence, and its log weight. After each step
+    the ``width`` best sequences are kept; those that paths reach in several ways are one, by the sum of
+    their weights. ``back``, of ``backward``, guides the choice; ties go to the sequence that sorts first."""
+    guide = F.transform(steps, lambda x: F.array(*[F.lit(0.0)] * (2 * n))) if back is None else F.slice(back, F.lit(2), F.size(steps))
+    begin = F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda s: F.struct(F.array(s).alias("p"), F.lit(0.0).alias("w")))
+
+    def grown(b: Column, x: Column) -> Column:
+        """A sequence's ways on: into every flip, and into the flop of its base."""
+        def of(s: Column) -> Column:
+            def to(state: Column, i: Column) -> Column:
+                return F.struct(F.when(state == s, b["p"]).otherwise(F.array_append(b["p"], state)).alias("p"), (b["w"] + F.element_at(x, i + 1)).alias("w"))
+
+            flips = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: to(k, 2 * n * k + s))
+            return F.array_append(flips, to(n + s % n, 2 * n * n + s))
+
+        return let(F.element_at(b["p"], -1), of)
+
+    def step(beams: Column, r: Column) -> Column:
+        def best(ways: Column) -> Column:
+            total = lambda p: logsumexp(F.transform(F.filter(ways, lambda c: c["p"] == p), lambda c: c["w"]))
+            whole = F.transform(F.array_distinct(F.transform(ways, lambda c: c["p"])), lambda p: F.struct(p.alias("p"), total(p).alias("w")))
+            ranked = F.transform(whole, lambda c: F.struct((-(c["w"] + F.element_at(r["g"], F.element_at(c["p"], -1) + 1))).alias("k"), c["p"].alias("p"), c["w"].alias("w")))
+            return F.transform(F.slice(F.array_sort(ranked), 1, width), lambda c: F.struct(c["p"].alias("p"), c["w"].alias("w")))
+
+        return let(F.flatten(F.transform(beams, lambda b: grown(b, r["x"]))), best)
+
+    end = F.aggregate(F.arrays_zip(steps.alias("x"), guide.alias("g")), begin, step)
+    by_weight = F.array_max(F.transform(end, lambda c: F.struct(c["w"].alias("w"), c["p"].alias("p"))))
+    return let(by_weight, lambda c: F.struct(c["p"].alias("p"), c["w"].alias("w")))
+
+
 def _but_last(a: Column) -> Column:
     return F.slice(a, F.lit(1), F.size(a) - 1)
 
@@ -231,11 +263,14 @@ def ctc_cost(log_probs: Column, states: Column, blank: int) -> Column:
     return -logsumexp(F.slice(end, F.size(states) - 1, F.lit(2))) / F.size(log_probs)
 
 
-def error_probs(posteriors: Column, n: int, path: Column) -> Column:
-    """1 - share of the transitions into the base called at each step."""
-    def into(p: Column, b: Column) -> Column:
-        flips = F.aggregate(F.slice(p, (2 * n * b + 1).cast("int"), F.lit(2 * n)), F.lit(0.0), lambda a, v: a + v)
-        return flips + F.element_at(p, (2 * n * n + b + 1).cast("int")) + F.element_at(p, (2 * n * n + n + b + 1).cast("int"))
+def error_prob(p: Column, n: int, state: Column) -> Column:
+    """1 - share of the transitions into the base of a state among a step's probabilities."""
+    b = state % n
+    flips = F.aggregate(F.slice(p, (2 * n * b + 1).cast("int"), F.lit(2 * n)), F.lit(0.0), lambda a, v: a + v)
+    into = flips + F.element_at(p, (2 * n * n + b + 1).cast("int")) + F.element_at(p, (2 * n * n + n + b + 1).cast("int"))
+    return 1 - into / (F.aggregate(p, F.lit(0.0), lambda a, v: a + v) + 1e-10)
 
-    total = lambda p: F.aggregate(p, F.lit(0.0), lambda a, v: a + v) + 1e-10
-    return F.zip_with(posteriors, F.slice(path, F.lit(2), F.size(path) - 1), lambda p, s: 1 - into(p, s % n) / total(p))
+
+def error_probs(posteriors: Column, n: int, path: Column) -> Column:
+    """``error_prob`` of the base called at each step."""
+    return F.zip_with(posteriors, F.slice(path, F.lit(2), F.size(path) - 1), lambda p, s: error_prob(p, n, s))

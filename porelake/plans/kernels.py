@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from porelake.catalog import query
 from porelake.functions import qscore
-from porelake.operators import blocks, robust, scans, squiggle
+from porelake.operators import aligning, blocks, robust, scans, squiggle
 from porelake.operators import kernels as K
 from porelake.operators import paths as P
 from porelake.operators.layers import log_softmax
@@ -126,15 +126,6 @@ def errprobs_from_trans(spark, sf_dir):
     return e.select("read_id", (F.col("t") + 1).cast("long").alias("t"), F.round("perr", 6).alias("perr"))
 
 
-@query("flipflop_remap")
-def flipflop_remap(spark, sf_dir):
-    def kernel(x):
-        score, path = K.remap(x, _codes(len(x), NB), 1.0)
-        return {"t": np.arange(len(path)), "position": path.astype(np.int64), "score": np.full(len(path), round(score, 6))}
-
-    return K.per_read(score_rows(spark, sf_dir), kernel, "t long, position long, score double")
-
-
 CODES = _codes(10, NB).tolist()
 STAY = [c + min(c, NB) * 2 * NB + 1 for c in CODES]
 MOVE = [0] + [c + min(d, NB) * 2 * NB + 1 for c, d in zip(CODES, CODES[1:])]
@@ -155,6 +146,29 @@ def _spelling(spark, sf_dir, n: int = 60):
     return _once(rows, codes=F.slice(F.array(*map(F.lit, CODES)), F.lit(1), F.greatest(F.lit(2), F.floor(F.size("steps") / 2).cast("int"))))
 
 
+REMAP = (
+    STEPS
+    + f""", n AS (SELECT read_id, count(*) AS n, greatest(2, count(*) // 2) AS codes FROM e GROUP BY read_id),
+  r AS (SELECT read_id, CAST(0 AS BIGINT) AS t, codes, list_transform(range(codes + 2), lambda i: CASE WHEN i < 2 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS u, list_transform(range(codes + 2), lambda i: [i]) AS p FROM n
+  UNION ALL SELECT read_id, t + 1, codes, list_transform(range(codes + 2), lambda i: greatest(s[i + 1], c[i + 1])),
+    list_transform(range(codes + 2), lambda i: list_append(CASE WHEN s[i + 1] < c[i + 1] THEN p[i] ELSE p[i + 1] END, i))
+  FROM (SELECT r.read_id, r.t, codes, p,
+      list_transform(range(codes + 2), lambda i: u[i + 1] + CASE WHEN i = 0 THEN greatest(x[({STAY})[1]], -1.0::DOUBLE) WHEN i = codes + 1 THEN 0 ELSE x[({STAY})[i]] END) AS s,
+      list_transform(range(codes + 2), lambda i: CASE WHEN i = 0 THEN -1e30::DOUBLE WHEN i = 1 OR i = codes + 1 THEN u[i] - 1.0::DOUBLE ELSE u[i] + x[({MOVE})[i]] END) AS c
+    FROM r JOIN e ON e.read_id = r.read_id AND e.t = r.t)),
+  z AS (SELECT read_id, codes, arg_max(u, t) AS u, arg_max(p, t) AS p FROM r GROUP BY read_id, codes),
+  f AS (SELECT read_id, codes, CASE WHEN u[codes + 2] >= u[codes + 1] THEN codes + 2 ELSE codes + 1 END AS place, u, p FROM z),
+  w AS (SELECT read_id, codes, u[place] AS score, unnest(range(len(p[place]))) AS t, unnest(p[place]) AS state FROM f)
+  SELECT read_id, t, CAST(CASE WHEN state BETWEEN 1 AND codes THEN state - 1 ELSE -1 END AS BIGINT) AS position, round(score, 6) AS score FROM w"""
+)
+
+
+@query("flipflop_remap", REMAP)
+def flipflop_remap(spark, sf_dir):
+    path, score = aligning.remap(_spelling(spark, sf_dir), NB, 1.0)
+    return path.join(score, "read_id").select("read_id", "t", "position", F.round("score", 6).alias("score"))
+
+
 @query("crf_cost", _forward(_begin("-50000")) + _spelled() + " SELECT k.read_id, round(cost, 6) AS cost, round(cost + log_z / z.n, 6) AS loss FROM k JOIN z USING (read_id)")
 def crf_cost(spark, sf_dir):
     """Training loss of a read: cost of its sequence and log partition, both a step."""
@@ -275,39 +289,84 @@ def ctc_cost(spark, sf_dir):
     return rows.select("read_id", F.round(P.ctc_cost(F.col("steps"), F.col("states"), BLANK), 6).alias("cost"))
 
 
-@query("beam_search")
-def beam_search(spark, sf_dir):
-    def kernel(x):
-        score, states = K.beam_search(x, 5)
-        return {"score": [round(score, 6)], "seq": ["".join("ACGTZ"[s % NB] for s in states[1:])]}
+# sequences of states with their weights, five kept a step; g: the weights of all paths on
+BEAMS = (
+    STEPS
+    + f""", n AS (SELECT read_id, max(t) + 1 AS n FROM e GROUP BY read_id), g AS (SELECT read_id, n AS t, list_transform(range({2 * NB}), lambda s: 0.0::DOUBLE) AS v FROM n
+  UNION ALL SELECT g.read_id, g.t - 1, list_transform(range({2 * NB}), lambda s: {_lse(f"list_append(list_transform(range({NB}), lambda b: x[{2 * NB} * b + s + 1] + v[b + 1]), x[{2 * NB * NB} + s + 1] + v[{NB} + s % {NB} + 1])")})
+  FROM g JOIN e ON e.read_id = g.read_id AND e.t = g.t - 1),
+  b AS (SELECT read_id, CAST(0 AS BIGINT) AS t, list_transform(range({2 * NB}), lambda s: {{'p': [s], 'w': 0.0::DOUBLE}}) AS beams FROM n
+  UNION ALL SELECT read_id, t + 1, list_transform(list_sort(list_transform(list_transform(list_distinct(list_transform(ways, lambda c: c.p)), lambda q: {{'p': q, 'w': {_lse("list_transform(list_filter(ways, lambda c: c.p = q), lambda c: c.w)")}}}),
+      lambda c: {{'k': -(c.w + v[c.p[len(c.p)] + 1]), 'p': c.p, 'w': c.w}}))[1:5], lambda c: {{'p': c.p, 'w': c.w}})
+  FROM (SELECT b.read_id, b.t, v, flatten(list_transform(beams, lambda c: list_transform(range({NB + 1}), lambda k:
+      CASE WHEN k < {NB} THEN {{'p': CASE WHEN k = c.p[len(c.p)] THEN c.p ELSE list_append(c.p, k) END, 'w': c.w + x[{2 * NB} * k + c.p[len(c.p)] + 1]}}
+      ELSE {{'p': CASE WHEN c.p[len(c.p)] >= {NB} THEN c.p ELSE list_append(c.p, {NB} + c.p[len(c.p)]) END, 'w': c.w + x[{2 * NB * NB} + c.p[len(c.p)] + 1]}} END))) AS ways
+    FROM b JOIN e ON e.read_id = b.read_id AND e.t = b.t JOIN g ON g.read_id = b.read_id AND g.t = b.t + 1)),
+  z AS (SELECT read_id, list_sort(list_transform(arg_max(beams, t), lambda c: {{'w': c.w, 'p': c.p}}))[-1] AS best FROM b GROUP BY read_id)
+  SELECT read_id, round(best.w, 6) AS score, array_to_string(list_transform(best.p[2:], lambda s: substr('ACGTZ', CAST(s % {NB} AS INTEGER) + 1, 1)), '') AS seq FROM z"""
+)
 
-    return K.per_read(score_rows(spark, sf_dir), kernel, "score double, seq string")
+
+@query("beam_search", BEAMS)
+def beam_search(spark, sf_dir):
+    found = _once(_steps(spark, sf_dir), b=P.beam_search(F.col("steps"), NB, P.backward(F.col("steps"), NB)))
+    letters = F.transform(F.slice(F.col("b.p"), F.lit(2), F.size("b.p")), lambda s: F.element_at(F.array(*map(F.lit, "ACGTZ")), (s % NB + 1).cast("int")))
+    return found.select("read_id", F.round("b.w", 6).alias("score"), F.array_join(letters, "").alias("seq"))
 
 
 def _signals(spark, sf_dir):
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("read_id"), F.col("event_id").alias("t"), F.array(F.col("value")).alias("scores"))
+    """(read_id, signal, levels): a read of n samples runs over a third as many made-up levels."""
+    rows = F.array_sort(F.collect_list(F.struct("event_id", "value")))
+    reads = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("read_id")).agg(F.transform(rows, lambda r: r["value"]).alias("signal"))
+    n = F.greatest(F.lit(1), F.floor(F.size("signal") / 3).cast("int"))
+    level = lambda k: F.struct((20.0 + 15.0 * (k % 5)).alias("location"), F.lit(2.5).alias("logsd"), F.lit(0.0).alias("rate"))
+    return blocks.once(reads, levels=F.transform(F.sequence(F.lit(0), n - 1), level))
 
 
-def _levels(n: int) -> np.ndarray:
-    k = np.arange(n)
-    return np.column_stack([20.0 + 15.0 * (k % 5), np.full(n, 2.5), np.full(n, 0.0)])
+DENSITY = "(-ln(2::DOUBLE) - 2.5::DOUBLE - abs(value - (20 + 15 * (i % 5))) * exp(-2.5::DOUBLE))"
+ON, STILL = "ln((1 - 1e-15::DOUBLE) / 2)", "ln(1 - (1 - 1e-15::DOUBLE) / 2 - 1e-15::DOUBLE)"
+SIGNALS = "WITH RECURSIVE e AS (SELECT user_id AS read_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, value FROM events), n AS (SELECT read_id, count(*) AS n, greatest(1, count(*) // 3) AS l FROM e GROUP BY read_id)"
 
 
-@query("squiggle_cost")
-def squiggle_cost(spark, sf_dir):
-    def kernel(x):
-        return {"cost": [round(K.squiggle_cost(x[:, 0], _levels(max(1, len(x) // 3))), 6)]}
+def _lae(a: str, b: str) -> str:
+    return f"(greatest({a}, {b}) + ln(1 + exp(-abs({a} - ({b})))))"
 
-    return K.per_read(_signals(spark, sf_dir), kernel, "cost double")
 
+def _squiggle_cost_sql() -> str:
+    """v: weights in a position; w: in it after a step back."""
+    came = _lae(f"v[i + 1] + {STILL}", f"CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE v[i] + {ON} END")
+    came = _lae("c[i + 1]", "CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE w[i] + ln(0.5::DOUBLE) END"), f"list_transform(range(l), lambda i: {came})"
+    back = _lae("w[i + 1] + ln(0.5::DOUBLE)", "CASE WHEN i = l - 1 THEN -1e30::DOUBLE ELSE v[i + 2] + ln(1e-15::DOUBLE) END")
+    return SIGNALS + f""", f AS (SELECT read_id, CAST(1 AS BIGINT) AS t, l, list_transform(range(l), lambda i: CASE WHEN i = 0 THEN {DENSITY} ELSE -1e30::DOUBLE END) AS v, list_transform(range(l), lambda i: -1e30::DOUBLE) AS w
+      FROM n JOIN e USING (read_id) WHERE t = 0
+    UNION ALL SELECT read_id, t + 1, l, list_transform(range(l), lambda i: {came[0]} + {DENSITY}), list_transform(range(l), lambda i: {back} + {DENSITY})
+    FROM (SELECT f.*, value, {came[1]} AS c FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t)),
+  z AS (SELECT read_id, l, arg_max(v, t) AS v, arg_max(w, t) AS w FROM f GROUP BY read_id, l)
+  SELECT read_id, round(-{_lae("v[l]", "w[l]")}, 6) AS cost FROM z"""
 
-@query("squiggle_viterbi")
-def squiggle_viterbi(spark, sf_dir):
-    def kernel(x):
-        score, path = K.squiggle_path(x[:, 0], _levels(max(1, len(x) // 3)), 2.0)
-        return {"i": np.arange(len(path)), "pos": path.astype(np.int64), "score": np.full(len(path), round(score, 6))}
 
-    return K.per_read(_signals(spark, sf_dir), kernel, "i long, pos long, score double")
+@query("squiggle_cost", _squiggle_cost_sql())
+def squiggle_cost(spark, sf_dir):
+    cost = aligning.squiggle_cost(F.col("signal"), F.col("levels"))
+    return _signals(spark, sf_dir).select("read_id", F.round(cost, 6).alias("cost"))
+
+
+SQUIGGLE_PATH = (
+    SIGNALS
+    + f""", f AS (SELECT read_id, CAST(1 AS BIGINT) AS t, l, list_transform(range(l), lambda i: {DENSITY} - 2.0::DOUBLE * i) AS v, list_transform(range(l), lambda i: [i]) AS p FROM n JOIN e USING (read_id) WHERE t = 0
+    UNION ALL SELECT read_id, t + 1, l, list_transform(range(l), lambda i: greatest(s[i + 1], c[i + 1]) + {DENSITY}), list_transform(range(l), lambda i: list_append(CASE WHEN s[i + 1] < c[i + 1] THEN p[i] ELSE p[i + 1] END, i))
+    FROM (SELECT f.*, value, list_transform(range(l), lambda i: v[i + 1] + {STILL}) AS s, list_transform(range(l), lambda i: CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE v[i] + {ON} END) AS c FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t)),
+  z AS (SELECT read_id, l, arg_max(v, t) AS v, arg_max(p, t) AS p FROM f GROUP BY read_id, l),
+  y AS (SELECT read_id, p, list_transform(range(l), lambda i: v[i + 1] - 2.0::DOUBLE * (l - 1 - i)) AS v FROM z),
+  w AS (SELECT read_id, list_max(v) AS score, p[list_position(v, list_max(v))] AS p FROM y)
+  SELECT read_id, unnest(range(len(p))) AS i, CAST(unnest(p) AS BIGINT) AS pos, round(score, 6) AS score FROM w"""
+)
+
+
+@query("squiggle_viterbi", SQUIGGLE_PATH)
+def squiggle_viterbi(spark, sf_dir):
+    path, score = aligning.squiggle_path(_signals(spark, sf_dir), 2.0)
+    return path.join(score, "read_id").select("read_id", F.col("t").alias("i"), F.col("state").cast("long").alias("pos"), F.round("score", 6).alias("score"))
 
 
 KERNEL, SHIFT = np.round(np.sin(np.arange(27) + 1.0), 3).reshape(3, 3, 3), np.array([0.1, -0.5, 0.3])
@@ -388,3 +447,16 @@ def basecall_chain(spark, sf_dir):
     letters = F.transform("calls", lambda c: F.element_at(F.array(*map(F.lit, "ACGTZ")), (c["s"] % NB + 1).cast("int")))
     marks = F.transform("calls", lambda c: qscore.to_char(-10 * F.log10(F.greatest(c["e"], F.lit(1e-5)))))
     return rows.select("read_id", F.array_join(letters, "").alias("seq"), F.array_join(marks, "").alias("qual"), F.size("calls").cast("long").alias("n_moves"))
+
+
+@query("basecall_long", CHAIN.replace(STEPS, LONG))
+def basecall_long(spark, sf_dir):
+    """The chain of ``basecall_chain`` on three long reads, as rows of steps until the letters meet."""
+    scores = _long(spark, sf_dir)
+    calls = blocks.called(scores, NB)
+    letter = F.element_at(F.array(*map(F.lit, "ACGTZ")), (F.col("base") + 1).cast("int"))
+    mark = qscore.to_char(-10 * F.log10(F.greatest("error", F.lit(1e-5))))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", c))), lambda r: r["c"]), "")
+    found = calls.groupBy("read_id").agg(joined(letter.alias("c")).alias("seq"), joined(mark.alias("c")).alias("qual"), F.count("*").alias("n_moves"))
+    reads = scores.select("read_id").distinct()
+    return reads.join(found, "read_id", "left").select("read_id", F.coalesce("seq", F.lit("")).alias("seq"), F.coalesce("qual", F.lit("")).alias("qual"), F.coalesce("n_moves", F.lit(0)).alias("n_moves"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from porelake.catalog import query
 from porelake.functions import activation
 from porelake.operators import layers as L
-from porelake.plans._bind import read, score_rows
+from porelake.operators import networks as N
+from porelake.plans._bind import read, score_rows, signal
 
 
 def weights(*shape: int) -> np.ndarray:
@@ -35,7 +36,11 @@ def activations(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", *[F.round(f(x), 6).alias(n) for n, f in activation.ACTIVATIONS.items()])
 
 
-@query("activation_erf")
+# the series with its terms in closed form: x to the power 2n + 1 over gamma(n + 3/2)
+ERF = "CASE WHEN x = 0 THEN 0 ELSE sign(x) * least(1.0::DOUBLE, exp(-u * u) * list_sum(list_transform(range(129), lambda n: exp((2 * n + 1) * ln(u) - lgamma(n + 1.5::DOUBLE))))) END"
+
+
+@query("activation_erf", f"SELECT event_id, round({ERF}, 9) AS erf FROM (SELECT event_id, x, least(abs(x), 6) AS u FROM (SELECT event_id, {V}::DOUBLE AS x FROM events))")
 def activation_erf(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.round(activation.erf((F.col("value") - 50) / 25), 9).alias("erf"))
 
@@ -207,3 +212,54 @@ def network_forward(spark, sf_dir):
         size = 2 if reverse else 4
         h = L.recurrent(h, "lstm", 4, weights(16, size), weights(16, 4), np.full(16, 0.1), reverse)
     return _rounded(h.withColumn("x", L.global_norm_flipflop(F.col("x"), weights(40, 4), np.zeros(40))))
+
+
+# The four architectures on signals, a feature a sample; two bases, the second one with two modifications.
+SIGNAL = "WITH RECURSIVE e AS (SELECT user_id AS read_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t, [(value - 50) / 25] AS x FROM events)"
+TANH, SWISH = "(1 - 2 / (exp(2 * ({0})) + 1))", "(({0}) / (1 + exp(-({0}))))"
+
+
+def _networks() -> dict[str, N.Network]:
+    small = {"insize": 1, "size": 3, "winlen": 5, "n": 2}
+    found = {}
+    for name, mods in (("flipflop", None), ("cat_mod_flipflop", [0, 2])):
+        found[f"network_gru_{name}"] = N.gru_flipflop(weights, stride=2, mods=mods, **small)
+        found[f"network_lstm_{name}"] = N.lstm_flipflop(weights, stride=5, mods=mods, narrow=(2, 2), **small)
+    return found
+
+
+def _network_sql(net: N.Network) -> str:
+    out, source = SIGNAL, "e"
+    for k, c in enumerate(net.convolutions):
+        half = c.kernel.shape[2] // 2
+        taps = [[f"CASE WHEN t + {j - half} BETWEEN 0 AND len(xs) - 1 THEN list_inner_product({c.kernel[o, :, j].tolist()}::DOUBLE[], xs[t + {1 + j - half}]) ELSE 0 END" for j in range(c.kernel.shape[2])] for o in range(c.kernel.shape[0])]
+        sums = ", ".join(" + ".join(t) + " + 0.05::DOUBLE" for t in taps)
+        f = {"tanh": TANH, "swish": SWISH}[c.activation].format("v")
+        out += f""", a{k} AS (SELECT read_id, list(x ORDER BY t) AS xs FROM {source} GROUP BY read_id),
+  c{k} AS (SELECT read_id, t // {c.stride} AS t, list_transform([{sums}], lambda v: {f}) AS x FROM (SELECT read_id, xs, unnest(range(len(xs))) AS t FROM a{k}) WHERE t % {c.stride} = 0)"""
+        source = f"c{k}"
+    for k, r in enumerate(net.recurrents):
+        out += _states_sql(f"r{k}", r.kind, source, r.inner, r.state, r.reverse)
+        source = f"r{k}"
+    n = net.transitions
+    scores = f"list_transform(y[1:{n}], lambda v: 5 * {TANH.format('v')})"
+    at = n + 2
+    for m in net.mods or []:
+        group = f"[{', '.join(f'y[{k}]' for k in (n + 1, *range(at, at + m)))}]"
+        scores = f"list_concat({scores}, list_transform({group}, lambda v: v - ln(list_sum(list_transform({group}, lambda u: exp(u))))))"
+        at += m
+    out += f", h AS (SELECT read_id, t, list_transform({net.weights.tolist()}::DOUBLE[][], lambda w: list_inner_product(w, x)) AS y FROM {source}), s AS (SELECT read_id, t, {scores} AS x FROM h)"
+    return out + " SELECT read_id, t, round(list_sum(x), 6) AS total, round(x[1], 6) AS first, round(x[-1], 6) AS last FROM s"
+
+
+def _network(net: N.Network):
+    def run(spark, sf_dir):
+        rows = signal(spark, sf_dir).select("read_id", "t", F.array((F.col("current") - 50) / 25).alias("x"))
+        total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+        return net.scores(rows).select("read_id", F.col("t").cast("long").alias("t"), F.round(total, 6).alias("total"), F.round(F.col("x")[0], 6).alias("first"), F.round(F.element_at("x", -1), 6).alias("last"))
+
+    return run
+
+
+for _name, _net in _networks().items():
+    query(_name, _network_sql(_net))(_network(_net))

@@ -274,3 +274,12 @@ def test_intervals_outside_the_map(spark):
             assert r.first is None and r.last is None and r.error == ("before the mapped region" if r.start < 10 else "after the mapped region")
         else:
             assert (r.first, r.last, r.error) == (np.searchsorted(r2s, r.start, "right") - 1, np.searchsorted(r2s, r.end, "left"), None)
+
+
+def test_erf_is_exact(spark):
+    import math
+
+    xs = [0.0, -0.0, 1e-300, 1e-9, 0.1, -0.5, 1.0, 2.0, -3.0, 4.5, 5.999, 6.0, -7.0, 1e300, float("inf"), -float("inf"), *np.random.default_rng(1).normal(size=300) * 3]
+    df = spark.createDataFrame([(float(x),) for x in xs] + [(None,), (float("nan"),)], "x double")
+    got = [r.y for r in df.select(activation.erf(F.col("x")).alias("y")).collect()]
+    assert got[-2:] == [None, None] and np.allclose(got[:-2], [math.erf(x) for x in xs], rtol=1e-14, atol=0)

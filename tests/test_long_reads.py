@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porelake.operators import blocks, kernels as K, layers, paths as P
+from porelake.operators import aligning, blocks, kernels as K, layers, mapping, networks, paths as P
 
 N = 3
 
@@ -81,3 +81,95 @@ def test_recurrent_layers_in_parts(spark, kind, reverse):
     df = spark.createDataFrame(rows, "read_id long, t long, x array<double>")
     whole, parts = (sorted(layers.recurrent(df, kind, 2, *w, reverse=reverse, part=p).collect()) for p in (1000, 4))
     assert len(whole) == 38 and all(a[:2] == b[:2] and np.allclose(a.x, b.x) for a, b in zip(whole, parts))
+
+
+def test_clipped_path_at_stride_two(spark):
+    """A published vector: a skipped base shares the next one's sample, clipped ends lie outside."""
+    path = [-1, -1, 1, 1, 2, 2, 2, 4, 4, 4, 5, 5, 6, 7, -1, -1]
+    df = spark.createDataFrame([("r", k, p, 0, 30) for k, p in enumerate(path)], "read_id string, k int, ref int, trim_start int, siglen int")
+    reads = spark.createDataFrame([("r", 10, 30)], "read_id string, reflen int, siglen int")
+    mapped = mapping.path_to_signal(df, 2, ["read_id"])
+    assert [r.loc for r in mapping.invert(mapped, reads).orderBy("r").collect()] == [-1, 3, 7, 13, 13, 19, 23, 25, 26, 31, 31]
+
+
+def as_rows(spark, reads, codes):
+    rows = [(k, [[float(v) for v in x] for x in xs], [int(c) for c in codes[k]]) for k, xs in reads.items()]
+    return spark.createDataFrame(rows, "read_id string, steps array<array<double>>, codes array<int>")
+
+
+@pytest.mark.parametrize("size, pen", [(4, 1.0), (4, -0.5), (64, 0.3)])
+def test_remap(spark, reads, size, pen):
+    rng = np.random.default_rng(7)
+    codes = {k: K.flipflop_codes(rng.integers(0, N, max(2, len(x) // 3)), N) for k, x in reads.items()}
+    path, score = aligning.remap(as_rows(spark, reads, codes), N, pen, size=size)
+    found, scores = by_read(path, "position"), {r.read_id: r.score for r in score.collect()}
+    for k, x in reads.items():
+        want, positions = K.remap(x, codes[k], pen)
+        assert np.isclose(scores[k], want) and found[k].tolist() == positions.tolist()
+
+
+def test_remap_vectors(spark):
+    """Published vectors: a global alignment, and one clipped at both ends."""
+    m = np.zeros((6, 12))
+    m[range(6), [8, 10, 6, 5, 1, 0]] = 1
+    c = np.zeros((5, 12))
+    c[2, 5] = c[3, 1] = 1
+    path, score = aligning.remap(as_rows(spark, {"a": m, "b": c}, {"a": [0, 2, 1, 0], "b": [1, 0]}), 2, -0.5, size=2)
+    assert {k: v.tolist() for k, v in by_read(path, "position").items()} == {"a": [0, 1, 1, 2, 2, 3, 3], "b": [-1, -1, 0, 0, 1, -1]}
+    assert {r.read_id: r.score for r in score.collect()} == {"a": 6.0, "b": 3.5}
+
+
+@pytest.mark.parametrize("size, pen", [(4, 2.0), (64, 0.0)])
+def test_squiggles(spark, size, pen):
+    rng = np.random.default_rng(8)
+    signals = {f"r{k}": rng.normal(size=k) for k in (1, 2, 9, 70)}
+    levels = {k: rng.normal(size=(max(1, len(x) // 3), 3)) for k, x in signals.items()}
+    rows = [(k, [float(v) for v in x], [tuple(map(float, p)) for p in levels[k]]) for k, x in signals.items()]
+    df = spark.createDataFrame(rows, "read_id string, signal array<double>, levels array<struct<location:double,logsd:double,rate:double>>")
+    path, score = aligning.squiggle_path(df, pen, size=size)
+    found, scores = by_read(path, "state"), {r.read_id: r.score for r in score.collect()}
+    costs = {r.read_id: r.c for r in df.select("read_id", aligning.squiggle_cost(F.col("signal"), F.col("levels"), 0.01).alias("c")).collect()}
+    for k, x in signals.items():
+        want, positions = K.squiggle_path(x, levels[k], pen)
+        assert np.isclose(scores[k], want) and found[k].tolist() == positions.tolist()
+        assert np.isclose(costs[k], K.squiggle_cost(x, levels[k], 0.01))
+
+
+@pytest.mark.parametrize("width, guided", [(1, True), (4, True), (3, False), (50, False)])
+def test_beams(spark, reads, width, guided):
+    df = as_rows(spark, {k: v for k, v in reads.items() if k != "ties" and len(v) < 100}, dict.fromkeys(reads, [0]))
+    back = P.backward(F.col("steps"), N) if guided else None
+    for r in df.select("read_id", P.beam_search(F.col("steps"), N, back, width).alias("b")).collect():
+        score, states = K.beam_search(reads[r.read_id], width, guided)
+        assert np.isclose(r.b.w, score) and tuple(r.b.p) == states
+
+
+def test_beams_merge_paths_of_one_sequence(spark):
+    """With room for every prefix the best one's weight is the sum over all its paths."""
+    x = np.random.default_rng(5).normal(size=(4, 12))
+    r = as_rows(spark, {"a": x}, {"a": [0]}).select(P.beam_search(F.col("steps"), 2, None, 10_000).alias("b")).first().b
+    a, total = K.dense(x), {}
+    for states in np.ndindex(*[4] * 5):
+        w = sum(a[t, states[t + 1], states[t]] for t in range(4))
+        if w > -1e20:
+            key = tuple(s for k, s in enumerate(states) if k == 0 or s != states[k - 1])
+            total[key] = np.logaddexp(total.get(key, -np.inf), w)
+    best = max(total, key=lambda p: (total[p], p))
+    assert tuple(r.p) == best and np.isclose(r.w, total[best])
+
+
+@pytest.mark.parametrize("mods", [None, [0, 2]])
+@pytest.mark.parametrize("kind", [networks.gru_flipflop, networks.lstm_flipflop])
+def test_architectures(spark, kind, mods):
+    """Shapes of the heads; weights of all paths sum to 1 after normalising; modifications to 1 with their base."""
+    rng = np.random.default_rng(6)
+    net = kind(lambda *shape: rng.normal(size=shape) * 0.5, size=4, winlen=3, n=2, mods=mods)
+    df = spark.createDataFrame([(r, t, [float(rng.normal())]) for r, m in ((0, 3), (1, 40)) for t in range(m)], "read_id long, t long, x array<double>")
+    rows = net.normalised(df).collect()
+    stride = 2 if kind is networks.gru_flipflop else 5
+    assert sorted((r.read_id, r.t) for r in rows) == [(r, t) for r, m in ((0, 3), (1, 40)) for t in range(-(-m // stride))]
+    for read in (0, 1):
+        x = np.array([r.x for r in sorted(rows, key=lambda r: r.t) if r.read_id == read])
+        assert x.shape[1] == 12 + (4 if mods else 0) and K.log_partition(x[:, :12]) == pytest.approx(0, abs=1e-9)
+        if mods:
+            assert np.allclose(x[:, 12], 0) and np.allclose(np.exp(x[:, 13:]).sum(1), 1)
