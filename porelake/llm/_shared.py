@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from porelake.storage import discard_scratch, materialize, scratch_dir, ship_package  # noqa: F401  operators take them from here
@@ -62,6 +62,30 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(task, schema)
 
 
+BITMAP = 32_768  # bits of one of Spark's bitmaps
+
+
+def bit_table(rows: DataFrame, place: Callable[[int], Column], most_bits: int = 1 << 26) -> bytes:
+    """A table of bits with those of the rows set. It has a power of two near 16 times as many bits as
+    there are rows, but at most ``most_bits``, which bounds what the driver gathers and tasks are sent
+    (8 MB): of more rows than that fewer are told apart, but none is missed. ``place(bits)`` gives a
+    row's bit."""
+    n, bits = rows.count(), BITMAP
+    while bits < min(most_bits, 16 * n):
+        bits *= 2
+    at = place(bits) + 1  # Spark counts from 1
+    found = rows.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bitmap")).collect()
+    out = bytearray(bits // 8)
+    for r in found:
+        out[(r.k - 1) * BITMAP // 8 : r.k * BITMAP // 8] = r.bitmap
+    return bytes(out)
+
+
+def is_marked(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which bits of a ``bit_table`` (as bytes of an array) are set."""
+    return (marked[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 class Recent(dict):
     """Computes what is missing. At ``limit`` entries they become the old generation, from which
     those still in use come back one by one; the generation before is forgotten. Strings over

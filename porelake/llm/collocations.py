@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from porelake.llm._shared import map_batches, materialize, slices, table
+from porelake.llm._shared import bit_table, is_marked, map_batches, materialize, slices, table
 
 BITS = 21  # of a word's id within a task
 ID = (1 << BITS) - 1
@@ -39,7 +39,6 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 # one table for lower case, tabs and the ends of pieces, all of them single bytes in UTF-8
 FOLDED = bytes(b"."[0] if c in BREAKS else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 RUN_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
-CHUNK = 32768  # bits of one of Spark's bitmaps
 
 
 class HatTrie:
@@ -231,7 +230,7 @@ def _count(batches: Iterator[pa.RecordBatch], size: int, table_of_pairs: bytes |
                 good = np.logical_and.reduce([p > 0 for p in parts])
                 if marked is not None:
                     h = words.word_hashes()[line]
-                    hit = _is_marked(marked, _pair_places(h[:-1], h[1:], np.uint64(xxhash.xxh64_intdigest(lang, 42)), len(marked) * 8))
+                    hit = is_marked(marked, _pair_places(h[:-1], h[1:], np.uint64(xxhash.xxh64_intdigest(lang, 42)), len(marked) * 8))
                     good &= np.logical_and.reduce([hit[k : len(hit) - size + 2 + k] for k in range(size - 1)])
                 key = parts[0][good]
                 for p in parts[1:]:
@@ -249,24 +248,11 @@ def _pair_places(a: np.ndarray, b: np.ndarray, lang: np.uint64, bits: int) -> np
     return (((a << np.uint64(7)) | (a >> np.uint64(57))) ^ b ^ lang) & np.uint64(bits - 1)
 
 
-def _is_marked(marked: np.ndarray, places: np.ndarray) -> np.ndarray:
-    return (marked[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
 def pair_table(pairs: DataFrame, most_bits: int = 1 << 26) -> bytes:
-    """Bits of the (lang, w1, w2) rows; a power of two near 16 times their number, but at most ``most_bits``,
-    which bounds what the driver gathers and every task is sent (8 MB)."""
-    bits = CHUNK
-    n = pairs.count()
-    while bits < min(most_bits, 16 * n):
-        bits *= 2
+    """Bits of the (lang, w1, w2) rows."""
     a, b, lang = (F.xxhash64(c) for c in ("w1", "w2", "lang"))
-    place = (F.shiftleft(a, 7).bitwiseOR(F.shiftrightunsigned(a, 57)).bitwiseXOR(b).bitwiseXOR(lang)).bitwiseAND(F.lit(bits - 1)) + 1
-    found = pairs.select(F.bitmap_bucket_number(place).alias("k"), F.bitmap_bit_position(place).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bitmap")).collect()
-    out = bytearray(bits // 8)
-    for r in found:
-        out[(r.k - 1) * CHUNK // 8 : r.k * CHUNK // 8] = r.bitmap
-    return bytes(out)
+    mixed = F.shiftleft(a, 7).bitwiseOR(F.shiftrightunsigned(a, 57)).bitwiseXOR(b).bitwiseXOR(lang)
+    return bit_table(pairs, lambda bits: mixed.bitwiseAND(F.lit(bits - 1)), most_bits)
 
 
 def counted(docs: DataFrame, size: int, pairs: bytes | None = None, entries: int = 400_000, most_words: int = 500_000, most_bytes: int = 64 << 20) -> DataFrame:

@@ -117,9 +117,9 @@ def test_pair_table_has_every_pair(spark):
     import xxhash
 
     h = lambda s: np.array([xxhash.xxh64_intdigest(s.encode(), 42)], np.uint64)
-    hit = [bool(collocations._is_marked(marked, collocations._pair_places(h(a), h(b), h(x)[0], len(marked) * 8))[0]) for x, a, b in pairs]
+    hit = [bool(collocations.is_marked(marked, collocations._pair_places(h(a), h(b), h(x)[0], len(marked) * 8))[0]) for x, a, b in pairs]
     assert all(hit)
-    missed = [collocations._is_marked(marked, collocations._pair_places(h(f"n{i}"), h("m"), h("en")[0], len(marked) * 8))[0] for i in range(300)]
+    missed = [collocations.is_marked(marked, collocations._pair_places(h(f"n{i}"), h("m"), h("en")[0], len(marked) * 8))[0] for i in range(300)]
     assert sum(missed) < 30
 
 
