@@ -99,10 +99,12 @@ def posterior(steps: Column, n: int, ahead: Column, back: Column, log_z: Column)
     return F.transform(at, lambda r: F.array(*[F.exp(r["f"][s] + r["x"][i] + r["b"][to] - log_z) for i, (s, to) in enumerate(ways)]))
 
 
-def beam_search(steps: Column, n: int, back: Column | None = None, width: int = 5) -> Column:
+def beam_search(steps: Column, n: int, back: Column | None = None, width: int = 5, cut: float = 0.0) -> Column:
     """struct(p, w): the states entered of the most probable sequence, and its log weight. After each step
     the ``width`` best sequences are kept; those that paths reach in several ways are one, by the sum of
-    their weights. ``back``, of ``backward``, guides the choice; ties go to the sequence that sorts first."""
+    their weights. ``back``, of ``backward``, guides the choice; ties go to the sequence that sorts first.
+    With a ``cut`` above 0, sequences as much as that or more below a step's best one go as well; it is
+    compared with the best of all of the step's sequences, whatever their order."""
     guide = F.transform(steps, lambda x: F.array(*[F.lit(0.0)] * (2 * n))) if back is None else F.slice(back, F.lit(2), F.size(steps))
     begin = F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda s: F.struct(F.array(s).alias("p"), F.lit(0.0).alias("w")))
 
@@ -122,7 +124,10 @@ def beam_search(steps: Column, n: int, back: Column | None = None, width: int =
             total = lambda p: logsumexp(F.transform(F.filter(ways, lambda c: c["p"] == p), lambda c: c["w"]))
             whole = F.transform(F.array_distinct(F.transform(ways, lambda c: c["p"])), lambda p: F.struct(p.alias("p"), total(p).alias("w")))
             ranked = F.transform(whole, lambda c: F.struct((-(c["w"] + F.element_at(r["g"], F.element_at(c["p"], -1) + 1))).alias("k"), c["p"].alias("p"), c["w"].alias("w")))
-            return F.transform(F.slice(F.array_sort(ranked), 1, width), lambda c: F.struct(c["p"].alias("p"), c["w"].alias("w")))
+            sorted_ = F.slice(F.array_sort(ranked), 1, width)
+            if cut > 0:
+                sorted_ = let(sorted_, lambda cs: F.filter(cs, lambda c: c["k"] - cs[0]["k"] < cut))
+            return F.transform(sorted_, lambda c: F.struct(c["p"].alias("p"), c["w"].alias("w")))
 
         return let(F.flatten(F.transform(beams, lambda b: grown(b, r["x"]))), best)
 

@@ -8,17 +8,11 @@ from pyspark.sql import functions as F
 from porelake.catalog import query
 from porelake.functions import qscore
 from porelake.operators import aligning, blocks, robust, scans, squiggle
-from porelake.operators import kernels as K
 from porelake.operators import paths as P
 from porelake.operators.layers import log_softmax
 from porelake.plans._bind import S, read, score_rows, sequences, signal
 
 
-def _codes(T: int, n: int) -> np.ndarray:
-    """The sequence every read is compared with: about one base in two steps."""
-    return K.flipflop_codes((np.arange(max(2, T // 2)) ** 2) % n, n)
-
-
 # The recursions in SQL: a row holds the weights of the 8 states of a read after t steps.
 def _lse(x: str) -> str:
     return f"(list_max({x}) + ln(list_sum(list_transform({x}, lambda u: exp(u - list_max({x}))))))"
@@ -126,7 +120,8 @@ def errprobs_from_trans(spark, sf_dir):
     return e.select("read_id", (F.col("t") + 1).cast("long").alias("t"), F.round("perr", 6).alias("perr"))
 
 
-CODES = _codes(10, NB).tolist()
+# the sequence every read is compared with: about one base in two steps, squares of their places
+CODES = [0, 1, 4, 4 + NB, 1]  # of two equal neighbours the second is a flop
 STAY = [c + min(c, NB) * 2 * NB + 1 for c in CODES]
 MOVE = [0] + [c + min(d, NB) * 2 * NB + 1 for c, d in zip(CODES, CODES[1:])]
 MODIFIED = [c % NB % 4 + 61 for c in CODES]  # the last four of 64 components; the fifth base shares the first
@@ -332,41 +327,75 @@ def _lae(a: str, b: str) -> str:
     return f"(greatest({a}, {b}) + ln(1 + exp(-abs({a} - ({b})))))"
 
 
-def _squiggle_cost_sql() -> str:
-    """v: weights in a position; w: in it after a step back."""
-    came = _lae(f"v[i + 1] + {STILL}", f"CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE v[i] + {ON} END")
-    came = _lae("c[i + 1]", "CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE w[i] + ln(0.5::DOUBLE) END"), f"list_transform(range(l), lambda i: {came})"
-    back = _lae("w[i + 1] + ln(0.5::DOUBLE)", "CASE WHEN i = l - 1 THEN -1e30::DOUBLE ELSE v[i + 2] + ln(1e-15::DOUBLE) END")
-    return SIGNALS + f""", f AS (SELECT read_id, CAST(1 AS BIGINT) AS t, l, list_transform(range(l), lambda i: CASE WHEN i = 0 THEN {DENSITY} ELSE -1e30::DOUBLE END) AS v, list_transform(range(l), lambda i: -1e30::DOUBLE) AS w
-      FROM n JOIN e USING (read_id) WHERE t = 0
-    UNION ALL SELECT read_id, t + 1, l, list_transform(range(l), lambda i: {came[0]} + {DENSITY}), list_transform(range(l), lambda i: {back} + {DENSITY})
-    FROM (SELECT f.*, value, {came[1]} AS c FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t)),
-  z AS (SELECT read_id, l, arg_max(v, t) AS v, arg_max(w, t) AS w FROM f GROUP BY read_id, l)
-  SELECT read_id, round(-{_lae("v[l]", "w[l]")}, 6) AS cost FROM z"""
+HALF_ODDS, STEP_BACK = "ln(0.5::DOUBLE)", "ln(1e-15::DOUBLE)"
+# v: weights of the ways to a position; w: to it after a step back
+CAME = _lae(f"v[i + 1] + {STILL}", f"CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE v[i] + {ON} END")
+ENTERED = _lae("c[i + 1]", f"CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE w[i] + {HALF_ODDS} END")
+STEPPED = _lae(f"w[i + 1] + {HALF_ODDS}", f"CASE WHEN i = l - 1 THEN -1e30::DOUBLE ELSE v[i + 2] + {STEP_BACK} END")
+SQUIGGLE_SUMS = (
+    SIGNALS
+    + f""", f AS (SELECT read_id, CAST(0 AS BIGINT) AS t, l, list_transform(range(l), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS v, list_transform(range(l), lambda i: -1e30::DOUBLE) AS w FROM n
+    UNION ALL SELECT read_id, t + 1, l, list_transform(range(l), lambda i: {ENTERED} + {DENSITY}), list_transform(range(l), lambda i: {STEPPED} + {DENSITY})
+    FROM (SELECT f.*, value, list_transform(range(l), lambda i: {CAME}) AS c FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t))"""
+)
 
 
-@query("squiggle_cost", _squiggle_cost_sql())
+@query("squiggle_cost", SQUIGGLE_SUMS + " SELECT read_id, round(-arg_max(v, t)[l], 6) AS cost FROM f GROUP BY read_id, l")
 def squiggle_cost(spark, sf_dir):
     cost = aligning.squiggle_cost(F.col("signal"), F.col("levels"))
     return _signals(spark, sf_dir).select("read_id", F.round(cost, 6).alias("cost"))
 
 
+LEFT_V = _lae(_lae(f"tv[i + 1] + {STILL}", f"CASE WHEN i = l - 1 THEN -1e30::DOUBLE ELSE tv[i + 2] + {ON} END"), f"CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE tw[i] + {STEP_BACK} END")
+LEFT_W = _lae(f"tw[i + 1] + {HALF_ODDS}", f"CASE WHEN i = l - 1 THEN -1e30::DOUBLE ELSE tv[i + 2] + {HALF_ODDS} END")
+SQUIGGLE_GRADIENT = (
+    SQUIGGLE_SUMS
+    + f""", b AS (SELECT read_id, n.n AS t, l, list_transform(range(l), lambda i: CASE WHEN i = l - 1 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS v, list_transform(range(l), lambda i: -1e30::DOUBLE) AS w FROM n
+    UNION ALL SELECT read_id, t - 1, l, list_transform(range(l), lambda i: {LEFT_V}), list_transform(range(l), lambda i: {LEFT_W})
+    FROM (SELECT b.read_id, b.t, l, list_transform(range(l), lambda i: v[i + 1] + {DENSITY}) AS tv, list_transform(range(l), lambda i: w[i + 1] + {DENSITY}) AS tw FROM b JOIN e ON e.read_id = b.read_id AND e.t = b.t - 1)),
+  z AS (SELECT read_id, arg_max(v, t)[l] AS z FROM f GROUP BY read_id, l),
+  j AS (SELECT e.read_id, value, f.v AS fv, g.v AS gv, g.w AS gw, b.v AS bv, b.w AS bw, z, unnest(range(f.l)) AS i
+    FROM e JOIN f ON f.read_id = e.read_id AND f.t = e.t JOIN f g ON g.read_id = e.read_id AND g.t = e.t + 1 JOIN b ON b.read_id = e.read_id AND b.t = e.t + 1 JOIN z ON z.read_id = e.read_id),
+  k AS (SELECT read_id, i, value - (20 + 15 * (i % 5)) AS d, exp(gv[i + 1] + bv[i + 1] - z) + exp(gw[i + 1] + bw[i + 1] - z) AS here,
+      CASE WHEN i = 0 THEN 0 ELSE exp(fv[i] + bv[i + 1] + {DENSITY} - z) END - exp(fv[i + 1] + bv[i + 1] + {DENSITY} - z) AS moved FROM j)
+  SELECT read_id, i AS pos, round(-sum(here * sign(d) * exp(-2.5::DOUBLE)), 6) + 0 AS location, round(-sum(here * (abs(d) * exp(-2.5::DOUBLE) - 1)), 6) + 0 AS logsd, round(-sum(moved) * (1 - 1e-15::DOUBLE) / 4, 6) + 0 AS rate FROM k GROUP BY read_id, i"""
+)
+
+
+@query("squiggle_gradient", SQUIGGLE_GRADIENT)
+def squiggle_gradient(spark, sf_dir):
+    """Of every level of a read the gradient of the cost by its location, log spread and rate."""
+    g = aligning.squiggle_gradient(_signals(spark, sf_dir))
+    return g.select("read_id", "pos", *[(F.round(c, 6) + 0.0).alias(c) for c in ("location", "logsd", "rate")])
+
+
+# states: 0 before the levels, 1 to l in them, l + 1 after them, then in them after a step back; every
+# state has its ways in and where they come from, the first of equal ones counts
+WAYS = f"""CASE WHEN i = 0 THEN [u[1] + sm]
+      WHEN i <= l THEN [u[i + 1] + {STILL}, u[i] + CASE WHEN i = 1 THEN om ELSE {ON} END, CASE WHEN i = 1 THEN -1e30::DOUBLE ELSE u[1] + om - 2.0::DOUBLE * (i - 1) END, CASE WHEN i = 1 THEN -1e30::DOUBLE ELSE u[l + i + 1] + {HALF_ODDS} END]
+      WHEN i = l + 1 THEN list_concat([u[l + 2] + sm, u[l + 1] + {ON}], list_transform(range(1, l), lambda k: u[k + 1] + {ON} - 2.0::DOUBLE * (l - k)))
+      ELSE [u[i + 1] + {HALF_ODDS}, CASE WHEN i - l - 2 < l - 1 THEN u[i - l + 1] + {STEP_BACK} ELSE -1e30::DOUBLE END] END"""
+FROM = "CASE WHEN i = 0 THEN [i] WHEN i <= l THEN [i, i - 1, 0, l + i] WHEN i = l + 1 THEN list_concat([i, l], range(1, l)) ELSE [i, i - l] END"
+FLOORED = f"greatest(-30.0::DOUBLE, {DENSITY.replace('i % 5', 'q % 5')})"
 SQUIGGLE_PATH = (
     SIGNALS
-    + f""", f AS (SELECT read_id, CAST(1 AS BIGINT) AS t, l, list_transform(range(l), lambda i: {DENSITY} - 2.0::DOUBLE * i) AS v, list_transform(range(l), lambda i: [i]) AS p FROM n JOIN e USING (read_id) WHERE t = 0
-    UNION ALL SELECT read_id, t + 1, l, list_transform(range(l), lambda i: greatest(s[i + 1], c[i + 1]) + {DENSITY}), list_transform(range(l), lambda i: list_append(CASE WHEN s[i + 1] < c[i + 1] THEN p[i] ELSE p[i + 1] END, i))
-    FROM (SELECT f.*, value, list_transform(range(l), lambda i: v[i + 1] + {STILL}) AS s, list_transform(range(l), lambda i: CASE WHEN i = 0 THEN -1e30::DOUBLE ELSE v[i] + {ON} END) AS c FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t)),
-  z AS (SELECT read_id, l, arg_max(v, t) AS v, arg_max(p, t) AS p FROM f GROUP BY read_id, l),
-  y AS (SELECT read_id, p, list_transform(range(l), lambda i: v[i + 1] - 2.0::DOUBLE * (l - 1 - i)) AS v FROM z),
-  w AS (SELECT read_id, list_max(v) AS score, p[list_position(v, list_max(v))] AS p FROM y)
-  SELECT read_id, unnest(range(len(p))) AS i, CAST(unnest(p) AS BIGINT) AS pos, round(score, 6) AS score FROM w"""
+    + f""", m AS (SELECT *, list_sum(list_transform(range(l), lambda i: {ON})) / l AS om, list_sum(list_transform(range(l), lambda i: {STILL})) / l AS sm FROM n),
+  f AS (SELECT read_id, CAST(0 AS BIGINT) AS t, l, om, sm, list_transform(range(2 * l + 2), lambda i: CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE -1e30::DOUBLE END) AS u, list_transform(range(2 * l + 2), lambda i: CAST([] AS BIGINT[])) AS p FROM m
+    UNION ALL SELECT read_id, t + 1, l, om, sm, list_transform(ways, lambda c, i: list_max(c) + CASE WHEN i = 1 OR i = l + 2 THEN -2.0::DOUBLE ELSE own[CASE WHEN i <= l + 1 THEN i - 1 ELSE i - l - 2 END] END),
+      list_transform(ways, lambda c, i: list_append(p[origin[i][list_position(c, list_max(c))] + 1], i - 1))
+    FROM (SELECT f.*, list_transform(range(2 * l + 2), lambda i: {WAYS}) AS ways, list_transform(range(2 * l + 2), lambda i: {FROM}) AS origin, list_transform(range(l), lambda q: {FLOORED}) AS own
+      FROM f JOIN e ON e.read_id = f.read_id AND e.t = f.t)),
+  z AS (SELECT read_id, l, arg_max(u, t) AS u, arg_max(p, t) AS p FROM f GROUP BY read_id, l),
+  y AS (SELECT read_id, l, CASE WHEN u[l + 1] > u[l + 2] THEN l + 1 ELSE l + 2 END AS k, u, p FROM z),
+  x AS (SELECT read_id, l, u[k] AS score, unnest(range(len(p[k]))) AS i, unnest(p[k]) AS s FROM y)
+  SELECT read_id, i, CAST(CASE WHEN s = 0 OR s = l + 1 THEN -1 WHEN s > l + 1 THEN s - l - 2 ELSE s - 1 END AS BIGINT) AS pos, round(score, 6) AS score FROM x"""
 )
 
 
 @query("squiggle_viterbi", SQUIGGLE_PATH)
 def squiggle_viterbi(spark, sf_dir):
-    path, score = aligning.squiggle_path(_signals(spark, sf_dir), 2.0)
-    return path.join(score, "read_id").select("read_id", F.col("t").alias("i"), F.col("state").cast("long").alias("pos"), F.round("score", 6).alias("score"))
+    path, score = aligning.squiggle_path(_signals(spark, sf_dir), 2.0, minscore=30.0)
+    return path.join(score, "read_id").select("read_id", F.col("t").alias("i"), "pos", F.round("score", 6).alias("score"))
 
 
 KERNEL, SHIFT = np.round(np.sin(np.arange(27) + 1.0), 3).reshape(3, 3, 3), np.array([0.1, -0.5, 0.3])

@@ -1,18 +1,12 @@
-"""Dynamic programs over the transition scores of a read.
+"""Plain numpy forms of the recursions, one read at a time: what tests hold the library against.
 
-Time steps depend on each other, so a read is the unit of work: rows (read_id, t, scores) are grouped
-by read and a small numpy recursion runs over each group; Spark spreads the reads. Scores of n bases
-have 2n(n+1) entries: row-major "to flip b from any state", then "to flop b from flip b", then "to
+Scores of n bases have 2n(n+1) entries: row-major "to flip b from any state", then "to flop b from flip b", then "to
 flop b from flop b". All recursions share the dense (step, to, from) form of ``dense``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 
 NEVER, FLOP_START = -1e30, -50000.0
 
@@ -251,17 +245,3 @@ def error_probs(post: np.ndarray, path: np.ndarray) -> np.ndarray:
     flop = post[:, 2 * n * n :].reshape(-1, 2, n).sum(1)
     total = (flip + flop).sum(1) + 1e-10
     return np.concatenate([[np.nan], 1 - (flip + flop)[np.arange(len(base)), base] / total])
-
-
-def per_read(scores: DataFrame, kernel: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
-    """``kernel`` gets the (T, S) scores of a read and gives the columns of its rows."""
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by("t")
-        flat = group["scores"].combine_chunks()
-        x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1).astype(float)
-        cols = kernel(x)
-        n = len(next(iter(cols.values())))
-        return pa.table({"read_id": pa.array([key[0].as_py()] * n, pa.int64()), **{c: pa.array(v) for c, v in cols.items()}})
-
-    return scores.select("read_id", "t", "scores").groupBy("read_id").applyInArrow(run, f"read_id long, {schema}")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from porelake.functions import activation, qscore, sequence
-from porelake.operators import alphabets, chunks, joins, kernels as K, layers, mapping, paths, robust, rolling, runs, scans
+from porelake.operators import alphabets, chunks, joins, layers, mapping, paths, robust, rolling, runs, scans
+from tests import plain_recursions as K
 
 
 def rows(df, *cols):

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from porelake.operators import aligning, blocks, kernels as K, layers, mapping, networks, paths as P
+from porelake.operators import aligning, blocks, layers, mapping, networks, paths as P
+from tests import plain_recursions as K
 
 N = 3
 
@@ -119,20 +120,100 @@ def test_remap_vectors(spark):
     assert {r.read_id: r.score for r in score.collect()} == {"a": 6.0, "b": 3.5}
 
 
-@pytest.mark.parametrize("size, pen", [(4, 2.0), (64, 0.0)])
-def test_squiggles(spark, size, pen):
+def plain_squiggle(signal, params, back):
+    """-log density, by a table of all states."""
+    loc, sd, rate = params.T
+    n, move = len(loc), (1 - back) / (1 + np.exp(-rate))
+    step = np.zeros((2 * n, 2 * n))  # to, from
+    for p in range(n):
+        step[p, p], step[n + p, n + p] = 1 - move[p] - back, 0.5
+        if p:
+            step[p, p - 1], step[n + p - 1, p], step[p, n + p - 1] = move[p], back, 0.5
+    at = np.eye(2 * n)[0]
+    for x in signal:
+        at = (step @ at) * np.tile(np.exp(-np.log(2) - sd - np.abs(x - loc) * np.exp(-sd)), 2)
+    return -np.log(at[n - 1])
+
+
+def plain_squiggle_path(signal, params, pen, back, least):
+    """Best score and path over all sequences of states, for a few samples and levels."""
+    loc, sd, rate = params.T
+    n, move = len(loc), np.log((1 - back) / (1 + np.exp(-rate)))
+    stay = np.log(1 - np.exp(move) - back)
+    best = (-np.inf, None)
+
+    def ways(s):  # states: -1 before, positions, n after, ("back", p)
+        if s == -1:
+            yield -1, stay.mean()
+            yield from ((p, move.mean() - pen * p) for p in range(n))
+        elif s == n:
+            yield n, stay.mean()
+        elif isinstance(s, tuple):
+            yield s, np.log(0.5)
+            if s[1] + 1 < n:
+                yield s[1] + 1, np.log(0.5)
+        else:
+            yield s, stay[s]
+            if s + 1 < n:
+                yield s + 1, move[s]
+            yield n, move[s] - pen * (n - 1 - s)
+            if s:
+                yield ("back", s - 1), np.log(back)
+
+    def go(s, t, score, path):
+        nonlocal best
+        if t == len(signal):
+            if s in (n - 1, n) and score > best[0] + 1e-12:
+                best = (score, path)
+            return
+        for to, w in ways(s):
+            p = to[1] if isinstance(to, tuple) else to
+            e = -pen if to in (-1, n) else max(-least, -np.log(2) - sd[p] - abs(signal[t] - loc[p]) * np.exp(-sd[p]))
+            go(to, t + 1, score + w + e, [*path, -1 if to in (-1, n) else p])
+
+    go(-1, 0, 0.0, [])
+    return best
+
+
+@pytest.fixture(scope="module")
+def squiggles(spark):
     rng = np.random.default_rng(8)
-    signals = {f"r{k}": rng.normal(size=k) for k in (1, 2, 9, 70)}
-    levels = {k: rng.normal(size=(max(1, len(x) // 3), 3)) for k, x in signals.items()}
+    signals = {f"r{k}": rng.normal(size=k) * 2 for k in (1, 2, 5, 6, 40)}
+    levels = {k: rng.normal(size=(max(1, min(3, len(x) // 2)), 3)) for k, x in signals.items()}
     rows = [(k, [float(v) for v in x], [tuple(map(float, p)) for p in levels[k]]) for k, x in signals.items()]
-    df = spark.createDataFrame(rows, "read_id string, signal array<double>, levels array<struct<location:double,logsd:double,rate:double>>")
-    path, score = aligning.squiggle_path(df, pen, size=size)
-    found, scores = by_read(path, "state"), {r.read_id: r.score for r in score.collect()}
-    costs = {r.read_id: r.c for r in df.select("read_id", aligning.squiggle_cost(F.col("signal"), F.col("levels"), 0.01).alias("c")).collect()}
+    return signals, levels, spark.createDataFrame(rows, "read_id string, signal array<double>, levels array<struct<location:double,logsd:double,rate:double>>")
+
+
+def test_squiggle_costs_and_gradients(squiggles):
+    signals, levels, df = squiggles
+    costs = {r.read_id: r.c for r in df.select("read_id", aligning.squiggle_cost(F.col("signal"), F.col("levels"), 0.05).alias("c")).collect()}
+    found = {(r.read_id, r.pos): (r.location, r.logsd, r.rate) for r in aligning.squiggle_gradient(df, 0.05, size=4).collect()}
     for k, x in signals.items():
-        want, positions = K.squiggle_path(x, levels[k], pen)
-        assert np.isclose(scores[k], want) and found[k].tolist() == positions.tolist()
-        assert np.isclose(costs[k], K.squiggle_cost(x, levels[k], 0.01))
+        assert np.isclose(costs[k], plain_squiggle(x, levels[k], 0.05))
+        for p in range(len(levels[k])):
+            for c in range(3):
+                moved = [levels[k] + d * (np.arange(levels[k].size).reshape(-1, 3) == 3 * p + c) for d in (1e-6, -1e-6)]
+                want = (plain_squiggle(x, moved[0], 0.05) - plain_squiggle(x, moved[1], 0.05)) / 2e-6
+                assert found[k, p][c] == pytest.approx(want, abs=1e-6), (k, p, c)
+
+
+@pytest.mark.parametrize("pen, back, least", [(0.7, 0.1, 1e30), (0.0, 1e-15, 2.5), (3.0, 0.3, 4.0)])
+def test_squiggle_paths(squiggles, pen, back, least):
+    signals, levels, df = squiggles
+    path, score = aligning.squiggle_path(df.where("size(signal) < 7"), pen, back, least, size=4)
+    found, scores = by_read(path, "pos"), {r.read_id: r.score for r in score.collect()}
+    for k, x in signals.items():
+        if len(x) < 7:
+            want, positions = plain_squiggle_path(x, levels[k], pen, back, least)
+            assert np.isclose(scores[k], want)
+            if pen:  # without a penalty paths tie
+                assert found[k].tolist() == positions
+
+
+def test_squiggle_paths_do_not_hang_on_the_blocks(squiggles):
+    _, _, df = squiggles
+    small, large = (sorted(map(tuple, aligning.squiggle_path(df, 1.0, 0.01, size=s)[0].collect())) for s in (3, 64))
+    assert small == large and len(small) == 54
 
 
 @pytest.mark.parametrize("width, guided", [(1, True), (4, True), (3, False), (50, False)])
@@ -173,3 +254,11 @@ def test_architectures(spark, kind, mods):
         assert x.shape[1] == 12 + (4 if mods else 0) and K.log_partition(x[:, :12]) == pytest.approx(0, abs=1e-9)
         if mods:
             assert np.allclose(x[:, 12], 0) and np.allclose(np.exp(x[:, 13:]).sum(1), 1)
+
+
+def test_beams_are_cut(spark, reads):
+    """A cut wide enough changes nothing, one near zero leaves the best sequence of each step alone."""
+    df = as_rows(spark, {k: reads[k] for k in ("r4", "r61")}, dict.fromkeys(reads, [0]))
+    search = lambda width, cut: P.beam_search(F.col("steps"), N, P.backward(F.col("steps"), N), width, cut)
+    for r in df.select(search(5, 1e9).alias("wide"), search(5, 0.0).alias("none"), search(5, 1e-12).alias("near"), search(1, 0.0).alias("one"), search(5, 2.0).alias("some")).collect():
+        assert r.wide == r.none and r.near == r.one and r.one.w <= r.some.w <= r.none.w + 1e-9
