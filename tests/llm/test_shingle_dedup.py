@@ -108,3 +108,16 @@ def test_rows_not_ids_are_kept(spark, make_docs, words):
     found = simhash_dedup.one_per_class(docs)
     assert found.columns == docs.columns
     assert sorted(map(repr, ((r.doc_id, r.text, r.gone, r.id) for r in found.collect()))) == sorted(map(repr, [(1, a, "g", "i"), (2, b, "g", "i"), (None, "alone and without an id", "g", "i")]))
+
+
+@pytest.mark.parametrize("most_bits", [1 << 6, 1 << 26])
+def test_rows_among_ids(spark, most_bits):
+    """None is missed; with too few bits more rows pass, and never others are lost."""
+    rows = spark.range(5000).select((F.col("id") * 7919 - 3).alias("id"), F.lit("text").alias("t"))
+    ids = rows.where("pmod(id, 11) = 0").select("id")
+    want = {r.id for r in ids.collect()}
+    found = shingle_dedup.among(rows, ids, most_bits=most_bits)
+    inside, outside = ({r.id for r in found(x).collect()} for x in (True, False))
+    assert want <= inside and not want & outside and len(inside) + len(outside) == 5000
+    assert len(inside) < len(want) + 500 or most_bits == 64
+    assert shingle_dedup.among(rows, ids.where("id IS NULL"))(True).count() == 0
