@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from porelake.catalog import query
 from porelake.operators import rolling, robust, runs
+from porelake.operators import signal as signal_of
 from porelake.plans._bind import DIGITISATION, M, N, OFFSET, RANGE, S, mapped_reads, read, signal
 from porelake.storage import scratch_path
 
@@ -52,6 +53,21 @@ def trim_absolute(spark, sf_dir):
     return mapped_reads(spark, sf_dir).select("read_id", x.alias("x")).select("read_id", F.size("x").alias("n"), F.col("x")[0].alias("head"), F.element_at("x", -1).alias("tail"))
 
 
+@query("signals", M + f""", g AS (SELECT read_id, dacs, siglen, read_id % 11 - 1 AS ts, CASE WHEN read_id % 5 = 0 THEN 1000000 ELSE read_id % 3 END AS te, 80.0::DOUBLE + read_id % 4 AS shift, CASE WHEN read_id % 7 = 0 THEN 1.0::DOUBLE ELSE 12.5::DOUBLE END AS scale FROM m),
+  k AS (SELECT *, ts + te >= siglen AS nothing, CASE WHEN ts < 0 THEN 'a trim is negative' END AS error FROM g),
+  c AS (SELECT *, list_transform(CASE WHEN nothing THEN dacs ELSE dacs[ts + 1 : siglen - te] END, lambda d: (d + {OFFSET}::DOUBLE) * {RANGE}::DOUBLE / {DIGITISATION}::DOUBLE) AS pa FROM k)
+  SELECT read_id, CASE WHEN error IS NULL THEN CAST(CASE WHEN nothing THEN 0 ELSE ts END AS INTEGER) END AS start, CASE WHEN error IS NULL THEN CAST(CASE WHEN nothing THEN siglen ELSE siglen - te END AS INTEGER) END AS "end",
+    4000.0::DOUBLE AS sampling_rate, CASE WHEN error IS NULL THEN round(list_sum(pa), 6) END AS current, CASE WHEN error IS NULL THEN round((list_sum(pa) - shift * len(pa)) / scale, 6) END AS standardised, error FROM c""")
+def signals(spark, sf_dir):
+    """Reads joined to a channel each and to parameters, some of which trim too much, or a negative amount."""
+    reads = mapped_reads(spark, sf_dir).select("read_id", "dacs")
+    channels = reads.select("read_id", F.lit(OFFSET).alias("offset"), F.lit(RANGE).alias("range"), F.lit(DIGITISATION).alias("digitisation"))
+    r = F.col("read_id")
+    params = reads.select("read_id", (r % 11 - 1).cast("int").alias("trim_start"), F.when(r % 5 == 0, 1000000).otherwise((r % 3).cast("int")).alias("trim_end"), (80.0 + r % 4).alias("shift"), F.when(r % 7 != 0, 12.5).alias("scale"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6).alias(c)
+    return signal_of.signals(reads, channels, params).select("read_id", "start", "end", "sampling_rate", total("current"), total("standardised"), "error")
+
+
 RUNS = ", r AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY read_id ORDER BY t) - 1 AS run FROM (SELECT *, coalesce({}, true) AS opens FROM s))"
 
 
