@@ -81,29 +81,36 @@ def signed(x: int) -> int:
 
 def within_radius(fps: np.ndarray, radius: int, tile: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i < j) at most ``radius`` bits apart; tiles of ``tile`` queries over all planes."""
-    n = len(fps)
+    found = list(near_pairs(fps.reshape(-1, 1), radius, tile=tile))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def near_pairs(fps: np.ndarray, radius: int, queries: int | None = None, tile: int | None = None, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of rows of words at most ``radius`` bits apart, those of some queries at a time:
+    tiles of queries over all bit planes, about ``cells`` words of counters in each. i is below ``queries``."""
+    n, width = fps.shape
     words = -(-n // BITS)
-    bits = np.zeros((words * BITS, 8), np.uint8)
-    bits[:n] = fps.view(np.uint8).reshape(n, 8)
+    bits = np.zeros((words * BITS, 8 * width), np.uint8)
+    bits[:n] = np.ascontiguousarray(fps).view(np.uint8).reshape(n, 8 * width)
     planes = np.packbits(np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T), axis=1, bitorder="little").view(np.uint64)
     valid = np.packbits(np.arange(words * BITS) < n, bitorder="little").view(np.uint64)
-    found_i, found_j = [], []
-    counters = max(1, int(radius).bit_length())
-    for q in range(0, n, tile):
+    counters, tile = max(1, int(radius).bit_length()), tile or max(BITS, cells // max(1, words))
+    n_planes = BITS * width
+    for q in range(0, n if queries is None else min(n, queries), tile):
         ask = fps[q : q + tile]
         w0 = q // BITS  # pairs with earlier words were seen from the other side
         live = np.arange(len(ask))
         sums = [np.zeros((len(ask), words - w0), np.uint64) for _ in range(counters)]
         over = np.broadcast_to(~valid[w0:], (len(ask), words - w0)).copy()
-        for p in range(BITS):
-            flip = -((ask[live] >> np.uint64(p)) & np.uint64(1))  # all ones where the query's bit is set
+        for p in range(n_planes):
+            flip = -((ask[live, p // BITS] >> np.uint64(p % BITS)) & np.uint64(1))  # all ones where the query's bit is set
             carry = planes[p, w0:][None, :] ^ flip[:, None]
             for s in sums:  # carry-save addition of one bit to every pair's distance
                 carry_out = s & carry
                 s ^= carry
                 carry = carry_out
             over |= carry
-            if p % 8 == 7 or p == BITS - 1:
+            if p == n_planes - 1 or p % 8 == 7 and p >= radius:
                 over |= _above(sums, radius)
                 open_ = (over != np.uint64(0xFFFFFFFFFFFFFFFF)).any(axis=1)
                 if not open_.all():  # abandon the queries whose pairs all exceed the radius
@@ -114,10 +121,8 @@ def within_radius(fps: np.ndarray, radius: int, tile: int = 1024) -> tuple[np.nd
             near = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")
             i, j = np.nonzero(near)
             i, j = q + live[i], w0 * BITS + j
-            keep = i < j
-            found_i.append(i[keep])
-            found_j.append(j[keep])
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64),) * 2
+            keep = (i < j) & (i < (n if queries is None else queries))
+            yield i[keep], j[keep]
 
 
 def _above(sums: list[np.ndarray], radius: int) -> np.ndarray:

@@ -121,3 +121,16 @@ def test_rows_among_ids(spark, most_bits):
     assert want <= inside and not want & outside and len(inside) + len(outside) == 5000
     assert len(inside) < len(want) + 500 or most_bits == 64
     assert shingle_dedup.among(rows, ids.where("id IS NULL"))(True).count() == 0
+
+
+def test_near_pairs_of_wide_fingerprints():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 2**64, (300, 8), dtype=np.uint64)
+    for k in range(1, 300, 2):  # from equal to far beyond the radius
+        fps[k] = fps[k - 1]
+        for b in rng.choice(512, k, replace=False):
+            fps[k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    want = {(i, j) for i in range(300) for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1) <= 150) + i + 1).tolist()}
+    for queries, tile in ((None, None), (None, 64), (100, 37), (0, None)):
+        got = [p for i, j in simhash_dedup.near_pairs(fps, 150, queries, tile) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if queries is None or p[0] < queries}
