@@ -1,12 +1,14 @@
 """BAM files as a Spark data source: the records of ``read_sam`` from compressed binary files.
 
-A file is cut into splits of ``splitBytes``. A split owns the records that begin in its blocks: it looks
-for the first block after its start (by the signature of a BGZF block and of the block after it), then
-for the first place in the data from which records follow each other (``_first_record``), and reads to
-the end of the last record that begins before its end. Records may straddle blocks and splits, and a
-split in the midst of a long record owns none. A record's start is told from its bytes alone, so it
-is only believed if at least CHAIN_RECORDS records of sound fields follow each other there, or
-CHAIN_BYTES bytes or the file's end are reached; ``splitBytes`` 0 reads each file as one split.
+A file is cut into splits of ``splitBytes``. A split owns the records that begin in its blocks, and reads
+to the end of the last one. Records may straddle blocks and splits, and a split in the midst of a long
+record owns none. To find its first record a split looks from ``lookBack`` bytes before its start on: for
+a block (by the signature of a BGZF block and of the block after it), then for a place in the data from
+which CHAIN_RECORDS records of sound fields follow each other, or as many as CHAIN_BYTES bytes or the
+file's end allow (``_first_record``), and from there it steps over records to its start. Bytes that look
+like records can only mislead it inside of a record that reaches from before the look back into the
+split; within ``lookBack`` of a file's start it begins at the first record. ``splitBytes`` 0 reads each
+file as one split.
 
 Files are opened with Arrow's file systems (local paths, file, hdfs, s3, gs). Damaged blocks (by
 their checksum) and truncated files are errors. Headers hold the references, so a writer takes them
@@ -132,9 +134,12 @@ class _Stream:
             self.starts.pop(0)
         return self.starts[0][1]
 
-    def drop(self, at: int) -> None:
-        del self.data[: at - self.dropped]
-        self.dropped = at
+    def drop(self, at: int, least: int = 1 << 20) -> None:
+        """Forget the data before a place, once they are many."""
+        if at - self.dropped > least:
+            self.upto(at)
+            del self.data[: at - self.dropped]
+            self.dropped = at
 
 
 def _header(stream: _Stream) -> tuple[str, list[tuple[str, int]], int]:
@@ -178,7 +183,7 @@ def _sound(data: np.ndarray, n_refs: int) -> np.ndarray:
     return at[~inside | (data[np.minimum(end, len(data) - 1)] == 0)]
 
 
-def _first_record(stream: _Stream, n_refs: int, end: int, blocks: _Blocks) -> int | None:
+def _first_record(stream: _Stream, n_refs: int, end: int) -> int | None:
     """The first place of a stream from which records follow each other, if it lies in a block before ``end``."""
     looked, window = 0, 1 << 17
     while True:
@@ -280,7 +285,7 @@ class Split(InputPartition):
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
-        self.split = int(options.get("splitBytes", 64 << 20))
+        self.split, self.back = int(options.get("splitBytes", 64 << 20)), int(options.get("lookBack", 1 << 20))
 
     def partitions(self) -> list[Split]:
         from pyarrow import fs
@@ -298,6 +303,13 @@ class BamReader(DataSourceReader):
                 out += [Split(prefix + f.path, at, min(f.size, at + step)) for at in range(0, f.size, step)]
         return out or [Split("", 0, 0)]
 
+    @staticmethod
+    def _size(stream: _Stream, at: int, split: Split) -> int:
+        """Bytes of the record at a place, which are there."""
+        if not stream.upto(at + 4) or not stream.upto(at + 4 + (n := int.from_bytes(stream.get(at, 4), "little"))):
+            raise ValueError(f"{split.path} ends within a record")
+        return n
+
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         if split.end == 0:
             return
@@ -305,23 +317,24 @@ class BamReader(DataSourceReader):
         stream = _Stream(blocks, 0)
         _, refs, at = _header(stream)
         names = [name for name, _ in refs]
-        if split.start:
-            stream = _Stream(blocks, blocks.first(split.start))
-            at = _first_record(stream, len(refs), split.end, blocks)
+        if split.start > self.back:
+            stream = _Stream(blocks, blocks.first(split.start - self.back))
+            at = _first_record(stream, len(refs), split.end)
             if at is None:
                 return
+        while (block := stream.block(at)) is not None and block < split.start:
+            at += 4 + self._size(stream, at, split)
+            stream.drop(at)
         records, size = [], 0
         while (block := stream.block(at)) is not None and block < split.end:
-            if not stream.upto(at + 4) or not stream.upto(at + 4 + (n := int.from_bytes(stream.get(at, 4), "little"))):
-                raise ValueError(f"{split.path} ends within a record")
+            n = self._size(stream, at, split)
             records.append(stream.get(at + 4, n))
             size += n
             at += 4 + n
             if len(records) == 8192 or size > 4 << 20:
                 yield _rows(records, names)
                 records, size = [], 0
-            if at - stream.dropped > 1 << 20:
-                stream.drop(at)
+            stream.drop(at)
         if records:
             yield _rows(records, names)
 

@@ -55,22 +55,23 @@ def one_file(path, found, block, refs=REFS):
 
 
 def test_each_record_belongs_to_one_split(tmp_path):
-    """Splits down to a few blocks, and records that span many of both."""
+    """Splits down to a few blocks, and records that span many of both; with and without a look back."""
     path, found = str(tmp_path / "x.bam"), records(300)
     one_file(path, found, 500)
-    for split in (0, 900, 7000):
-        reader = bam.BamReader({"path": path, "splitBytes": str(split)})
+    for split, back in ((0, 0), (900, 0), (7000, 0), (7000, 3000), (7000, 1 << 20)):
+        reader = bam.BamReader({"path": path, "splitBytes": str(split), "lookBack": str(back)})
         got = [tuple(r.values()) for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()]
         assert got == found
 
 
 def test_bytes_that_look_like_records(tmp_path):
-    """A tag that holds records does not mislead splits while fewer of them follow each other than it takes."""
-    fake = bam._record(dict(zip(COLUMNS, records(1)[0])), {"*": -1, "chr1": 0, "chr2": 1, "é": 2}) * 3
+    """Tags that hold records, right to their end, do not mislead a split that looks back beyond them."""
+    fake = bam._record(dict(zip(COLUMNS, records(10)[0])), {"*": -1, "chr1": 0, "chr2": 1, "é": 2}) * 3
     found = [(*r[:11], "XB:B:C," + ",".join(map(str, fake))) for r in records(120)]
     path = str(tmp_path / "x.bam")
     one_file(path, found, 700)
-    reader = bam.BamReader({"path": path, "splitBytes": "3000"})
+    reader = bam.BamReader({"path": path, "splitBytes": "6000", "lookBack": "60000"})
+    assert len(reader.partitions()) > 10
     assert [tuple(r.values()) for s in reader.partitions() for b in reader.read(s) for r in b.to_pylist()] == found
 
 
