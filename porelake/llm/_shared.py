@@ -101,8 +101,7 @@ class Recent(dict):
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        found = self.old.get(key, self)
-        value = self[key] = self.make(key) if found is self else found
+        value = self[key] = self.old[key] if key in self.old else self.make(key)
         return value
 
 

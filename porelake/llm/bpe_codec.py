@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from string import punctuation
 
 import ahocorasick
 import numpy as np
@@ -36,6 +37,8 @@ DECODE_SCHEMA = "doc_id long, text string"
 # Fixed value: the split pattern that byte-level pre-tokenizers of this family use.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+LATIN = "\u0250"  # below it Python's letters and the pattern's are the same, whatever their versions of Unicode
+
 
 def byte_alphabet() -> dict[str, int]:
     """Printable character -> byte: visible Latin-1 characters stand for themselves, the other bytes
@@ -101,20 +104,27 @@ class ByteBpe:
                 return True
 
     def _encode_pretoken(self, piece: str) -> tuple[int, ...]:
-        data = piece.encode("utf-8").decode("latin-1")
-        last, size = [-1] * len(data), [0] * len(data)
+        data = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1")
+        last, size, done = [-1] * len(data), [0] * len(data), -1
         fits = self.fits
         for at, (token, n) in self.automaton.iter(data):  # the longest token that ends here first
-            if last[at] < 0 and (at + 1 == n or fits[last[at - n], token]):
-                last[at], size[at] = token, n
+            if at != done and (at + 1 == n or fits[last[at - n], token]):
+                last[at], size[at], done = token, n, at
         ids, at = [], len(data) - 1
         while at >= 0:
             ids.append(last[at])
             at -= size[at]
-        return tuple(reversed(ids))
+        ids.reverse()
+        return tuple(ids)
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...] | None:
-        """Ids of ' ' + chunk; None unless pre-tokens surely begin and end with the chunk."""
+        """Ids of ' ' + chunk; None unless pre-tokens surely begin and end with the chunk. Latin letters are
+        one pre-token, ASCII punctuation behind them is another: neither needs the pattern."""
+        if chunk.isalpha():
+            if chunk.isascii() or max(chunk) < LATIN:
+                return self._encode_pretoken(" " + chunk)
+        elif (word := chunk.rstrip(punctuation)).isalpha() and len(word) < len(chunk):
+            return self.chunks[word] + self.pretokens[chunk[len(word) :]]
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
         return tuple(chain.from_iterable(map(self.pretokens.__getitem__, self.split.findall(" " + chunk))))
