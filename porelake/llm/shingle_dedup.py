@@ -2,24 +2,28 @@
 pipeline uses it (``simhash_dedup.one_per_class``).
 
 Two documents are linked if their sets of ``words_in``-word shingles have a similarity of at least
-``similarity``; linked ones form classes. At 0.8 two SimHash fingerprints differ in up to 19 of 100
-bits, so pigeonhole blocks for a radius that holds all pairs would be 4 bits wide, whatever the
-fingerprint's width, and select nothing. So candidates come from MinHash bands; their SimHash
-fingerprints of 512 bits are compared next, and pairs beyond the radius are abandoned without their
-texts being read; the exact similarity decides about the rest.
-
-A pair at similarity s shares one of ``bands`` bands of ``rows`` minima with probability
-1 - (1 - s ** rows) ** bands: at 0.8 all but 7 of 100,000. A bit of the fingerprints of a pair at 0.8
-differs with probability 0.15 to 0.17 (0.19 for sets of 4 and 5 shingles), so that the radius, 126 of
-512 bits or 150 where a set has under 24 shingles, is five standard deviations away or more. No bucket
-is cut short. In each bucket all documents are compared with the first, which then leaves it; a bucket
-whose documents form one class is settled. That is repeated while very many pairs are left.
-
-The buckets still open are cut into tiles. Each two tiles of a bucket meet in one group; there the
-fingerprints are compared as bit planes with carry-save counters (as operator 4 does it), the sets
-where they are within the same radius, and only links that connect classes leave it. So no pair of an
-open bucket is a row: a document costs a row a bucket and tile, and documents that share a band
-without being similar cost arithmetic on 512 bits. Either way a pair is linked by the same rule.
+``similarity``; linked ones form classes. The steps are those of operator 4. Fingerprints of 512 bits
+are filed under blocks of their bits, buckets are compared bit-sliced with carry-save counters, and
+cells of pairs beyond the radius are abandoned. The exact similarity decides about pairs that are near.
+
+At 0.8 two fingerprints differ in up to 19 of 100 bits, so blocks of which one must be equal by the
+pigeonhole rule would be 4 bits wide and select nothing. So more and wider blocks are used than that
+rule needs: ``blocks_for`` gives their width, which grows with the logarithm of the number of sets, so
+that a block's buckets stay small, and so many blocks that a pair that agrees in AGREES of its bits
+shares none with probability MISSED. A bit of the fingerprints of a pair at 0.8 differs with probability
+0.15 to 0.17 (0.19 for sets of 4 and 5 shingles). Buckets are compared by the first SCREEN words, whose
+radius, 60 of 192 bits, is four standard deviations away or more; the whole fingerprints of pairs that
+are near there have to be within 126 of 512 bits, or 150 where a set has under 24 shingles.
+
+No bucket is cut short. In a crowded one all documents are first compared with its first, which then
+leaves it; a crowded bucket whose documents form one class is settled. That is repeated while very many
+pairs are left, and what is left is cut into tiles by documents, of which each two meet. A bucket gives
+its near pairs as rows, or, where they are many, a forest with the same components.
+
+The components of near pairs are the groups in which sets travel, so each text does so once, if its
+group is small; a large one is cut into tiles by shingles, and each two of them meet. There the whole
+fingerprints are compared bit-sliced, and the sets of those within the radius; only links that connect
+classes leave a task. All pairs of a group are compared by the same rule.
 
 Equal sets are one row before anything is compared, so exact copies cost nothing.
 
@@ -31,6 +35,7 @@ empty table gives no rows. All columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -45,11 +50,17 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from porelake.llm._blocks import scramble
 from porelake.llm._graph import components
 from porelake.llm._shared import map_batches, materialize, plain_names, slices
-from porelake.llm.simhash_dedup import near_pairs, shingle_hashes
+from porelake.llm.simhash_dedup import forest, near_in_groups, near_pairs, shingle_hashes
 
-OWN = [StructField("_near_row", LongType()), StructField("_near_set", BinaryType()), StructField("_near_n", IntegerType()), StructField("_near_keys", ArrayType(LongType())), StructField("_near_fp", ArrayType(LongType()))]
+OWN = [StructField("_near_row", LongType()), StructField("_near_set", BinaryType()), StructField("_near_n", IntegerType()), StructField("_near_fp", ArrayType(LongType()))]
 WORDS = 8  # 64-bit words of a fingerprint
 RADIUS, NARROW, MANY = 150, 126, 24  # of 64 * WORDS bits; the narrow one for two sets of that many shingles
+SCREEN, SCREEN_RADIUS = 3, 60  # words of a fingerprint that travel with a filed row, and the radius of their bits
+AGREES, MISSED = 0.84, 7e-5
+MOST = 2048  # rows of a bucket that is not crowded
+TILE_ROWS = 4096  # rows of a tile of a crowded bucket
+SWEEP = 1 << 16  # filed rows that a task compares at once, if no group has more
+EDGES = 1 << 20  # near pairs that a task holds before it makes a forest of them
 SLICE = 1000  # rows that a task hashes and hands on at once
 TILE = 1 << 19  # shingles of a tile of a bucket
 PAIRS_A_TASK = 4096  # pairs of texts that a task compares
@@ -61,14 +72,6 @@ def shingle_set(text: str | None, words_in: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text or "", words_in), np.uint64))
 
 
-def minima(hashes: np.ndarray, n: int, chunk: int = 1024) -> np.ndarray:
-    """The smallest value of each of n hash functions over a set that is not empty; 32 bits each."""
-    folded = (hashes ^ hashes >> np.uint64(32)).astype(np.uint32)
-    factors = scramble(np.arange(1, n + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-    marks = scramble(np.arange(n + 1, 2 * n + 1, dtype=np.uint64)).astype(np.uint32)
-    return np.minimum.reduce([((folded[at : at + chunk, None] ^ marks) * factors).min(axis=0) for at in range(0, len(folded), chunk)]).astype(np.uint64)
-
-
 def fingerprint(hashes: np.ndarray, chunk: int = 4096) -> np.ndarray:
     """WORDS words of 64 bits; a bit is 1 if it is set in over half of the set's hashes."""
     if not len(hashes):
@@ -81,16 +84,28 @@ def fingerprint(hashes: np.ndarray, chunk: int = 4096) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
+def blocks_for(n: int) -> tuple[int, int]:
+    """(blocks, bits of a block) for n sets: a bucket of a block gets 128 to 256 of them, or fewer."""
+    bits = max(11, n.bit_length() - 8)
+    return math.ceil(math.log(MISSED) / math.log(1 - AGREES**bits)), bits
+
+
+def block_keys(fps: np.ndarray, blocks: int, bits: int) -> np.ndarray:
+    """The buckets of each fingerprint: number and bits of each block. Blocks follow each other in
+    permutations of the bits, so that those of one permutation have no bit in common."""
+    rng, width = np.random.default_rng(42), 64 * WORDS
+    places = np.concatenate([rng.permutation(width)[: width // bits * bits] for _ in range(-(-blocks // (width // bits)))])[: blocks * bits]
+    ones = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")[:, places].reshape(len(fps), blocks, bits)
+    return (ones @ (1 << np.arange(bits, dtype=np.int64))) + (np.arange(blocks) << bits)
+
+
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    m = scramble(minima(hashes, bands * rows)).reshape(bands, rows)
-    key = np.arange(1, bands + 1, dtype=np.uint64)
-    for k in range(rows):
-        key = scramble(key * np.uint64(0x9E3779B97F4A7C15) ^ m[:, k])
-    return key.view(np.int64)
+    """The buckets of one set's fingerprint, for so many blocks of so many bits."""
+    return block_keys(fingerprint(hashes).reshape(1, WORDS), bands, rows)[0]
 
 
-def signed_rows(docs: DataFrame, words_in: int, bands: int, rows: int) -> DataFrame:
-    """The documents with a number of the row, a digest of the set, its size and its bands' keys."""
+def signed_rows(docs: DataFrame, words_in: int) -> DataFrame:
+    """The documents with a number of the row, a digest of the set, its size and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
@@ -100,7 +115,6 @@ def signed_rows(docs: DataFrame, words_in: int, bands: int, rows: int) -> DataFr
                 pa.array(np.arange(at, at + b.num_rows)),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([band_keys(s, bands, rows) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 pa.array([fingerprint(s) for s in sets], pa.list_(pa.int64())),
             ]
             at += b.num_rows
@@ -109,6 +123,20 @@ def signed_rows(docs: DataFrame, words_in: int, bands: int, rows: int) -> DataFr
     return map_batches(docs, run, StructType([*docs.schema.fields, *OWN]))
 
 
+def filed(sets: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """(id, n, bucket, fp0...): a row for each block of a set's fingerprint. sets: (id, n, fp)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                fps = b.column("fp").flatten().to_numpy().reshape(-1, WORDS)
+                again = np.repeat(np.arange(len(fps)), blocks)
+                head = {f"fp{k}": fps[again, k] for k in range(SCREEN)}
+                yield pa.record_batch({"id": b.column("id").to_numpy()[again], "n": b.column("n").to_numpy()[again], "bucket": block_keys(fps, blocks, bits).ravel(), **head})
+
+    return map_batches(sets.where("n > 0").select("id", "n", "fp"), run, "id long, n int, bucket long, " + ", ".join(f"fp{k} long" for k in range(SCREEN)))
+
+
 def among(rows: DataFrame, ids: DataFrame, name: str = "id", most_bits: int = 1 << 26) -> Callable[[bool], DataFrame]:
     """``among(rows, ids)(True)``: the rows whose id is among the ids, and a few more; (False): those whose
     id is not, without a few. A table of the ids' bits (at most ``most_bits``, 8 MB: of more ids fewer are
@@ -238,13 +266,97 @@ def links_in_tiles(open_: DataFrame, fingerprints: DataFrame, texts: DataFrame,
     return map_batches(sorted_, run, "a long, b long")
 
 
+def heads_near(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the first of a bucket and each row near it. rows: (id, n, class, fp0...), and the same of the
+    first one as head, head_n, head_class, head_fp0..."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads, first, group = np.unique(b.column("head").to_numpy(), return_index=True, return_inverse=True)
+            order = np.argsort(group, kind="stable")
+            fps, head_fps = (np.stack([b.column(f"{c}fp{k}").to_numpy() for k in range(SCREEN)], axis=1) for c in ("", "head_"))
+            sizes = np.bincount(group, minlength=len(heads))
+            starts = np.cumsum(sizes) - sizes
+            whole = np.insert(fps[order], starts, head_fps[first], axis=0)  # each group begins with its head
+            at = np.insert(order, starts, -1)
+            found = [at[j] for _, j in near_in_groups(whole.view(np.uint64), sizes + 1, np.ones(len(heads), np.int64), SCREEN_RADIUS)]
+            near = b.take(pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+            yield pa.record_batch({"a": near.column("head"), "b": near.column("id")})
+
+    sizes_fit = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n") - 1e-9
+    return map_batches(rows.where(sizes_fit & (F.col("class") != F.col("head_class"))), run, "a long, b long")
+
+
+def near_of_groups(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, few): of each group (bucket, x, y) the near pairs of different classes; where they are more than
+    PAIRS_A_ROW times its rows, not few, a forest with their components. Where x < y only pairs of
+    different tiles count. rows: (bucket, x, y, tile, id, n, class, fp0...)"""
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        same = np.logical_and.reduce([t.column(c).to_numpy()[1:] == t.column(c).to_numpy()[:-1] for c in ("bucket", "x", "y")])
+        t = t.filter(pa.array(np.r_[False, same] | np.r_[same, False]))  # a row alone has no pair
+        bucket, x, y, tile, ids, n, classes = (t.column(c).to_numpy() for c in ("bucket", "x", "y", "tile", "id", "n", "class"))
+        fps = np.stack([t.column(f"fp{k}").to_numpy() for k in range(SCREEN)], axis=1).view(np.uint64)
+        group = np.cumsum(np.r_[np.zeros(min(1, len(ids)), bool), (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        sizes = np.bincount(group)
+        asks = sizes.copy()
+        if (classes != ids).any():  # rows of a group's largest class come last: they are not compared with each other
+            order = np.lexsort((classes, group))
+            new = np.r_[True, np.diff(group[order]) + np.abs(np.diff(classes[order])) != 0]
+            many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+            order = order[np.lexsort((classes[order], many, group[order]))]
+            last = order[np.cumsum(sizes) - 1]
+            bucket, x, y, tile, ids, n, classes, fps = bucket[order], x[order], y[order], tile[order], ids[order], n[order], classes[order], fps[order]
+            asks -= np.bincount(group, classes == np.repeat(t.column("class").to_numpy()[last], sizes)).astype(np.int64)
+        pairs, many, left = [], [], PAIRS_A_ROW * sizes
+
+        def tree() -> tuple[np.ndarray, np.ndarray]:
+            root = forest(len(ids), *map(np.concatenate, zip(*many)))
+            moved = np.flatnonzero(root != np.arange(len(ids)))
+            return root[moved], moved
+
+        for i, j in near_in_groups(fps, sizes, asks, SCREEN_RADIUS):
+            fits = (classes[i] != classes[j]) & ((x[i] == y[i]) | (tile[i] != tile[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[fits], j[fits]
+            left = left - np.bincount(group[i], minlength=len(sizes))
+            few = left[group[i]] >= 0
+            pairs.append((i[few], j[few]))
+            many.append((i[~few], j[~few]))
+            if sum(len(i) for i, _ in many) > EDGES:
+                many = [tree()]
+        nothing = np.zeros(0, np.int64)
+        i, j = map(np.concatenate, zip((nothing, nothing), *pairs))
+        few = left[group[i]] >= 0
+        many.append((i[~few], j[~few]))
+        i, j = map(np.concatenate, zip((i[few], j[few]), tree()))
+        return pa.record_batch({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "few": np.arange(len(i)) < few.sum()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:  # sorted by group: whole groups, many at a time
+            held.append(b)
+            size += b.num_rows
+            if size >= SWEEP:
+                t = pa.Table.from_batches(held).combine_chunks()
+                same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("bucket", "x", "y")])
+                cut = int(same.argmax())
+                if cut:
+                    yield compare(t.slice(0, cut))
+                held, size = t.slice(cut).to_batches(), t.num_rows - cut
+        if size:
+            yield compare(pa.Table.from_batches(held))
+
+    sorted_ = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return map_batches(sorted_, run, "a long, b long, few boolean")
+
+
 def roots_of(keyed: DataFrame, fingerprints: DataFrame, texts: DataFrame, words_in: int, similarity: float, rounds: int = 3) -> DataFrame:
-    """(id, root) of the ids that have links. keyed: (id, n, bucket); fingerprints: (id, n, fp); texts: (id, text)"""
-    sizes_fit = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-9  # noqa: E731  or no similarity is reached
-    several = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    open_ = materialize(keyed.join(several.select("bucket"), "bucket", "left_semi").withColumn("class", F.col("id")), "shingles-filed")
-    texts = materialize(among(texts, open_.select("id").distinct())(True), "shingles-texts")  # only these are read again
-    filed, links, tried, roots, left = open_.count(), None, None, None, 0
+    """(id, root) of the ids that have links. keyed: (id, n, bucket), and fp0... as ``filed`` gives them;
+    fingerprints: (id, n, fp); texts: (id, text)"""
+    head = [f"fp{k}" for k in range(SCREEN)]
+    if head[0] not in keyed.columns:
+        keyed = keyed.join(fingerprints.select("id", *[F.col("fp")[k].alias(c) for k, c in enumerate(head)]), "id")
+    links, tried, roots = None, None, None
 
     def compare(pairs: DataFrame) -> DataFrame:
         nonlocal links, tried
@@ -254,36 +366,50 @@ def roots_of(keyed: DataFrame, fingerprints: DataFrame, texts: DataFrame, words_
         links, tried = (found, near) if links is None else (links.unionByName(found), tried.unionByName(near))
         return components(links).select(F.col("node").alias("id"), "root")
 
-    for _ in range(rounds):
-        heads = materialize(open_.groupBy("bucket").agg(F.min("id").alias("head"), F.min_by("n", "id").alias("head_n"), F.min_by("class", "id").alias("head_class")), "shingles-heads")
-        rest = open_.join(heads, "bucket").where("id <> head")
-        roots = compare(rest.where((F.col("class") != F.col("head_class")) & sizes_fit(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("id").alias("b")))
-        rest = rest.select("bucket", "id", "n").join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("class"))
-        rest = materialize(rest, "shingles-rest")
-        mixed = rest.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
-        open_ = materialize(rest.join(mixed.select("bucket"), "bucket", "left_semi"), "shingles-open")
-        each = open_.groupBy("bucket", "class").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
-        left = each.agg(F.sum("pairs") / 2).first()[0] or 0
-        if left <= PAIRS_A_ROW * filed:
-            break
-    if left:
-        found = materialize(links_in_tiles(open_, fingerprints, texts, words_in, similarity), "shingles-tiles")
-        roots = components(links.unionByName(found)).select(F.col("node").alias("id"), "root")
-    return roots
-
-
-def one_per_class(docs: DataFrame, words_in: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+    crowded = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > MOST), "shingles-crowded")
+    rows = keyed.withColumn("class", F.col("id")).withColumns({c: F.lit(0) for c in ("x", "y", "tile")})
+    if not crowded.isEmpty():
+        open_ = materialize(keyed.join(crowded.select("bucket"), "bucket").withColumn("class", F.col("id")), "shingles-filed")
+        filed_rows = open_.count()
+        for _ in range(rounds):
+            first = [F.min_by(c, "id").alias(f"head_{c}") for c in ("n", "class", *head)]
+            heads = materialize(open_.groupBy("bucket").agg(F.min("id").alias("head"), *first), "shingles-heads")
+            rest = open_.join(heads, "bucket").where("id <> head")
+            roots = compare(materialize(heads_near(rest, similarity), "shingles-near"))
+            rest = rest.select("bucket", "id", "n", *head).join(roots, "id", "left").select("bucket", "id", "n", *head, F.coalesce("root", "id").alias("class"))
+            rest = materialize(rest, "shingles-rest")
+            mixed = rest.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+            open_ = materialize(rest.join(mixed.select("bucket"), "bucket", "left_semi"), "shingles-open")
+            each = open_.groupBy("bucket", "class").agg(F.count("*").cast("double").alias("m")).groupBy("bucket").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"))
+            if (each.agg(F.sum("pairs") / 2).first()[0] or 0) <= PAIRS_A_ROW * filed_rows:
+                break
+        tiles = open_.groupBy("bucket").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("tiles"))
+        dealt = open_.join(tiles, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")}).select(rows.columns)
+        rows = rows.join(crowded.select("bucket"), "bucket", "left_anti").unionByName(dealt)
+    near = materialize(near_of_groups(rows, similarity), "shingles-near")
+    few = within_radius(near.where("few").select("a", "b").distinct(), fingerprints)
+    groups_of = components(few.unionByName(near.where("NOT few").select("a", "b")))
+    open_ = groups_of.select(F.col("root").alias("bucket"), F.col("node").alias("id")).join(fingerprints.select("id", "n"), "id")
+    open_ = open_.withColumn("class", F.col("id")) if roots is None else open_.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).drop("root")
+    found = links_in_tiles(materialize(open_, "shingles-open"), fingerprints, texts, words_in, similarity)
+    found = materialize(found, "shingles-tiles")
+    return components(found if links is None else links.unionByName(found)).select(F.col("node").alias("id"), "root")
+
+
+def one_per_class(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of near-duplicates, all columns. Only the rows that go are joined to the
     documents; Spark broadcasts them if they are few, and their number is known by then."""
     row, digest = F.col("_near_row"), F.col("_near_set")
     docs, back = plain_names(docs, ("doc_id", "text"))
-    every = materialize(signed_rows(docs, words_in, bands, rows), "shingles-rows")
+    every = materialize(signed_rows(docs, words_in), "shingles-rows")
     rank = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), digest.alias("set"), F.xxhash64("text").alias("text"), row.alias("row"))
-    own = F.struct(F.col("_near_n").alias("n"), F.col("_near_keys").alias("keys"), F.col("_near_fp").alias("fp"))
+    own = F.struct(F.col("_near_n").alias("n"), F.col("_near_fp").alias("fp"))
     sets = materialize(every.groupBy(digest.alias("digest")).agg(F.min(row).alias("id"), F.min(rank).alias("best"), F.min_by(own, row).alias("own")), "shingles-sets")
-    reps = sets.select("id", "own.n", "own.keys", "own.fp")
-    keyed = reps.select("id", "n", F.explode("keys").alias("bucket"))
-    roots = roots_of(keyed, reps.select("id", "n", "fp"), every.select(row.alias("id"), "text"), words_in, similarity)
+    reps = sets.select("id", "own.n", "own.fp")
+    keyed = filed(reps, *blocks_for(reps.count()))
+    roots = roots_of(keyed, reps, every.select(row.alias("id"), "text"), words_in, similarity)
     classes = sets.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
     kept = classes.select(F.col("best.row").alias("kept"))
     gone = materialize(every.select("_near_row").join(kept, row == F.col("kept"), "left_anti"), "shingles-gone")

@@ -125,6 +125,79 @@ def near_pairs(fps: np.ndarray, radius: int, queries: int | None = None, tile: i
             yield i[keep], j[keep]
 
 
+def near_in_groups(fps: np.ndarray, sizes: np.ndarray, asks: np.ndarray, radius: int, cells: int = 1 << 14, most_words: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of rows of one group at most ``radius`` bits apart, many small groups in one
+    sweep. Groups follow each other; in each the first ``asks`` rows are compared with all behind them.
+    A cell is a row and the planes of 64 others; it is abandoned once all its pairs exceed the radius.
+    A sweep takes ``most_words`` words of a plane, or one group; each group begins a word."""
+    ends, row_ends, at = np.cumsum(-(-sizes // BITS)), np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_words, "right")))
+        row = int(row_ends[at - 1]) if at else 0
+        for i, j in _sweep(fps[row : row_ends[end - 1]], sizes[at:end], asks[at:end], radius, cells):
+            yield row + i, row + j
+        at = end
+
+
+def _sweep(fps: np.ndarray, sizes: np.ndarray, asks: np.ndarray, radius: int, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    width, words = fps.shape[1], -(-sizes // BITS)
+    row_at, word_at = np.cumsum(sizes) - sizes, np.cumsum(words) - words
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    place = word_at[group] * BITS + np.arange(len(fps)) - row_at[group]  # each group starts a word
+    bits = np.zeros((int(words.sum()) * BITS, 8 * width), np.uint8)
+    bits[place] = np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), 8 * width)
+    planes = np.packbits(np.ascontiguousarray(np.unpackbits(bits, axis=1, bitorder="little").T), axis=1, bitorder="little").view(np.uint64)
+    row_of = np.full(len(bits), -1)
+    row_of[place] = np.arange(len(fps))
+    unused = np.packbits(row_of < 0, bitorder="little").view(np.uint64)
+    queries = np.flatnonzero(np.arange(len(fps)) - row_at[group] < asks[group])
+    first = place[queries] // BITS  # pairs with earlier words are seen from the other side
+    many = word_at[group[queries]] + words[group[queries]] - first
+    ends = np.cumsum(many)
+    at = 0
+    while at < len(queries):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + cells, "right")))
+        n = many[at:end]
+        q = np.repeat(queries[at:end], n)
+        w = np.repeat(first[at:end] - (np.cumsum(n) - n), n) + np.arange(len(q))
+        at = end
+        over = unused[w]
+        sums = [np.zeros(len(q), np.uint64) for _ in range(max(3, int(radius).bit_length()))]
+        for p in range(0, BITS * width, 8):
+            ask, x = fps[q, p // BITS], []
+            for k in range(p, p + 8):  # the planes, turned over where the query's bit is set
+                x.append(planes[k][w] ^ ((ask << np.uint64(BITS - 1 - k % BITS)).view(np.int64) >> 63).view(np.uint64))
+            fours = []
+            for k in (0, 4):
+                sums[0], two = _add(sums[0], x[k], x[k + 1])
+                sums[0], more = _add(sums[0], x[k + 2], x[k + 3])
+                sums[1], four = _add(sums[1], two, more)
+                fours.append(four)
+            sums[2], carry = _add(sums[2], *fours)
+            for s in sums[3:]:
+                carry_out = s & carry
+                s ^= carry
+                carry = carry_out
+            over |= carry
+            if p + 8 == BITS * width or p % 16 == 8 and p >= 1.3 * radius:
+                over |= _above(sums, radius)
+                open_ = np.flatnonzero(over != np.uint64(0xFFFFFFFFFFFFFFFF))
+                if len(open_) < len(q):
+                    q, w, over, sums = q[open_], w[open_], over[open_], [s[open_] for s in sums]
+                if not len(q):
+                    break
+        if len(q):
+            cell, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            i, j = q[cell], row_of[w[cell] * BITS + bit]
+            yield i[i < j], j[i < j]
+
+
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three words of bits: sums and carries."""
+    half = a ^ b
+    return half ^ c, a & b | half & c
+
+
 def _above(sums: list[np.ndarray], radius: int) -> np.ndarray:
     """Where the bit-sliced sums exceed the radius: compare from the highest bit down."""
     above = np.zeros_like(sums[0])
