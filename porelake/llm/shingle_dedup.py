@@ -10,7 +10,9 @@ At 0.8 two fingerprints differ in up to 19 of 100 bits, so blocks of which one m
 pigeonhole rule would be 4 bits wide and select nothing. So more and wider blocks are used than that
 rule needs: ``blocks_for`` gives their width, which grows with the logarithm of the number of sets, so
 that a block's buckets stay small, and so many blocks that a pair that agrees in AGREES of its bits
-shares none with probability MISSED. A bit of the fingerprints of a pair at 0.8 differs with probability
+shares none with probability MISSED. TOGETHER blocks form a family, with all but OWN_BITS bits of each in
+common, and a fingerprint travels once for a family: its buckets are found where the family meets. Families
+with a crowded bucket are filed bucket by bucket. A bit of the fingerprints of a pair at 0.8 differs with probability
 0.15 to 0.17 (0.19 for sets of 4 and 5 shingles). Buckets are compared by the first SCREEN words, whose
 radius, 60 of 192 bits, is four standard deviations away or more; the whole fingerprints of pairs that
 are near there have to be within 126 of 512 bits, or 150 where a set has under 24 shingles.
@@ -18,7 +20,8 @@ are near there have to be within 126 of 512 bits, or 150 where a set has under 2
 No bucket is cut short. In a crowded one all documents are first compared with its first, which then
 leaves it; a crowded bucket whose documents form one class is settled. That is repeated while very many
 pairs are left, and what is left is cut into tiles by documents, of which each two meet. A bucket gives
-its near pairs as rows, or, where they are many, a forest with the same components.
+its near pairs as rows, or, where they are more than its rows, a forest with the same components, one for
+all such buckets that are compared at once.
 
 The components of near pairs are the groups in which sets travel, so each text does so once, if its
 group is small; a large one is cut into tiles by shingles, and each two of them meet. There the whole
@@ -43,7 +46,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -57,6 +60,7 @@ WORDS = 8  # 64-bit words of a fingerprint
 RADIUS, NARROW, MANY = 150, 126, 24  # of 64 * WORDS bits; the narrow one for two sets of that many shingles
 SCREEN, SCREEN_RADIUS = 3, 60  # words of a fingerprint that travel with a filed row, and the radius of their bits
 AGREES, MISSED = 0.84, 7e-5
+OWN_BITS, TOGETHER = 7, 6  # bits a block has for itself, and blocks of a family: they share their other bits
 MOST = 2048  # rows of a bucket that is not crowded
 TILE_ROWS = 4096  # rows of a tile of a crowded bucket
 SWEEP = 1 << 16  # filed rows that a task compares at once, if no group has more
@@ -64,7 +68,7 @@ EDGES = 1 << 20  # near pairs that a task holds before it makes a forest of them
 SLICE = 1000  # rows that a task hashes and hands on at once
 TILE = 1 << 19  # shingles of a tile of a bucket
 PAIRS_A_TASK = 4096  # pairs of texts that a task compares
-PAIRS_A_ROW = 4  # a round of first documents goes on while more pairs than this times the rows are left
+PAIRS_A_ROW = 1  # a bucket of more near pairs than this times its rows gives a forest; first documents go on while more are left
 
 
 def shingle_set(text: str | None, words_in: int) -> np.ndarray:
@@ -84,19 +88,34 @@ def fingerprint(hashes: np.ndarray, chunk: int = 4096) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)
 
 
+def bits_of(bits: int) -> tuple[int, int]:
+    """Of a block's bits: those it shares with the other blocks of its family, and its own."""
+    return max(0, bits - OWN_BITS), min(bits, OWN_BITS)
+
+
 def blocks_for(n: int) -> tuple[int, int]:
     """(blocks, bits of a block) for n sets: a bucket of a block gets 128 to 256 of them, or fewer."""
     bits = max(11, n.bit_length() - 8)
-    return math.ceil(math.log(MISSED) / math.log(1 - AGREES**bits)), bits
+    shared, own = bits_of(bits)
+    meet = AGREES**shared * (1 - (1 - AGREES**own) ** TOGETHER)  # in a bucket of a family
+    return TOGETHER * math.ceil(math.log(MISSED) / math.log(1 - meet)), bits
+
+
+def block_parts(fps: np.ndarray, blocks: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint and family: the shared bits, and the own bits of each of its blocks. Families
+    follow each other in permutations of the bits; blocks of one have no bit but the shared ones in common."""
+    rng, width, (shared, own) = np.random.default_rng(42), 64 * WORDS, bits_of(bits)
+    families, span = -(-blocks // TOGETHER), shared + TOGETHER * own
+    places = np.concatenate([rng.permutation(width)[: width // span * span] for _ in range(-(-families // (width // span)))])[: families * span]
+    ones = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")[:, places].reshape(len(fps), families, span)
+    rest = ones[:, :, shared:].reshape(len(fps), families, TOGETHER, own)
+    return ones[:, :, :shared] @ (1 << np.arange(shared, dtype=np.int64)), rest @ (1 << np.arange(own, dtype=np.int64))
 
 
 def block_keys(fps: np.ndarray, blocks: int, bits: int) -> np.ndarray:
-    """The buckets of each fingerprint: number and bits of each block. Blocks follow each other in
-    permutations of the bits, so that those of one permutation have no bit in common."""
-    rng, width = np.random.default_rng(42), 64 * WORDS
-    places = np.concatenate([rng.permutation(width)[: width // bits * bits] for _ in range(-(-blocks // (width // bits)))])[: blocks * bits]
-    ones = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")[:, places].reshape(len(fps), blocks, bits)
-    return (ones @ (1 << np.arange(bits, dtype=np.int64))) + (np.arange(blocks) << bits)
+    """The buckets of each fingerprint: number and bits of each block, the shared bits lowest."""
+    first, rest = block_parts(fps, blocks, bits)
+    return (first[:, :, None] | rest << bits_of(bits)[0]).reshape(len(fps), -1)[:, :blocks] + (np.arange(blocks) << bits)
 
 
 def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -137,12 +156,42 @@ def filed(sets: DataFrame, blocks: int, bits: int) -> DataFrame:
     return map_batches(sets.where("n > 0").select("id", "n", "fp"), run, "id long, n int, bucket long, " + ", ".join(f"fp{k} long" for k in range(SCREEN)))
 
 
+def families_of(sets: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """(id, n, family, own, fp0...): a row for each family of blocks, its number and shared bits, and the
+    blocks' own bits. ``bucket_in`` gives the buckets of such a row, as ``filed`` has them. sets: (id, n, fp)"""
+    shared, own = bits_of(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, SLICE) for at in range(0, whole.num_rows, SLICE)):
+                fps = b.column("fp").flatten().to_numpy().reshape(-1, WORDS)
+                first, rest = block_parts(fps, blocks, bits)
+                again = np.repeat(np.arange(len(fps)), first.shape[1])
+                keys = {"family": ((np.arange(first.shape[1]) << shared) + first).ravel(), "own": (rest << own * np.arange(TOGETHER)).sum(axis=2).ravel()}
+                yield pa.record_batch({"id": b.column("id").to_numpy()[again], "n": b.column("n").to_numpy()[again], **keys, **{f"fp{k}": fps[again, k] for k in range(SCREEN)}})
+
+    return map_batches(sets.where("n > 0").select("id", "n", "fp"), run, "id long, n int, family long, own long, " + ", ".join(f"fp{k} long" for k in range(SCREEN)))
+
+
+def bucket_in(family, own_bits, j: int, bits: int):
+    """The bucket of a family's block j, of arrays as of columns."""
+    (shared, own), by = bits_of(bits), lambda x, k: F.call_function("shiftright", x, F.lit(k)) if isinstance(x, Column) else x >> k
+    low = lambda x, k: x % (1 << k)
+    return (by(family, shared) * TOGETHER + j) * (1 << bits) + low(by(own_bits, own * j), own) * (1 << shared) + low(family, shared)
+
+
+def family_in(bucket: Column, bits: int) -> Column:
+    """The family of a bucket."""
+    shared = bits_of(bits)[0]
+    return F.floor(F.call_function("shiftright", bucket, F.lit(bits)) / TOGETHER) * (1 << shared) + bucket % (1 << shared)
+
+
 def among(rows: DataFrame, ids: DataFrame, name: str = "id", most_bits: int = 1 << 26) -> Callable[[bool], DataFrame]:
     """``among(rows, ids)(True)``: the rows whose id is among the ids, and a few more; (False): those whose
     id is not, without a few. A table of the ids' bits (at most ``most_bits``, 8 MB: of more ids fewer are
     told apart, none is missed) is a value of the filter, so rows with texts stay where they are."""
     spark, bits, n = rows.sparkSession, 1 << 12, ids.count()
-    while bits < min(most_bits, 16 * n):
+    while bits < min(most_bits, 64 * n):
         bits *= 2
     place = F.xxhash64(F.col(name).cast("long")).bitwiseAND(F.lit(bits - 1))
     at = lambda c: F.call_function("shiftright", c, F.lit(6))
@@ -287,72 +336,102 @@ def heads_near(rows: DataFrame, similarity: float) -> DataFrame:
     return map_batches(rows.where(sizes_fit & (F.col("class") != F.col("head_class"))), run, "a long, b long")
 
 
+def near_in(t: pa.Table, similarity: float) -> pa.RecordBatch:
+    """(a, b, few) of the groups (bucket, x, y) that follow each other: see ``near_of_groups``. The forest of
+    all groups that have many pairs is one, of smallest ids, so that other tasks' forests have the same edges."""
+    same = np.logical_and.reduce([t.column(c).to_numpy()[1:] == t.column(c).to_numpy()[:-1] for c in ("bucket", "x", "y")])
+    t = t.filter(pa.array(np.r_[False, same] | np.r_[same, False]))  # a row alone has no pair
+    bucket, x, y, tile, ids, n, classes = (t.column(c).to_numpy() for c in ("bucket", "x", "y", "tile", "id", "n", "class"))
+    fps = np.stack([t.column(f"fp{k}").to_numpy() for k in range(SCREEN)], axis=1).view(np.uint64)
+    group = np.cumsum(np.r_[np.zeros(min(1, len(ids)), bool), (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    sizes = np.bincount(group)
+    asks = sizes.copy()
+    if (classes != ids).any():  # rows of a group's largest class come last: they are not compared with each other
+        order = np.lexsort((classes, group))
+        new = np.r_[True, np.diff(group[order]) + np.abs(np.diff(classes[order])) != 0]
+        many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        order = order[np.lexsort((classes[order], many, group[order]))]
+        last = order[np.cumsum(sizes) - 1]
+        bucket, x, y, tile, ids, n, classes, fps = bucket[order], x[order], y[order], tile[order], ids[order], n[order], classes[order], fps[order]
+        asks -= np.bincount(group, classes == np.repeat(t.column("class").to_numpy()[last], sizes)).astype(np.int64)
+    names, own = np.unique(ids, return_inverse=True)
+    pairs, many, left = [], [], PAIRS_A_ROW * sizes
+
+    def tree() -> tuple[np.ndarray, np.ndarray]:
+        root = forest(len(names), *map(np.concatenate, zip(*many)))
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return root[moved], moved
+
+    for i, j in near_in_groups(fps, sizes, asks, SCREEN_RADIUS):
+        fits = (classes[i] != classes[j]) & ((x[i] == y[i]) | (tile[i] != tile[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        i, j = i[fits], j[fits]
+        left = left - np.bincount(group[i], minlength=len(sizes))
+        few = left[group[i]] >= 0
+        pairs.append((i[few], j[few]))
+        many.append((own[i[~few]], own[j[~few]]))
+        if sum(len(i) for i, _ in many) > EDGES:
+            many = [tree()]
+    nothing = np.zeros(0, np.int64)
+    i, j = map(np.concatenate, zip((nothing, nothing), *pairs))
+    few = left[group[i]] >= 0
+    many.append((own[i[~few]], own[j[~few]]))
+    found = np.sort(np.stack([own[i[few]], own[j[few]]], axis=1), axis=1)
+    found = np.unique(found[:, 0] * len(names) + found[:, 1])  # blocks of a family find the same pairs
+    parts = [divmod(found, max(1, len(names))), tree()]
+    i, j = map(np.concatenate, zip(*parts))
+    return pa.record_batch({"a": names[i], "b": names[j], "few": np.arange(len(i)) < len(found)})
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """Batches that are sorted by keys as tables of whole groups, of about so many rows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in keys])
+            cut = int(same.argmax())
+            if cut:
+                yield t.slice(0, cut)
+            held, size = t.slice(cut).to_batches(), t.num_rows - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def near_of_groups(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b, few): of each group (bucket, x, y) the near pairs of different classes; where they are more than
     PAIRS_A_ROW times its rows, not few, a forest with their components. Where x < y only pairs of
     different tiles count. rows: (bucket, x, y, tile, id, n, class, fp0...)"""
 
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        same = np.logical_and.reduce([t.column(c).to_numpy()[1:] == t.column(c).to_numpy()[:-1] for c in ("bucket", "x", "y")])
-        t = t.filter(pa.array(np.r_[False, same] | np.r_[same, False]))  # a row alone has no pair
-        bucket, x, y, tile, ids, n, classes = (t.column(c).to_numpy() for c in ("bucket", "x", "y", "tile", "id", "n", "class"))
-        fps = np.stack([t.column(f"fp{k}").to_numpy() for k in range(SCREEN)], axis=1).view(np.uint64)
-        group = np.cumsum(np.r_[np.zeros(min(1, len(ids)), bool), (bucket[1:] != bucket[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        sizes = np.bincount(group)
-        asks = sizes.copy()
-        if (classes != ids).any():  # rows of a group's largest class come last: they are not compared with each other
-            order = np.lexsort((classes, group))
-            new = np.r_[True, np.diff(group[order]) + np.abs(np.diff(classes[order])) != 0]
-            many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-            order = order[np.lexsort((classes[order], many, group[order]))]
-            last = order[np.cumsum(sizes) - 1]
-            bucket, x, y, tile, ids, n, classes, fps = bucket[order], x[order], y[order], tile[order], ids[order], n[order], classes[order], fps[order]
-            asks -= np.bincount(group, classes == np.repeat(t.column("class").to_numpy()[last], sizes)).astype(np.int64)
-        pairs, many, left = [], [], PAIRS_A_ROW * sizes
-
-        def tree() -> tuple[np.ndarray, np.ndarray]:
-            root = forest(len(ids), *map(np.concatenate, zip(*many)))
-            moved = np.flatnonzero(root != np.arange(len(ids)))
-            return root[moved], moved
-
-        for i, j in near_in_groups(fps, sizes, asks, SCREEN_RADIUS):
-            fits = (classes[i] != classes[j]) & ((x[i] == y[i]) | (tile[i] != tile[j])) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
-            i, j = i[fits], j[fits]
-            left = left - np.bincount(group[i], minlength=len(sizes))
-            few = left[group[i]] >= 0
-            pairs.append((i[few], j[few]))
-            many.append((i[~few], j[~few]))
-            if sum(len(i) for i, _ in many) > EDGES:
-                many = [tree()]
-        nothing = np.zeros(0, np.int64)
-        i, j = map(np.concatenate, zip((nothing, nothing), *pairs))
-        few = left[group[i]] >= 0
-        many.append((i[~few], j[~few]))
-        i, j = map(np.concatenate, zip((i[few], j[few]), tree()))
-        return pa.record_batch({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "few": np.arange(len(i)) < few.sum()})
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:  # sorted by group: whole groups, many at a time
-            held.append(b)
-            size += b.num_rows
-            if size >= SWEEP:
-                t = pa.Table.from_batches(held).combine_chunks()
-                same = np.logical_and.reduce([t.column(c).to_numpy() == t.column(c)[-1].as_py() for c in ("bucket", "x", "y")])
-                cut = int(same.argmax())
-                if cut:
-                    yield compare(t.slice(0, cut))
-                held, size = t.slice(cut).to_batches(), t.num_rows - cut
-        if size:
-            yield compare(pa.Table.from_batches(held))
+        for t in whole_groups(batches, ("bucket", "x", "y"), SWEEP):
+            yield near_in(t, similarity)
 
     sorted_ = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     return map_batches(sorted_, run, "a long, b long, few boolean")
 
 
-def roots_of(keyed: DataFrame, fingerprints: DataFrame, texts: DataFrame, words_in: int, similarity: float, rounds: int = 3) -> DataFrame:
+def near_of_families(rows: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """The same of the buckets of families: all of a family meet in one task, so a fingerprint travels once
+    for its blocks. rows: as ``families_of`` gives them"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ("family",), SWEEP // TOGETHER):
+            family, own = t.column("family").to_numpy(), t.column("own").to_numpy()
+            bucket = np.concatenate([bucket_in(family, own, j, bits) for j in range(TOGETHER)])
+            order = np.argsort(bucket, kind="stable")
+            again, zeros = order % len(family), np.zeros(len(order), np.int32)
+            cols = {c: t.column(c).to_numpy()[again] for c in ("id", "n", *(f"fp{k}" for k in range(SCREEN)))}
+            yield near_in(pa.table({"bucket": bucket[order], "x": zeros, "y": zeros, "tile": zeros, "class": cols["id"], **cols}), similarity)
+
+    return map_batches(rows.repartition("family").sortWithinPartitions("family"), run, "a long, b long, few boolean")
+
+
+def roots_of(keyed: DataFrame, fingerprints: DataFrame, texts: DataFrame, words_in: int, similarity: float, rounds: int = 3, families: DataFrame | None = None, bits: int = 0) -> DataFrame:
     """(id, root) of the ids that have links. keyed: (id, n, bucket), and fp0... as ``filed`` gives them;
-    fingerprints: (id, n, fp); texts: (id, text)"""
+    fingerprints: (id, n, fp); texts: (id, text); families: the same buckets as ``families_of`` gives them,
+    for all families that have no crowded one"""
     head = [f"fp{k}" for k in range(SCREEN)]
     if head[0] not in keyed.columns:
         keyed = keyed.join(fingerprints.select("id", *[F.col("fp")[k].alias(c) for k, c in enumerate(head)]), "id")
@@ -366,9 +445,17 @@ def roots_of(keyed: DataFrame, fingerprints: DataFrame, texts: DataFrame, words_
         links, tried = (found, near) if links is None else (links.unionByName(found), tried.unionByName(near))
         return components(links).select(F.col("node").alias("id"), "root")
 
-    crowded = materialize(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > MOST), "shingles-crowded")
+    buckets = keyed
+    if families is not None:
+        buckets = families.select(F.explode(F.array(*[bucket_in(F.col("family"), F.col("own"), j, bits) for j in range(TOGETHER)])).alias("bucket"))
+    crowded = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > MOST), "shingles-crowded")
     rows = keyed.withColumn("class", F.col("id")).withColumns({c: F.lit(0) for c in ("x", "y", "tile")})
-    if not crowded.isEmpty():
+    alone = crowded.isEmpty()
+    if families is not None and not alone:
+        mixed = materialize(crowded.select(family_in(F.col("bucket"), bits).alias("family")).distinct(), "shingles-families")
+        families = families.join(mixed, "family", "left_anti")
+        rows = rows.join(mixed, family_in(F.col("bucket"), bits) == F.col("family"), "left_semi")
+    if not alone:
         open_ = materialize(keyed.join(crowded.select("bucket"), "bucket").withColumn("class", F.col("id")), "shingles-filed")
         filed_rows = open_.count()
         for _ in range(rounds):
@@ -388,7 +475,11 @@ def roots_of(keyed: DataFrame, fingerprints: DataFrame, texts: DataFrame, words_
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.withColumns({"x": F.least("tile", "other"), "y": F.greatest("tile", "other")}).select(rows.columns)
         rows = rows.join(crowded.select("bucket"), "bucket", "left_anti").unionByName(dealt)
-    near = materialize(near_of_groups(rows, similarity), "shingles-near")
+    near = None if families is not None and alone else near_of_groups(rows, similarity)
+    if families is not None:
+        apart = near_of_families(families, bits, similarity)
+        near = apart if near is None else near.unionByName(apart)
+    near = materialize(near, "shingles-near")
     few = within_radius(near.where("few").select("a", "b").distinct(), fingerprints)
     groups_of = components(few.unionByName(near.where("NOT few").select("a", "b")))
     open_ = groups_of.select(F.col("root").alias("bucket"), F.col("node").alias("id")).join(fingerprints.select("id", "n"), "id")
@@ -408,8 +499,9 @@ def one_per_class(docs: DataFrame, words_in: int = 5, similarity: float = 0.8) -
     own = F.struct(F.col("_near_n").alias("n"), F.col("_near_fp").alias("fp"))
     sets = materialize(every.groupBy(digest.alias("digest")).agg(F.min(row).alias("id"), F.min(rank).alias("best"), F.min_by(own, row).alias("own")), "shingles-sets")
     reps = sets.select("id", "own.n", "own.fp")
-    keyed = filed(reps, *blocks_for(reps.count()))
-    roots = roots_of(keyed, reps, every.select(row.alias("id"), "text"), words_in, similarity)
+    blocks, bits = blocks_for(reps.count())
+    keyed, families = filed(reps, blocks, bits), families_of(reps, blocks, bits)
+    roots = roots_of(keyed, reps, every.select(row.alias("id"), "text"), words_in, similarity, families=families, bits=bits)
     classes = sets.join(roots, "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
     kept = classes.select(F.col("best.row").alias("kept"))
     gone = materialize(every.select("_near_row").join(kept, row == F.col("kept"), "left_anti"), "shingles-gone")
